@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tariffloom import fixed
 
@@ -14,7 +15,7 @@ from tariffloom import fixed
 STABLE_TEXT = r"^[\x20-\x7E가-힣]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
 

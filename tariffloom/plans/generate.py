@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
+from tariffloom.functions.literals import literal_rows
 from tariffloom.operators.constants import constant_map
 from tariffloom.operators.formulas import rule_column
 from tariffloom.operators.ordered import row_numbers
@@ -35,16 +36,13 @@ def _grade_dimension() -> list[dict]:
 
 
 def _dimension_array() -> Column:
-    def entry(seq: int, d: dict) -> Column:
-        return F.struct(
-            F.lit(seq).alias("block"), F.lit(d["kind"]).alias("kind"), F.lit(d["variant"]).alias("variant"),
-            F.lit(d["base"]).alias("base"), F.lit(d["at"]).alias("at"), F.lit(d["limit_key"]).alias("limit_key"),
-            F.lit(d.get("main_key")).cast("string").alias("main_key"),
-            F.lit(d.get("school", False)).alias("school"), F.lit(d.get("work", False)).alias("work"),
-            F.lit(fixed.SORT_START[d["kind"], d["variant"]]).alias("sort_start"),
-        )
-
-    return F.array(*[entry(n, d) for n, d in enumerate(_grade_dimension())])
+    rows = [
+        (n, d["kind"], d["variant"], d["base"], d["at"], d["limit_key"], d.get("main_key"), d.get("school", False),
+         d.get("work", False), fixed.SORT_START[d["kind"], d["variant"]])
+        for n, d in enumerate(_grade_dimension())
+    ]
+    return literal_rows(rows, "block int, kind string, variant string, base string, at int, limit_key string, "
+                              "main_key string, school boolean, work boolean, sort_start int")
 
 
 def special_limit(c: Column, d: Column, rules: dict) -> Column:
@@ -59,26 +57,48 @@ def special_limit(c: Column, d: Column, rules: dict) -> Column:
     })
 
 
-def _with_terms(docs: DataFrame, rules: dict) -> DataFrame:
-    """Rows (document, block, letter) with limit, rate and cap."""
-    c, d = F.col("c"), F.col("d")
-    rows = docs.select("doc_id", "c", F.explode(_dimension_array()).alias("d"))
+def block_limit(c: Column, d: Column, rules: dict) -> Column:
+    """Monthly limit of one block of the basic table."""
     case = special_limit(c, d, rules)
     extended = rule_column(rules["extended_monthly_limit"],
                            {"monthly_limit": case, "unit_price": c[fixed.BASE_PRICE].cast("bigint")})
-    limit = (
+    return (
         F.when((d["kind"] == "sj") & (d["variant"] == "확장형"), extended)
         .when(d["kind"] == "sj", case)
         .otherwise(c[d["limit_key"]])
         .cast("bigint")
     )
+
+
+def letter_rates(c: Column, group: str) -> Column:
+    return F.array(*[c[f"{group}.{letter}"] for letter in fixed.LETTERS])
+
+
+def _with_terms(docs: DataFrame, rules: dict) -> DataFrame:
+    """Rows (document, block, letter) with limit, rate and cap.
+
+    Limits are looked up before the blocks are exploded, so the map of constants stays behind.
+    """
+    c, d = F.col("c"), F.col("d")
+    blocks = F.transform(_dimension_array(), lambda x: F.struct(
+        *[x[n].alias(n) for n in ("block", "kind", "variant", "base", "at", "sort_start")],
+        block_limit(c, x, rules).alias("limit")))
+    rows = docs.select(
+        "doc_id", c[fixed.K_YEAR].cast("int").alias("사업년도"), c[fixed.K_CHASU].cast("int").alias("차수"),
+        c[fixed.K_IJ_CAP].cast("bigint").alias("ij_cap"), c[fixed.K_SJ_CAP].cast("bigint").alias("sj_cap"),
+        letter_rates(c, fixed.K_IJ_RATES).alias("ij_rates"), letter_rates(c, fixed.K_SJ_RATES).alias("sj_rates"),
+        F.explode(blocks).alias("d"),
+    )
+    first = d["kind"] == "ij"
     rows = rows.select(
-        "doc_id", "c", "d", limit.alias("limit"),
-        F.when(d["kind"] == "ij", c[fixed.K_IJ_CAP]).otherwise(c[fixed.K_SJ_CAP]).cast("bigint").alias("cap"),
-        F.posexplode(F.array(*map(F.lit, fixed.LETTERS))).alias("k", "letter"),
+        "doc_id", "사업년도", "차수", "d", d["limit"].alias("limit"),
+        F.when(first, F.col("ij_cap")).otherwise(F.col("sj_cap")).alias("cap"),
+        F.posexplode(F.arrays_zip(
+            F.array(*map(F.lit, fixed.LETTERS)).alias("letter"),
+            F.when(first, F.col("ij_rates")).otherwise(F.col("sj_rates")).alias("rate"))).alias("k", "l"),
     )
-    group = F.when(d["kind"] == "ij", fixed.K_IJ_RATES).otherwise(fixed.K_SJ_RATES)
-    return rows.withColumn("rate", c[F.concat(group, F.lit("."), "letter")])
+    return rows.select("doc_id", "사업년도", "차수", "d", "limit", "cap", "k", F.col("l.letter").alias("letter"),
+                       F.col("l.rate").alias("rate"))
 
 
 def expected_terms(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
@@ -112,7 +132,7 @@ def basic_table(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     regular = rows.select(
         "doc_id",
         (d["block"] * 6 + k + 1).alias("안"),
-        year.alias("사업년도"), chasu.alias("차수"),
+        "사업년도", "차수",
         F.concat(prefix, code).alias("등급구분"),
         F.concat(d["base"], F.lit("("), "letter", F.lit("형)"),
                  F.when(d["variant"] == "기본형", "").otherwise("_주간확장")).alias("등급명"),
@@ -144,17 +164,20 @@ def basic_table(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
 
 def supplement_table(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     """The supplementary price table: 72 rows per document."""
-    items = F.array(*[
-        F.struct(F.lit(n).alias("at"), F.lit(key).alias("item"), F.lit(code).alias("code"),
-                 F.lit(name).alias("name"), F.lit(category).alias("category"))
-        for n, (key, (code, name, category)) in enumerate(fixed.ADD_CODES.items())
-    ])
+    items = literal_rows(
+        [(n, key, *spec) for n, (key, spec) in enumerate(fixed.ADD_CODES.items())],
+        "at int, item string, code int, name string, category string")
     c, x, k = F.col("c"), F.col("x"), F.col("k")
-    rows = constant_map(constants).select("doc_id", "c", F.explode(items).alias("x")).select(
-        "doc_id", "c", "x", c[F.concat(F.lit(fixed.K_ADD_LIMITS + "."), x["item"])].cast("bigint").alias("limit"),
-        F.posexplode(F.array(*map(F.lit, fixed.LETTERS))).alias("k", "letter"),
-    )
-    rate = c[F.concat(F.lit(fixed.K_ADD_RATES + "."), "letter")]
+    limited = F.transform(items, lambda i: F.struct(
+        *[i[n].alias(n) for n in ("at", "code", "name", "category")],
+        c[F.concat(F.lit(fixed.K_ADD_LIMITS + "."), i["item"])].cast("bigint").alias("limit")))
+    lettered = F.arrays_zip(F.array(*map(F.lit, fixed.LETTERS)).alias("letter"), F.col("rates").alias("rate"))
+    rows = constant_map(constants).select(
+        "doc_id", letter_rates(c, fixed.K_ADD_RATES).alias("rates"), F.explode(limited).alias("x")
+    ).select("doc_id", "x", F.posexplode(lettered).alias("k", "l")).select(
+        "doc_id", "x", F.col("x.limit").alias("limit"), "k", F.col("l.letter").alias("letter"),
+        F.col("l.rate").alias("rate"))
+    rate = F.col("rate")
     income = F.create_map(*[F.lit(v) for kv in fixed.IJ_INCOME.items() for v in kv])
     copay = rule_column(rules["add_copayment"], {
         "monthly_limit": F.col("limit"), "income_range": F.col("letter"), "copayment_rate": rate})
@@ -193,16 +216,18 @@ def service_rows(prices: DataFrame, rules: dict = RULES_2025) -> DataFrame:
         type_id = fixed.SERVICE_TYPE[kind_type]
         at = per_type.setdefault(type_id, 0)
         per_type[type_id] += 1
-        entries.append(F.struct(
-            F.lit(type_id).alias("서비스유형ID"), F.lit(kind_type).alias("서비스유형명"),
-            F.lit(fixed.SERVICE_KIND[kind]).alias("서비스종류"), F.lit(kind).alias("서비스종유명"),
-            F.lit(minutes).alias("서비스시간"), F.lit(fixed.TIME_NAME[minutes]).alias("서비스시간명"),
-            F.lit(day_key).alias("day_key"), F.lit(night_key).alias("night_key"), F.lit(mode).alias("mode"),
-            F.lit(at).alias("svc_at"),
-        ))
+        entries.append((type_id, kind_type, fixed.SERVICE_KIND[kind], kind, minutes, fixed.TIME_NAME[minutes],
+                        day_key, night_key, mode, at))
+    dimension = literal_rows(entries, "`서비스유형ID` string, `서비스유형명` string, `서비스종류` string, `서비스종유명` string, "
+                                      "`서비스시간` int, `서비스시간명` string, day_key string, night_key string, "
+                                      "mode string, svc_at int")
     c, s = F.col("c"), F.col("s")
-    rows = constant_map(prices, service_keys()).select("doc_id", "c", F.explode(F.array(*entries)).alias("s"))
-    day, night = c[s["day_key"]].cast("bigint"), c[s["night_key"]].cast("bigint")
+    names = ("서비스유형ID", "서비스유형명", "서비스종류", "서비스종유명", "서비스시간", "서비스시간명", "mode", "svc_at")
+    looked_up = F.transform(dimension, lambda e: F.struct(
+        *[e[n].alias(n) for n in names], c[e["day_key"]].cast("bigint").alias("day"),
+        c[e["night_key"]].cast("bigint").alias("night")))
+    rows = constant_map(prices, service_keys()).select("doc_id", F.explode(looked_up).alias("s"))
+    day, night = s["day"], s["night"]
 
     def priced(rule_id: str, var: str) -> Column:
         return rule_column(rules[rule_id], {var: day})
@@ -214,7 +239,7 @@ def service_rows(prices: DataFrame, rules: dict = RULES_2025) -> DataFrame:
         s["mode"] == "bath", bath).otherwise(F.coalesce(night, day))
     return rows.select(
         "doc_id", "s.*", unit.cast("bigint").alias("단위기준단가"), unit_night.cast("bigint").alias("단위기준심야단가"),
-    ).drop("day_key", "night_key", "mode")
+    ).drop("day", "night", "mode")
 
 
 def payable_grades(basic: DataFrame) -> DataFrame:
@@ -235,7 +260,6 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
     grades = row_numbers(payable_grades(basic).withColumn("__code", F.col("등급구분")),
                          ["doc_id"], "__code", "grade_no", F.substring("__code", 1, 2))
     counts = grades.groupBy("doc_id").agg(F.count("*").alias("n_grades"))
-    services = service_rows(prices, rules).join(counts, "doc_id")
     sizes = fixed.SERVICE_COUNTS
     before = F.create_map(*[F.lit(x) for n, t in enumerate(sorted(sizes))
                             for x in (t, sum(sizes[u] for u in sorted(sizes)[:n]))])
@@ -245,7 +269,11 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
               + F.col("svc_at") + 1)
     year = F.lit(None).cast("int") if year is None else year
     chasu = F.lit(1) if chasu is None else chasu
-    rows = grades.join(services, "doc_id")
+    services = service_rows(prices, rules)
+    bundles = services.groupBy("doc_id").agg(  # 25 services per document
+        F.collect_list(F.struct(*[c for c in services.columns if c != "doc_id"])).alias("services")
+    ).join(counts, "doc_id")
+    rows = grades.join(bundles, "doc_id").select(*grades.columns, "n_grades", F.inline("services"))
     share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
     return rows.withColumns({
         "순번": number, "사업년도": year, "차수": chasu,
