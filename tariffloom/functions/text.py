@@ -76,11 +76,10 @@ def is_blank(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Two-character windows; shorter texts are their own token, empty ones have none."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(2)),
-    )
-    return F.when(F.length(text) > 0, windows).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    windows = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return F.when(F.size(chars) > 1, windows).otherwise(chars)
 
 
 def token_counts(tokens: Column) -> Column:

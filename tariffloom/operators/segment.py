@@ -12,6 +12,7 @@ from tariffloom.functions.numbers import looks_numeric
 from tariffloom.functions.text import is_blank, normalize_label
 from tariffloom.operators.cells import SHEET, filled, find_texts
 from tariffloom.operators.ordered import PIECE, row_numbers
+from tariffloom.session import cut_lineage
 
 REGION = ("doc_id", "sheet", "table_idx")
 MIN_CELLS = 2
@@ -22,7 +23,7 @@ def segment(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rows split first, columns inside row blocks second.  In a sorted list of distinct
     positions ``position - rank`` is constant within a run, so it names the block and grows
-    from block to block.
+    from block to block.  The tagged cells are checkpointed: every later step reads them.
     """
     full = filled(cells)
     rows = row_numbers(full.select(*SHEET, "row").distinct(), list(SHEET), "row", "__rn")
@@ -39,11 +40,12 @@ def segment(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).filter(F.col("n_filled") >= MIN_CELLS).withColumn("__at", F.struct("__rb", "__cb"))
     numbered = row_numbers(boxes, list(SHEET), "__at", "__n", F.floor(F.col("__rb") / PIECE)).withColumn(
         "table_idx", (F.col("__n") - 1).cast("int"))
-    regions = numbered.select(
-        *REGION, F.concat("sheet", F.lit("#"), (F.col("table_idx") + 1).cast("string")).alias("table_id"),
-        "row0", "col0", "row1", "col1", "n_filled")
-    tagged = boxed.join(numbered.select(*SHEET, "__rb", "__cb", "table_idx", "row0", "col0"), [*SHEET, "__rb", "__cb"])
-    return regions, tagged.drop("__rb", "__cb")
+    box = ("row0", "col0", "row1", "col1")
+    tagged = cut_lineage(boxed.join(
+        numbered.select(*SHEET, "__rb", "__cb", "table_idx", *box), [*SHEET, "__rb", "__cb"]).drop("__rb", "__cb"))
+    regions = tagged.groupBy(*REGION, *box).agg(F.count("*").alias("n_filled")).select(
+        *REGION, F.concat("sheet", F.lit("#"), (F.col("table_idx") + 1).cast("string")).alias("table_id"), *box, "n_filled")
+    return regions, tagged
 
 
 def is_numeric_cell() -> Column:

@@ -179,7 +179,6 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     """
     fold = settings.unicode_fold
     regions, tagged = sg.segment(cells)
-    tagged = cut_lineage(tagged)
     found = lb.label_cells(tagged, fold)
     labels = cut_lineage(lb.collect_labels(found))
 
