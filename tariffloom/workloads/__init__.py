@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tariffloom.workloads.registry import WORKLOADS, Workload
 
-THEMES = ("prices", "tariffs", "texts", "grids", "matching")
+THEMES = ("prices", "tariffs", "texts", "grids", "matching", "notices")
 
 
 def all_workloads() -> dict[str, Workload]:
