@@ -1,12 +1,15 @@
 """Row checks of price tables.
 
-Every check is a column: a struct describing one finding, or null.  A suite collects them in
-an array and explodes it, so a table is checked in a single pass without a shuffle.
+A check is a test and the finding it gives.  A suite first filters rows by the plain tests,
+which stay in generated code, and spells out findings (with their texts) only for the few rows
+that fail.  Tables are checked in a single pass without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +18,44 @@ from tariffloom import fixed
 from tariffloom.functions.numbers import floor_100
 from tariffloom.functions.text import grouped_number
 
-FINDING = "struct<code:string,column:string,reason:string,expected:double,actual:double,fixes:array<string>>"
+@dataclass(frozen=True)
+class Check:
+    """Where ``test`` holds, ``column`` is wrong; ``expected`` is the suggested value if any."""
+
+    test: Column
+    code: str
+    column: str | None
+    reason: Column
+    expected: Column
+    actual: Column
+    fixes: Column
+
+    def where(self, condition: Column) -> Check:
+        """The same check on fewer rows."""
+        return Check(sure(condition) & self.test, self.code, self.column, self.reason, self.expected, self.actual, self.fixes)
+
+    def body(self, ord_: int) -> Column:
+        return F.struct(
+            F.lit(ord_).alias("ord"), F.lit(self.code).alias("code"), F.lit(self.column).cast("string").alias("column"),
+            self.reason.alias("reason"), self.expected.alias("expected"), self.actual.alias("actual"),
+            self.fixes.alias("fixes"))
+
+
+def sure(test: Column) -> Column:
+    """Unknown counts as false."""
+    return F.coalesce(test, F.lit(False))
+
+
+def any_of(checks: Sequence[Check]) -> Column:
+    return reduce(lambda a, b: a | b, [c.test for c in checks])
+
+
+def first_of(*checks: Check) -> list[Check]:
+    """Of several explanations the first that holds."""
+    out: list[Check] = []
+    for check in checks:
+        out.append(check.where(~any_of(out)) if out else check)
+    return out
 
 
 def change(column: str, old: Column, new: Column) -> Column:
@@ -25,18 +65,12 @@ def change(column: str, old: Column, new: Column) -> Column:
 
 
 def finding(test: Column, code: str, column: str | None, expected: Column | None = None,
-            actual: Column | None = None, fixes: Sequence[Column] = (), reason: Column | None = None) -> Column:
-    """A finding struct where ``test`` holds, null elsewhere (null tests count as false)."""
+            actual: Column | None = None, fixes: Sequence[Column] = (), reason: Column | None = None) -> Check:
     none = F.lit(None)
-    body = F.struct(
-        F.lit(code).alias("code"),
-        F.lit(column).alias("column"),
-        (F.lit(fixed.MESSAGES[code]) if reason is None else reason).alias("reason"),
-        (none if expected is None else expected).cast("double").alias("expected"),
-        (none if actual is None else actual).cast("double").alias("actual"),
-        (F.array(*fixes) if fixes else F.array()).cast("array<string>").alias("fixes"),
-    )
-    return F.when(F.coalesce(test, F.lit(False)), body).cast(FINDING)
+    return Check(
+        sure(test), code, column, F.lit(fixed.MESSAGES[code]) if reason is None else reason,
+        (none if expected is None else expected).cast("double"), (none if actual is None else actual).cast("double"),
+        (F.array(*fixes) if fixes else F.array()).cast("array<string>"))
 
 
 def message(code: str, *parts: Column) -> Column:
@@ -48,20 +82,36 @@ def message(code: str, *parts: Column) -> Column:
     return F.concat(*out)
 
 
-def explode_findings(df: DataFrame, keys: Sequence[str], checks: Sequence[Column]) -> DataFrame:
-    """One row per finding, ``ord`` keeping the order of the checks."""
-    slots = F.array(*[F.struct(F.lit(n).alias("ord"), c.alias("f")) for n, c in enumerate(checks)])
-    kept = F.filter(slots, lambda s: s["f"].isNotNull())
-    return df.select(*keys, F.explode(kept).alias("s")).select(*keys, "s.ord", "s.f.*")
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once per row.
+
+    The optimizer copies a projected expression into every later filter and projection that
+    names it; nested conditions then grow beyond what code generation takes.  A generator of
+    exactly one row keeps them apart.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(one))
+
 
+def explode_findings(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
+    """One row per finding, ``ord`` keeping the order of the checks.
 
-def limit_check(code: str, column: str, limit: Column, support: Column) -> Column:
+    All tests are evaluated once; rows that pass them go no further.
+    """
+    tested = pinned(df, {f"__t{n}": c.test for n, c in enumerate(checks)})
+    failing = tested.filter(reduce(lambda a, b: a | b, [F.col(f"__t{n}") for n in range(len(checks))]))
+    slots = F.array(*[F.when(F.col(f"__t{n}"), c.body(n)) for n, c in enumerate(checks)])
+    return failing.select(*keys, F.explode_outer(slots).alias("f")).filter(F.col("f").isNotNull()).select(*keys, "f.*")
+
+
+def limit_check(code: str, column: str, limit: Column, support: Column) -> Check:
     return finding(limit.isNotNull() & (support != limit), code, column, limit, support,
                    [change(column, support, limit)])
 
 
 def recompute_check(code: str, column: str, other: str, expected: Column, actual: Column,
-                    total: Column) -> Column:
+                    total: Column) -> Check:
     """Stored value against its formula; the counterpart follows from the total."""
     follow = F.concat(F.lit(f"동시에 {other} → "),
                       grouped_number((F.coalesce(total, F.lit(0)) - expected).cast("double")))
@@ -70,27 +120,27 @@ def recompute_check(code: str, column: str, other: str, expected: Column, actual
 
 
 def sum_check(total_col: str, part_col: str, share_col: str, total: Column, part: Column, share: Column,
-              total_ok: Column | None = None, share_ok: Column | None = None) -> Column:
+              total_ok: Column | None = None, share_ok: Column | None = None) -> list[Check]:
     """total = part + share; the blame falls on what is not confirmed otherwise."""
     off = (part + share) != total
-    total_ok = F.coalesce(F.lit(False) if total_ok is None else total_ok, F.lit(False))
-    share_ok = F.coalesce(F.lit(False) if share_ok is None else share_ok, F.lit(False))
+    total_ok = F.lit(False) if total_ok is None else sure(total_ok)
+    share_ok = F.lit(False) if share_ok is None else sure(share_ok)
     fix_part = change(part_col, part, total - share)
     fix_share = change(share_col, share, total - part)
     fix_total = change(total_col, total, part + share)
-    return F.coalesce(
+    return first_of(
         finding(off & total_ok & share_ok, "SUM_GOV", part_col, total - share, part, [fix_part]),
         finding(off & total_ok, "SUM_RIGHT", part_col, total, part + share, [fix_part, fix_share]),
         finding(off, "SUM_ANY", total_col, total, part + share, [fix_part, fix_share, fix_total]),
     )
 
 
-def granularity_check(code: str, column: str, value: Column) -> Column:
+def granularity_check(code: str, column: str, value: Column) -> Check:
     whole = floor_100(value)
     return finding(value != whole, code, column, whole, value, [change(column, value, whole)])
 
 
-def cap_check(column: str, other: str, value: Column, cap: Column, total: Column, part: Column) -> Column:
+def cap_check(column: str, other: str, value: Column, cap: Column, total: Column, part: Column) -> Check:
     both = F.concat(change(column, value, cap), F.lit(" (동시에 "),
                     change(other, part, F.coalesce(total, F.lit(0)) - cap), F.lit(")"))
     return finding(value > cap, "CAP", column, cap, value, [both],
@@ -179,52 +229,57 @@ def copay_steps(letter: Column, variant: Column, support: Column, rate: Column,
     )
 
 
-def five_value_checks(support: Column, gov: Column, copay: Column, gov_rate: Column, copay_rate: Column,
-                      tolerance: float = 1e-6) -> list[Column]:
+def with_five_value_terms(df: DataFrame, support: Column, gov: Column, copay: Column, gov_rate: Column,
+                          copay_rate: Column, tolerance: float = 1e-6) -> DataFrame:
+    """Adds what the five-value checks decide by, as columns ``v_*``."""
+    df = pinned(df, {"v_s": support, "v_g": gov, "v_c": copay, "v_gr": gov_rate, "v_cr": copay_rate})
+    s, g, c, gr, cr = (F.col(f"v_{n}") for n in ("s", "g", "c", "gr", "cr"))
+    whole, alt = F.nullif(s, F.lit(0)), F.nullif(g + c, F.lit(0))
+    near = lambda rate, share: F.abs(rate - share) <= tolerance
+    df = pinned(df, {
+        "v_use": sure(s != 0), "v_sum_ok": sure(g + c == s), "v_gr_ok": near(gr, g / whole), "v_cr_ok": near(cr, c / whole),
+        "v_by_gov": sure(near(cr, (s - g) / whole)), "v_by_copay": sure(near(gr, (s - c) / whole)),
+        "v_by_sum": sure(near(gr, g / alt) & near(cr, c / alt)),
+    })
+    gr_ok, cr_ok = F.col("v_gr_ok"), F.col("v_cr_ok")
+    rated = gr_ok.isNotNull() & cr_ok.isNotNull()
+    off = F.col("v_use") & ~F.col("v_sum_ok")
+    # 1 copay wrong, 2 government share wrong, 3 support wrong, 4 undecided
+    cause = (
+        F.when(~off, 0).when(rated & sure(gr_ok) & F.col("v_by_gov"), 1).when(rated & sure(cr_ok) & F.col("v_by_copay"), 2)
+        .when(rated & F.col("v_by_sum"), 3).otherwise(4)
+    )
+    return pinned(df, {"v_cause": cause, "v_rated": rated})
+
+
+def five_value_checks() -> list[Check]:
     """Which of support, two amounts and two rates is wrong, judged by their relations.
 
     At most one explanation of an off sum applies; the rate findings follow when several
-    values are off together.
+    values are off together.  Rows come from :func:`with_five_value_terms`.
     """
-    whole = F.nullif(support, F.lit(0))
-    sum_ok = (gov + copay) == support
-    gr_ok = F.abs(gov_rate - gov / whole) <= tolerance
-    cr_ok = F.abs(copay_rate - copay / whole) <= tolerance
-    rated = gr_ok.isNotNull() & cr_ok.isNotNull()
-    use = support != 0
-    exp_gr, exp_cr = F.round(gov / whole, 10), F.round(copay / whole, 10)
-    alt = F.nullif(gov + copay, F.lit(0))
-
-    blame_copay = rated & ~sum_ok & gr_ok & (F.abs(copay_rate - (support - gov) / whole) <= tolerance)
-    blame_gov = rated & ~sum_ok & cr_ok & (F.abs(gov_rate - (support - copay) / whole) <= tolerance)
-    blame_support = rated & ~sum_ok & F.coalesce(
-        (F.abs(gov_rate - gov / alt) <= tolerance) & (F.abs(copay_rate - copay / alt) <= tolerance), F.lit(False)
-    )
-    solved = F.coalesce(blame_copay, F.lit(False)) | F.coalesce(blame_gov, F.lit(False)) | blame_support
+    s, g, c, gov_rate, copay_rate = (F.col(f"v_{n}") for n in ("s", "g", "c", "gr", "cr"))
+    whole = F.nullif(s, F.lit(0))
+    cause, use, sum_ok = F.col("v_cause"), F.col("v_use"), F.col("v_sum_ok")
+    gr_ok, cr_ok = F.col("v_gr_ok"), F.col("v_cr_ok")
+    exp_gr, exp_cr = F.round(g / whole, 10), F.round(c / whole, 10)
 
     def rate_fix(column: str, old: Column, new: Column) -> Column:
         return F.concat(F.lit(column + " "), old.cast("string"), F.lit(" → "), new.cast("string"))
 
     fix_gr = [rate_fix("정부지원금율", gov_rate, exp_gr)]
     fix_cr = [rate_fix("본인부담금율", copay_rate, exp_cr)]
-    amounts = F.coalesce(
-        finding(use & blame_copay, "FIVE_COPAY", "본인부담금액", support - gov, copay,
-                [change("본인부담금액", copay, support - gov)]),
-        finding(use & blame_gov, "FIVE_GOV", "정부지원금액", support - copay, gov,
-                [change("정부지원금액", gov, support - copay)]),
-        finding(use & blame_support, "FIVE_SUPPORT", "지원량", alt, support, [change("지원량", support, alt)]),
-        finding(use & ~sum_ok, "FIVE_SUM", "지원량", support, gov + copay,
-                [change("정부지원금액", gov, support - copay), change("본인부담금액", copay, support - gov),
-                 change("지원량", support, gov + copay)]),
-    )
-    lone_cr = rated & sum_ok & gr_ok & ~cr_ok
-    lone_gr = rated & sum_ok & cr_ok & ~gr_ok
-    gr = F.coalesce(
-        finding(use & lone_gr, "FIVE_GOV_RATE", "정부지원금율", exp_gr, gov_rate, fix_gr),
-        finding(use & ~gr_ok & ~(rated & solved), "GOV_RATE_OFF", "정부지원금율", exp_gr, gov_rate, fix_gr),
-    )
-    cr = F.coalesce(
-        finding(use & lone_cr, "FIVE_COPAY_RATE", "본인부담금율", exp_cr, copay_rate, fix_cr),
-        finding(use & ~cr_ok & ~(rated & solved), "COPAY_RATE_OFF", "본인부담금율", exp_cr, copay_rate, fix_cr),
-    )
-    return [amounts, gr, cr]
+    open_ = use & ((cause == 0) | (cause == 4))
+    lone_gr = F.col("v_rated") & sum_ok & sure(cr_ok)
+    lone_cr = F.col("v_rated") & sum_ok & sure(gr_ok)
+    return [
+        finding(cause == 1, "FIVE_COPAY", "본인부담금액", s - g, c, [change("본인부담금액", c, s - g)]),
+        finding(cause == 2, "FIVE_GOV", "정부지원금액", s - c, g, [change("정부지원금액", g, s - c)]),
+        finding(cause == 3, "FIVE_SUPPORT", "지원량", g + c, s, [change("지원량", s, g + c)]),
+        finding(cause == 4, "FIVE_SUM", "지원량", s, g + c,
+                [change("정부지원금액", g, s - c), change("본인부담금액", c, s - g), change("지원량", s, g + c)]),
+        finding(open_ & lone_gr & ~gr_ok, "FIVE_GOV_RATE", "정부지원금율", exp_gr, gov_rate, fix_gr),
+        finding(open_ & ~lone_gr & ~gr_ok, "GOV_RATE_OFF", "정부지원금율", exp_gr, gov_rate, fix_gr),
+        finding(open_ & lone_cr & ~cr_ok, "FIVE_COPAY_RATE", "본인부담금율", exp_cr, copay_rate, fix_cr),
+        finding(open_ & ~lone_cr & ~cr_ok, "COPAY_RATE_OFF", "본인부담금율", exp_cr, copay_rate, fix_cr),
+    ]

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffloom.operators.checks import explode_findings
+from tariffloom.operators.checks import Check, explode_findings
 from tariffloom.session import cut_lineage
 
 ROUNDS = 5
 
 
-def _first_expected(column: str) -> Column:
-    return F.get(F.filter("__found", lambda f: f["column"] == column), F.lit(0))["expected"]
-
-
-def repair(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Column], editable: Sequence[str],
+def repair(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Check], editable: Sequence[str],
            rounds: int = ROUNDS) -> DataFrame:
     """Apply the first expected value per cell and check again, at most ``rounds`` times.
 
@@ -28,10 +25,10 @@ def repair(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Seq
     columns = df.columns
     done, active = None, df
     for _ in range(rounds):
-        found = F.filter(F.array(*checks), lambda f: f.isNotNull() & f["expected"].isNotNull())
-        seen = prepare(active).withColumn("__found", found)
-        fix = {c: _first_expected(c) for c in editable}
-        fixable = F.exists("__found", lambda f: f["column"].isin(*editable))
+        seen = prepare(active)
+        fix = {c: F.coalesce(F.lit(None).cast("double"), *[F.when(k.test, k.expected) for k in checks if k.column == c])
+               for c in editable}
+        fixable = reduce(lambda a, b: a | b, [f.isNotNull() for f in fix.values()])
         clean = seen.filter(~fixable).select(*columns)
         done = clean if done is None else done.unionByName(clean)
         types = {f.name: f.dataType for f in df.schema}
@@ -42,7 +39,7 @@ def repair(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Seq
     return done.unionByName(active)
 
 
-def remaining_findings(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Column],
+def remaining_findings(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Check],
                        keys: Sequence[str]) -> DataFrame:
     """What is left after a repair and needs a person."""
     return explode_findings(prepare(df), keys, checks)

@@ -72,15 +72,15 @@ def basic_with_terms(table: DataFrame, constants: DataFrame, rules: dict = RULES
     terms = expected_terms(constants, rules).drop("kind")
     emergency = constant_map(constants, [f"{fixed.K_JH_LIMITS} (기본형).13구간"]).select(
         "doc_id", F.col("c")[f"{fixed.K_JH_LIMITS} (기본형).13구간"].cast("bigint").alias("emergency"))
-    parsed = table.withColumn("g", grade_name(F.col("등급명"))).withColumns(
+    parsed = ck.pinned(table, {"g": grade_name(F.col("등급명"))}).withColumns(
         {"base": F.col("g.base"), "variant": F.col("g.variant"), "letter": F.col("g.letter")})
     joined = parsed.join(terms, ["doc_id", "base", "variant", "letter"], "left").join(emergency, "doc_id", "left")
     expected = copay_column(rules, F.col("지원량"), F.col("cap"), F.col("letter"), F.col("rate"), F.col("variant"))
     known = F.col("rate").isNotNull() & F.col("cap").isNotNull() & F.col("지원량").isNotNull()
-    return joined.withColumn("expected_copay", F.when(known, expected).cast("bigint"))
+    return ck.pinned(joined, {"expected_copay": F.when(known, expected).cast("bigint")})
 
 
-def basic_row_checks() -> list[Column]:
+def basic_row_checks() -> list[ck.Check]:
     """Row checks of the basic table in their reporting order."""
     kind, base = F.col("g.kind"), F.col("g.base")
     support, gov, copay = F.col("지원량"), F.col("정부지원금"), F.col("본인부담금")
@@ -89,7 +89,7 @@ def basic_row_checks() -> list[Column]:
     urgent = (kind == "special") & (base == "긴급활동지원") & F.col("emergency").isNotNull()
     zero = (kind == "special") & (base == "부적합")
 
-    def to_zero(test: Column, code: str, column: str, value: Column) -> Column:
+    def to_zero(test: Column, code: str, column: str, value: Column) -> ck.Check:
         return ck.finding(test & (value != 0), code, column, F.lit(0), value, [ck.change(column, value, F.lit(0))])
 
     special = [
@@ -105,9 +105,9 @@ def basic_row_checks() -> list[Column]:
         ck.finding(named & (kind.isin("unknown", "add")), "NAME", "등급명"),
         ck.limit_check("LIMIT_BASIC", "지원량", limit, support),
         ck.recompute_check("COPAY", "본인부담금", "정부지원금", expected, copay, support),
-        F.when(named & (graded | (kind == "special")),
-               ck.sum_check("지원량", "정부지원금", "본인부담금", support, gov, copay, support == limit, copay == expected)),
-        F.when(graded, ck.granularity_check("GRANULARITY", "본인부담금", copay)),
+        *[c.where(named & (graded | (kind == "special"))) for c in ck.sum_check(
+            "지원량", "정부지원금", "본인부담금", support, gov, copay, support == limit, copay == expected)],
+        ck.granularity_check("GRANULARITY", "본인부담금", copay).where(graded),
         ck.cap_check("본인부담금", "정부지원금", copay, F.when(graded, F.col("cap")), support, gov),
     ]
     return special + regular
@@ -143,7 +143,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     item_of = F.create_map(*[F.lit(x) for item, (_, name, _) in fixed.ADD_CODES.items() for x in (name, item)])
     docs = constant_map(constants)
     g = F.col("g")
-    parsed = table.withColumn("g", grade_name(F.col("등급명"))).withColumns({
+    parsed = ck.pinned(table, {"g": grade_name(F.col("등급명"))}).withColumns({
         "base": g["base"], "variant": g["variant"], "letter": g["letter"],
         "item": F.when(g["kind"] == "add", item_of[g["base"]]),
     })
@@ -156,7 +156,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     expected = rule_column(rules["add_copayment"], {
         "monthly_limit": support, "income_range": F.col("letter"), "copayment_rate": F.col("rate")})
     add = g["kind"] == "add"
-    rows = rows.withColumns({
+    rows = ck.pinned(rows, {
         "cap": F.lit(None).cast("bigint"),
         "expected_copay": F.when(add & F.col("rate").isNotNull() & support.isNotNull(), expected).cast("bigint"),
     })
@@ -165,9 +165,9 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
         ck.finding((F.coalesce(F.btrim("등급명"), F.lit("")) != "") & ~add, "NAME", "등급명"),
         ck.limit_check("LIMIT_ADD", "지원량", F.col("limit"), support),
         ck.recompute_check("COPAY", "본인부담금", "정부지원금", expected, copay, support),
-        F.when(add, ck.sum_check("지원량", "정부지원금", "본인부담금", support, gov, copay,
-                                 support == F.col("limit"), copay == expected)),
-        F.when(add, ck.granularity_check("GRANULARITY", "본인부담금", copay)),
+        *[c.where(add) for c in ck.sum_check("지원량", "정부지원금", "본인부담금", support, gov, copay,
+                                             support == F.col("limit"), copay == expected)],
+        ck.granularity_check("GRANULARITY", "본인부담금", copay).where(add),
     ]).select(*ISSUE_COLUMNS)
     needs = missing_keys(table.select("doc_id").distinct(), constants, ADD_NEEDS)
     issues = found.unionByName(_table_level(needs, "NEED", F.col("reason"))).unionByName(
@@ -175,7 +175,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     return {"issues": issues, "metrics": _metrics(rows, add), "warnings": _warnings(rows, add, found)}
 
 
-def payment_row_checks() -> list[Column]:
+def payment_row_checks() -> list[ck.Check]:
     """Checks of payment rows joined with ``ref_*`` (basic table) and ``unit_*`` (services)."""
     support, gov, copay = F.col("지원량"), F.col("정부지원금액"), F.col("본인부담금액")
     gov_rate, copay_rate = F.col("정부지원금율"), F.col("본인부담금율")
@@ -197,9 +197,9 @@ def payment_row_checks() -> list[Column]:
             matched & (F.abs(rate - wanted) > 1e-9), "PAY_RATE", column, wanted, rate,
             [F.concat(F.lit(column + " "), rate.cast("string"), F.lit(" → "), wanted.cast("string"))],
             ck.message("PAY_RATE", F.lit(column))))
-    found += [F.when(complete & ref_s.isNull(), c)
-              for c in ck.five_value_checks(support, gov, copay, gov_rate, copay_rate)]
-    found.append(F.when(complete, ck.granularity_check("PAY_GRANULARITY", "본인부담금액", copay)))
+    found += [c.where(complete & ref_s.isNull())
+              for c in ck.five_value_checks()]
+    found.append(ck.granularity_check("PAY_GRANULARITY", "본인부담금액", copay).where(complete))
     for code_, column, wanted in (("UNIT_DAY", "단위기준단가", F.col("unit_day")),
                                   ("UNIT_NIGHT", "단위기준심야단가", F.col("unit_night"))):
         found.append(ck.finding(F.col(column) != wanted, code_, column, wanted, F.col(column),
@@ -237,7 +237,8 @@ def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: D
     for rate in ("정부지원금율", "본인부담금율"):
         if rate not in table.columns:
             table = table.withColumn(rate, F.lit(None).cast("double"))
-    rows = payment_with_references(table, basic, prices, rules)
+    rows = ck.with_five_value_terms(payment_with_references(table, basic, prices, rules), *[
+        F.col(n) for n in ("지원량", "정부지원금액", "본인부담금액", "정부지원금율", "본인부담금율")])
     issues = ck.explode_findings(rows, KEYS, payment_row_checks()).select(*ISSUE_COLUMNS)
     again = tb.later_duplicates(
         table.select("doc_id", "row_id", "등급구분", "서비스종유명", "서비스시간명"),

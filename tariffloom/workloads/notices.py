@@ -295,9 +295,10 @@ def row_edits(spark, sf):
 
 
 @workload("repair_fixpoint", "E2 E3", f"""
-with {BASIC_SQL} select doc_id, cast(seq - 1 as bigint) as row_id, support, support - copay as gov, copay from basic""")
+with {BASIC_SQL} select doc_id, cast(seq - 1 as bigint) as row_id, support, support - copay + case when seq = 949 and (seq + doc_id) % 7 = 0 then 300 else 0 end as gov, copay from basic""")
 def repair_fixpoint(spark, sf):
-    """Planted faults in every supplier's basic table are repaired back to the clean table."""
+    """Planted faults in every supplier's basic table are repaired back to the clean table; the
+    emergency row's off sum names no culprit, so it stays."""
     constants = supplier_constants(spark, sf)
     n = F.col("안") + F.col("doc_id")
     bad = basic_tables(spark, sf).select(
@@ -320,7 +321,7 @@ def repair_leftovers(spark, sf):
         "l_orderkey", "l_linenumber", F.when(F.col("l_quantity") == 7, "?").otherwise("ok").alias("name"), x.alias("지원량"),
         (x - 1000 + F.col("l_orderkey") % 3).alias("정부지원금"), F.lit(1000).cast("bigint").alias("본인부담금"))
     checks = [ck.finding(F.col("name") == "?", "NAME", "name"),
-              ck.sum_check("지원량", "정부지원금", "본인부담금", F.col("지원량"), F.col("정부지원금"), F.col("본인부담금"), F.lit(True), F.lit(True))]
+              *ck.sum_check("지원량", "정부지원금", "본인부담금", F.col("지원량"), F.col("정부지원금"), F.col("본인부담금"), F.lit(True), F.lit(True))]
     keep = lambda rows: rows
     done = repair(rows, keep, checks, ["정부지원금"])
     return remaining_findings(done, keep, checks, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "code")

@@ -41,8 +41,8 @@ def price_rows(spark, sf):
 
 
 def with_copay(rows):
-    return rows.withColumn("copay", copay_column(
-        RULES_2025, F.col("support"), F.lit(3000), F.col("letter"), F.col("rate"), F.col("variant")).cast("bigint"))
+    return ck.pinned(rows, {"copay": copay_column(
+        RULES_2025, F.col("support"), F.lit(3000), F.col("letter"), F.col("rate"), F.col("variant")).cast("bigint")})
 
 
 @workload("flagship_recompute", "R1 R2 R3 R5 V4 V5", f"""
@@ -63,8 +63,8 @@ def flagship_recompute(spark, sf):
     wrong = ck.recompute_check("COPAY", "본인부담금", "정부지원금", F.col("copay"), F.col("stored"), F.col("support"))
     off = ck.sum_check("지원량", "정부지원금", "본인부담금", F.col("support"), F.col("gov"), F.col("stored"))
     return rows.groupBy("l_returnflag").agg(
-        F.count("*").alias("n_rows"), F.count_if(wrong.isNotNull()).alias("copay_issues"),
-        F.count_if(off.isNotNull()).alias("sum_issues"), F.sum("copay").alias("total_copay"))
+        F.count("*").alias("n_rows"), F.count_if(wrong.test).alias("copay_issues"),
+        F.count_if(ck.any_of(off)).alias("sum_issues"), F.sum("copay").alias("total_copay"))
 
 
 @workload("rule_copay", "R1 R2 R3 R5", f"""
@@ -127,7 +127,7 @@ def identity_blame(spark, sf):
     })
     check = ck.sum_check("지원량", "정부지원금", "본인부담금", F.col("support"), F.col("gov"), F.col("stored"),
                          F.col("l_linenumber") % 2 == 0, F.col("stored") == F.col("copay"))
-    found = ck.explode_findings(rows, ["l_orderkey", "l_linenumber"], [check])
+    found = ck.explode_findings(rows, ["l_orderkey", "l_linenumber"], check)
     return found.select("l_orderkey", "l_linenumber", "code", "column", "expected", "actual",
                         F.size("fixes").alias("n_fixes"))
 
@@ -176,8 +176,8 @@ def five_value_blame(spark, sf):
         (F.round((s - c) / s, 10) + plus(m3=0.01, m6=0.2)).alias("gr"),
         F.when(m != 8, F.round(c / s, 10) + plus(m4=0.01, m6=0.1, m7=0.02)).alias("cr"),
     )
-    found = ck.explode_findings(rows, ["l_orderkey", "l_linenumber"],
-                                ck.five_value_checks(*[F.col(n) for n in ("s", "g", "c", "gr", "cr")]))
+    rows = ck.with_five_value_terms(rows, *[F.col(n) for n in ("s", "g", "c", "gr", "cr")])
+    found = ck.explode_findings(rows, ["l_orderkey", "l_linenumber"], ck.five_value_checks())
     return found.select("l_orderkey", "l_linenumber", "code", F.round("expected", 6).alias("expected"))
 
 
