@@ -94,6 +94,31 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline_outer(one))
 
 
+def with_grade(df: DataFrame, name: str = "등급명") -> DataFrame:
+    """Adds ``kind, base, letter, variant`` of grade names, each pattern matched once per row."""
+    text = F.btrim(F.coalesce(F.col(name), F.lit("")))
+    df = pinned(df, {"__text": text})
+    part = lambda pattern, n: F.regexp_extract("__text", pattern, n)
+    df = pinned(df, {
+        "__base": part(fixed.GRADE_NAME, 1), "__letter": part(fixed.GRADE_NAME, 2), "__ext": part(fixed.GRADE_NAME, 3),
+        "__add": part(fixed.ADD_NAME, 1), "__add_letter": part(fixed.ADD_NAME, 2)})
+    base, tiered = F.col("__base"), F.col("__letter").isin(*fixed.LETTERS)
+    kind = (
+        F.when(F.col("__text").isin(*fixed.SPECIAL_GRADES), "special")
+        .when((base != "") & ~tiered, "unknown")
+        .when(base.rlike("^[0-9]등급$"), "ij").when(base.rlike("^[0-9]+구간$"), "jh").when(base.rlike("^특례[0-9]+$"), "sj")
+        .when((base == "") & F.col("__add_letter").isin(*fixed.LETTERS), "add")
+        .otherwise("unknown")
+    )
+    df = pinned(df, {"kind": kind})
+    graded, add = F.col("kind").isin("ij", "jh", "sj"), F.col("kind") == "add"
+    return pinned(df, {
+        "base": F.when(graded, base).when(add, F.col("__add")).otherwise(F.col("__text")),
+        "letter": F.when(graded, F.col("__letter")).when(add, F.col("__add_letter")).otherwise(""),
+        "variant": F.when(graded & (F.col("__ext") != ""), "확장형").otherwise("기본형"),
+    }).drop("__text", "__base", "__letter", "__ext", "__add", "__add_letter")
+
+
 def explode_findings(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
     """One row per finding, ``ord`` keeping the order of the checks.
 

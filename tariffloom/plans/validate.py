@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
-from tariffloom.functions.labels import grade_name
 from tariffloom.operators import checks as ck
 from tariffloom.operators import tables as tb
 from tariffloom.operators.constants import constant_map, missing_keys
@@ -49,8 +48,7 @@ def _whole_table(table: DataFrame, parsed: DataFrame, expected_rows: int) -> Dat
     out = _table_level(counts, "ROW_COUNT",
                        ck.message("ROW_COUNT", F.format_number("expected", 0), F.format_number("actual", 0)),
                        F.col("expected"), F.col("actual"))
-    graded = parsed.filter(F.col("g.kind").isin("ij", "jh", "sj", "add")).select(
-        "doc_id", F.col("g.base").alias("base"), F.col("g.variant").alias("variant"), F.col("g.letter").alias("letter"))
+    graded = parsed.filter(F.col("kind").isin("ij", "jh", "sj", "add")).select("doc_id", "base", "variant", "letter")
     gaps = tb.tier_messages(tb.category_gaps(graded, ["doc_id", "base", "variant"], F.col("letter"), fixed.LETTERS))
     out = out.unionByName(_table_level(gaps, "TIER", F.col("reason")))
     for ord_, code, column in ((900, "DUP_CODE", "등급구분"), (901, "DUP_NAME", "등급명")):
@@ -72,8 +70,7 @@ def basic_with_terms(table: DataFrame, constants: DataFrame, rules: dict = RULES
     terms = expected_terms(constants, rules).drop("kind")
     emergency = constant_map(constants, [f"{fixed.K_JH_LIMITS} (기본형).13구간"]).select(
         "doc_id", F.col("c")[f"{fixed.K_JH_LIMITS} (기본형).13구간"].cast("bigint").alias("emergency"))
-    parsed = ck.pinned(table, {"g": grade_name(F.col("등급명"))}).withColumns(
-        {"base": F.col("g.base"), "variant": F.col("g.variant"), "letter": F.col("g.letter")})
+    parsed = ck.with_grade(table)
     joined = parsed.join(terms, ["doc_id", "base", "variant", "letter"], "left").join(emergency, "doc_id", "left")
     expected = copay_column(rules, F.col("지원량"), F.col("cap"), F.col("letter"), F.col("rate"), F.col("variant"))
     known = F.col("rate").isNotNull() & F.col("cap").isNotNull() & F.col("지원량").isNotNull()
@@ -82,7 +79,7 @@ def basic_with_terms(table: DataFrame, constants: DataFrame, rules: dict = RULES
 
 def basic_row_checks() -> list[ck.Check]:
     """Row checks of the basic table in their reporting order."""
-    kind, base = F.col("g.kind"), F.col("g.base")
+    kind, base = F.col("kind"), F.col("base")
     support, gov, copay = F.col("지원량"), F.col("정부지원금"), F.col("본인부담금")
     graded = kind.isin("ij", "jh", "sj")
     named = F.coalesce(F.btrim("등급명"), F.lit("")) != ""
@@ -132,9 +129,9 @@ def validate_basic(table: DataFrame, constants: DataFrame, rules: dict = RULES_2
     needs = missing_keys(table.select("doc_id").distinct(), constants, BASIC_NEEDS)
     issues = (
         row_issues.unionByName(_table_level(needs, "NEED", F.col("reason")))
-        .unionByName(_whole_table(table, rows, tb.EXPECTED_BASIC_ROWS))
+        .unionByName(_whole_table(table, ck.with_grade(table), tb.EXPECTED_BASIC_ROWS))
     )
-    graded = F.col("g.kind").isin("ij", "jh", "sj")
+    graded = F.col("kind").isin("ij", "jh", "sj")
     return {"issues": issues, "metrics": _metrics(rows, graded), "warnings": _warnings(rows, graded, row_issues)}
 
 
@@ -142,11 +139,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     """The supplementary suite; there is no cap."""
     item_of = F.create_map(*[F.lit(x) for item, (_, name, _) in fixed.ADD_CODES.items() for x in (name, item)])
     docs = constant_map(constants)
-    g = F.col("g")
-    parsed = ck.pinned(table, {"g": grade_name(F.col("등급명"))}).withColumns({
-        "base": g["base"], "variant": g["variant"], "letter": g["letter"],
-        "item": F.when(g["kind"] == "add", item_of[g["base"]]),
-    })
+    parsed = ck.with_grade(table).withColumn("item", F.when(F.col("kind") == "add", item_of[F.col("base")]))
     terms = docs.select("doc_id", "c", F.explode(F.array(*map(F.lit, fixed.ADD_ITEMS))).alias("item")).select(
         "doc_id", "item", F.col("c")[F.concat(F.lit(fixed.K_ADD_LIMITS + "."), "item")].cast("bigint").alias("limit"))
     rates = docs.select("doc_id", "c", F.explode(F.array(*map(F.lit, fixed.LETTERS))).alias("letter")).select(
@@ -155,7 +148,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     support, gov, copay = F.col("지원량"), F.col("정부지원금"), F.col("본인부담금")
     expected = rule_column(rules["add_copayment"], {
         "monthly_limit": support, "income_range": F.col("letter"), "copayment_rate": F.col("rate")})
-    add = g["kind"] == "add"
+    add = F.col("kind") == "add"
     rows = ck.pinned(rows, {
         "cap": F.lit(None).cast("bigint"),
         "expected_copay": F.when(add & F.col("rate").isNotNull() & support.isNotNull(), expected).cast("bigint"),
@@ -171,7 +164,7 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
     ]).select(*ISSUE_COLUMNS)
     needs = missing_keys(table.select("doc_id").distinct(), constants, ADD_NEEDS)
     issues = found.unionByName(_table_level(needs, "NEED", F.col("reason"))).unionByName(
-        _whole_table(table, rows, tb.EXPECTED_ADD_ROWS))
+        _whole_table(table, ck.with_grade(table), tb.EXPECTED_ADD_ROWS))
     return {"issues": issues, "metrics": _metrics(rows, add), "warnings": _warnings(rows, add, found)}
 
 

@@ -25,7 +25,7 @@ from tariffloom.sources.spreadsheets import parse_workbooks
 from tariffloom.streaming import streams as st
 from tariffloom.workloads.grids import CELLS_SQL, part_cells
 from tariffloom.workloads.registry import table, workload
-from tariffloom.workloads.tariffs import BASIC_SQL, basic_tables, supplier_constants
+from tariffloom.workloads.tariffs import BASIC_SQL, basic_tables, stored, supplier_constants
 
 
 def _folder(spark, name: str) -> str:
@@ -301,11 +301,11 @@ def repair_fixpoint(spark, sf):
     emergency row's off sum names no culprit, so it stays."""
     constants = supplier_constants(spark, sf)
     n = F.col("안") + F.col("doc_id")
-    bad = basic_tables(spark, sf).select(
+    bad = stored(basic_tables(spark, sf).select(
         "doc_id", (F.col("안").cast("bigint") - 1).alias("row_id"), "등급명",
         (F.col("지원량") + F.when(n % 11 == 0, 5000).otherwise(0)).alias("지원량"),
         (F.col("정부지원금") + F.when(n % 7 == 0, 300).otherwise(0)).alias("정부지원금"),
-        (F.col("본인부담금") + F.when(n % 5 == 0, 170).otherwise(0)).alias("본인부담금"))
+        (F.col("본인부담금") + F.when(n % 5 == 0, 170).otherwise(0)).alias("본인부담금")))
     checks = va.basic_row_checks()
     fixed_table = repair(bad, lambda rows: va.basic_with_terms(rows, constants), checks, ["지원량", "정부지원금", "본인부담금"])
     return fixed_table.select("doc_id", "row_id", F.col("지원량").alias("support"), F.col("정부지원금").alias("gov"), F.col("본인부담금").alias("copay"))

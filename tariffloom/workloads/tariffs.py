@@ -10,6 +10,7 @@ from tariffloom.operators import constants as cn
 from tariffloom.operators import tables as tb
 from tariffloom.plans import generate as gen
 from tariffloom.plans import validate as va
+from tariffloom.session import cut_lineage
 from tariffloom.workloads.registry import table, workload
 
 
@@ -113,6 +114,11 @@ def basic_tables(spark, sf) -> DataFrame:
     return gen.basic_table(supplier_constants(spark, sf))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table as it would be read from storage: suites look at it from several sides."""
+    return cut_lineage(df)
+
+
 @workload("generate_basic", "G1 G3 J19 J20 K5 P10 W8 R4 R5", f"""
 with {BASIC_SQL}
 select doc_id, cast(seq as integer) as seq, code, name, support, support - copay as gov, copay, income,
@@ -268,7 +274,7 @@ iss as (
 select doc_id, cast(row_id as bigint) as row_id, code, cast(expected as double) as expected, cast(actual as double) as actual from iss""")
 def validate_basic(spark, sf):
     constants = supplier_constants(spark, sf)
-    out = va.validate("unit_price", 0, planted(gen.basic_table(constants)), constants)
+    out = va.validate("unit_price", 0, stored(planted(gen.basic_table(constants))), constants)
     return out["issues"].select("doc_id", "row_id", "code", "expected", "actual")
 
 
@@ -284,7 +290,7 @@ def validate_basic_warnings(spark, sf):
     paid = planted(gen.basic_table(constants)).withColumn(
         "본인부담금", F.col("본인부담금") + F.when((F.col("안") % 3 == 0) & (F.col("doc_id") % 4 == 0), 300).otherwise(0))
     uncapped = constants.filter((F.col("doc_id") % 4 != 0) | ~F.col("key").contains("상한액"))
-    return va.validate_basic(paid, uncapped)["warnings"].select("doc_id", "row_id")
+    return va.validate_basic(stored(paid), uncapped)["warnings"].select("doc_id", "row_id")
 
 
 @workload("validate_basic_metrics", "V9", f"""
@@ -296,7 +302,7 @@ from ex where graded""")
 def validate_basic_metrics(spark, sf):
     """Metric texts; the decimals of the paid share are cut off for the comparison."""
     constants = supplier_constants(spark, sf)
-    metrics = va.validate_basic(planted(gen.basic_table(constants)), constants)["metrics"]
+    metrics = va.validate_basic(stored(planted(gen.basic_table(constants))), constants)["metrics"]
     short = F.regexp_replace("metric", r"(?s)(조견표 [^ ]+) · 실제[^←※]*(←)?.*", "$1$2")
     return metrics.select("doc_id", "row_id", F.regexp_replace(short, "←", " 상한").alias("metric"))
 
@@ -321,7 +327,7 @@ def validate_supplement(spark, sf):
         "지원량": F.col("지원량") + F.when(n % 17 == 0, 100).otherwise(0),
         "본인부담금": F.col("본인부담금") + F.when(n % 19 == 0, 100).otherwise(0),
     })
-    out = va.validate("unit_price", 1, bad, constants)
+    out = va.validate("unit_price", 1, stored(bad), constants)
     return out["issues"].select("doc_id", "row_id", "code", "expected")
 
 
@@ -355,7 +361,7 @@ select doc_id, cast(row_id as bigint) as row_id, code from iss""")
 def validate_payment(spark, sf):
     """Payment rows of every supplier with planted faults against basic table and prices."""
     constants, prices = supplier_constants(spark, sf), supplier_prices(spark, sf)
-    basic = gen.basic_table(constants).withColumn("row_id", F.col("안").cast("bigint") - 1)
+    basic = stored(gen.basic_table(constants).withColumn("row_id", F.col("안").cast("bigint") - 1))
     n = F.col("순번") - 1
     pay = gen.payment_table(basic, prices).withColumns({
         "row_id": n.cast("bigint"),
@@ -381,7 +387,7 @@ select doc_id, cast(seq - 1 as bigint) as row_id, seq % 7 = 0 as is_new, case wh
    round((copay - (copay + seq % 5 * 100)) / (copay + seq % 5 * 100)::double * 100, 2) end as growth_copay from basic""")
 def validate_growth(spark, sf):
     constants = supplier_constants(spark, sf)
-    now = gen.basic_table(constants).withColumn("row_id", F.col("안").cast("bigint") - 1)
+    now = stored(gen.basic_table(constants)).withColumn("row_id", F.col("안").cast("bigint") - 1)
     before = now.filter(F.col("안") % 7 != 0).withColumn("본인부담금", F.col("본인부담금") + F.col("안") % 5 * 100)
     out = va.validate("unit_price", 0, now, constants, prior=before)["growth"]
     return out.select("doc_id", "row_id", "is_new", F.col("growth_본인부담금").alias("growth_copay"))
