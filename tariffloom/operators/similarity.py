@@ -127,7 +127,7 @@ def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridCon
     def score(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         names = [*block, "q_norm", *payload, "final", "bm25", "embedding", "relation", "antonym"]
         if q.empty or t.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         t = t.sort_values("pos", ignore_index=True)  # stable sorts below then tie by position
         vocab = _vocabulary(q["toks"])
         raw = _indicator(q["toks"], vocab, q["weights"]) @ _indicator(t["toks"], vocab, t["weights"]).T
@@ -143,9 +143,11 @@ def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridCon
         order = np.argsort(-np.round(final, SCORE_DIGITS), axis=1, kind="stable")[:, : config.k]
         row = np.repeat(np.arange(len(q)), order.shape[1])
         col = order.ravel()
+        # object columns: string columns of pandas may hold several Arrow chunks
+        pick = lambda s, at: pd.Series(s.to_numpy(dtype=object)[at], dtype=object)
         return pd.DataFrame({
-            **{b: q[b].to_numpy()[row] for b in block},
-            "q_norm": q["q_norm"].to_numpy()[row], **{c: t[c].to_numpy()[col] for c in payload}, "final": final[row, col],
+            **{b: pick(q[b], row) for b in block},
+            "q_norm": pick(q["q_norm"], row), **{c: pick(t[c], col) for c in payload}, "final": final[row, col],
             "bm25": bm25[row, col], "embedding": dense[row, col], "relation": relation[row, col],
             "antonym": antonym[row, col],
         })
