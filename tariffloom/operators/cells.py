@@ -69,21 +69,22 @@ def find_texts(df: DataFrame, text: Column, anchors: Sequence[tuple[str, str]])
         "__hit", F.explode("__hits")).withColumn("anchor", F.col("__hit.name")).drop("__hits", "__hit")
 
 
-def anchor_scan(cells: DataFrame, anchors: Sequence[str]) -> DataFrame:
-    """How often each anchor occurs per document, per sheet, and how risky it is to rely on.
-
-    Anchors that never occur are reported too.
-    """
+def anchor_sheet_counts(cells: DataFrame, anchors: Sequence[str]) -> DataFrame:
+    """How often each anchor occurs per sheet."""
     texts = cells.filter(F.col("vtype") == "str")
     found = find_texts(texts, F.col("sval"), [(a, a) for a in anchors])
-    per_sheet = found.groupBy("doc_id", "anchor", "sheet").agg(F.count("*").alias("n"))
-    totals = per_sheet.groupBy("doc_id", "anchor").agg(
-        F.sum("n").alias("total"), F.count("*").alias("n_sheets"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("sheet", "n")))).alias("per_sheet"))
+    return found.groupBy("doc_id", "anchor", "sheet").agg(F.count("*").alias("n"))
+
+
+def anchor_scan(cells: DataFrame, anchors: Sequence[str]) -> DataFrame:
+    """How often each anchor occurs per document and how risky it is to rely on; anchors that
+    never occur are reported too."""
+    totals = anchor_sheet_counts(cells, anchors).groupBy("doc_id", "anchor").agg(
+        F.sum("n").alias("total"), F.count("*").alias("n_sheets"))
     everyone = cells.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, anchors))).alias("anchor"))
     total, sheets = F.coalesce("total", F.lit(0)), F.coalesce("n_sheets", F.lit(0))
     return everyone.join(totals, ["doc_id", "anchor"], "left").select(
-        "doc_id", "anchor", total.alias("total"), "per_sheet",
+        "doc_id", "anchor", total.alias("total"), sheets.alias("n_sheets"),
         F.when((total > 1) | (sheets > 1), "risky").when(total == 1, "safe").otherwise("absent").alias("risk"))
 
 

@@ -28,9 +28,11 @@ def split_key(constants: DataFrame) -> DataFrame:
     ).withColumn("item", F.when(dot > 0, F.expr("substring(key, instr(key, '.') + 1)")).otherwise(""))
 
 
-def nested_map(constants: DataFrame) -> DataFrame:
-    """One row per document: ``map<group,map<item,value>>``."""
-    groups = split_key(constants).groupBy("doc_id", "grp").agg(
+def nested_map(constants: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """One row per document: ``map<group,map<item,value>>`` of the named keys, which bound it."""
+    keys = table_keys() if keys is None else keys
+    named = constants.filter(F.col("key").isin(*keys)).groupBy("doc_id", "key").agg(F.max("value").alias("value"))
+    groups = split_key(named).groupBy("doc_id", "grp").agg(
         F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias("items")
     )
     return groups.groupBy("doc_id").agg(

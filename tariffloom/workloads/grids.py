@@ -84,7 +84,7 @@ def fingerprints(spark, sf):
                          F.array_join("kinds", "|").alias("kinds"))
 
 
-def _versions(spark, sf):
+def versions(spark, sf):
     """Last year's cells and this year's: odd documents swap columns 3 and 4 and scale sizes by
     60, every third loses row 7, every fifth its second sheet; one sheet is new everywhere."""
     base = part_cells(spark, sf)
@@ -103,9 +103,6 @@ def _versions(spark, sf):
     return cells, pairs
 
 
-_BASE = CELLS_SQL
-
-
 def _version_sql() -> str:
     def side(prefix: str, source: str) -> str:
         renamed = CELLS_SQL.split("rws as")[1]
@@ -135,7 +132,7 @@ select doc_id as pair_id, sheet, case when nb.n is null then 'SHEET_ADDED' when
   nt.n is null as fatal
 from nb full outer join nt using (doc_id, sheet) where nb.n is distinct from nt.n""")
 def sheet_alerts(spark, sf):
-    cells, pairs = _versions(spark, sf)
+    cells, pairs = versions(spark, sf)
     regions, _ = sg.segment(cells)
     return sg.sheet_alerts(pairs, cells, regions, ("S1",)).select("pair_id", "sheet", "code", "fatal")
 
@@ -151,7 +148,7 @@ select doc_id as pair_id, sheet, cast(table_idx as integer) as table_idx, case w
    case when list_sort(h1) = list_sort(h2) then '머리글 순서 바뀜: ' || array_to_string(h1, ' · ') || ' → ' || array_to_string(h2, ' · ') else '머리글 구성이 달라짐' end as detail from p where h1 <> h2
 union all select doc_id, sheet, cast(table_idx as integer), 'TABLE_SHAPE_CHANGED', '표 크기 ' || (hb + 1) || '행 ' || (wb + 1) || '열 → ' || (ht + 1) || '행 ' || (wt + 1) || '열' from p where hb <> ht or wb <> wt""")
 def fingerprint_diff(spark, sf):
-    cells, pairs = _versions(spark, sf)
+    cells, pairs = versions(spark, sf)
     regions, tagged = sg.segment(cells)
     diffs = sg.fingerprint_diffs(pairs, sg.fingerprints(regions, tagged, unicode_fold=False))
     diffs = diffs.filter(~F.col("detail").startswith("열"))
@@ -169,7 +166,7 @@ p as (select b.doc_id, b.sheet, b.table_idx, b.c, b.d as d1, t.d as d2, b.m as m
 select doc_id as pair_id, sheet, cast(table_idx as integer) as table_idx, cast(c as integer) as c, 'MONOTONICITY_BROKEN' as code from p where d1 <> 0 and d1 <> d2
 union all select doc_id, sheet, cast(table_idx as integer), cast(c as integer), 'UNIT_SHIFT_SUSPECTED' from p where m1 <> 0 and m2 <> 0 and (m2 / m1 > 10 or m2 / m1 < 0.1)""")
 def value_drift(spark, sf):
-    cells, pairs = _versions(spark, sf)
+    cells, pairs = versions(spark, sf)
     regions, tagged = sg.segment(cells)
     return dr.value_anomalies(pairs, dr.column_stats(tagged), regions).select("pair_id", "sheet", "table_idx", "c", "code")
 
@@ -237,9 +234,9 @@ def anchor_unique(spark, sf):
 with {CELLS_SQL}, a as (select unnest(['red', 'bolt', 'Brand#1', 'ECONOMY', 'nothing']) as anchor), docs as (select distinct doc_id from cells),
 h as (select doc_id, anchor, sheet, count(*) as n from cells join a on contains(sval, anchor) group by all),
 t as (select doc_id, anchor, sum(n) as total, count(*) as ns from h group by all)
-select doc_id, anchor, cast(coalesce(total, 0) as bigint) as total, case when total > 1 or ns > 1 then 'risky' when total = 1 then 'safe' else 'absent' end as risk from docs cross join a left join t using (doc_id, anchor)""")
+select doc_id, anchor, cast(coalesce(total, 0) as bigint) as total, coalesce(ns, 0) as n_sheets, case when total > 1 or ns > 1 then 'risky' when total = 1 then 'safe' else 'absent' end as risk from docs cross join a left join t using (doc_id, anchor)""")
 def anchor_scan(spark, sf):
-    return ce.anchor_scan(part_cells(spark, sf), ("red", "bolt", "Brand#1", "ECONOMY", "nothing")).drop("per_sheet")
+    return ce.anchor_scan(part_cells(spark, sf), ("red", "bolt", "Brand#1", "ECONOMY", "nothing"))
 
 
 @workload("context_window", "J12", f"""

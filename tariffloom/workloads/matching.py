@@ -9,6 +9,7 @@ from tariffloom import fixed
 from tariffloom.functions.text import normalize_label
 from tariffloom.operators.similarity import HybridConfig, cosine_of, dense_score, rank_candidates
 from tariffloom.plans import match as mt
+from tariffloom.workloads.grids import VERSION_SQL, versions
 from tariffloom.workloads.registry import table, workload
 
 # last year: part names with their size; this year some are respelt, swapped or renumbered
@@ -177,3 +178,19 @@ def required_missing(spark, sf):
     wanted = [("red", "s", "v", (fixed.TABLE_BASIC,), False), ("red bolt", "s", "v", (fixed.TABLE_ADD,), True),
               ("blue gizmo", "s", "v", (fixed.TABLE_ADD,), True), ("zzz", "s", "v", (fixed.TABLE_BASIC,), False), ("zz", "s", "v", (fixed.TABLE_BASIC,), True)]
     return mt.missing_labels(pairs, labels, wanted).select("pair_id", "req_no", "reason")
+
+
+@workload("match_documents", "M10 M11 A2 P3 P4", f"""
+with {VERSION_SQL}, bl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from btagged where vtype = 'str'),
+tl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from ttagged where vtype = 'str'),
+common as (select distinct doc_id, sheet from cells join (select distinct doc_id, sheet from tcells) using (doc_id, sheet))
+select bl.doc_id as pair_id, bl.sheet, count(*) as n_base, count(tl.norm) as auto_passed from bl join common using (doc_id, sheet) left join tl using (doc_id, sheet, norm) group by all""")
+def match_documents(spark, sf):
+    """The full matching plan over last year's and this year's part grids; last year's labels
+    and those that pass by equality, per sheet."""
+    cells, pairs = versions(spark, sf)
+    settings = mt.MatchSettings(required_sheets=("S0", "S1"), required_labels=(("ring", "S0", "v", (fixed.TABLE_BASIC,), False),), unicode_fold=False)
+    items = mt.match_documents(cells, pairs, settings)["items"]
+    last_year = items.filter(~F.array_contains("flags", "NEW_IN_TARGET"))
+    return last_year.groupBy("pair_id", "sheet").agg(
+        F.count("*").alias("n_base"), F.count_if(F.col("status") == fixed.AUTO_PASS).alias("auto_passed"))

@@ -107,7 +107,7 @@ def rule_unit_prices(spark, sf):
     )
 
 
-@workload("identity_blame", "V5 A18", f"""
+@workload("identity_blame", "V5", f"""
 with {PRICE_SQL},
 bad as (select *, support - copay + case when l_orderkey % 97 = 0 then 100 else 0 end as gov,
                copay + case when l_orderkey % 89 = 0 then 100 else 0 end as stored,
@@ -359,3 +359,18 @@ select o_custkey, o_orderkey, cast(rank as integer) as rank, total, greatest(tot
 def first_issues(spark, sf):
     issues = table(spark, sf, "orders").filter(F.floor("o_totalprice") % 100 != 0).select("o_custkey", "o_orderkey")
     return tb.first_issues(issues, ["o_custkey"], ["o_orderkey"], 8)
+
+
+@workload("issues_by_cell", "A18 V6 V7", """
+with v as (select o_orderkey, cast(floor(o_totalprice) as bigint) as c from orders),
+i as (select o_orderkey, 0 as ord, '본인부담금이 100원 단위가 아님' as reason from v where floor(c / 100 + 1e-9) * 100 <> c
+  union all select o_orderkey, 1, '본인부담금이 상한액 250,000원을 넘음' from v where c > 250000)
+select o_orderkey, '본인부담금' as "column", count(*) as n, string_agg(reason, ' / ' order by ord) as reasons from i group by o_orderkey""")
+def issues_by_cell(spark, sf):
+    """Findings of one cell joined, in the order of the checks."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("copay"))
+    none = F.lit(None).cast("bigint")
+    issues = ck.explode_findings(rows, ["o_orderkey"], [
+        ck.granularity_check("GRANULARITY", "본인부담금", F.col("copay")),
+        ck.cap_check("본인부담금", "정부지원금", F.col("copay"), F.lit(250000), none, none)])
+    return tb.issue_texts(issues, ["o_orderkey"])
