@@ -113,7 +113,7 @@ def notice_errors(spark, sf):
 
 
 @workload("notice_sources", "X16 W6 P7", f"""
-with {_S} select doc_id, '제3장 급여비용' as chapter, x.i as item, x.t as table_no, x.n as n from (select doc_id, unnest([{{'i': '2. 방문목욕', 't': 1, 'n': 2}}, {{'i': '3. 방문간호', 't': 2, 'n': 3}}]) as x from s)""")
+with {_S} select doc_id, '제3장 급여비용' as chapter, x.i as item, x.t as table_no, cast(x.n as bigint) as n from (select doc_id, unnest([{{'i': '2. 방문목욕', 't': 1, 'n': 2}}, {{'i': '3. 방문간호', 't': 2, 'n': 3}}]) as x from s)""")
 def notice_sources(spark, sf):
     """Where amounts stand: chapter, item and table of two services."""
     amounts = no.read_amounts(no.visible_blocks(supplier_notices(spark, sf), ["제3장", "부 칙"]))[0]
