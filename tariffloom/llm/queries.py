@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import mixing, quality
+from tariffloom.llm import decontamination, language, mixing, quality, secrets, tokens, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_token_counts": tokens.op7_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_language_id": language.op10_language_id,
 }
 
 SQL = {
