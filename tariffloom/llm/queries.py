@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import decontamination, language, mixing, quality, secrets, tokens, toxicity
+from tariffloom.llm import decontamination, html_extraction, language, mixing, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_language_id": language.op10_language_id,
 }
 

@@ -33,7 +33,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer|signature", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: a number alone is no key
+CANDIDATE = re.compile(r"(?=[0-9+/_=~-]*[A-Za-z])[A-Za-z0-9+/_=~-]{16,}")
 #: names joined by _ . - and camel case; digits are left out, so that a secret copied a
 #: thousand times does not become a known name
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,20}(?:[_.-][A-Za-z]{2,20}){1,4}|[a-z]{2,20}(?:[A-Z][a-z]{1,20}){1,4})(?![A-Za-z0-9])")
