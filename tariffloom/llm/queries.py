@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import decontamination, html_extraction, language, mixing, quality, secrets, tokens, toxicity
+from tariffloom.llm import decontamination, html_extraction, jaccard, language, mixing, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
