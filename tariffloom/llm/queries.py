@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import decontamination, html_extraction, jaccard, language, mixing, quality, secrets, tokens, toxicity
+from tariffloom.llm import decontamination, html_extraction, jaccard, language, mixing, quality, secrets, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,

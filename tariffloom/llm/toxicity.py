@@ -209,8 +209,9 @@ def word_weights(train: DataFrame, model) -> tuple[dict[str, float], float]:
     return weights, math.log(toxic / clean)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` with ``score`` and ``predicted``, both overwritten if present.
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, score_col: str = "score",
+                   predicted_col: str = "predicted") -> DataFrame:
+    """The rows of ``docs`` with a score and a prediction; columns of those names are overwritten.
 
     Only ``text`` is scored; null and empty texts get the score of a text without evidence.
     Labels that are null or not 0 or 1, or have no id, are left out; several labels of one id count
@@ -227,8 +228,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             odds = np.array([prior + math.fsum(weights[w] for w in own.words(t or "") if w in weights) for t in texts], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
-    scored = docs.withColumn("score", F.pandas_udf(score, "double")(F.col("text")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.withColumn(score_col, F.pandas_udf(score, "double")(F.col("text")))
+    return scored.withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic."""
+    return score_toxicity(docs, labels, train_rows, "__score", "__predicted").filter("__predicted = 0").select(*docs.columns)
 
 
 def op8_toxicity(spark, sf):
