@@ -211,13 +211,17 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that leak no item; nothing but the verdict is added and dropped again."""
     bounded_batches(docs.sparkSession)
-    for items in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
-        def clean(batches: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
+
+    def clean_of(items: list[tuple[int, str]]):
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             block = ItemBlock(items, q, rate)
             for texts in batches:
                 yield pd.Series([not (t and block.leaks(t)) for t in texts], dtype=bool)
 
-        docs = docs.filter(F.pandas_udf(clean, "boolean")(F.col(text_col)))
+        return F.pandas_udf(clean, "boolean")
+
+    for items in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
+        docs = docs.filter(clean_of(items)(F.col(text_col)))
     return docs
 
 
