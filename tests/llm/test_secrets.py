@@ -1,0 +1,60 @@
+"""Secret spans: the fixed patterns by a plain scan, novelty by planted strings."""
+
+import random
+import re
+
+from tariffloom.llm.secrets import base_spans, identifier_names, joined, marginal_bytes, primed_packer, redact_secrets, scan_secrets
+
+ASSIGN = re.compile(
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    "[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+RANDOM = "aB3xQ9zLmN7pR2tV8wY4kJ6h"
+
+
+def brute(text):
+    found = []
+    for kind, pattern, group, least in (("assign", ASSIGN, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)):
+        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m[group]) >= least]
+    return joined(found)
+
+
+def test_base_spans_equal_a_plain_scan():
+    rng = random.Random(3)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "toKen", "ſecret", "\"", "'", " ", "=", ":", "  ", "abcdefgh", "AKIA", "ABCDEFGH1234",
+             "0123456789abcdef", "deadbeef" * 4, "x", ".", "é", "\n", "+/=", "short"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert joined(base_spans(text)) == brute(text), text
+
+
+def test_a_dropped_match_still_consumes_its_text():
+    assert joined(base_spans("secret: token: abcdefghij")) == ""
+
+
+def test_novel_strings_are_added_and_names_are_not(texts):
+    names = " ".join(["connection_pool_manager read_access_handler"] * 5)
+    rows = [(1, f"{names} Authorization: Bearer {RANDOM} end"), (2, f"{names} auth connection_pool_manager end"),
+            (3, f"{names} nothing near {RANDOM} end"), (4, "auth 1234567890123456 end"), (5, f'token = "{RANDOM}"')]
+    got = {r.doc_id: r.secrets for r in scan_secrets(texts(rows)).collect()}
+    start = rows[0][1].index(RANDOM)
+    assert got[1].spans == f"novel:{start}:{start + len(RANDOM)}" and got[1].base == ""
+    assert [got[i].spans for i in (2, 3, 4)] == ["", "", ""]
+    assert got[5].spans == got[5].base and got[5].n_assign == 1
+
+
+def test_known_names_cost_less():
+    primed, bare = primed_packer(["connection_pool_manager"] * 3), primed_packer([])
+    assert marginal_bytes(primed, "auth ", "connection_pool_manager", "") < marginal_bytes(bare, "auth ", "connection_pool_manager", "")
+
+
+def test_identifiers_are_counted_over_all_rows(texts):
+    rows = [(i, "alpha_beta gammaDelta plain word" if i % 2 else "alpha_beta") for i in range(20)]
+    assert identifier_names(texts(rows)) == ["alpha_beta", "gammaDelta"]
+
+
+def test_redaction_keeps_rows_and_columns(odd, texts):
+    rows = [(1, f"a password={RANDOM} b"), (2, None), (3, "clean")]
+    got = {r.doc_id: r for r in redact_secrets(texts(rows)).collect()}
+    assert got[1].text == "a [SECRET] b" and got[2].text is None and got[3].text == "clean" and got[3].spans == "y"
+    assert redact_secrets(odd).columns == odd.columns and redact_secrets(odd).count() == 8
+    assert scan_secrets(odd.limit(0)).count() == 0
