@@ -56,9 +56,8 @@ def field_value(kind: Column, text: Column) -> Column:
     """Value of an input field as STRING by kind: int, percent (stored as share), year, text."""
     number = parse_plain(F.regexp_replace(text, "[^0-9.-]", ""))
     share = F.when(kind == "percent", number / 100).otherwise(number)
-    as_text = F.when(share == F.floor(share), share.cast("bigint").cast("string")).otherwise(
-        share.cast("string")
-    )
+    whole = F.when(share == F.floor(share), share.try_cast("bigint"))
+    as_text = F.coalesce(whole.cast("string"), share.cast("string"))
     return F.when(kind == "text", F.nullif(F.btrim(text), F.lit(""))).otherwise(as_text)
 
 
@@ -81,11 +80,11 @@ def money_tokens(text: Column) -> Column:
 
 
 def segment_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, fixed.SEGMENT, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, fixed.SEGMENT, 1), F.lit("")).try_cast("int")
 
 
 def grade_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, fixed.GRADE, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, fixed.GRADE, 1), F.lit("")).try_cast("int")
 
 
 def floor_100(value: Column) -> Column:

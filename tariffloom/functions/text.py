@@ -38,10 +38,8 @@ def sanitize(text: Column, unicode_fold: bool = True) -> Column:
 
 def removed_codepoints(raw: Column, clean: Column) -> Column:
     """The characters of ``raw`` missing from ``clean`` as ``U+XXXX``, distinct, in order."""
-    gone = F.array_distinct(F.filter(F.split(raw, ""), lambda c: (c != "") & ~F.contains(clean, c)))
-    return F.array_join(
-        F.transform(gone, lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))), " "
-    )
+    gone = F.array_except(F.split(raw, ""), F.concat(F.split(clean, ""), F.array(F.lit(""))))
+    return F.array_join(F.transform(gone, lambda c: F.format_string("U+%04X", F.ascii(c))), " ")
 
 
 def squeeze(text: Column) -> Column:

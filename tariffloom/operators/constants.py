@@ -29,9 +29,12 @@ def split_key(constants: DataFrame) -> DataFrame:
 
 
 def nested_map(constants: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One row per document: ``map<group,map<item,value>>`` of the named keys, which bound it."""
-    keys = table_keys() if keys is None else keys
-    named = constants.filter(F.col("key").isin(*keys)).groupBy("doc_id", "key").agg(F.max("value").alias("value"))
+    """One row per document: ``map<group,map<item,value>>`` of all its keys, or of the named ones.
+
+    A document's constants are those of its sheets, so the map is as small as they are.  Of a
+    repeated key the greatest value is kept; :func:`repeated_keys` lists them.
+    """
+    named = (constants if keys is None else constants.filter(F.col("key").isin(*keys))).groupBy("doc_id", "key").agg(F.max("value").alias("value"))
     groups = split_key(named).groupBy("doc_id", "grp").agg(
         F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias("items")
     )
@@ -40,6 +43,12 @@ def nested_map(constants: DataFrame, keys: Sequence[str] | None = None) -> DataF
     )
 
 
+def repeated_keys(constants: DataFrame) -> DataFrame:
+    """Keys that a document gives more than one value, with the least and the greatest."""
+    return constants.groupBy("doc_id", "key").agg(F.count_distinct("value").alias("values"), F.min("value").alias("least"),
+                                                  F.max("value").alias("greatest")).filter("values > 1")
+
+
 def selected(key: Column, kind: str) -> Column:
     """Whether a constant belongs to a table part; special cases name their keys."""
     if kind == "산정":

@@ -60,8 +60,12 @@ def apply_row_edits(df: DataFrame, table_keys: Sequence[str], deleted: DataFrame
 
 def resolved_labels(decisions: DataFrame) -> DataFrame:
     """Chosen label per item: the selected candidate or the manual text; the latest decision
-    wins and empty choices are left out."""
+    wins and empty choices are left out.
+
+    Decisions are ordered by their time; those without a readable time come first, in the order of
+    their text, so that an item with no other decision keeps one.
+    """
     chosen = F.coalesce(F.nullif("selected_label", F.lit("")), F.nullif("manual_input", F.lit("")))
     last = decisions.groupBy("run_id", "item_id").agg(
-        F.max_by(F.struct("input_label", chosen.alias("chosen")), "reviewed_at").alias("d"))
+        F.max_by(F.struct("input_label", chosen.alias("chosen")), F.struct(F.try_to_timestamp("reviewed_at"), "reviewed_at")).alias("d"))
     return last.select("run_id", "item_id", "d.*").filter(F.col("chosen").isNotNull())

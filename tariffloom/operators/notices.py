@@ -19,14 +19,18 @@ from tariffloom.session import cut_lineage
 
 
 def with_context(blocks: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Adds the running ``chapter`` and numbered ``item``; a new chapter clears the item."""
+    """Adds the running ``chapter`` and numbered ``item``; a new chapter clears the item.
+
+    ``item`` is cut for display; ``heading`` is the whole text, in which titles are looked up.
+    """
     text = F.col("text")
     opens = (F.col("kind") == "문단") & text.rlike("(?U)" + fixed.CHAPTER)
     numbered = (F.col("kind") == "문단") & ~opens & text.rlike(fixed.ITEM)
-    short = F.when(F.length(text) <= fixed.ITEM_MAX, text).otherwise(
-        F.concat(F.substring(text, 1, fixed.ITEM_MAX), F.lit("…")))
-    return carry_forward_nested(blocks, ["doc_id"], "ord", F.when(opens, text), F.when(numbered, short),
-                                "chapter", "item", piece)
+    whole = F.col("heading")
+    short = F.when(F.length(whole) <= fixed.ITEM_MAX, whole).otherwise(
+        F.concat(F.substring(whole, 1, fixed.ITEM_MAX), F.lit("…")))
+    return carry_forward_nested(blocks, ["doc_id"], "ord", F.when(opens, text), F.when(numbered, text),
+                                "chapter", "heading", piece).withColumn("item", short)
 
 
 def padded(grid: Column) -> Column:
@@ -57,7 +61,7 @@ def matching_tables(blocks: DataFrame, tables: dict = fixed.NOTICE_TABLES) -> Da
     hits = F.filter(spec, lambda s: F.contains(heading, s["title"]) & none(heading, s["wider"]) & every(inside, s["inner"]))
     return (
         blocks.filter(F.col("kind") == "표")
-        .withColumn("__heading", squeeze(F.concat_ws(" ", "chapter", "item")))
+        .withColumn("__heading", squeeze(F.concat_ws(" ", "chapter", "heading")))
         .withColumn("__inside", squeeze(F.array_join(F.flatten("grid"), " ")))
         .withColumn("__hits", F.transform(hits, lambda s: s["service"]))
         .withColumn("service", F.explode("__hits")).drop("__heading", "__inside", "__hits")

@@ -80,29 +80,19 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, out: str, piece:
     return running_total(df, keys, order, F.lit(1), out, piece).withColumn(out, F.col(out).cast("bigint"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str,
-                 hot_rows: int = 1_000_000) -> DataFrame:
-    """Exact median per group.
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median per group, in one way for groups of any size.
 
-    Groups up to ``hot_rows`` use the built-in aggregate.  For larger ones an approximate
-    percentile with a guaranteed rank error brackets the middle; only the distinct values
-    inside the bracket are then ordered, with the rows below merely counted.
+    An approximate percentile with a guaranteed rank error brackets the middle; only the distinct
+    values inside the bracket are then ordered, with the rows below merely counted.
     """
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows)
-
-    small = values.join(hot.select(*keys), list(keys), "left_anti").groupBy(*keys).agg(
-        F.median("__x").alias(out)
-    )
-
     accuracy = 10_000
-    sampled = values.join(hot, list(keys))
-    bracket = sampled.groupBy(*keys).agg(
-        F.max("__n").alias("__n"),
+    bracket = values.groupBy(*keys).agg(
+        F.count("*").alias("__n"),
         F.percentile_approx("__x", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy).alias("__b"),
     )
-    held = sampled.drop("__n").join(bracket, list(keys))
+    held = values.join(bracket, list(keys))
     below = F.col("__x") < F.col("__b")[0]
     inside = F.col("__x").between(F.col("__b")[0], F.col("__b")[1])
     counted = held.filter(below | inside).groupBy(
@@ -119,8 +109,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str,
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__x")))
 
-    big = ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
-    return small.unionByName(big)
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
 
 
 def carry_forward_nested(df: DataFrame, keys: Sequence[str], order: str, outer: Column, inner: Column,

@@ -193,7 +193,7 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     matched = match_labels(shared(base), shared(target), ["pair_id", "sheet"], settings.hybrid, vectors)
     items = cut_lineage(matched["items"]).withColumn("item_id", F.concat(
         "sheet", F.when(F.array_contains("flags", "NEW_IN_TARGET"), "-new-").otherwise("-"),
-        F.lpad(F.col("item_no").cast("string"), 3, "0")))
+        F.format_string("%03d", F.col("item_no"))))
 
     prints = sg.fingerprints(regions, tagged, fold)
     anchors = pairs.select("pair_id", F.col("target_doc").alias("doc_id")).join(

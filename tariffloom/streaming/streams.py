@@ -1,4 +1,9 @@
-"""Append-only inputs as streams: decisions, edits and arriving workbooks."""
+"""Append-only inputs as streams: decisions, edits and arriving workbooks.
+
+Every sink writes one folder a batch, which a repeated batch replaces, and the current state is read
+from all folders.  State therefore lies in the shared folder and grows with the input, not in the
+executors, and an input that arrives late counts like any other.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +14,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tariffloom.operators.edits import apply_edits
-from tariffloom.sources.files import DECISION_SCHEMA
+from tariffloom.plans.match import MatchSettings, match_documents
+from tariffloom.sources.files import DECISION_SCHEMA, latest_before
 from tariffloom.sources.spreadsheets import parse_workbooks
 
 
-def decision_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Decisions as they are appended; damaged lines are dropped and repeats of an item's action
-    within the lateness bound count once, which also bounds the state."""
-    lines = spark.readStream.text(path).select(F.from_json("value", DECISION_SCHEMA).alias("d")).select("d.*")
-    timed = lines.filter(F.col("run_id").isNotNull() & F.col("item_id").isNotNull()).withColumn(
-        "at", F.to_timestamp("reviewed_at"))
-    return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "item_id", "action"])
-
-
-def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Everything available now, appended to a Parquet table."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+def decision_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Decisions as they are appended; damaged lines are dropped.  ``at`` is null where the time
+    cannot be read; such a decision stays."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    parsed = lines.select(F.from_json("value", DECISION_SCHEMA).alias("d")).select("d.*")
+    return parsed.filter(F.col("run_id").isNotNull() & F.col("item_id").isNotNull()).withColumn("at", F.try_to_timestamp("reviewed_at"))
 
 
-def latest_edit_stream(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Running last value per cell, for the ``update`` output mode."""
-    return edits.groupBy(*keys, "column").agg(F.max(F.struct("seq", "value")).alias("e"))
+def append_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Everything available now, one folder a batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def maintain_latest(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed cells next to earlier ones; a batch that runs again replaces
-    its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("*", "e.seq", "e.value").drop("e").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+def first_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """The first decision of each run, item and action over all batches, however late its file came:
+    the earliest readable time, then unreadable ones by batch."""
+    rows = spark.read.parquet(path)
+    order = F.struct(F.col("at").isNull(), "at", "batch", "reviewed_at", "input_label", "selected_label", "manual_input")
+    names = [c for c in rows.columns if c not in ("run_id", "item_id", "action", "batch")]
+    first = rows.groupBy("run_id", "item_id", "action").agg(F.min_by(F.struct(*names), order).alias("d"))
+    return first.select("run_id", "item_id", "action", "d.*")
 
 
 def current_cells(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last value per cell over all batches written by :func:`maintain_latest`."""
+    """Last value per cell, by ``seq``, over all batches of edits."""
     rows = spark.read.parquet(path)
     return rows.groupBy(*keys, "column").agg(F.max(F.struct("seq", "value")).alias("e")).select(
         *keys, "column", "e.seq", "e.value")
@@ -52,15 +54,30 @@ def current_cells(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def revalidate_edited(edits: DataFrame, table: DataFrame, keys: list[str], table_key: str,
                       suite: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """On every batch of edits, check again just the tables it touched and write their findings."""
+    """On every batch of edits, keep them and check again just the tables they touched.
+
+    Tables are checked with all edits kept so far, so that earlier batches last and an older edit
+    that comes late does not win.  ``path/findings`` gets the findings of a batch, ``path/checked``
+    the tables it checked; :func:`current_findings` reads both.
+    """
     def check(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(table_key).distinct()
-        rows = apply_edits(table.join(touched, table_key, "left_semi"), batch, keys)
-        suite(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/edits/batch={batch_id}")
+        touched = spark.read.parquet(f"{path}/edits/batch={batch_id}").select(table_key).distinct()
+        kept = spark.read.parquet(f"{path}/edits").drop("batch").join(touched, table_key, "left_semi")
+        rows = apply_edits(table.join(touched, table_key, "left_semi"), kept, keys)
+        suite(rows).write.mode("overwrite").parquet(f"{path}/findings/batch={batch_id}")
+        touched.write.mode("overwrite").parquet(f"{path}/checked/batch={batch_id}")
 
     return edits.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_findings(spark: SparkSession, path: str, table_key: str) -> DataFrame:
+    """The findings that each table had when it was checked last; a mended table has none."""
+    last = spark.read.parquet(f"{path}/checked").groupBy(table_key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/findings").join(last, [table_key, "batch"], "left_semi").drop("batch")
+
+
 def workbook_files(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
     """New ``*.xlsx`` files of a directory as a stream of ``doc_id, content``."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx").option(
@@ -70,6 +87,32 @@ def workbook_files(spark: SparkSession, directory: str, files_per_batch: int = 1
 
 
 def arriving_workbooks(files: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Cells of new workbooks, handed on per batch, to be matched against their baselines."""
+    """Cells of new workbooks, handed on per batch."""
     return parse_workbooks(files).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
+
+
+def match_on_arrival(files: DataFrame, registry: DataFrame, archive: DataFrame, path: str, checkpoint: str,
+                     settings: MatchSettings = MatchSettings()) -> StreamingQuery:
+    """Match every arriving workbook with its baseline, the latest registered one of an earlier year.
+
+    ``registry``: keys, ``year``, ``path`` (a document id of ``archive`` or of an arriving file) and
+    ``seq``, with the arriving files among them; ``archive``: cells of earlier documents.  Each
+    report table (``items``, ``summary``, ``alerts``, ``anomalies``, ``missing``) gets a folder a
+    batch under ``path``.  Files without a baseline are in ``unmatched``.
+    """
+    keys = [c for c in registry.columns if c not in ("year", "path", "seq")]
+
+    def handle(cells: DataFrame, batch_id: int) -> None:
+        cells.write.mode("overwrite").parquet(f"{path}/cells/batch={batch_id}")
+        new = cells.sparkSession.read.parquet(f"{path}/cells/batch={batch_id}")
+        known = registry.withColumnRenamed("path", "target_doc").join(new.select(F.col("doc_id").alias("target_doc")).distinct(), "target_doc", "left_semi")
+        picked = known.join(latest_before(known.select(*keys, "year").distinct(), registry, keys), [*keys, "year"], "left")
+        pairs = picked.filter("path is not null").select(F.col("target_doc").alias("pair_id"), F.col("path").alias("base_doc"), "target_doc")
+        picked.filter("path is null").select(F.col("target_doc").alias("doc_id")).write.mode("overwrite").parquet(f"{path}/unmatched/batch={batch_id}")
+        earlier = archive.join(pairs.select(F.col("base_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        report = match_documents(earlier.unionByName(new.select(*archive.columns)), pairs, settings)
+        for name in ("items", "summary", "alerts", "anomalies", "missing"):
+            report[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    return arriving_workbooks(files, handle, checkpoint)

@@ -190,7 +190,7 @@ def exact_median_query(spark, sf):
 @workload("exact_median_hot", "A7", "select l_returnflag, median(l_extendedprice) as med from lineitem group by l_returnflag")
 def exact_median_hot(spark, sf):
     """Three groups with a third of all rows each, by the bracketed way for large groups."""
-    return exact_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "med", hot_rows=1000)
+    return exact_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "med")
 
 
 @workload("text_labels", "P3 P4 A1", f"""

@@ -385,28 +385,38 @@ def table_export(spark, sf):
 
 # --- streams --------------------------------------------------------------------------------------
 
+_BATCH_PARTS = 3
+
+
+def _in_batches(spark, rows, late: bool = False):
+    """Rows laid out as three files that a stream takes one by one; ``late`` sends the newest first."""
+    folder = _folder(spark, "source")
+    part = F.when(F.col("seq") % 5 < 2, 0).when(F.col("seq") % 5 < 4, 1).otherwise(2)
+    for n in range(_BATCH_PARTS):
+        rows.filter(part == (_BATCH_PARTS - 1 - n if late else n)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @workload("stream_edits", "T2 E1", """
 select user_id, event_type as "column", max(event_id) as seq, max_by(value, event_id) as value from events group by user_id, event_type""")
 def stream_edits(spark, sf):
-    """The events as an edit stream; the maintained cells equal the batch result."""
-    events = table(spark, sf, "events")
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    edits = source.select("user_id", F.col("event_type").alias("column"), F.col("event_id").alias("seq"), "value")
+    """The events as an edit stream in several batches out of order; the current cells equal the batch result."""
+    edits = table(spark, sf, "events").select("user_id", F.col("event_type").alias("column"), F.col("event_id").alias("seq"), "value")
     path = _folder(spark, "cells")
-    st.maintain_latest(st.latest_edit_stream(edits, ["user_id"]), path, path + "-state").awaitTermination()
+    st.append_batches(_in_batches(spark, edits, late=True), path, path + "-state").awaitTermination()
     return st.current_cells(spark, path, ["user_id"])
 
 
 @workload("stream_revalidate", "T2 E3", """
-with e as (select user_id as o_custkey, max_by(floor(value * 100), event_id) as v from events group by user_id),
-r as (select o_orderkey, o_custkey, coalesce(v, cast(floor(o_totalprice) as bigint)) as c from orders join e using (o_custkey))
+with e as (select user_id as o_custkey, max_by(floor(value) * 100 + case when event_id % 4 = 0 then 7 else 0 end, event_id) as v from events group by user_id),
+r as (select o_orderkey, o_custkey, v as c from orders join e using (o_custkey))
 select o_custkey, o_orderkey, cast(c as double) as actual from r where floor(c / 100 + 1e-9) * 100 <> c""")
 def stream_revalidate(spark, sf):
-    """Edits of customers' amounts; just the customers touched are checked again."""
-    events = table(spark, sf, "events")
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    edits = source.select(F.col("user_id").alias("o_custkey"), F.lit("amount").alias("column"), F.col("event_id").alias("seq"),
-                          F.floor(F.col("value") * 100).cast("string").alias("value"))
+    """Edits of customers' amounts in three batches out of order, some mended by others; what is
+    found at the end equals one check with all edits."""
+    edits = table(spark, sf, "events").select(
+        F.col("user_id").alias("o_custkey"), F.lit("amount").alias("column"), F.col("event_id").alias("seq"),
+        (F.floor("value") * 100 + F.when(F.col("event_id") % 4 == 0, 7).otherwise(0)).cast("string").alias("value"))
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("amount"))
 
     def suite(rows):
@@ -414,20 +424,27 @@ def stream_revalidate(spark, sf):
 
     path = _folder(spark, "findings")
     # the order key is no part of an edit, so edits apply to all rows of a customer
-    st.revalidate_edited(edits, orders, ["o_custkey"], "o_custkey", suite, path, path + "-state").awaitTermination()
-    return spark.read.parquet(path).select("o_custkey", "o_orderkey", "actual")
+    st.revalidate_edited(_in_batches(spark, edits, late=True), orders, ["o_custkey"], "o_custkey", suite, path, path + "-state").awaitTermination()
+    return st.current_findings(spark, path, "o_custkey").select("o_custkey", "o_orderkey", "actual")
 
 
 @workload("stream_decisions", "T1", """
-select 'r' || user_id as run_id, 'i' || (event_id % 40) as item_id, case when event_id % 3 = 0 then 'manual_input' else 'select_candidate' end as action from events group by all""")
+with d as (select 'r' || user_id as run_id, 'i' || (event_id % 40) as item_id, case when event_id % 3 = 0 then 'manual_input' else 'select_candidate' end as action, event_type as input_label, event_id from events)
+select run_id, item_id, action, min_by(input_label, case when event_id % 17 = 0 then event_id + 1000000000 else event_id end) as input_label from d group by run_id, item_id, action""")
 def stream_decisions(spark, sf):
-    """Decision lines as a stream: damaged ones dropped, repeats counted once."""
+    """Decision lines as a stream whose newest file comes first: damaged lines go, times that
+    cannot be read stay, and the first of repeats counts."""
     log, out = _folder(spark, "log"), _folder(spark, "decided")
-    decided = _decision_rows(spark, sf).withColumn("reviewed_at", F.lit("2024-01-01T00:00:00"))
-    lines = decided.select(F.to_json(F.struct("*")).alias("value"))
-    lines.unionByName(table(spark, sf, "events").select(F.lit('{"run_id": "r1", "it').alias("value"))).write.text(log)
-    st.append_stream(st.decision_stream(spark, log), out, out + "-state").awaitTermination()
-    return spark.read.parquet(out).select("run_id", "item_id", "action")
+    e = F.col("event_id")
+    rows = _decision_rows(spark, sf).withColumn("seq", F.regexp_extract("reviewed_at", "([0-9]+)$", 1).cast("bigint"))
+    when = F.when(F.col("seq") % 17 == 0, F.format_string("no time %010d", "seq")).otherwise(
+        F.date_format(F.timestamp_seconds(F.col("seq")), "yyyy-MM-dd'T'HH:mm:ss"))
+    lines = rows.withColumn("reviewed_at", when).select(F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("value"), "seq")
+    for n in reversed(range(_BATCH_PARTS)):
+        own = lines.filter(F.col("seq") % _BATCH_PARTS == n).select("value")
+        own.unionByName(table(spark, sf, "events").filter(e % 50 == n).select(F.lit('{"run_id": "r1", "it').alias("value"))).coalesce(1).write.mode("append").text(log)
+    st.append_batches(st.decision_stream(spark, log, files_per_batch=1), out, out + "-state").awaitTermination()
+    return st.first_decisions(spark, out).select("run_id", "item_id", "action", "input_label")
 
 
 @workload("stream_workbooks", "T3 S1", f"with {CELLS_SQL} select doc_id, sheet, count(*) as n from cells group by doc_id, sheet")

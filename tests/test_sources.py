@@ -1,10 +1,12 @@
 """Files in, constants and amounts out."""
 
+import io
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
-from support import cells_frame, constants_book, drift_pair, grid_rows, notice_bytes, xlsx_bytes
+from support import cells_frame, constants_book, grid_rows, notice_bytes, notice_parts, xlsx_bytes, year_pair
 from tariffloom import fixed
 from tariffloom.operators import notices as no
 from tariffloom.operators import reconcile as rc
@@ -12,12 +14,12 @@ from tariffloom.operators.cells import missing_sheets, patch_cells
 from tariffloom.operators.rulebook import RULES_2025, rule_registry
 from tariffloom.plans.extract import extract_constants
 from tariffloom.sources import files as fs
-from tariffloom.sources.notices import parse_notices, read_notices
-from tariffloom.sources.spreadsheets import read_workbooks
+from tariffloom.sources.notices import notice_file_errors, parse_notices, read_notices
+from tariffloom.sources.spreadsheets import parse_workbooks, read_workbooks, workbook_errors
 
 
 def test_workbook_scan(spark, tmp_path):
-    book = drift_pair()["2026"]
+    book = year_pair()["old"]
     (tmp_path / "a.xlsx").write_bytes(xlsx_bytes(book, styled_rows=5000))
     (tmp_path / "b.xlsx").write_bytes(xlsx_bytes({"인정조사": {"A1": True, "B2": "=A1*2", "C3": "N/A", "AA4": "멀리"}}))
     cells = read_workbooks(spark, str(tmp_path))
@@ -68,21 +70,53 @@ def test_patch_follows_mirrors(spark):
 
 def test_notice_reading_and_comparison(spark, tmp_path):
     (tmp_path / "a.hwpx").write_bytes(notice_bytes())
-    (tmp_path / "b.hwpx").write_bytes(notice_bytes(16000, drop="2. 방문목욕"))
+    (tmp_path / "b.hwpx").write_bytes(notice_bytes([p for p in notice_parts() if p != "2. 방문목욕"]))
     blocks = read_notices(spark, str(tmp_path))
-    ragged = blocks.filter("kind = '표' and item = '3. 참고자료'").select("grid").first()["grid"]
-    assert ragged == [["항목", ""], ["값", "긴 행"]]
+    ragged = blocks.filter("kind = '표' and item = '7. 덧붙임'").select("grid").first()["grid"]
+    assert ragged == [["이름", ""], ["값", "긴 행"]]
     amounts, errors = no.read_amounts(blocks)
     got = {(r["service"], r["key"]): (r["amount"], r["surcharge"]) for r in amounts.filter(F.col("doc_id").endswith("a.hwpx")).collect()}
-    assert got["활동보조", "일반"] == (16150, 1010) and got["방문간호지시서", "보건기관_의사내방"] == (57740, None)
-    assert got["인정조사기본급여", "4등급"] == (841000, None) and got["추가급여", "학교생활"] == (100000, None)
-    assert got["주간활동", "15구간.확장형"] == (5840000 - 350000 * 14, None) and got["월한도액", "1구간"] == (5940000, None)
+    assert got["활동보조", "일반"] == (15300, 960) and got["방문간호지시서", "보건기관_의사내방"] == (51000, None)
+    assert got["인정조사기본급여", "4등급"] == (600000, None) and got["추가급여", "학교생활"] == (91000, None)
+    assert got["주간활동", "15구간.확장형"] == (3_300_000 - 110_000 * 14 - 60_000, None) and got["월한도액", "1구간"] == (3_300_000, None)
     bad = {(r["doc_id"][-6:], r["service"]) for r in errors.collect()}
-    assert bad == {("b.hwpx", "방문목욕")}  # its table now stands under the first heading
+    assert bad == {("b.hwpx", "방문목욕"), ("b.hwpx", "방문간호")}  # two tables now stand under one heading
     a = amounts.filter(F.col("doc_id").endswith("a.hwpx"))
     assert rc.price_problems(a).count() == 0 and rc.limit_problems(a).count() == 0
     source = a.filter("service = '방문목욕' and key = '가정내입욕'").first()["source"]
-    assert (source["chapter"], source["item"], source["row"]) == ("제3장 급여비용 및 산정기준", "2. 방문목욕", 2)
+    assert (source["chapter"], source["item"], source["row"]) == ("제5장 금액", "2. 방문목욕", 1)
+
+
+def test_a_title_far_into_a_heading_is_found(spark):
+    long = "3. " + "아주 긴 설명이 앞에 붙은 제목 " * 4 + "활동보조"
+    parts = [long if p == "3. 활동보조" else p for p in notice_parts()]
+    amounts, errors = no.read_amounts(parse_notices(spark.createDataFrame([("d", bytearray(notice_bytes(parts)))], "doc_id string, content binary")))
+    assert errors.count() == 0 and amounts.filter("service = '활동보조'").count() == 3
+    assert amounts.filter("service = '활동보조'").first()["source"]["item"].endswith("…")
+
+
+def test_nested_paragraphs_and_tables(spark):
+    ns = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph"'
+    p = lambda inner: f"<hp:p>{inner}</hp:p>"
+    t = lambda text: f"<hp:run><hp:t>{text}</hp:t></hp:run>"
+    inner = f"<hp:tbl><hp:tr><hp:tc>{p(t('c'))}</hp:tc></hp:tr></hp:tbl>"
+    table = f"<hp:tbl><hp:tr><hp:tc>{p(t('a'))}{p(t('b'))}</hp:tc><hp:tc>{t('bare')}</hp:tc></hp:tr><hp:tr><hp:tc>{p(inner)}</hp:tc></hp:tr></hp:tbl>"
+    body = p(t("one") + p(t("two"))) + p(t("lost") + p(t("kept")) + table) + p(t(" "))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as file:
+        file.writestr("Contents/section0.xml", f"<hp:sec {ns}>{body}</hp:sec>")
+    rows = parse_notices(spark.createDataFrame([("d", bytearray(out.getvalue()))], "doc_id string, content binary")).orderBy("ord").collect()
+    assert [(r["kind"], r["text"]) for r in rows] == [("문단", "onetwo"), ("문단", "kept"), ("표", None)]
+    assert rows[2]["grid"] == [["a\nb", "bare"], ["c", "c"], ["c", ""]]
+
+
+def test_unreadable_files_become_error_rows(spark):
+    book = xlsx_bytes({"인정조사": {"A1": "말", "B1": 2}})
+    files = spark.createDataFrame([("good", bytearray(book)), ("bad", bytearray(b"no zip")), ("cut", bytearray(book[:200]))], "doc_id string, content binary")
+    assert {r["doc_id"] for r in parse_workbooks(files).collect()} == {"good"}
+    assert {r["doc_id"] for r in workbook_errors(files).collect()} == {"bad", "cut"}
+    assert parse_notices(files).count() == 0
+    assert {r["doc_id"] for r in notice_file_errors(files).collect()} == {"good", "bad", "cut"}
 
 
 def test_comparison_states(spark):

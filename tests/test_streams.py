@@ -2,17 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from support import drift_pair, grid_rows, xlsx_bytes
+from support import year_pair, grid_rows, xlsx_bytes
 from tariffloom.streaming import streams as st
 
 
 def test_arriving_workbooks(spark, tmp_path):
     inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     inbox.mkdir()
-    books = drift_pair()
+    books = year_pair()
 
     def handle(cells, batch_id):
-        cells.withColumn("name", F.regexp_extract("doc_id", r"([0-9]+)\.xlsx$", 1)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        cells.withColumn("name", F.regexp_extract("doc_id", r"([a-z]+)\.xlsx$", 1)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     for name in books:  # the second file arrives after the first was handled
         (inbox / f"{name}.xlsx").write_bytes(xlsx_bytes(books[name]))
