@@ -8,7 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window
 
 from tariffloom import fixed
 from tariffloom.operators import checks as ck
@@ -131,12 +131,13 @@ def notice_sanity(spark, sf):
 
 _REF_SQL = f"""
 {AMOUNTS_SQL},
-items as (select doc_id, case service when '주간활동' then '종합조사 월한도액 (' || split_part(key, '.', 2) || ').' || split_part(key, '.', 1) when '인정조사기본급여' then '인정조사 월한도액 (기본형).' || key
+items as materialized (select doc_id, case service when '주간활동' then '종합조사 월한도액 (' || split_part(key, '.', 2) || ').' || split_part(key, '.', 1) when '인정조사기본급여' then '인정조사 월한도액 (기본형).' || key
    when '추가급여' then '추가급여 월한도액.' || key when '활동보조' then case when key = '일반' then '활동보조.일반' end end as key, amount from amounts),
 ref as (select doc_id, case when key = '활동보조.일반' then '기본단가' when hash(1) is null then '' when key like '%등급' then replace(key, ' ', '') else key end as key, amount + case when cast(doc_id as integer) % 5 = 0 and key like '%1구간' then 1000 else 0 end as value
    from items where key is not null and not (cast(doc_id as integer) % 4 = 0 and key like '%출산')),
-st as (select i.doc_id, i.key, i.amount, r.value as ref_value, case when r.value is null then '조견표에 없음' when r.value = i.amount then '일치' else '불일치' end as state
-   from (select * from items where key is not null) i left join ref r on r.doc_id = i.doc_id and (r.key = i.key or (i.key = '활동보조.일반' and r.key = '기본단가') or r.key = replace(i.key, ' ', '')))
+st as materialized (select i.doc_id, i.key, i.amount, r.value as ref_value, case when r.value is null then '조견표에 없음' when r.value = i.amount then '일치' else '불일치' end as state
+   from (select *, case when key = '활동보조.일반' then '기본단가' when key like '%등급' then replace(key, ' ', '') else key end as spelt from items where key is not null) i
+   left join ref r on r.doc_id = i.doc_id and r.key = i.spelt)
 """
 
 
@@ -153,10 +154,14 @@ def _reconciled(spark, sf):
     return rc.compare_with_reference(items, reference)
 
 
-@workload("reconcile", "J17 V21 N10 K2", f"with {_REF_SQL} select doc_id, key, cast(amount as bigint) as amount, cast(ref_value as bigint) as ref_value, state from st")
+@workload("reconcile", "J17 V21 N10 K2", f"""
+with {_REF_SQL} select doc_id, key, cast(amount as bigint) as amount, cast(ref_value as bigint) as ref_value, state,
+  row_number() over (partition by doc_id order by split_part(key, '.', 1), coalesce(try_cast(regexp_extract(key, '([0-9]+)\\s*구간', 1) as integer), 0), key) as place from st""")
 def reconcile(spark, sf):
+    """Compared amounts with their place in natural order: groups by name, segments by number."""
     rows, _ = _reconciled(spark, sf)
-    return rows.select("doc_id", "key", "amount", "ref_value", "state").orderBy("doc_id", *rc.sort_keys(F.col("key")))
+    own = Window.partitionBy("doc_id").orderBy(*rc.sort_keys(F.col("key")))
+    return rows.select("doc_id", "key", "amount", "ref_value", "state", F.row_number().over(own).cast("bigint").alias("place"))
 
 
 @workload("reconcile_totals", "A16 K6 P6", f"""

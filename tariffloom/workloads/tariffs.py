@@ -409,8 +409,8 @@ def service_problems(spark, sf):
 
 # --- constants ----------------------------------------------------------------------------
 
-_CONST_SQL = f"{_SUPP}, con as (" + " union all ".join(
-    f"select doc_id, '{k}' as key, cast({v} as double) as value from s" for k, v in _formulas().items()) + ")"
+_CONST_SQL = f"{_SUPP}, con as materialized (select doc_id, c.key, c.value from (select doc_id, unnest([" + ", ".join(
+    f"{{'key': '{k}', 'value': cast({v} as double)}}" for k, v in _formulas().items()) + "]) as c from s))"
 
 
 @workload("constants_select", "P8 N21", f"""

@@ -24,7 +24,7 @@ def item(report, sheet, norm):
 
 @pytest.mark.parametrize("sheet, norm, found", [
     ("인정조사", "기본단가", "기본 단가(원)"), ("인정조사", "A값", "A값"), ("인정조사", "한도", "한도"), ("인정조사", "일반층", "일반층 "),
-    ("인정조사", "면제층", "면제층"), ("인정조사", "3등급", "3등급"), ("종합조사", "주간활동기본형", "주간활동 기본형"), ("부록", "비고", "비고"),
+    ("인정조사", "면제층", "면제층"), ("인정조사", "3등급", "3등급"), ("종합조사", "주간활동기본형", "주간활동 기본형"), ("부록", "쪽수", "쪽수"),
 ])
 def test_equal_labels_pass(report, sheet, norm, found):
     got = item(report, sheet, norm)
