@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tariffloom.session import cut_lineage
+
 PIECE = 65_536
 _P = "__piece"
 
@@ -22,6 +24,16 @@ def _pieces(df: DataFrame, order: str, piece: int | Column) -> DataFrame:
     return df.withColumn(_P, cut)
 
 
+def range_pieces(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, Column]:
+    """Rows laid out in ranges of ``keys`` and ``order`` whose bounds are sampled, and the piece column.
+
+    For orders that have no length to divide by (codes, names): pieces are of about equal size
+    however alike the values begin.  The layout is written once, since it must not change.
+    """
+    laid = df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id())
+    return cut_lineage(laid), F.col("__range")
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
                   piece: int | Column = PIECE) -> DataFrame:
     """``out`` = the latest non-null ``value`` at or before the row within ``keys``."""

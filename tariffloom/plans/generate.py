@@ -13,7 +13,7 @@ from tariffloom import fixed
 from tariffloom.functions.literals import literal_rows
 from tariffloom.operators.constants import constant_map
 from tariffloom.operators.formulas import rule_column
-from tariffloom.operators.ordered import row_numbers
+from tariffloom.operators.ordered import range_pieces, row_numbers
 from tariffloom.operators.rulebook import RULES_2025, copay_column
 
 
@@ -257,8 +257,8 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
 
     Running numbers are arithmetic: only the grades are numbered, before they multiply.
     """
-    grades = row_numbers(payable_grades(basic).withColumn("__code", F.col("등급구분")),
-                         ["doc_id"], "__code", "grade_no", F.substring("__code", 1, 2))
+    laid, piece = range_pieces(payable_grades(basic).withColumn("__code", F.col("등급구분")), ["doc_id"], "__code")
+    grades = row_numbers(laid, ["doc_id"], "__code", "grade_no", piece).drop("__range")
     counts = grades.groupBy("doc_id").agg(F.count("*").alias("n_grades"))
     sizes = fixed.SERVICE_COUNTS
     before = F.create_map(*[F.lit(x) for n, t in enumerate(sorted(sizes))

@@ -15,31 +15,41 @@ ROUNDS = 5
 
 
 def repair(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Check], editable: Sequence[str],
-           rounds: int = ROUNDS) -> DataFrame:
+           rounds: int = ROUNDS, unfinished: str | None = None) -> DataFrame:
     """Apply the first expected value per cell and check again, at most ``rounds`` times.
 
     ``prepare`` adds what the checks need (references, recomputed values) and must keep the
     columns of ``df``.  Checks look at one row only, so rows without a fixable finding are done:
-    each round handles just the rows the last one changed, and these few are checkpointed.
+    each round handles just the rows the last one changed.  A round prepares its rows once: the
+    fixes are written with the rows, and both outcomes are read from there.
+
+    ``unfinished`` names a boolean column that tells rows the last round still changed.
     """
-    columns = df.columns
+    columns, types = df.columns, {f.name: f.dataType for f in df.schema}
     done, active = None, df
     for _ in range(rounds):
-        seen = prepare(active)
-        fix = {c: F.coalesce(F.lit(None).cast("double"), *[F.when(k.test, k.expected) for k in checks if k.column == c])
-               for c in editable}
-        fixable = reduce(lambda a, b: a | b, [f.isNotNull() for f in fix.values()])
-        clean = seen.filter(~fixable).select(*columns)
+        fixes = [F.coalesce(F.lit(None).cast("double"), *[F.when(k.test, k.expected) for k in checks if k.column == c]).cast(types[c]).alias(c)
+                 for c in editable]
+        judged = cut_lineage(prepare(active).select(*[F.col(f"`{c}`") for c in columns], F.struct(*fixes).alias("__fix")))
+        fixable = reduce(lambda a, b: a | b, [F.col(f"__fix.`{c}`").isNotNull() for c in editable])
+        clean = judged.filter(~fixable).select(*columns)
         done = clean if done is None else done.unionByName(clean)
-        types = {f.name: f.dataType for f in df.schema}
-        active = cut_lineage(seen.filter(fixable).select(*[
-            F.coalesce(fix[c].cast(types[c]), F.col(c)).alias(c) if c in fix else F.col(f"`{c}`").alias(c) for c in columns]))
+        active = judged.filter(fixable).select(*[
+            F.coalesce(F.col(f"__fix.`{c}`"), F.col(f"`{c}`")).alias(c) if c in editable else F.col(f"`{c}`") for c in columns])
         if active.isEmpty():
-            return done
-    return done.unionByName(active)
+            break
+    if unfinished is None:
+        return done.unionByName(active)
+    return done.withColumn(unfinished, F.lit(False)).unionByName(active.withColumn(unfinished, F.lit(True)))
 
 
 def remaining_findings(df: DataFrame, prepare: Callable[[DataFrame], DataFrame], checks: Sequence[Check],
                        keys: Sequence[str]) -> DataFrame:
-    """What is left after a repair and needs a person."""
+    """What the row checks leave after a repair and needs a person."""
     return explode_findings(prepare(df), keys, checks)
+
+
+def leftovers(df: DataFrame, suite: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All findings left after a repair, those about whole tables (duplicates, missing tiers, row
+    counts) included: the suite's own issues on the repaired rows."""
+    return suite(df)

@@ -1,8 +1,8 @@
-"""Workbooks arriving in a folder."""
+"""Streams against batch results: workbooks, decisions and edits arriving out of order."""
 
 from pyspark.sql import functions as F
 
-from support import year_pair, grid_rows, xlsx_bytes
+from support import cells_frame, grid_rows, xlsx_bytes, year_pair
 from tariffloom.streaming import streams as st
 
 
@@ -19,3 +19,41 @@ def test_arriving_workbooks(spark, tmp_path):
         st.arriving_workbooks(st.workbook_files(spark, str(inbox)), handle, state).awaitTermination()
     counts = {r["name"]: r["count"] for r in spark.read.parquet(out).groupBy("name").count().collect()}
     assert counts == {name: len(grid_rows(name, books[name])) for name in books}
+
+
+def test_arriving_workbooks_are_matched_with_the_latest_earlier_year(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+    books = year_pair()
+    archive = cells_frame(spark, {"kept/2025": books["old"], "kept/2024": {"부록": {"A1": "다른 것"}}})
+    name = (inbox / "2027.xlsx").as_uri().replace("file:///", "file:/")
+    lone = (inbox / "lone.xlsx").as_uri().replace("file:///", "file:/")
+    registry = spark.createDataFrame([("a", 2024, "kept/2024", 1), ("a", 2025, "kept/2025", 2), ("a", 2027, name, 3), ("b", 2027, lone, 4)],
+                                     "office string, year int, path string, seq int")
+    (inbox / "2027.xlsx").write_bytes(xlsx_bytes(books["new"]))
+    st.match_on_arrival(st.workbook_files(spark, str(inbox)), registry, archive, out, state).awaitTermination()
+    (inbox / "lone.xlsx").write_bytes(xlsx_bytes(books["old"]))
+    st.match_on_arrival(st.workbook_files(spark, str(inbox)), registry, archive, out, state).awaitTermination()
+    assert [r["pair_id"] for r in spark.read.parquet(f"{out}/summary").collect()] == [name]
+    assert {"UNIT_SHIFT_SUSPECTED", "MONOTONICITY_BROKEN"} <= {r["code"] for r in spark.read.parquet(f"{out}/anomalies").collect()}
+    assert [r["doc_id"] for r in spark.read.parquet(f"{out}/unmatched").collect()] == [lone]
+
+
+def test_late_files_bad_times_and_mended_rows(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+    line = lambda item, label, at: f'{{"run_id": "r", "item_id": "{item}", "action": "a", "input_label": "{label}", "reviewed_at": "{at}"}}\n'
+    for text in (line("i", "late", "2026-05-02T00:00:00") + line("j", "odd", "not a time") + "{\n", line("i", "early", "2026-05-01T00:00:00")):
+        (log / f"{len(list(log.iterdir()))}.txt").write_text(text)  # the older decision comes a batch later
+        st.append_batches(st.decision_stream(spark, str(log)), out, out + "-state").awaitTermination()
+    assert {(r["item_id"], r["input_label"]) for r in st.first_decisions(spark, out).collect()} == {("i", "early"), ("j", "odd")}
+
+    rows = spark.createDataFrame([("t", 1, 10), ("t", 2, 20), ("u", 1, 30)], "doc string, row int, v bigint")
+    source, path = str(tmp_path / "edits"), str(tmp_path / "found")
+    schema = "doc string, row int, column string, value string, seq int"
+    suite = lambda df: df.filter("v % 10 <> 0")
+    for batch in ([("t", 1, "v", "11", 2), ("t", 2, "v", "22", 3), ("u", 1, "v", "33", 4)], [("t", 1, "v", "50", 9), ("t", 2, "v", "40", 1)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        edits = spark.readStream.schema(schema).parquet(source)
+        st.revalidate_edited(edits, rows, ["doc", "row"], "doc", suite, path, path + "-state").awaitTermination()
+    assert {(r["doc"], r["row"], r["v"]) for r in st.current_findings(spark, path, "doc").collect()} == {("t", 2, 22), ("u", 1, 33)}
