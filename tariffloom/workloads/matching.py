@@ -163,21 +163,56 @@ def matcher_evaluation(spark, sf):
     return rates.withColumn("pass_rate", F.round("pass_rate", 6))
 
 
-@workload("required_missing", "J7 J8 X12 M9 A15", """
-with d as (select distinct 'd' || (p_partkey // 200) as doc from part), l as (select 'd' || (p_partkey // 200) as doc, replace(p_name, ' ', '') as norm, cast(min(p_partkey % 200) as integer) as "row" from part group by all),
-r(req_no, find, exact) as (values (0, 'red', false), (1, 'redbolt', true), (2, 'bluegizmo', true), (3, 'zzz', false), (4, 'zz', true)),
-h as (select doc, req_no, count(distinct "row") as n from l join r on case when exact then norm = find else contains(norm, find) end group by all)
-select doc as pair_id, req_no, case when n is null then '올해 파일에서 찾지 못했습니다' else '서로 다른 ' || n || '개 행에 나뉘어 있어 어디서 읽을지 정할 수 없습니다' end as reason
-from d cross join r left join h using (doc, req_no) where n is null or (not exact and n > 1)""")
-def required_missing(spark, sf):
+_MISSING_SQL = """
+d as (select distinct 'd' || (p_partkey // 200) as doc from part), l as (select 'd' || (p_partkey // 200) as doc, replace(p_name, ' ', '') as norm, cast(min(p_partkey % 200) as integer) as "row" from part group by all),
+r(req_no, find, exact, tables) as (values (0, 'red', false, ['TABLE_BASIC']), (1, 'redbolt', true, ['TABLE_ADD', 'TABLE_BASIC']), (2, 'bluegizmo', true, ['TABLE_ADD']), (3, 'zzz', false, ['TABLE_BASIC']), (4, 'zz', true, ['TABLE_BASIC'])),
+h as (select doc, req_no, count(distinct "row") as n from l join r on case when exact then norm = find else contains(norm, find) end group by all),
+m as (select doc as pair_id, req_no, find, tables, case when n is null then '올해 파일에서 찾지 못했습니다' else '서로 다른 ' || n || '개 행에 나뉘어 있어 어디서 읽을지 정할 수 없습니다' end as reason
+  from d cross join r left join h using (doc, req_no) where n is null or (not exact and n > 1))""".replace("TABLE_BASIC", fixed.TABLE_BASIC).replace("TABLE_ADD", fixed.TABLE_ADD)
+
+
+def _missing(spark, sf) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf, "part")
     doc = F.concat(F.lit("d"), F.floor(F.col("p_partkey") / 200).cast("string")).alias("doc_id")
     labels = part.groupBy(doc, F.regexp_replace("p_name", " ", "").alias("norm")).agg(
         F.min(F.col("p_partkey") % 200).cast("int").alias("row")).withColumns({"sheet": F.lit("s"), "col": F.lit(0)})
     pairs = part.select(doc).distinct().select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("base_doc"), F.col("doc_id").alias("target_doc"))
-    wanted = [("red", "s", "v", (fixed.TABLE_BASIC,), False), ("red bolt", "s", "v", (fixed.TABLE_ADD,), True),
+    wanted = [("red", "s", "v", (fixed.TABLE_BASIC,), False), ("red bolt", "s", "v", (fixed.TABLE_ADD, fixed.TABLE_BASIC), True),
               ("blue gizmo", "s", "v", (fixed.TABLE_ADD,), True), ("zzz", "s", "v", (fixed.TABLE_BASIC,), False), ("zz", "s", "v", (fixed.TABLE_BASIC,), True)]
-    return mt.missing_labels(pairs, labels, wanted).select("pair_id", "req_no", "reason")
+    return mt.missing_labels(pairs, labels, wanted), labels
+
+
+@workload("required_missing", "J7 J8 X12", f"""
+with {_MISSING_SQL} select pair_id, req_no, reason, array_to_string(tables, '|') as tables, l."row" as base_row, case when l.norm is not null then 0 end as base_col
+from m left join l on l.doc = m.pair_id and l.norm = m.find""")
+def required_missing(spark, sf):
+    """Required labels that are absent or ambiguous, with the tables they block and their cell last year."""
+    missing, _ = _missing(spark, sf)
+    return missing.select("pair_id", "req_no", "reason", F.array_join("tables", "|").alias("tables"), "base_row", "base_col")
+
+
+@workload("blocked_tables", "A15", f"""
+with {_MISSING_SQL}, t as (select pair_id, req_no, unnest(tables) as "table", generate_subscripts(tables, 1) - 1 as k from m)
+select pair_id, "table", cast(min(req_no * 1000 + k) as bigint) as first_at from t group by pair_id, "table\"""")
+def blocked_tables(spark, sf):
+    """Price tables that missing labels block, with the place that names each first."""
+    missing, _ = _missing(spark, sf)
+    at = F.col("first_seen.req_no").cast("bigint") * 1000 + F.col("first_seen.k")
+    return mt.blocked_tables(missing).select("pair_id", "table", at.alias("first_at"))
+
+
+@workload("item_ids", "M11", """
+select 'L' || p_partkey as norm, 'sheet-' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as item_id
+from (select p_partkey, row_number() over (order by p_partkey) - 1 as n from part)""")
+def item_ids(spark, sf):
+    """Ids of one sheet's items stay apart however many labels it has."""
+    part = table(spark, sf, "part")
+    cells = part.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("doc_id"), F.lit("sheet").alias("sheet"),
+                        F.col("p_partkey").cast("int").alias("row"), F.lit(0).alias("col"), F.lit("str").alias("vtype"),
+                        F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("sval"), F.lit(None).cast("double").alias("nval"),
+                        F.lit(None).cast("string").alias("formula"))
+    pairs = part.limit(1).select(F.lit("p").alias("pair_id"), F.lit("a").alias("base_doc"), F.lit("b").alias("target_doc"))
+    return mt.match_documents(cells, pairs)["items"].select("norm", "item_id")
 
 
 @workload("match_documents", "M10 M11 A2 P3 P4", f"""
