@@ -10,9 +10,10 @@ from tariffloom.functions.text import normalize_label
 from tariffloom.operators.cells import SHEET
 from tariffloom.operators.segment import text_cells
 
-# Row-major position of a cell as one number; the spreadsheet format has 2^20 rows, 2^14 columns.
+# Row-major position of a cell as one number, with room beyond the spreadsheet format (2^20 rows,
+# 2^14 columns): 2^24 rows, 2^18 columns, 2^21 tables of a sheet.
 def position(table_idx, row, col):
-    return (table_idx.cast("bigint") * (1 << 20) + row) * (1 << 14) + col
+    return (table_idx.cast("bigint") * (1 << 24) + row) * (1 << 18) + col
 
 
 def label_cells(tagged: DataFrame, unicode_fold: bool = True) -> DataFrame:

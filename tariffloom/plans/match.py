@@ -19,7 +19,7 @@ from tariffloom.operators.similarity import HybridConfig, rank_candidates
 from tariffloom.session import cut_lineage
 
 PATHS = ("exact", "normalized", "rule_parser")
-POS_PIECE = 1 << 30  # 65,536 rows of 16,384 columns
+POS_PIECE = 1 << 34  # 65,536 rows of 2^18 columns
 
 
 def _keyed(df: DataFrame, block: Sequence[str], *kept: Column) -> DataFrame:
