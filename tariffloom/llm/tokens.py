@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -40,30 +41,56 @@ HOT_SHARE = 1 / 512
 MEMO = 400_000
 #: ASCII white space; every tokenizer here cuts at it, so words can be looked at one by one
 WORDS = re.compile(r"[^ \t-\r]+")
+OTHER_SPACE = re.compile(r"\s")
 
 
 class Pretokens(dict):
     """Word -> its pre-tokens as the tokenizer's own first steps give them.
 
-    A word that holds a special token is one entry marked by a leading NUL (which byte-level
-    pre-tokens never contain) and is encoded as it stands.
+    Words are handed to the tokenizer many at a time with one space between them, where it cuts in
+    any case.  A word that holds a special token is one entry marked by a leading NUL (which
+    byte-level pre-tokens never contain) and is encoded as it stands; a word that holds other
+    white space goes alone.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.normalize = tokenizer.normalizer.normalize_str
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if any(s in word for s in self.special):
-            found = ("\0" + word,)
-        else:
-            found = tuple(p for p, _ in self.split(self.normalize(word)))
+    def learn(self, words: list[str]) -> None:
+        """Cut the words that are not known yet; the memory is bounded by starting anew."""
         if len(self) >= MEMO:
             self.clear()
-        self[word] = found
-        return found
+        new, own = [], self.special.search
+        for word in words:
+            if word in self:
+                continue
+            if own(word):
+                self[word] = ("\0" + word,)
+            elif word.isascii() or not OTHER_SPACE.search(word):
+                new.append(word)
+            else:
+                self[word] = tuple(p for p, _ in self.split(self.normalize(word)))
+        for at in range(0, len(new), 1000):
+            self._cut(new[at:at + 1000])
+
+    def _cut(self, words: list[str]) -> None:
+        text = self.normalize(" ".join(words))
+        parts = text.split(" ")
+        if len(parts) != len(words):
+            for word in words:
+                self[word] = tuple(p for p, _ in self.split(self.normalize(word)))
+            return
+        cut: list[list[str]] = [[] for _ in words]
+        i, end = 0, len(parts[0])
+        for pretoken, (start, _) in self.split(text):
+            while start > end:
+                i += 1
+                end += len(parts[i]) + 1
+            cut[i].append(pretoken)
+        self.update(zip(words, map(tuple, cut), strict=True))
 
 
 def piece_count(tokenizer, pretoken: str) -> int:
@@ -95,47 +122,67 @@ def _unpack(body: bytes, n: int) -> list[bytes]:
     return out
 
 
+def _numbered() -> defaultdict:
+    """A dict that gives each new key the next number."""
+    return defaultdict(count().__next__)
+
+
+def _expand(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of ragged stretches one after the other."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def _chunks(path: str, shards: int):
     """Rows (shard, chunk, head, body): lists of a chunk's pre-tokens, and its documents."""
-    from zlib import crc32
-
-    def close(chunk: int, docs: list, lists: dict[str, array]) -> pd.DataFrame:
-        hot = max(64, HOT_SHARE * sum(map(len, lists.values())))
-        shares = defaultdict(list)
-        for pretoken, places in lists.items():
-            seed = crc32(pretoken.encode())
-            shares[(crc32(struct.pack("<q", chunk), seed) if len(places) > hot else seed) % shards].append((pretoken, places))
+
+    def close(chunk: int, docs: list, words: dict, occurrences: list[np.ndarray], pretokens: Pretokens) -> pd.DataFrame:
         rows = [(chunk % shards, chunk, True, _pack(
             np.array([d or 0 for d, _ in docs], "<i8").tobytes(), bytes(d is None for d, _ in docs), np.array([n for _, n in docs], "<i8").tobytes()))]
-        for shard, own in shares.items():
-            own.sort(key=lambda x: x[0])
-            rows.append((shard, chunk, False, _pack(
-                "\n".join(p for p, _ in own).encode(), np.array([len(a) // 2 for _, a in own], "<u4").tobytes(),
-                np.concatenate([np.frombuffer(a, "u2")[0::2] for _, a in own]).tobytes(),
-                np.concatenate([np.frombuffer(a, "u2")[1::2] for _, a in own]).tobytes())))
+        if words:
+            owner = np.repeat(np.arange(len(docs)), [len(o) for o in occurrences])
+            pair, times = np.unique(np.concatenate(occurrences) << 16 | owner, return_counts=True)
+            pretokens.learn(words)
+            own = [pretokens[w] for w in words]
+            number = _numbered()
+            flat = np.fromiter((number[p] for ps in own for p in ps), np.int64)
+            size = np.array([len(ps) for ps in own], np.int64)
+            word, doc = pair >> 16, pair & 0xFFFF
+            entry = flat[_expand((np.cumsum(size) - size)[word], size[word])]
+            doc, times = np.repeat(doc, size[word]), np.repeat(times, size[word])
+            names = list(number)
+            entries = np.bincount(entry, minlength=len(names))
+            seed = np.fromiter((crc32(n.encode()) for n in names), np.int64, len(names))
+            for i in np.flatnonzero(entries > max(64, HOT_SHARE * len(entry))).tolist():
+                seed[i] = crc32(struct.pack("<q", chunk), int(seed[i]))
+            shard = seed % shards
+            ordered = np.argsort(shard, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[ordered] = np.arange(len(names))
+            order = np.argsort(place[entry], kind="stable")
+            doc, times, entries, shard = doc[order].astype("<u2"), times[order].astype("<u4"), entries[ordered], shard[ordered]
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            ends = np.cumsum(entries)
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(names)], strict=True):
+                cut = slice(int(ends[low - 1]) if low else 0, int(ends[high - 1]))
+                rows.append((int(shard[low]), chunk, False, _pack(
+                    "\n".join(names[i] for i in ordered[low:high].tolist()).encode(), entries[low:high].astype("<u4").tobytes(), doc[cut].tobytes(), times[cut].tobytes())))
         return pd.DataFrame(rows, columns=["shard", "chunk", "head", "body"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pretokens = Pretokens(_load(path))
         chunk = TaskContext.get().partitionId() << 32
-        docs, chars, lists = [], 0, defaultdict(lambda: array("H"))
+        docs, chars, words, occurrences = [], 0, _numbered(), []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                at, text = len(docs), text or ""
+                text = text or ""
                 docs.append((None if pd.isna(doc_id) else int(doc_id), len(text.encode("utf-8", "surrogatepass"))))
                 chars += len(text)
-                for word, n in Counter(WORDS.findall(text)).items():
-                    for pretoken in pretokens[word]:
-                        more, places = n, lists[pretoken]
-                        while more > 0:  # counts beyond two bytes take several entries
-                            places.append(at)
-                            places.append(min(more, 65_535))
-                            more -= 65_535
+                occurrences.append(np.fromiter(map(words.__getitem__, WORDS.findall(text)), np.int64))
                 if chars >= CHUNK_CHARS or len(docs) >= CHUNK_ROWS:
-                    yield close(chunk, docs, lists)
-                    docs, chars, lists, chunk = [], 0, defaultdict(lambda: array("H")), chunk + 1
+                    yield close(chunk, docs, words, occurrences, pretokens)
+                    docs, chars, words, occurrences, chunk = [], 0, _numbered(), [], chunk + 1
         if docs:
-            yield close(chunk, docs, lists)
+            yield close(chunk, docs, words, occurrences, pretokens)
 
     return run
 
@@ -163,7 +210,7 @@ def _shard_sums(path: str):
                     counts.append(n)
                 each = np.repeat(np.array(counts, np.int64), np.frombuffer(sizes, "<u4"))
                 # whole numbers far below 2^53, so exact as doubles
-                sums = np.bincount(np.frombuffer(places, "u2"), each * np.frombuffer(times, "u2").astype(np.int64))
+                sums = np.bincount(np.frombuffer(places, "<u2"), each * np.frombuffer(times, "<u4").astype(np.int64))
                 rows.append((chunk, False, _pack(sums.astype("<i8").tobytes())))
             yield pd.DataFrame(rows, columns=["chunk", "head", "body"])
 
