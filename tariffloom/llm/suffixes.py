@@ -15,7 +15,9 @@ are looked at where they can repeat at all:
    the length of a match falls by one for each byte (the permuted longest-common-prefix array).
    Neighbours that match over ``length`` bytes are one string, and all but its earliest are marked.
 4. Anchors with very many different contexts (a common line amid different text) would fill one
-   task; their strings are hashed one by one and the earliest of each is found by an aggregate.
+   task.  Their strings are put into a few classes by where the anchor stands; all strings of a class
+   hold one core, so only classes whose core is found twice are looked at, and of these the strings
+   are hashed one by one and the earliest of each is found by an aggregate.
 
 Nothing is sampled or cut: both ways give the same marks.
 """
@@ -23,6 +25,7 @@ Nothing is sampled or cut: both ways give the same marks.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffloom.llm.common import bounded_batches, cut_lineage, table
+from tariffloom.llm.common import bounded_batches, cut_lineage, table, written
 from tariffloom.llm.jaccard import SHIPPED_IDS
 
 LENGTH = 100
 GRAM = 20
 HOT_CONTEXTS = 256
+#: classes of the strings over a hot anchor
+CLASSES = 4
+#: open anchors (eight bytes each) that are shipped to all tasks; beyond it they are joined by document
+SHIPPED_GRAMS = 2_000_000
 INDEX_BYTES = 1_000_000
 #: positions looked at together when anchors are chosen
 STRIDE = 1 << 19
@@ -196,97 +203,188 @@ def anchor_rows(docs: DataFrame, length: int, q: int) -> DataFrame:
 def sorted_out(rows: DataFrame) -> DataFrame:
     """``whole`` occurrences (their context stood earlier) and first contexts among others.
 
-    Anchors are streamed in order; only the group at hand's first row is held.
+    Anchors are streamed in order; of the group at hand only the first row and its state are held.
     """
+    names = ["gram", "doc", "part", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = context = first = None
+        last, pending = None, None  # gram and context of the last row; its group's only context so far
         for batch in batches:
-            out = []
-            for row in zip(*(batch[c].tolist() for c in ("gram", "context", "doc", "part", "at")), strict=True):
-                if row[0] != gram:
-                    gram, context, first = row[0], row[1], row
-                elif row[1] == context:
-                    out.append((*row, True))
-                else:
-                    context = row[1]
-                    if first is not None:
-                        out.append((*first, False))
-                        first = None
-                    out.append((*row, False))
-            yield pd.DataFrame(out, columns=["gram", "context", "doc", "part", "at", "whole"])
+            if not len(batch):
+                continue
+            gram, context = batch["gram"].to_numpy(), batch["context"].to_numpy()
+            fresh = np.r_[last is None or gram[0] != last[0], gram[1:] != gram[:-1]]
+            first = fresh | np.r_[last is None or context[0] != last[1], context[1:] != context[:-1]]
+            goes_on = not fresh[0]
+            group = np.cumsum(fresh)
+            contexts = np.bincount(group, first)
+            if goes_on:
+                contexts[0] += 1  # there was a context in an earlier batch
+            open_ = first & (contexts[group] > 1)
+            frames = [batch[names][~first].assign(whole=True), batch[names][open_].assign(whole=False)]
+            if pending is not None and goes_on and contexts[0] > 1:
+                frames.append(pending.assign(whole=False))
+                pending = None
+            if not goes_on or group[-1] > 0:
+                alone = contexts[group[-1]] == 1
+                pending = batch[names][(group == group[-1]) & first] if alone else None
+            last = (gram[-1], context[-1])
+            yield pd.concat(frames)
 
     ordered = rows.repartition("gram").sortWithinPartitions("gram", "context", "doc", "part", "at")
-    return ordered.mapInPandas(run, "gram long, context long, doc long, part long, at long, whole boolean").drop("context")
+    return ordered.mapInPandas(run, "gram long, doc long, part long, at long, whole boolean")
 
 
-def context_bytes(texts: DataFrame, wanted: DataFrame, length: int, q: int) -> DataFrame:
-    """Contexts of the wanted anchors; those of hot anchors as hashes of their strings."""
+def classes(length: int, q: int) -> list[tuple[int, int]]:
+    """Ranges of places (first, last) that the anchor has in the strings of a class."""
+    places = length - q + 1
+    cuts = [places * k // CLASSES for k in range(CLASSES + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _pieces(body: bytes, gram: int, at: int, hot: bool, length: int, q: int) -> list[tuple[int, int, int, bytes | None]]:
+    """``key, start, class, bytes``: the context, or for a hot anchor the cores of its classes."""
+    if not hot:
+        start, end = context_span(at, len(body), length, q)
+        return [(gram, start, start - at - 1, body[start:end])]
+    return [(xxhash.xxh64_intdigest(core, seed=k) - (1 << 63), at, k, None) for k, core in cores(body, at, length, q)]
+
+
+def cores(body: bytes, at: int, length: int, q: int) -> list[tuple[int, bytes]]:
+    """For each class with a whole string over the anchor, the bytes that all its strings hold."""
+    found = []
+    for k, (low, high) in enumerate(classes(length, q)):
+        # strings of the class begin at ``at - high .. at - low``, as far as the text goes
+        if max(0, at - high) <= min(at - low, len(body) - length):
+            found.append((k, body[at - low:max(0, at - high + length)]))
+    return found
+
+
+def context_bytes(texts: DataFrame, open_: DataFrame, grams: DataFrame, length: int, q: int, shipped: int) -> DataFrame:
+    """Contexts of open anchors (``class`` is minus one minus the anchor's place in them), and the
+    cores of hot ones (``class`` from 0 on).
+
+    A small table of open grams is shipped and the anchors are chosen again beside the text; that
+    also brings contexts that stood earlier, whose strings are marked twice then.  A large one is
+    joined by document.
+    """
+    names, schema = ["key", "doc", "part", "start", "class", "body"], "key long, doc long, part long, start long, class int, body binary"
+    if grams.count() <= shipped:
+        table_ = grams.toPandas().sort_values("gram")
+        known, hot = table_["gram"].to_numpy(), table_["hot"].to_numpy()
+
+        def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for doc, part, text in zip(batch["doc"], batch["part"], batch["text"], strict=True):
+                    body = _body(text)
+                    at, gram = anchors(np.frombuffer(body, np.uint8), length, q)
+                    gram = gram.view(np.int64)
+                    slot = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+                    for i in np.flatnonzero(known[slot] == gram).tolist() if len(known) and len(gram) else ():
+                        rows += [(k, doc, part, s, c, b) for k, s, c, b in _pieces(body, int(gram[i]), int(at[i]), bool(hot[slot[i]]), length, q)]
+                yield pd.DataFrame(rows, columns=names)
+
+        return texts.mapInPandas(beside, schema)
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, part, text, own in zip(batch["doc"], batch["part"], batch["text"], batch["wanted"], strict=True):
                 body = _body(text)
                 for a in own:
-                    start, end = context_span(a["at"], len(body), length, q)
-                    if not a["hot"]:
-                        rows.append((a["gram"], doc, part, start, body[start:end]))
-                    else:
-                        rows += [(xxhash.xxh64_intdigest(body[s:s + length]) - (1 << 63), doc, part, s, None) for s in range(start, end - length + 1)]
-            yield pd.DataFrame(rows, columns=["key", "doc", "part", "start", "body"])
+                    rows += [(k, doc, part, s, c, b) for k, s, c, b in _pieces(body, a["gram"], a["at"], a["hot"], length, q)]
+            yield pd.DataFrame(rows, columns=names)
+
+    by_doc = open_.join(grams, "gram").groupBy("doc", "part").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted"))
+    return texts.join(by_doc, ["doc", "part"]).mapInPandas(joined, schema)
 
-    by_doc = wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted"))
-    return texts.join(by_doc, ["doc", "part"]).mapInPandas(run, "key long, doc long, part long, start long, body binary")
 
+def hashed_marks(texts: DataFrame, cores: DataFrame, length: int, q: int, shipped: int) -> DataFrame:
+    """Stretches of strings over hot anchors that start earlier, among classes with a repeated core."""
+    twice = cores.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    wanted = written(cores.join(twice, "key").select("doc", "part", "start", "class"))
+    ranges = classes(length, q)
 
-def index_marks(contexts: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, part, text, own in zip(batch["doc"], batch["part"], batch["text"], batch["wanted"], strict=True):
+                body = _body(text)
+                starts = sorted({s for a in own for s in range(max(0, a["start"] - ranges[a["class"]][1]), min(a["start"] - ranges[a["class"]][0], len(body) - length) + 1)})
+                rows += [(xxhash.xxh64_intdigest(body[s:s + length]) - (1 << 63), doc, part, s) for s in starts]
+            yield pd.DataFrame(rows, columns=["key", "doc", "part", "start"])
+
+    by_doc = wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "class")).alias("wanted"))
+    own = near_ids(texts, wanted.select("doc").distinct(), shipped).join(by_doc, ["doc", "part"])
+    hashed = written(own.mapInPandas(strings, "key long, doc long, part long, start long"))
+    earliest = hashed.groupBy("key").agg(F.min(F.struct("doc", "part", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = hashed.join(earliest, "key").filter(F.struct("doc", "part", "start") > F.col("first"))
+    return later.select("doc", "part", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+
+
+def with_shared_cores(rows: list[tuple], length: int, q: int) -> list[tuple]:
+    """The contexts of one anchor that share a core with another; of equal ones the earliest.
+
+    Later equal contexts are removed whole anyway.
+    """
+    earliest: dict[tuple[int, bytes], tuple] = {}
+    for r in rows:
+        known = earliest.get((r[4], r[5]))
+        if known is None or r[1:4] < known[1:4]:
+            earliest[r[4], r[5]] = r
+    rows = list(earliest.values())
+    own = [[(r[0], k, core) for k, core in cores(r[5], -1 - r[4], length, q)] for r in rows]
+    seen = Counter(core for found in own for core in found)
+    return [r for r, found in zip(rows, own, strict=True) if any(seen[core] > 1 for core in found)]
+
+
+def index_marks(contexts: DataFrame, length: int, q: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``doc, part, low, high``: stretches to remove, from run-length indexes over whole anchor groups."""
 
     def marks(rows: list[tuple]) -> pd.DataFrame:
         # an order over documents and places that leaves room for every place of a text
         docs = sorted({(r[1], r[2]) for r in rows})
-        room = max(r[3] + len(r[4]) for r in rows) + 1
+        room = max(r[3] + len(r[5]) for r in rows) + 1
         number = {d: i * room for i, d in enumerate(docs)}
-        index = RunLengthIndex([r[4] for r in rows], np.array([number[r[1], r[2]] + r[3] for r in rows], np.int64), length)
+        index = RunLengthIndex([r[5] for r in rows], np.array([number[r[1], r[2]] + r[3] for r in rows], np.int64), length)
         repeated, _ = index.repeated()
         out, at = [], 0
-        for _, doc, part, start, body in rows:
+        for _, doc, part, start, _, body in rows:
             own = np.flatnonzero(repeated[at:at + len(body)])
             out += [(doc, part, start + low, start + high) for low, high in _runs(own, length)]
             at += len(body)
         return pd.DataFrame(out, columns=["doc", "part", "low", "high"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, key = [], 0, None
+        held, size, group = [], 0, []
         for batch in batches:
-            for row in zip(*(batch[c].tolist() for c in ("key", "doc", "part", "start", "body")), strict=True):
-                if row[0] != key and size >= index_bytes:
-                    yield marks(held)
-                    held, size = [], 0
-                key = row[0]
-                held.append(row)
-                size += len(row[4])
+            for row in zip(*(batch[c].tolist() for c in ("key", "doc", "part", "start", "class", "body")), strict=True):
+                if group and row[0] != group[0][0]:
+                    kept = with_shared_cores(group, length, q)
+                    held.extend(kept)
+                    size, group = size + sum(len(r[5]) for r in kept), []
+                    if size >= index_bytes:
+                        yield marks(held)
+                        held, size = [], 0
+                group.append(row)
+        held.extend(with_shared_cores(group, length, q))
         if held:
             yield marks(held)
 
     return contexts.repartition("key").sortWithinPartitions("key").mapInPandas(run, "doc long, part long, low long, high long")
 
 
-def repeated_stretches(docs: DataFrame, length: int = LENGTH, q: int = GRAM, hot: int = HOT_CONTEXTS, shipped: int = SHIPPED_IDS) -> DataFrame:
-    """``doc, part, low, high`` (bytes) covering all that is removed; stretches may overlap."""
-    found = cut_lineage(sorted_out(anchor_rows(docs, length, q)))
+def repeated_stretches(docs: DataFrame, length: int = LENGTH, q: int = GRAM, hot: int = HOT_CONTEXTS, shipped: int = SHIPPED_IDS,
+                       shipped_grams: int = SHIPPED_GRAMS) -> DataFrame:
+    """``doc, part, low, high`` (bytes) covering all that is removed; stretches may overlap and repeat."""
+    found = written(sorted_out(anchor_rows(docs, length, q)))
     whole = found.filter("whole").select("doc", "part", F.greatest(F.lit(0), F.col("at") - (length - q)).alias("low"), (F.col("at") + length).alias("high"))
     open_ = found.filter("not whole").drop("whole")
-    many = open_.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
-    wanted = open_.join(many, "gram")
-    texts = near_ids(docs, open_.select("doc").distinct(), shipped)
-    contexts = cut_lineage(context_bytes(texts, wanted, length, q))
-    indexed = index_marks(contexts.filter("body is not null"), length)
-    strings = contexts.filter("body is null").select("key", "doc", "part", "start")
-    earliest = strings.groupBy("key").agg(F.min(F.struct("doc", "part", "start")).alias("first"))
-    later = strings.join(earliest, "key").filter(F.struct("doc", "part", "start") > F.col("first"))
-    hashed = later.select("doc", "part", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+    grams = cut_lineage(open_.groupBy("gram").agg((F.count("*") > hot).alias("hot")))
+    contexts = written(context_bytes(docs, open_, grams, length, q, shipped_grams))
+    indexed = index_marks(contexts.filter("class < 0"), length, q)
+    hashed = hashed_marks(docs, contexts.filter("class >= 0"), length, q, shipped)
     return whole.unionAll(indexed).unionAll(hashed)
 
 
@@ -297,7 +395,7 @@ def near_ids(docs: DataFrame, ids: DataFrame, shipped: int, how: str = "left_sem
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = GRAM, hot: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text",
-                   shipped: int = SHIPPED_IDS) -> DataFrame:
+                   shipped: int = SHIPPED_IDS, shipped_grams: int = SHIPPED_GRAMS) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans`` and the kept bytes (``kept``).
 
     Documents come in the order of their ids, null last; texts under one id in the order of a
@@ -310,9 +408,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = GRAM, hot: in
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"),
         F.xxhash64(text_col).alias("part"), F.col(text_col).alias("text"))
     texts = own.drop("doc_id")
-    stretches = cut_lineage(repeated_stretches(texts, length, q, hot, shipped).distinct())
-    by_doc = stretches.groupBy("doc", "part").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
-    touched = stretches.select("doc").distinct()
+    stretches = repeated_stretches(texts, length, q, hot, shipped, shipped_grams)
+    by_doc = written(stretches.groupBy("doc", "part").agg(F.collect_list(F.struct("low", "high")).alias("cuts")))
+    touched = by_doc.select("doc").distinct()
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for series, cuts in batches:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tariffloom.llm.components import component_labels
-from tariffloom.llm.jaccard import Scheme, jaccard_components, one_of_each
+from tariffloom.llm.jaccard import Scheme, folded, jaccard_components, one_of_each, parity_sketch
 
 
 def shingles(text, words):
@@ -96,3 +96,16 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in component_labels(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_elements():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, int(rng.integers(0, 200))).astype(np.uint64)])
+        x, y = parity_sketch(a, 80), parity_sketch(b, 80)
+        words = min(len(x), len(y)) // 8
+        differ = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0

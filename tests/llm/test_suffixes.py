@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tariffloom.llm.suffixes import RunLengthIndex, anchors, remove_repeats
+from tariffloom.llm.suffixes import RunLengthIndex, anchors, cores, remove_repeats
 
 
 def brute(bodies, length):
@@ -34,10 +34,10 @@ def corpus():
     return docs + docs[4:12]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_removal_equals_brute_force(texts, hot):
+@pytest.mark.parametrize(("hot", "grams"), [(256, 2_000_000), (1, 2_000_000), (256, 0), (1, 0)])
+def test_removal_equals_brute_force(texts, hot, grams):
     docs = corpus()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(texts(enumerate(docs)), hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(texts(enumerate(docs)), hot=hot, shipped_grams=grams).collect()}
     assert [got[i] for i in range(len(docs))] == brute([(t or "").encode() for t in docs], 100)
 
 
@@ -71,3 +71,11 @@ def test_odd_rows(odd):
     assert got[4].n_bytes == 150_000 and got[4].n_removed == 149_995 and got[4].n_spans == 1
     assert got[1].n_bytes == 0 and got[5].n_removed == 0
     assert remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_strings_over_an_anchor_hold_the_core_of_their_class():
+    body = bytes(random.Random(3).choice(b"abcd") for _ in range(230))
+    for at in (0, 5, 60, 81, 120, 199, 210):
+        found = dict(cores(body, at, 100, 20))
+        for s in range(max(0, at - 80), min(at, len(body) - 100) + 1):
+            assert any(core in body[s:s + 100] and len(core) >= 79 for core in found.values())
