@@ -384,7 +384,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, q: int = GRAM, hot
     grams = cut_lineage(open_.groupBy("gram").agg((F.count("*") > hot).alias("hot")))
     contexts = written(context_bytes(docs, open_, grams, length, q, shipped_grams))
     indexed = index_marks(contexts.filter("class < 0"), length, q)
-    hashed = hashed_marks(docs, contexts.filter("class >= 0"), length, q, shipped)
+    # of hot anchors only first contexts count, as later ones are removed whole
+    first = open_.join(grams.filter("hot"), "gram").select("doc", "part", F.col("at").alias("start"))
+    hashed = hashed_marks(docs, contexts.filter("class >= 0").join(first, ["doc", "part", "start"], "left_semi"), length, q, shipped)
     return whole.unionAll(indexed).unionAll(hashed)
 
 
