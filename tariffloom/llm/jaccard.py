@@ -14,7 +14,9 @@ The size that parts light from heavy is the one with the least total cost under
 Copies with equal sets are one node.  Linked sets are wanted as components, so pairs that are
 already in one component need no test: rounds of star pairs (every member of a list against one
 pivot) are tested first, and after them all remaining pairs of a list that lie in different
-components, so that no link is lost.  Elements and sets are known by 64-bit hashes.
+components, so that no link is lost.  A set carries a parity sketch: each element flips one bit, so
+two sketches differ in no more bits than the sets in elements, and pairs whose sketches differ in
+more than a link allows are left out without a loss.  Elements and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ from tariffloom.llm.common import bounded_batches, cut_lineage, table
 from tariffloom.llm.components import component_labels
 
 WORDS, PERCENT = 3, 90
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: list entries are dealt, sorted, and tested against others of their list; subsets mostly stand alone
 SCAN_COST = 4
 LARGEST_LIGHT = 48
+#: sets in a tile of a family
+TILE = 256
 #: ids (eight bytes each) that may be broadcast; more are joined by shuffling
 SHIPPED_IDS = 200_000
 MEMO = 1_000_000
@@ -81,6 +85,25 @@ def set_mark(elements: np.ndarray) -> int:
     return int(_mixed(total).view(np.int64)[0])
 
 
+def differences_allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Elements in which linked sets of these sizes may differ; below 0 if the sizes rule a link out."""
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return np.where(fits, (n + m) * (100 - percent) // (100 + percent), -1)
+
+
+def parity_sketch(elements: np.ndarray, percent: int) -> bytes:
+    """Bits flipped by the elements; six times as many bits as differences a link may have, or more."""
+    need = max(64, 12 * len(elements) * (100 - percent) // (100 + percent))
+    bits = 1 << (need - 1).bit_length()
+    flips = np.bincount((_mixed(elements + _B) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch that a smaller number of 64-bit words would have given."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "<u8").reshape(-1, words), axis=0)
+
+
 class Scheme:
     """Sizes, blocks and subsets for a threshold in per cent."""
 
@@ -229,29 +252,49 @@ def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
     return met.groupBy(F.col("mark").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(seed))).alias("a"))
 
 
-def open_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of sets that share a list and are in different components."""
-
-    def pairs(marks: list[int], labels: list[int]) -> Iterator[pd.DataFrame]:
-        own, label = np.array(marks), np.array(labels)
-        for i in range(1, len(own)):
-            other = label[:i] != label[i]
-            if other.any():
-                yield pd.DataFrame({"a": np.minimum(own[:i][other], own[i]), "b": np.maximum(own[:i][other], own[i])})
+def likely_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs of whole lists in different components whose sketches leave a link possible."""
+    key, sketch = rows["key"].to_numpy(), rows["sketch"].to_numpy()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    words = np.repeat(np.minimum.reduceat([len(x) // 8 for x in sketch], first), size)
+    rank = np.arange(len(key)) - np.repeat(first, size)
+    for width in np.unique(words).tolist():
+        at = np.flatnonzero(words == width)  # whole lists, in order
+        bits = np.stack([folded(sketch[i], width) for i in at])
+        mark, label, n = (rows[c].to_numpy()[at] for c in ("mark", "label", "n"))
+        own = rank[at]
+        for step in range(1, int(own.max()) + 1):
+            later = np.flatnonzero(own >= step)
+            for cut in range(0, len(later), 50_000):
+                i = later[cut:cut + 50_000]
+                j = i - step
+                i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                fit = differ <= differences_allowed(n[i], n[j], percent)
+                if fit.any():
+                    a, b = mark[i[fit]], mark[j[fit]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def open_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets that share a list, are in different components and may be linked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, marks, labels = None, [], []
+        held = None
         for batch in batches:
-            for k, m, x in zip(batch["key"].tolist(), batch["mark"].tolist(), batch["label"].tolist(), strict=True):
-                if k != key:
-                    yield from pairs(marks, labels)
-                    key, marks, labels = k, [], []
-                marks.append(m)
-                labels.append(x)
-        yield from pairs(marks, labels)
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = rows["key"].to_numpy()
+            done = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
+            if done:
+                yield from likely_pairs(rows[:done], percent)
+            held = rows[done:]
+        if held is not None and len(held):
+            yield from likely_pairs(held.reset_index(drop=True), percent)
 
     mixed = lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    return lists.join(mixed, "key").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    told = lists.join(mixed, "key").join(sets.select("mark", "n", "sketch"), "mark")
+    return told.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, shipped: int = SHIPPED_IDS) -> DataFrame:
@@ -259,22 +302,54 @@ def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, shipped: int
     return docs.join(F.broadcast(ids) if ids.count() <= shipped else ids, column, how)
 
 
+def possible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave a link possible."""
+
+    def possible(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for left, right, n, m in batches:
+            allowed = differences_allowed(n.to_numpy(), m.to_numpy(), percent)
+            out = np.zeros(len(left), bool)
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                words = min(len(x), len(y)) // 8
+                out[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= allowed[i]
+            yield pd.Series(out)
+
+    side = lambda end: sets.select(F.col("mark").alias(end), *[F.col(c).alias(c + end) for c in ("n", "sketch")])
+    told = pairs.join(side("a"), "a").join(side("b"), "b")
+    return told.filter(F.pandas_udf(possible, "boolean")("sketcha", "sketchb", "na", "nb")).select("a", "b")
+
+
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold, by counting shared elements."""
+    """The pairs whose sets reach the threshold, by counting shared elements.
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.Series(out, dtype=bool)
+    A set in many pairs is not sent once for each: sets are put into families by the smallest name
+    within two steps, families into tiles of bounded size, and a task gets two tiles and the pairs
+    between them.  Families only say what travels together; any would give the same pairs.
+    """
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("near"))
+    far = both.join(near.select(F.col("a").alias("b"), "near"), "b").groupBy("a").agg(F.min("near").alias("family"))
+    sizes = far.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    tiles = cut_lineage(far.join(sizes, "family").select(F.col("a").alias("mark"), F.xxhash64("family", F.pmod(F.xxhash64("a"), "tiles")).alias("tile")))
+    cells = max(1, tiles.count() // TILE)
+    of = lambda end: tiles.select(F.col("mark").alias(end), F.col("tile").alias("tile" + end))
+    cell = F.pmod(F.xxhash64(F.least("tilea", "tileb"), F.greatest("tilea", "tileb")), F.lit(cells)).alias("cell")
+    placed = cut_lineage(pairs.join(of("a"), "a").join(of("b"), "b").select(cell, "a", "b"))
+    members = placed.select(F.col("cell").alias("home"), F.explode(F.array("a", "b")).alias("mark")).distinct().join(sets.select("mark", "elements"), "mark")
+
+    def reached(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        elements = {m: np.frombuffer(e, "<u8") for m, e in zip(own["mark"].tolist(), own["elements"], strict=True)}
+        out = []
+        for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
+            x, y = elements[a], elements[b]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    a = pairs.join(sets.select(F.col("mark").alias("a"), F.col("elements").alias("ea"), F.col("n").alias("na")), "a")
-    b = a.join(sets.select(F.col("mark").alias("b"), F.col("elements").alias("eb"), F.col("n").alias("nb")), "b")
-    fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return b.filter(fit).filter(F.pandas_udf(run, "boolean")("ea", "eb")).select("a", "b")
+    return members.groupBy("home").cogroup(placed.groupBy("cell")).applyInPandas(reached, "a long, b long")
 
 
 def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int, rounds: int = STAR_ROUNDS) -> DataFrame | None:
@@ -290,17 +365,18 @@ def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int,
         shingles = Shingler(words)
         for batch in batches:
             own = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"mark": [set_mark(s) for s in own], "n": [len(s) for s in own], "elements": [s.astype("<u8").tobytes() for s in own]})
+            yield pd.DataFrame({"mark": [set_mark(s) if len(s) else 0 for s in own], "n": [len(s) for s in own],
+                                "elements": [s.astype("<u8").tobytes() for s in own], "sketch": [parity_sketch(s, percent) for s in own]})
 
     texts = by_ids(docs.select("doc_id", "text").filter("text is not null"), wanted.select("doc_id"), "doc_id", "left_semi")
-    read = texts.mapInPandas(elements, "mark long, n long, elements binary").filter("n > 0")
+    read = texts.mapInPandas(elements, "mark long, n long, elements binary, sketch binary").filter("n > 0")
     sets = cut_lineage(read.dropDuplicates(["mark"]).join(candidates, "mark", "left_semi"))
 
     links, tested, labels = None, None, None
     for seed in range(rounds + 1):
         here = lists.withColumn("label", F.col("mark")) if labels is None else (
             lists.join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark")))
-        pairs = star_pairs(here, seed) if seed < rounds else open_pairs(here)
+        pairs = star_pairs(here, seed) if seed < rounds else open_pairs(here, sets, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
@@ -308,7 +384,8 @@ def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int,
                 continue
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
-        found = cut_lineage(linked_pairs(pairs, sets, percent))
+        likely = cut_lineage(possible_pairs(pairs, sets, percent)) if seed < rounds else pairs
+        found = cut_lineage(linked_pairs(likely, sets, percent))
         if found.limit(1).count():
             links = found if links is None else links.unionAll(found)
             labels = component_labels(links)
