@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tariffloom.session import cut_lineage, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\f\r"
 
-__all__ = ["ASCII_SPACE", "WORD", "bounded_batches", "cut_lineage", "group_key", "table", "text_of", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "bounded_batches", "cut_lineage", "group_key", "release", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,3 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop plans and broadcast tables that nothing refers to any more.
+
+    Iterations of many small jobs fill a small driver otherwise: what they broadcast is only
+    cleaned up after a full collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffloom.llm.common import bounded_batches, cut_lineage, table
+from tariffloom.llm.common import bounded_batches, cut_lineage, release, table
 from tariffloom.llm.components import component_labels
 
 WORDS, PERCENT = 3, 90
@@ -389,6 +389,7 @@ def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int,
         if found.limit(1).count():
             links = found if links is None else links.unionAll(found)
             labels = component_labels(links)
+        release(docs.sparkSession)
     return labels
 
 
