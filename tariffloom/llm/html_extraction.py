@@ -136,21 +136,25 @@ def _key(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}") - (1 << 63)
 
 
-def page_tokens(html: str) -> tuple[dict[int, int], set[int]]:
-    """Token -> occurrences on the page, and which of them are texts that a template may hold."""
+def page_tokens(html: str) -> tuple[dict[int, int], set[int], int]:
+    """Token -> occurrences on the page, which of them are texts, and a hash of all its texts."""
     found, paths = blocks(html)
     tokens = Counter({_key("tag", p): n for p, n in paths.items() if n})
     tokens[_key("tag", "")] = 1
-    texts = Counter(_key("text", path, text) for path, text, content, furniture in found if not content and not furniture)
-    return tokens + texts, set(texts)
+    texts = Counter(_key("text", path, text) for path, text, _, furniture in found if not furniture)
+    return tokens + texts, set(texts), _key("page", "", "\n".join(text for _, text, _, furniture in found if not furniture))
 
 
 def main_text(html: str, template: frozenset[int] | set[int]) -> str:
-    """The slots' blocks in page order; those of an article or main element if there are any."""
-    open_slots = [(text, content) for path, text, content, furniture in blocks(html)[0]
-                  if not furniture and (content or _key("text", path, text) not in template)]
-    inside = [text for text, content in open_slots if content]
-    return "\n".join(inside or [text for text, _ in open_slots])
+    """The slots' blocks in page order.
+
+    Where an article or main element holds at least half of the slots' text, only its blocks are taken.
+    """
+    slots = [(text, content) for path, text, content, furniture in blocks(html)[0]
+             if not furniture and _key("text", path, text) not in template]
+    inside = [text for text, content in slots if content]
+    whole = 2 * sum(map(len, inside)) < sum(len(text) for text, _ in slots)
+    return "\n".join([text for text, _ in slots] if whole else inside)
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
@@ -161,8 +165,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page, html in zip(batch["host"], batch["page"], batch["html"], strict=True):
                 html = html or ""
-                content = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63)
-                counts, texts = page_tokens(html)
+                counts, texts, content = page_tokens(html)
                 rows += [(host, t, t in texts, xxhash.xxh64_intdigest(f"{page}\0{n}") - (1 << 63), content) for t, n in counts.items()]
             yield pd.DataFrame(rows, columns=["host", "token", "is_text", "place", "content"])
 

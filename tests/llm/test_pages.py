@@ -42,3 +42,18 @@ def test_pages_hold_their_documents(spark):
     for r in got:
         want = [" ".join(x.split()) for x in texts[int(re.search(r"/(\d+)", r.url.split("://")[1])[1])].split("\n")]
         assert r.text.split("\n")[1:] == [x for x in want if x]
+
+
+def test_unmarked_adverts_in_articles_are_template(spark):
+    page = lambda i, body: f"<body><p>{'menu ' * (i % 3)}</p><article><h1>title {i}</h1><p>{body}<div><p>Buy our lamps</p></div></article></body>"
+    rows = [(i, f"http://adverts.example/{i}", page(i, f"own text {i}")) for i in range(6)]
+    # one article on pages that differ in their menus only is no template
+    rows += [(10 + i, f"http://copies.example/{i}", f"<nav>{i}</nav><article><p>the same article</p></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"title {i}\nown text {i}" for i in range(6)]
+    assert [got[10 + i] for i in range(4)] == ["the same article"] * 4
+
+
+def test_main_text_beside_a_small_article_stays():
+    assert main_text(f"<div><p>{'long ' * 9}</p></div><article><p>teaser</p></article>", set()) == " ".join(["long"] * 9) + "\nteaser"
+    assert main_text(f"<div><p>teaser</p></div><main><p>{'long ' * 9}</p></main>", set()) == " ".join(["long"] * 9)
