@@ -204,12 +204,21 @@ def sorted_out(rows: DataFrame) -> DataFrame:
     """``whole`` occurrences (their context stood earlier) and first contexts among others.
 
     Anchors are streamed in order; of the group at hand only the first row and its state are held.
+    An anchor that several rows bring for one place (equal rows with one id) counts once.
     """
     names = ["gram", "doc", "part", "at"]
+    place = ["gram", "context", "doc", "part", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, pending = None, None  # gram and context of the last row; its group's only context so far
+        before = None  # place of the last row
         for batch in batches:
+            if not len(batch):
+                continue
+            places = batch[place].to_numpy()
+            new = np.r_[before is None or (places[0] != before).any(), (places[1:] != places[:-1]).any(axis=1)]
+            before = places[-1].copy()
+            batch = batch[new].reset_index(drop=True)
             if not len(batch):
                 continue
             gram, context = batch["gram"].to_numpy(), batch["context"].to_numpy()
