@@ -34,7 +34,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer|signature", re.I | re.A)
 #: a number alone is no key
-CANDIDATE = re.compile(r"(?=[0-9+/_=~-]*[A-Za-z])[A-Za-z0-9+/_=~-]{16,}")
+CANDIDATE = re.compile(r"(?=[0-9+/_=~-]*[A-Za-z])[A-Za-z0-9+/_=~-]{8,}")
+#: candidates below this length must look random, as words of a text are novel too
+LONG = 16
+#: the next part of a secret in parts: after a point or a line feed, plain or spelled out
+FOLLOWS = re.compile(r"(?:\.|[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_=~-]+)")
 #: names joined by _ . - and camel case; digits are left out, so that a secret copied a
 #: thousand times does not become a known name
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,20}(?:[_.-][A-Za-z]{2,20}){1,4}|[a-z]{2,20}(?:[A-Z][a-z]{1,20}){1,4})(?![A-Za-z0-9])")
@@ -64,19 +68,43 @@ def marginal_bytes(pack, before: str, candidate: str, after: str) -> int:
     return len(pack(encode(before + candidate + after))) - len(pack(encode(before + after)))
 
 
+def _candidate(string: str) -> bool:
+    """Long, or with digits, or with many capitals after small letters."""
+    return CANDIDATE.fullmatch(string) is not None and (
+        len(string) >= LONG or re.search("[0-9]", string) is not None or 4 * len(re.findall("[a-z](?=[A-Z])", string)) >= len(string))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], pack, novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates after a sensitive word that overlap no base span and are nearly incompressible."""
+    """Candidates after a sensitive word that overlap no base span and are nearly incompressible.
+
+    The parts that follow a candidate directly (the next lines of a key, the next parts of a token)
+    are candidates too, however far the word is; a short end with padding goes with a secret.
+    """
     found: dict[tuple[int, int], bool] = {}
+
+    def measure(start: int, end: int) -> bool:
+        if (start, end) not in found:
+            free = all(end <= s or e <= start for s, e, _ in taken)
+            found[start, end] = free and marginal_bytes(
+                pack, text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND]) >= novelty * (end - start)
+        return found[start, end]
+
     for word in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, word.end()):
             start, end = m.span()
             if start > word.end() + REACH:
                 break
-            if (start, end) in found:
+            if (start, end) in found or not _candidate(m[0]):
                 continue
-            free = all(end <= s or e <= start for s, e, _ in taken)
-            found[start, end] = free and marginal_bytes(
-                pack, text[max(0, start - AROUND):start], m[0], text[end:end + AROUND]) >= novelty * (end - start)
+            secret = measure(start, end)
+            while (part := FOLLOWS.match(text, end)) and part.span(1) not in found:
+                end = part.end(1)
+                if _candidate(part[1]):
+                    secret = measure(*part.span(1))
+                else:
+                    if secret and len(part[1]) < LONG and part[1].endswith("="):
+                        found[part.span(1)] = all(end <= s or e <= part.start(1) for s, e, _ in taken)
+                    break
     return [(s, e, "novel") for (s, e), secret in found.items() if secret]
 
 
