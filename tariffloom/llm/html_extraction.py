@@ -3,7 +3,7 @@
 Every page becomes tokens: element paths, and the texts of its blocks.  Tokens of a host that
 occur equally often on the same pages (equal occurrence vectors) form an equivalence class.  A
 class is valid when it holds a structural token, spans several pages that are not all copies of
-one, and nests: its texts lie under paths that are part of the template.  Texts in valid classes
+one, and nests: a text of it is template where it lies under an element of its own class.  Such texts
 are part of the template; what remains are the slots, and the main text is read from them, leaving
 out those that the template's own names (``nav``, ``footer``, ``class="ad"``) mark as furniture.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html import unescape
 
 import pandas as pd
@@ -44,9 +44,9 @@ FURNITURE_WORDS = frozenset(
     "disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted "
     "promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 
-#: a class counts as template on at least so many pages, and so large a share of the host's
-SUPPORT, SUPPORT_SHARE = 3, 0.1
-#: template texts (eight bytes each) that are shipped to all tasks; beyond it they are joined by host
+#: a class counts as template on at least so many pages
+SUPPORT = 3
+#: template tokens and classes (eight bytes each) that are shipped to all tasks; beyond it they are joined by host
 SHIPPED = 500_000
 
 
@@ -145,20 +145,35 @@ def page_tokens(html: str) -> tuple[dict[int, int], set[int], int]:
     return tokens + texts, set(texts), _key("page", "", "\n".join(text for _, text, _, furniture in found if not furniture))
 
 
-def main_text(html: str, template: frozenset[int] | set[int]) -> str:
-    """The slots' blocks in page order.
+def nested(path: str, group: int, template: Mapping[int, int]) -> bool:
+    """Is the path, or one above it, a structural token of the class?"""
+    while template.get(_key("tag", path)) != group:
+        if not path:
+            return False
+        path = path.rpartition("/")[0]
+    return True
+
+
+def main_text(html: str, template: Mapping[int, int] | set[int]) -> str:
+    """The slots' blocks in page order; the template has the class of each of its tokens.
 
     Where an article or main element holds at least half of the slots' text, only its blocks are taken.
     """
-    slots = [(text, content) for path, text, content, furniture in blocks(html)[0]
-             if not furniture and _key("text", path, text) not in template]
+    template = template or {}
+    slots = []
+    for path, text, content, furniture in blocks(html)[0]:
+        group = None if furniture else template.get(_key("text", path, text))
+        if not furniture and (group is None or not nested(path, group, template)):
+            slots.append((text, content))
     inside = [text for text, content in slots if content]
     whole = 2 * sum(map(len, inside)) < sum(len(text) for text, _ in slots)
     return "\n".join([text for text, _ in slots] if whole else inside)
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """``host, texts``: the template texts of each host, from pages with ``host, page, html``."""
+    """``host, tokens, classes``: the template's tokens of each host and their classes (the vectors),
+    from pages with ``host, page, html``.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,11 +189,11 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.max("is_text").alias("is_text"), F.bit_xor("place").alias("vector"), F.count("*").alias("pages"),
         F.min("content").alias("low"), F.max("content").alias("high")).filter(f"pages >= {SUPPORT} and low <> high")
     vectors = cut_lineage(vectors)
-    whole = vectors.groupBy("host").agg(F.max("pages").alias("all"))
-    classes = vectors.groupBy("host", "vector").agg(
-        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.max(~F.col("is_text")).alias("framed"), F.max("pages").alias("pages"))
-    valid = classes.filter(F.col("framed") & (F.size("texts") > 0)).join(whole, "host").filter(F.col("pages") >= SUPPORT_SHARE * F.col("all"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    classes = vectors.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("is_text").alias("holds"), F.max(~F.col("is_text")).alias("framed"))
+    valid = classes.filter("framed and holds").select("host", "tokens", F.expr("array_repeat(vector, size(tokens))").alias("classes"))
+    # both lists come from one list of structs, so that they stay in step
+    return valid.groupBy("host").agg(F.collect_list(F.struct("tokens", "classes")).alias("all")).select(
+        "host", F.flatten("all.tokens").alias("tokens"), F.flatten("all.classes").alias("classes"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shipped: int = SHIPPED) -> DataFrame:
@@ -194,18 +209,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     templates = cut_lineage(host_templates(own.select("host", F.coalesce(F.col("page_id").cast("string"), "url", F.lit("")).alias("page"), "html")))
-    size = templates.agg(F.sum(F.size("texts") + 8)).first()[0] or 0
-    known = {r["host"]: frozenset(r["texts"]) for r in templates.collect()} if size <= shipped else None
+    size = templates.agg(F.sum(2 * F.size("tokens") + 8)).first()[0] or 0
+    known = {r["host"]: dict(zip(r["tokens"], r["classes"], strict=True)) for r in templates.collect()} if size <= shipped else None
 
     def read(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for hosts, htmls, texts in batches:
+        for hosts, htmls, tokens, classes in batches:
             yield pd.Series([
-                main_text(html or "", known.get(h, frozenset()) if known is not None else set(() if t is None else t))
-                for h, html, t in zip(hosts, htmls, texts, strict=True)], dtype=object)
+                main_text(html or "", known.get(h, {}) if known is not None else {} if t is None else dict(zip(t, c, strict=True)))
+                for h, html, t, c in zip(hosts, htmls, tokens, classes, strict=True)], dtype=object)
 
-    joined = own.withColumn("texts", F.lit(None).cast("array<long>")) if known is not None else own.join(templates, "host", "left")
+    none = F.lit(None).cast("array<long>")
+    joined = own.select("*", none.alias("tokens"), none.alias("classes")) if known is not None else own.join(templates, "host", "left")
     read_udf = F.pandas_udf(read, "string")
-    return joined.select("page_id", "url", read_udf("host", "html", "texts").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return joined.select("page_id", "url", read_udf("host", "html", "tokens", "classes").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op9_html_extraction(spark, sf):

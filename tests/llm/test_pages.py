@@ -57,3 +57,15 @@ def test_unmarked_adverts_in_articles_are_template(spark):
 def test_main_text_beside_a_small_article_stays():
     assert main_text(f"<div><p>{'long ' * 9}</p></div><article><p>teaser</p></article>", set()) == " ".join(["long"] * 9) + "\nteaser"
     assert main_text(f"<div><p>teaser</p></div><main><p>{'long ' * 9}</p></main>", set()) == " ".join(["long"] * 9)
+
+
+def test_classes_nest_and_need_no_share_of_the_host(spark):
+    def page(i):
+        kind = "<section><p>Only in this kind</p></section><p>Beside, not under it</p>" if i < 4 else ""
+        return f"<body>{kind}<p>own text {i}</p></body>"
+
+    frame = spark.createDataFrame([(i, f"http://large.example/{i}", page(i)) for i in range(60)], "page_id long, url string, html string")
+    for shipped in (500_000, -1):
+        got = {r.page_id: r.text for r in extract_main_text(frame, shipped=shipped).collect()}
+        # four pages of sixty are enough for the section's text; the other text has no element of its class above it
+        assert [got[i] for i in range(60)] == ["Beside, not under it\n" * (i < 4) + f"own text {i}" for i in range(60)]
