@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import alignment, decontamination, html_extraction, jaccard, language, mixing, quality, secrets, suffixes, tokens, toxicity
+from tariffloom.llm import alignment, decontamination, html_extraction, jaccard, language, mixing, quality, secrets, simhash, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_language_id": language.op10_language_id,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 SQL = {
