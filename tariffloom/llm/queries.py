@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tariffloom.llm import alignment, decontamination, html_extraction, jaccard, language, mixing, quality, secrets, simhash, suffixes, tokens, toxicity
+from tariffloom.llm import alignment, conversations, decontamination, html_extraction, jaccard, language, mixing, quality, secrets, simhash, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_language_id": language.op10_language_id,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_simhash": simhash.op13_simhash,
 }
