@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tariffloom import fixed
 
@@ -15,14 +11,14 @@ from tariffloom import fixed
 STABLE_TEXT = r"^[\x20-\x7E가-힣]*$"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
-
-
 def nfkc(text: Column) -> Column:
-    """NFKC form; only texts that could change travel to Python (Spark SQL has no NFKC)."""
-    return F.coalesce(_nfkc(F.when(~text.rlike(STABLE_TEXT), text)), text)
+    """NFKC form by the normalizer that Spark's collations bring along, called inside the JVM.
+
+    Spark takes a reflective call for one that could differ from run to run, so use it in a
+    projection and not inside an aggregate, a lambda or a join condition.
+    """
+    folded = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(~text.rlike(STABLE_TEXT), folded).otherwise(text)
 
 
 def drop_invisible(text: Column) -> Column:
@@ -30,10 +26,9 @@ def drop_invisible(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Cf}\p{Cc}]", "")
 
 
-def sanitize(text: Column, unicode_fold: bool = True) -> Column:
-    """NFKC, then no invisible characters.  ``unicode_fold=False`` keeps the plan in the JVM
-    for texts known to be in NFKC form already."""
-    return drop_invisible(nfkc(text) if unicode_fold else text)
+def sanitize(text: Column) -> Column:
+    """NFKC, then no invisible characters."""
+    return drop_invisible(nfkc(text))
 
 
 def removed_codepoints(raw: Column, clean: Column) -> Column:
@@ -55,9 +50,9 @@ def one_line(text: Column, limit: int = fixed.LABEL_MAX) -> Column:
     )
 
 
-def normalize_label(text: Column, unicode_fold: bool = True) -> Column:
+def normalize_label(text: Column) -> Column:
     """Canonical label: unit notes, decoration and whitespace go, digits and words stay."""
-    clean = sanitize(text, unicode_fold)
+    clean = sanitize(text)
     no_unit = F.regexp_replace(clean, "(?U)" + fixed.UNIT_NOTE, "")
     return squeeze(F.translate(no_unit, fixed.DECORATION, ""))
 
@@ -80,23 +75,29 @@ def bigrams(text: Column) -> Column:
     return F.when(F.size(chars) > 1, windows).otherwise(chars)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_counts(tokens: Column) -> Column:
-    """Distinct tokens with their count, as ``array<struct<token,tf>>`` inside the row."""
-    return F.transform(
-        F.array_distinct(tokens),
-        lambda t: F.struct(t.alias("token"), F.size(F.filter(tokens, lambda x: x == t)).alias("tf")),
-    )
+    """Distinct tokens with their count, as ``array<struct<token,tf>>`` inside the row, by token.
+
+    Equal tokens are runs of the sorted array, so the work is that of sorting.
+    """
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(F.size(s) > 0, _bound(starts, lambda b: F.transform(b, lambda i, k: F.struct(
+            F.get(s, i).alias("token"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("tf"))))).otherwise(
+            F.array().cast("array<struct<token:string,tf:int>>"))
+
+    return _bound(F.array_sort(tokens), runs)
 
 
 def multiset(tokens: Column) -> Column:
     """A multiset as a set: the k-th equal token becomes ``token#k``."""
-    return F.transform(
-        tokens,
-        lambda t, i: F.concat(
-            t, F.lit("#"),
-            F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), lambda x: x == t)).cast("string"),
-        ),
-    )
+    return F.flatten(F.transform(token_counts(tokens), lambda c: F.transform(
+        F.sequence(F.lit(1), c["tf"]), lambda k: F.concat(c["token"], F.lit("#"), k.cast("string")))))
 
 
 def a1_name(row: Column, col: Column) -> Column:

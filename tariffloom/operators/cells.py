@@ -39,9 +39,9 @@ def missing_sheets(docs: DataFrame, cells: DataFrame, required: Sequence[str] =
     return wanted.join(cells.select(*SHEET).distinct(), list(SHEET), "left_anti")
 
 
-def sanitized(cells: DataFrame, unicode_fold: bool = True) -> DataFrame:
+def sanitized(cells: DataFrame) -> DataFrame:
     """Cells with clean texts; ``original`` keeps what was read."""
-    clean = F.when(F.col("vtype") == "str", sanitize(F.col("sval"), unicode_fold)).otherwise(F.col("sval"))
+    clean = F.when(F.col("vtype") == "str", sanitize(F.col("sval"))).otherwise(F.col("sval"))
     return cells.withColumn("original", F.col("sval")).withColumn("sval", clean)
 
 
@@ -52,9 +52,9 @@ def sanitize_audit(clean_cells: DataFrame) -> DataFrame:
         removed_codepoints(F.col("original"), F.col("sval")).alias("removed"))
 
 
-def with_search_text(cells: DataFrame, unicode_fold: bool = True) -> DataFrame:
+def with_search_text(cells: DataFrame) -> DataFrame:
     """Adds ``squeezed``, the whitespace-free text used for finding anchors."""
-    return cells.withColumn("squeezed", squeeze(sanitize(F.col("sval"), unicode_fold)))
+    return cells.withColumn("squeezed", squeeze(sanitize(F.col("sval"))))
 
 
 def find_texts(df: DataFrame, text: Column, anchors: Sequence[tuple[str, str]]) -> DataFrame:

@@ -16,10 +16,10 @@ def position(table_idx, row, col):
     return (table_idx.cast("bigint") * (1 << 24) + row) * (1 << 18) + col
 
 
-def label_cells(tagged: DataFrame, unicode_fold: bool = True) -> DataFrame:
+def label_cells(tagged: DataFrame) -> DataFrame:
     """Text cells with their canonical form ``norm`` and reading position ``pos``; value words
     and labels that normalise to nothing are left out."""
-    found = text_cells(tagged).withColumn("norm", normalize_label(F.col("text"), unicode_fold))
+    found = text_cells(tagged).withColumn("norm", normalize_label(F.col("text")))
     return found.filter((F.col("norm") != "") & ~F.col("text").isin(*fixed.IGNORED_LABELS)).withColumn(
         "pos", position(F.col("table_idx"), F.col("row"), F.col("col")))
 

@@ -59,13 +59,13 @@ def column_profiles(tagged: DataFrame) -> DataFrame:
         F.when(share > 0.8, "num").when(share < 0.2, "text").otherwise("mixed").alias("kind"))
 
 
-def fingerprints(regions: DataFrame, tagged: DataFrame, unicode_fold: bool = True) -> DataFrame:
+def fingerprints(regions: DataFrame, tagged: DataFrame) -> DataFrame:
     """Shape, header sequence and column kinds of every table (arrays bounded by its width)."""
     kinds = column_profiles(tagged).groupBy(*REGION).agg(
         F.map_from_entries(F.collect_list(F.struct("c", "kind"))).alias("__kinds"))
-    heads = tagged.filter((F.col("row") == F.col("row0")) & (F.col("vtype") == "str")).groupBy(*REGION).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "col", normalize_label(F.col("sval"), unicode_fold).alias("norm")))).alias("__heads"))
+    first = tagged.filter((F.col("row") == F.col("row0")) & (F.col("vtype") == "str")).select(
+        *REGION, "col", normalize_label(F.col("sval")).alias("norm"))
+    heads = first.groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("col", "norm"))).alias("__heads"))
     width = F.col("col1") - F.col("col0") + 1
     joined = regions.join(kinds, list(REGION), "left").join(heads, list(REGION), "left")
     return joined.select(

@@ -1,9 +1,17 @@
 """Ranking labels by lexical and vector similarity inside blocks.
 
-Scores need every query against every label of its block, but pairs are never rows: blocks are
-cut into tiles of bounded size, a tile is scored as one matrix product inside a task, and only
-the best ``k`` of a query leave it.  A huge block becomes many tiles on many tasks, and the
-result stays exact.
+The labels of a block are laid out so that similar ones are neighbours (by the nearest of a few
+pivot vectors where there are vectors, by text otherwise) and cut into tiles of bounded size.  A
+label is in one tile.  Tiles are indexed by token: for each token of a tile the greatest weight that
+one of its labels has, and the range of its labels' distances to the pivots.  From these follows
+the greatest score that a query can have in a tile:
+
+1. a query is scored in the tile that promises most, which gives its k-th best score so far;
+2. it then visits only tiles whose promise reaches that score.
+
+Promises hold for every label of a tile (shared tokens add at most their greatest weights, and by
+the triangle inequality a vector is no nearer than its distances to a pivot differ), so the result
+is exact.  Scoring inside a task goes along the posting lists of shared tokens; pairs are never rows.
 """
 
 from __future__ import annotations
@@ -21,7 +29,11 @@ from tariffloom.functions.labels import negated, opposite_mask, plain_numbers
 from tariffloom.functions.text import bigrams, token_counts
 from tariffloom.session import cut_lineage
 
-TILE = 1024
+TILE = 256  # labels that share an index entry
+CHUNK = 1024  # queries that a task scores at once
+PART = 4096  # tiles that a task weighs at once
+PIVOTS = 8
+PRODUCTS = 4_000_000  # products of weights that a task holds at a time
 SCORE_DIGITS = 9  # scores equal to this many digits tie, so summation order cannot reorder them
 
 
@@ -33,6 +45,7 @@ class HybridConfig:
     k: int = 3
     vetoes: bool = True
     tile: int = TILE
+    chunk: int = CHUNK
 
 
 def dense_score(cosine: Column, floor: float = fixed.COSINE_FLOOR) -> Column:
@@ -78,23 +91,79 @@ def _featured(df: DataFrame, keep: Sequence[str], vectors: DataFrame | None) ->
     return out.join(vectors.select("norm", F.col("vec").cast("array<float>").alias("vec")), "norm", "left")
 
 
-def _indicator(lists: pd.Series, vocab: pd.Index, weights: pd.Series | None = None) -> np.ndarray:
-    """Rows of weights over a vocabulary from per-row lists; unknown entries fall away."""
-    out = np.zeros((len(lists), len(vocab)))
-    sizes = lists.map(len).to_numpy()
-    if len(vocab) == 0 or sizes.sum() == 0:
-        return out
-    rows = np.repeat(np.arange(len(lists)), sizes)
-    cols = vocab.get_indexer(np.concatenate([np.asarray(x, dtype=object) for x in lists]))
-    values = np.ones(len(rows)) if weights is None else np.concatenate([np.asarray(x) for x in weights])
-    known = cols >= 0
-    out[rows[known], cols[known]] = values[known]
-    return out
+def _distance(a: Column, b: Column) -> Column:
+    square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
 
 
-def _vocabulary(lists: pd.Series) -> pd.Index:
+def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, size: int, out: str) -> DataFrame:
+    """Rows with ``out``, the number of a run of at most ``size`` similar neighbours, and ``dist``, the distances to the pivots."""
+    block = list(block)
+    if pivots is None:
+        measured, order = df.withColumn("dist", F.lit(None).cast("array<double>")), [F.col("norm")]
+    else:
+        measured = df.join(pivots, block, "left").withColumn(
+            "dist", F.when(F.col("vec").isNotNull(), F.transform("pivots", lambda p: _distance(p, F.col("vec"))))).drop("pivots")
+        near = F.array_min("dist")
+        order = [F.array_position("dist", near), near, F.col("norm")]
+    keyed = measured.select("*", *[o.alias(f"__o{n}") for n, o in enumerate(order)])
+    order = [*block, *[f"__o{n}" for n in range(len(order))]]
+    # a row's id goes up by one inside a partition
+    laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.floor(F.monotonically_increasing_id() / size))
+    return cut_lineage(laid.drop(*[o for o in order if o.startswith("__o")]))
+
+
+def _pivots(t: DataFrame, block: Sequence[str]) -> DataFrame:
+    """A few vectors of each block, the same in every run."""
+    held = t.filter(F.col("vec").isNotNull())
+    chosen = [F.min_by("vec", F.struct(F.xxhash64("norm", F.lit(n)), "norm")) for n in range(PIVOTS)]
+    return held.groupBy(*block).agg(F.array(*chosen).alias("pivots"))
+
+
+# --- inside tasks ---------------------------------------------------------------------------------
+
+def _entries(lists: pd.Series, weights: pd.Series | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per-row lists as flat (row, entry, weight)."""
+    sizes = lists.map(len).to_numpy(dtype=np.int64)
+    rows = np.repeat(np.arange(len(lists)), sizes)
     parts = [np.asarray(x, dtype=object) for x in lists if len(x)]
-    return pd.Index(np.concatenate(parts)).unique() if parts else pd.Index([], dtype=object)
+    flat = np.concatenate(parts) if parts else np.zeros(0, object)
+    values = np.ones(len(rows)) if weights is None else np.concatenate([np.zeros(0), *[np.asarray(x, dtype=float) for x in weights]])
+    return rows, flat, values
+
+
+def _shared(q: tuple, t: tuple, n_q: int, n_t: int) -> np.ndarray:
+    """Sum over shared entries of the product of their weights, for all rows of q and t, along t's posting lists."""
+    (q_row, q_entry, q_weight), (t_row, t_entry, t_weight) = q, t
+    out = np.zeros(n_q * n_t)
+    if len(q_row) and len(t_row):
+        codes, vocab = pd.factorize(t_entry)
+        order = np.argsort(codes, kind="stable")
+        t_row, t_weight = t_row[order], t_weight[order]
+        size = np.bincount(codes, minlength=len(vocab))
+        first = np.cumsum(size) - size
+        code = pd.Index(vocab).get_indexer(q_entry)
+        known = code >= 0
+        code, q_row, q_weight = code[known], q_row[known], q_weight[known]
+        times = size[code]
+        ends = np.cumsum(times)
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
+            n = times[at:to]
+            place = np.repeat(first[code[at:to]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(q_row[at:to], n) * n_t + t_row[place], np.repeat(q_weight[at:to], n) * t_weight[place], n_q * n_t)
+            at = to
+    return out.reshape(n_q, n_t)
+
+
+def _lexical(raw: np.ndarray, own: pd.Series) -> np.ndarray:
+    own = own.to_numpy()[:, None]
+    return np.where(own > 0, np.minimum(raw / np.where(own > 0, own, 1.0), 1.0), 0.0)
+
+
+def _stretched(cosine: np.ndarray, floor: float) -> np.ndarray:
+    return np.clip((cosine - floor) / (1 - floor), 0.0, 1.0)
 
 
 def _vector_cosine(q: pd.Series, t: pd.Series) -> np.ndarray:
@@ -107,8 +176,7 @@ def _vector_cosine(q: pd.Series, t: pd.Series) -> np.ndarray:
 
 def _relation(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
     """0 same, 1 extra, 2 conflict, from the sizes of the number sets and their overlap."""
-    vocab = _vocabulary(q["nums"])
-    shared = _indicator(q["nums"], vocab) @ _indicator(t["nums"], vocab).T
+    shared = _shared(_entries(q["nums"]), _entries(t["nums"]), len(q), len(t))
     nq, nt = q["nums"].map(len).to_numpy()[:, None], t["nums"].map(len).to_numpy()[None, :]
     inside = (shared == nq) | (shared == nt)
     return np.where((shared == nq) & (shared == nt), 0, np.where(inside, 1, 2))
@@ -123,18 +191,62 @@ def _opposite(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
     return clash
 
 
+def promises(q: pd.DataFrame, tiles: pd.DataFrame, config: HybridConfig) -> np.ndarray:
+    """Greatest score that each query can have in each tile."""
+    raw = _shared(_entries(q["toks"], q["weights"]), _entries(tiles["toks"], tiles["weights"]), len(q), len(tiles))
+    lexical = _lexical(raw * (1 + 1e-9), q["self_score"])
+    least = _stretched(np.zeros(1), config.cosine_floor)[0]
+    dense = np.full(lexical.shape, least)
+    far = [i for i, d in enumerate(q["dist"]) if d is not None]
+    held = [i for i, d in enumerate(tiles["low"]) if d is not None]
+    if far and held:
+        own = np.vstack([np.asarray(q["dist"].iloc[i], float) for i in far])
+        low, high = (np.vstack([np.asarray(tiles[c].iloc[i], float) for i in held]) for c in ("low", "high"))
+        gap = np.zeros((len(far), len(held)))
+        for p in range(own.shape[1]):
+            d = own[:, p, None]
+            gap = np.maximum(gap, np.maximum(low[None, :, p] - d, d - high[None, :, p]))
+        gap = np.maximum(gap - 1e-6, 0.0)
+        square = q["square"].to_numpy(dtype=float)[far][:, None] + tiles["square"].to_numpy(dtype=float)[held][None, :]
+        dense[np.ix_(far, held)] = np.maximum(_stretched((square - gap * gap) / 2 + 1e-6, config.cosine_floor), least)
+    return config.alpha * lexical + (1 - config.alpha) * dense
+
+
+def _visits(block: Sequence[str], config: HybridConfig, home: bool):
+    """Tiles of a part of the index that a chunk of queries visits: the most promising one, or all others that can still matter."""
+    names = [*block, "q_norm", "chunk", "tile", "full", "promise"]
+
+    def run(q: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or tiles.empty:
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        score = promises(q, tiles, config)
+        full = tiles["n"].to_numpy() >= config.k  # a tile of fewer labels tells little
+        if home:
+            row = np.arange(len(q))
+            col = np.argmax(np.where(full[None, :], score, score - 2), axis=1)
+        else:
+            least, at = q["least"].to_numpy(dtype=float), q["home"].to_numpy()
+            # labels without any score rank by position, so the first ones can matter
+            first = np.sort(np.concatenate([np.asarray(x) for x in tiles["first"]]))[: 2 * config.k]
+            early = tiles["first"].map(lambda x: min(x)).to_numpy() <= first[-1]
+            matter = (score >= np.maximum(least - 2e-9, 4e-10)[:, None]) | ((least < 2e-9)[:, None] & early[None, :])
+            row, col = np.nonzero(matter & (tiles["tile"].to_numpy()[None, :] != at[:, None]))
+        pick = lambda s, i: pd.Series(s.to_numpy(dtype=object)[i], dtype=object)
+        return pd.DataFrame({**{b: pick(q[b], row) for b in block}, "q_norm": pick(q["q_norm"], row), "chunk": pick(q["chunk"], row),
+                             "tile": pick(tiles["tile"], col), "full": full[col], "promise": score[row, col]})
+
+    return run
+
+
 def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridConfig):
     def score(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         names = [*block, "q_norm", *payload, "final", "bm25", "embedding", "relation", "antonym"]
         if q.empty or t.empty:
             return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         t = t.sort_values("pos", ignore_index=True)  # stable sorts below then tie by position
-        vocab = _vocabulary(q["toks"])
-        raw = _indicator(q["toks"], vocab, q["weights"]) @ _indicator(t["toks"], vocab, t["weights"]).T
-        own = q["self_score"].to_numpy()[:, None]
-        bm25 = np.where(own > 0, np.minimum(raw / np.where(own > 0, own, 1.0), 1.0), 0.0)
-        floor = config.cosine_floor
-        dense = np.clip((_vector_cosine(q["vec"], t["vec"]) - floor) / (1 - floor), 0.0, 1.0)
+        raw = _shared(_entries(q["toks"], q["weights"]), _entries(t["toks"], t["weights"]), len(q), len(t))
+        bm25 = _lexical(raw, q["self_score"])
+        dense = _stretched(_vector_cosine(q["vec"], t["vec"]), config.cosine_floor)
         final = config.alpha * bm25 + (1 - config.alpha) * dense
         relation, antonym = _relation(q, t), _opposite(q, t)
         if config.vetoes:
@@ -155,6 +267,12 @@ def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridCon
     return score
 
 
+def _cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:
+    # fresh key names: both sides may stem from one table
+    right = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"__{c}" for c in keys])).applyInPandas(run, schema)
+
+
 def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str],
                     config: HybridConfig = HybridConfig(), vectors: DataFrame | None = None) -> DataFrame:
     """The best ``k`` target labels of every query within its block.
@@ -162,24 +280,21 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
     ``queries``: block columns and ``norm`` (distinct per block).  ``targets``: block columns,
     ``norm``, ``pos`` (distinct per block; ties go to the smaller) and any columns to hand on,
     which come back as ``t_*``.  ``vectors``: ``norm, vec`` unit vectors; labels without one
-    have no vector score.  Features and results are checkpointed, since each feeds several
+    have no vector score.  Features, visits and results are checkpointed, since each feeds several
     branches.
     """
     block = list(block)
     carried = [c for c in targets.columns if c not in (*block, "pos")]
     payload = ["pos", *[f"t_{c}" for c in carried]]
     active = queries.select(*block).distinct()
-    t = cut_lineage(_featured(targets.join(active, block, "left_semi"), targets.columns, vectors))
-    q = cut_lineage(_featured(queries.select(*block, "norm"), [*block, "norm"], vectors))
+    t = _featured(targets.join(active, block, "left_semi"), targets.columns, vectors)
+    q = _featured(queries.select(*block, "norm"), [*block, "norm"], vectors)
+    pivots = None if vectors is None else cut_lineage(_pivots(t, block))
+    t = _laid_out(t, block, pivots, config.tile, "tile")
     stats = t.groupBy(*block).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
-    n_queries = q.groupBy(*block).agg(F.count("*").alias("n_q"))
-    shape = stats.join(n_queries, block).select(
-        *block, "n_docs", "avg_len", F.ceil(F.col("n_docs") / config.tile).alias("t_tiles"),
-        F.ceil(F.col("n_q") / config.tile).alias("q_tiles"))
-
     spread = t.select(*block, F.explode("tokens.token").alias("token")).groupBy(*block, "token").agg(
         F.count("*").alias("n_with"))
-    q = q.join(shape, block)
+    q = _laid_out(q.join(stats, block), block, pivots, config.chunk, "chunk")
     weighted = (
         q.select(*block, "norm", "n_docs", "avg_len", "n_tokens", F.inline("tokens"))
         .join(spread, [*block, "token"], "left")
@@ -189,29 +304,57 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
             F.sum(F.col("tf") * F.col("idf") * saturation(F.col("tf"), F.col("n_tokens"), F.col("avg_len"))
                   ).alias("self_score"))
     )
-    tile_of = lambda n: F.pmod(F.xxhash64("norm"), F.col(n))
-    all_tiles = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    q_rows = q.join(weighted, [*block, "norm"]).select(
-        *block, F.col("norm").alias("q_norm"), "toks", "weights", "self_score", "nums", "mask", "neg", "vec",
-        tile_of("q_tiles").alias("q_tile"), all_tiles("t_tiles").alias("t_tile"))
-    t_rows = t.join(shape, block).select(
-        *block, "pos", *[F.col(c).alias(f"t_{c}") for c in carried], F.col("tokens.token").alias("toks"),
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    empty = F.array().cast("array<string>")
+    q_rows = cut_lineage(q.join(weighted, [*block, "norm"], "left").select(
+        *block, F.col("norm").alias("q_norm"), "chunk", F.coalesce("toks", empty).alias("toks"),
+        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), F.coalesce("self_score", F.lit(0.0)).alias("self_score"),
+        "nums", "mask", "neg", "vec", "dist", square.alias("square")))
+    t_rows = t.join(stats, block).select(
+        *block, "tile", "pos", *[F.col(c).alias(f"t_{c}") for c in carried], F.col("tokens.token").alias("toks"),
         F.transform("tokens", lambda x: saturation(x["tf"], F.col("n_tokens"), F.col("avg_len"))).alias("weights"),
-        "nums", "mask", "neg", "vec", tile_of("t_tiles").alias("t_tile"), all_tiles("q_tiles").alias("q_tile"))
-
-    keys = [*block, "q_tile", "t_tile"]
-    types = {f.name: f.dataType.simpleString() for f in q_rows.schema}
-    t_types = {f.name: f.dataType.simpleString() for f in t_rows.schema}
-    schema = ", ".join(f"`{b}` {types[b]}" for b in block) + (
-        ", q_norm string, " + ", ".join(f"`{c}` {t_types[c]}" for c in payload)
-        + ", final double, bm25 double, embedding double, relation int, antonym boolean")
-    # fresh key names: both sides may stem from one table
-    t_rows = t_rows.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in t_rows.columns])
-    scored = q_rows.groupBy(*keys).cogroup(t_rows.groupBy(*[f"__{c}" for c in keys])).applyInPandas(
-        _tile_scorer(block, payload, config), schema)
+        "nums", "mask", "neg", "vec", "dist", square.alias("square"))
+
+    types = {f.name: f.dataType.simpleString() for f in [*t_rows.schema, *q_rows.schema]}
+    keys_ddl = ", ".join(f"`{b}` {types[b]}" for b in block)
+    visit_ddl = f"{keys_ddl}, q_norm string, chunk long, tile long, full boolean, promise double"
+    score_ddl = (keys_ddl + ", q_norm string, " + ", ".join(f"`{c}` {types[c]}" for c in payload)
+                 + ", final double, bm25 double, embedding double, relation int, antonym boolean")
+
+    # the index: one row a tile
+    tile_keys = [*block, "tile"]
+    peaks = t_rows.select(*tile_keys, F.explode(F.arrays_zip("toks", "weights")).alias("e")).groupBy(
+        *tile_keys, F.col("e.toks").alias("token")).agg(F.max("e.weights").alias("weight"))
+    peaks = peaks.groupBy(*tile_keys).agg(F.collect_list("token").alias("toks"), F.collect_list("weight").alias("weights"))
+    ends = [F.min(F.get("dist", n)).alias(f"__l{n}") for n in range(PIVOTS)] + [F.max(F.get("dist", n)).alias(f"__h{n}") for n in range(PIVOTS)]
+    ranges = t_rows.groupBy(*tile_keys).agg(
+        F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, 2 * config.k).alias("first"), F.max("square").alias("square"), *ends)
+    some = F.col("square").isNotNull()
+    index = cut_lineage(ranges.join(peaks, tile_keys, "left").select(
+        *tile_keys, "n", "first", "square", F.coalesce("toks", empty).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+        F.when(some, F.array(*[f"__l{n}" for n in range(PIVOTS)])).alias("low"), F.when(some, F.array(*[f"__h{n}" for n in range(PIVOTS)])).alias("high")))
+    index = index.withColumn("part", F.floor(F.col("tile") / PART))
+    asked = index.join(q_rows.select(*block, "chunk").distinct(), block)
+    chunk_keys, part_keys = [*block, "chunk"], [*block, "chunk", "part"]
+    bare = q_rows.select(*chunk_keys, "q_norm", "toks", "weights", "self_score", "dist", "square").join(index.select(*block, "part").distinct(), block)
+
+    def scored(visits: DataFrame) -> DataFrame:
+        own = visits.join(q_rows, [*chunk_keys, "q_norm"])
+        rows = t_rows.join(visits.select(*tile_keys, "chunk").distinct(), tile_keys)
+        return _cogrouped(own, rows, [*tile_keys, "chunk"], _tile_scorer(block, payload, config), score_ddl)
+
+    best_tile = _cogrouped(bare, asked, part_keys, _visits(block, config, True), visit_ddl).groupBy(*chunk_keys, "q_norm").agg(
+        F.max_by("tile", F.struct("full", "promise", "tile")).alias("tile"))
+    home = cut_lineage(best_tile)
+    begun = cut_lineage(scored(home))
+    least = begun.groupBy(*block, "q_norm").agg(F.when(F.count("*") >= config.k, F.min("final")).otherwise(-1.0).alias("least"))
+    open_ = bare.join(home.select(*block, "q_norm", F.col("tile").alias("home")), [*block, "q_norm"]).join(least, [*block, "q_norm"])
+    further = _cogrouped(open_, asked, part_keys, _visits(block, config, False), visit_ddl).drop("full", "promise")
+    further = cut_lineage(further)
+    found = begun.unionByName(scored(further))
 
     per_query = Window.partitionBy(*block, "q_norm").orderBy(F.round("final", SCORE_DIGITS).desc(), "pos")
-    best = scored.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= config.k)
+    best = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= config.k)
     flags = F.array_compact(F.array(
         F.when(F.col("relation") == 2, "NUMERIC_VETO_APPLIED").when(F.col("relation") == 1, "NUMERIC_EXTRA"),
         F.when(F.col("antonym"), "ANTONYM_BLOCKED")))

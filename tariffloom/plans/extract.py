@@ -103,14 +103,14 @@ def expected_keys() -> list[tuple[str, str]]:
     return out + [(JH, f"{fixed.K_JH_LIMITS} ({v}).{z}") for v in fixed.VARIANTS for z in fixed.ZONES]
 
 
-def extract_constants(cells: DataFrame, resolved: DataFrame | None = None, unicode_fold: bool = True) -> dict[str, DataFrame]:
+def extract_constants(cells: DataFrame, resolved: DataFrame | None = None) -> dict[str, DataFrame]:
     """Constants with the cells they came from, the cell map and every failure as a row.
 
     ``resolved`` (doc_id, sheet, input_label, chosen): confirmed renamings; a cell with the
     chosen text is read as if it still had last year's.
     """
     ours = cells.filter(F.col("sheet").isin(*fixed.SHEETS))
-    texts = with_search_text(ours.filter(F.col("vtype") == "str"), unicode_fold)
+    texts = with_search_text(ours.filter(F.col("vtype") == "str"))
     if resolved is not None:
         renames = resolved.select("doc_id", "sheet", squeeze(F.col("chosen")).alias("squeezed"),
                                   squeeze(F.col("input_label")).alias("__was"))

@@ -166,7 +166,6 @@ class MatchSettings:
     required_sheets: tuple[str, ...] = fixed.SHEETS
     required_labels: tuple = fixed.REQUIRED_LABELS
     anchors: tuple[str, ...] = fixed.SCALAR_ANCHORS
-    unicode_fold: bool = True
 
 
 def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings = MatchSettings(),
@@ -177,9 +176,8 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     the labels is computed once per document, however many pairs it is in, and checkpointed,
     since most of the report reads it.
     """
-    fold = settings.unicode_fold
     regions, tagged = sg.segment(cells)
-    found = lb.label_cells(tagged, fold)
+    found = lb.label_cells(tagged)
     labels = cut_lineage(lb.collect_labels(found))
 
     def side(name: str) -> DataFrame:
@@ -195,7 +193,7 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
         "sheet", F.when(F.array_contains("flags", "NEW_IN_TARGET"), "-new-").otherwise("-"),
         F.format_string("%03d", F.col("item_no"))))
 
-    prints = sg.fingerprints(regions, tagged, fold)
+    prints = sg.fingerprints(regions, tagged)
     anchors = pairs.select("pair_id", F.col("target_doc").alias("doc_id")).join(
         sg.repeated_anchors(found, settings.anchors), "doc_id").select(
         "pair_id", "sheet", F.concat("sheet", F.lit("#"), (F.col("table_idx") + 1).cast("string")).alias("table_id"),

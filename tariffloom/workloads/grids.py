@@ -79,7 +79,7 @@ select doc_id, sheet, cast(table_idx as integer) as table_idx, row1 - row0 + 1 a
 from regions left join h using (doc_id, sheet, table_idx) left join k using (doc_id, sheet, table_idx)""")
 def fingerprints(spark, sf):
     regions, tagged = sg.segment(part_cells(spark, sf))
-    prints = sg.fingerprints(regions, tagged, unicode_fold=False)
+    prints = sg.fingerprints(regions, tagged)
     return prints.select("doc_id", "sheet", "table_idx", "n_rows", "n_cols", F.array_join("headers", "|").alias("headers"),
                          F.array_join("kinds", "|").alias("kinds"))
 
@@ -150,7 +150,7 @@ union all select doc_id, sheet, cast(table_idx as integer), 'TABLE_SHAPE_CHANGED
 def fingerprint_diff(spark, sf):
     cells, pairs = versions(spark, sf)
     regions, tagged = sg.segment(cells)
-    diffs = sg.fingerprint_diffs(pairs, sg.fingerprints(regions, tagged, unicode_fold=False))
+    diffs = sg.fingerprint_diffs(pairs, sg.fingerprints(regions, tagged))
     diffs = diffs.filter(~F.col("detail").startswith("열"))
     return diffs.select("pair_id", "sheet", (F.regexp_extract("table_id", "#([0-9]+)", 1).cast("int") - 1).alias("table_idx"), "code", "detail")
 
@@ -198,7 +198,7 @@ with {CELLS_SQL}, l as (select doc_id, sheet, replace(sval, ' ', '') as norm, sv
 select doc_id, sheet, norm, raw, "row", col from (select *, row_number() over (partition by doc_id, sheet, norm order by table_idx, "row", col) as rn from l) where rn = 1""")
 def text_labels(spark, sf):
     _, tagged = sg.segment(part_cells(spark, sf))
-    return lb.collect_labels(lb.label_cells(tagged, unicode_fold=False)).select("doc_id", "sheet", "norm", "raw", "row", "col")
+    return lb.collect_labels(lb.label_cells(tagged)).select("doc_id", "sheet", "norm", "raw", "row", "col")
 
 
 @workload("label_collisions", "N4", """
@@ -211,7 +211,7 @@ def label_collisions(spark, sf):
     k = F.col("p_partkey") % 3
     raw = F.when(k == 0, F.concat(F.lit("["), "p_name", F.lit("]"))).when(k == 1, F.concat("p_name", F.lit(" (원)"))).otherwise(F.col("p_name"))
     found = table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_type").alias("sheet"), raw.alias("text"))
-    return lb.collisions(found.withColumn("norm", normalize_label(F.col("text"), unicode_fold=False)))
+    return lb.collisions(found.withColumn("norm", normalize_label(F.col("text"))))
 
 
 ANCHORS = ("the", "tion", "eau", "the of", "ß", "und", "1", "absent-anchor")

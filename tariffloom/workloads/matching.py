@@ -16,9 +16,9 @@ from tariffloom.workloads.registry import table, workload
 LABELS_SQL = r"""
 b0 as (select p_brand as block, p_name || ' ' || p_size as raw, min(p_partkey) as pos from part group by all),
 t0 as (select p_brand as block, case p_size % 6 when 0 then '[' || p_name || '] ' || p_size when 1 then split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' ' || p_size
-    when 2 then p_name || ' ' || (p_size + 50) when 3 then p_name || 's ' || p_size || ' 2024' else p_name || ' ' || p_size end as raw, min(p_partkey) as pos from part group by all),
+    when 2 then p_name || ' ' || (p_size + 50) when 3 then p_name || 's ' || p_size || ' ２０２４' else p_name || ' ' || p_size end as raw, min(p_partkey) as pos from part group by all),
 base as (select block, replace(raw, ' ', '') as norm, raw, pos from b0),
-targ as (select block, translate(replace(raw, ' ', ''), '[]', '') as norm, raw, pos from t0),
+targ as (select block, translate(translate(replace(raw, ' ', ''), '[]', ''), '２０４', '204') as norm, raw, pos from t0),
 sure as (select b.block, b.norm, min_by(p, prio) as path, min_by(t_norm, prio) as t_norm, min_by(t_raw, prio) as t_raw from (
    select b.block, b.norm, 0 as prio, 'exact' as p, t.norm as t_norm, t.raw as t_raw from base b join targ t on b.block = t.block and b.raw = t.raw
    union all select b.block, b.norm, 1, 'normalized', t.norm, t.raw from base b join targ t on b.block = t.block and b.norm = t.norm) b group by all),
@@ -47,12 +47,12 @@ def part_labels(spark, sf) -> tuple[DataFrame, DataFrame]:
     renamed = (
         F.when(m == 0, F.concat(F.lit("["), name, F.lit("] "), text))
         .when(m == 1, F.concat(F.split_part(name, sp, F.lit(2)), sp, F.split_part(name, sp, F.lit(1)), sp, text))
-        .when(m == 2, F.concat(name, sp, (size + 50).cast("string"))).when(m == 3, F.concat(name, F.lit("s "), text, F.lit(" 2024")))
+        .when(m == 2, F.concat(name, sp, (size + 50).cast("string"))).when(m == 3, F.concat(name, F.lit("s "), text, F.lit(" ２０２４")))
         .otherwise(F.concat(name, sp, text)))
 
     def side(raw):
         return part.groupBy(F.col("p_brand").alias("block"), raw.alias("raw")).agg(F.min("p_partkey").alias("pos")).select(
-            "block", normalize_label(F.col("raw"), unicode_fold=False).alias("norm"), "raw", "pos")
+            "block", normalize_label(F.col("raw")).alias("norm"), "raw", "pos")
 
     return side(F.concat(name, sp, text)), side(renamed)
 
@@ -224,7 +224,7 @@ def match_documents(spark, sf):
     """The full matching plan over last year's and this year's part grids; last year's labels
     and those that pass by equality, per sheet."""
     cells, pairs = versions(spark, sf)
-    settings = mt.MatchSettings(required_sheets=("S0", "S1"), required_labels=(("ring", "S0", "v", (fixed.TABLE_BASIC,), False),), unicode_fold=False)
+    settings = mt.MatchSettings(required_sheets=("S0", "S1"), required_labels=(("ring", "S0", "v", (fixed.TABLE_BASIC,), False),))
     items = mt.match_documents(cells, pairs, settings)["items"]
     last_year = items.filter(~F.array_contains("flags", "NEW_IN_TARGET"))
     return last_year.groupBy("pair_id", "sheet").agg(

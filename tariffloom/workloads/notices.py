@@ -268,7 +268,7 @@ def extract_supplier_constants(spark, sf):
             put(jh, row + 1, 1 + n, top - 350000 * n + p)
     source = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.floor(F.abs("s_acctbal")).alias("p"))
     cells = cut_lineage(source.select("doc_id", F.inline(F.array(*entries))).withColumn("formula", F.lit(None).cast("string")))
-    return extract_constants(cells, unicode_fold=False)["constants"].select("doc_id", "key", "value")
+    return extract_constants(cells)["constants"].select("doc_id", "key", "value")
 
 
 # --- edits and decisions ----------------------------------------------------------------------
@@ -448,8 +448,9 @@ def stream_decisions(spark, sf):
     for n in reversed(range(_BATCH_PARTS)):
         own = lines.filter(F.col("seq") % _BATCH_PARTS == n).select("value")
         own.unionByName(table(spark, sf, "events").filter(e % 50 == n).select(F.lit('{"run_id": "r1", "it').alias("value"))).coalesce(1).write.mode("append").text(log)
-    st.append_batches(st.decision_stream(spark, log, files_per_batch=1), out, out + "-state").awaitTermination()
-    return st.first_decisions(spark, out).select("run_id", "item_id", "action", "input_label")
+    decisions = st.decision_stream(spark, log, files_per_batch=1)
+    st.first_decisions(decisions, out, out + "-state").awaitTermination()
+    return st.kept_rows(spark, out, decisions.schema).select("run_id", "item_id", "action", "input_label")
 
 
 @workload("stream_workbooks", "T3 S1", f"with {CELLS_SQL} select doc_id, sheet, count(*) as n from cells group by doc_id, sheet")

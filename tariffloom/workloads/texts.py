@@ -39,7 +39,7 @@ def sanitize_audit(spark, sf):
     raw = F.when(m == 0, F.concat(F.lit("​"), "p_name", F.lit("​"))).when(
         m == 1, F.concat(F.lit("﻿"), "p_name", F.lit("‎"))).otherwise(F.col("p_name"))
     return table(spark, sf, "part").select(
-        "p_partkey", tf.removed_codepoints(raw, tf.sanitize(raw, unicode_fold=False)).alias("removed"))
+        "p_partkey", tf.removed_codepoints(raw, tf.sanitize(raw)).alias("removed"))
 
 
 @workload("number_parsing", "N6 N8 N9 N10", """

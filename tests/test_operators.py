@@ -6,9 +6,11 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tariffloom.functions.text import bigrams, token_counts
 from tariffloom.operators import ordered as od
 from tariffloom.operators.similarity import HybridConfig, hashed_vector, rank_candidates
 
@@ -105,3 +107,43 @@ def test_flagship_reads_only_its_columns(spark):
 
     plan = all_workloads()["flagship_recompute"].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "l_suppkey" not in plan
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.6, 0.0])
+def test_tiles_that_are_left_out_hold_nothing_better(spark, alpha):
+    rng = random.Random(8)
+    words = ["본인", "부담금", "상한액", "기본", "단가", "구간", "등급", "추가", "급여", "zz", "12", "2024"]
+    make = lambda: "".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+    corpus, queries = sorted({make() for _ in range(150)} | {"ㄱ", "ㄴㄷ"}), sorted({make() for _ in range(30)} | {"qq", "ㄱ"})
+    places = list(range(len(corpus)))
+    rng.shuffle(places)
+    t = spark.createDataFrame([("b", x, n) for n, x in zip(places, corpus)] + [("c", "홀로", 5)], "block string, norm string, pos long")
+    q = spark.createDataFrame([("b", x) for x in queries] + [("c", "혼자")], "block string, norm string")
+    vectors = t.select("norm").union(q.select("norm")).distinct().filter("norm <> 'ㄱ'").select("norm", hashed_vector(F.col("norm")).alias("vec"))
+    run = lambda **own: {(r["q_norm"], r["rank"]): (r["pos"], round(r["final"], 8)) for r in rank_candidates(
+        q, t, ["block"], HybridConfig(alpha=alpha, cosine_floor=0.3, **own), vectors).collect()}
+    assert run(tile=4, chunk=3) == run(tile=4096)
+
+
+def test_few_tiles_are_visited():
+    from tariffloom.operators import similarity as si
+
+    tiles = pd.DataFrame({"tile": [1, 2, 3], "n": [5, 5, 5], "first": [[1], [2], [3]], "toks": [["ab"], ["cd"], ["ab", "ef"]], "weights": [[2.0], [1.0], [1.0, 1.0]],
+                          "low": [None] * 3, "high": [None] * 3, "square": [None] * 3})
+    q = pd.DataFrame({"b": ["x"], "q_norm": ["ab"], "chunk": [0], "toks": [["ab"]], "weights": [[1.0]], "self_score": [4.0], "dist": [None], "square": [None], "least": [0.4], "home": [1]})
+    config = HybridConfig(alpha=1.0)
+    assert np.round(si.promises(q, tiles, config), 6).tolist() == [[0.5, 0, 0.25]]
+    assert si._visits(["b"], config, True)(q, tiles)["tile"].tolist() == [1]
+    assert si._visits(["b"], config, False)(q, tiles)["tile"].tolist() == []
+    assert si._visits(["b"], config, False)(q.assign(least=0.2), tiles)["tile"].tolist() == [3]
+
+
+def test_token_counts_of_a_long_text(spark):
+    import time
+
+    text = "ab" * 50_000
+    df = spark.createDataFrame([(text,), ("",), (None,), ("aba",)], "t string")
+    start = time.time()
+    got = [r["c"] for r in df.select(token_counts(bigrams(F.col("t"))).alias("c")).collect()]
+    assert time.time() - start < 20
+    assert [tuple(x) for x in got[0]] == [("ab", 50_000), ("ba", 49_999)] and got[1] == [] and [tuple(x) for x in got[3]] == [("ab", 1), ("ba", 1)]

@@ -76,7 +76,7 @@ def test_notice_reading_and_comparison(spark, tmp_path):
     assert ragged == [["이름", ""], ["값", "긴 행"]]
     amounts, errors = no.read_amounts(blocks)
     got = {(r["service"], r["key"]): (r["amount"], r["surcharge"]) for r in amounts.filter(F.col("doc_id").endswith("a.hwpx")).collect()}
-    assert got["활동보조", "일반"] == (15300, 960) and got["방문간호지시서", "보건기관_의사내방"] == (51000, None)
+    assert got["활동보조", "일반"] == (15300, 1960) and got["방문간호지시서", "보건기관_의사내방"] == (51000, None)
     assert got["인정조사기본급여", "4등급"] == (600000, None) and got["추가급여", "학교생활"] == (91000, None)
     assert got["주간활동", "15구간.확장형"] == (3_300_000 - 110_000 * 14 - 60_000, None) and got["월한도액", "1구간"] == (3_300_000, None)
     bad = {(r["doc_id"][-6:], r["service"]) for r in errors.collect()}
@@ -107,7 +107,7 @@ def test_nested_paragraphs_and_tables(spark):
         file.writestr("Contents/section0.xml", f"<hp:sec {ns}>{body}</hp:sec>")
     rows = parse_notices(spark.createDataFrame([("d", bytearray(out.getvalue()))], "doc_id string, content binary")).orderBy("ord").collect()
     assert [(r["kind"], r["text"]) for r in rows] == [("문단", "onetwo"), ("문단", "kept"), ("표", None)]
-    assert rows[2]["grid"] == [["a\nb", "bare"], ["c", "c"], ["c", ""]]
+    assert rows[2]["grid"] == [["a\nb", "bare"], ["c\nc", "c"], ["c", ""]]
 
 
 def test_unreadable_files_become_error_rows(spark):
