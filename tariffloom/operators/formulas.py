@@ -66,11 +66,12 @@ def compile_formula(formula: Mapping, names: Mapping[str, Column]) -> Column:
 
 
 def rule_column(rule: Mapping, bindings: Mapping[str, Column | int | float | str | bool],
-                schema: T.StructType | None = None) -> Column:
+                rows: DataFrame | None = None) -> Column:
     """A rule applied to bound inputs.
 
     ``bindings`` maps input variables to columns, column names (as ``F.col``) or constants.
-    Missing inputs take their default; unknown, missing or wrongly typed ones fail here.
+    Missing inputs take their default; unknown, missing or wrongly typed ones fail here.  Columns
+    are checked by the type that they have in ``rows``, if it is given.
     """
     inputs = rule["inputs"]
     known = {i["var"]: i for i in inputs}
@@ -91,6 +92,10 @@ def rule_column(rule: Mapping, bindings: Mapping[str, Column | int | float | str
                 wanted = DEFAULT_TYPES.get(spec.get("type"), object)
                 if isinstance(bound, bool) != (spec.get("type") == "bool") or not isinstance(bound, wanted):
                     raise RuleError(f"{var} must be {spec['type']}: {bound!r}")
+            elif rows is not None and spec.get("type") in ACCEPTS:
+                dtype = rows.select(bound).schema[0].dataType
+                if not isinstance(dtype, ACCEPTS[spec["type"]]):
+                    raise RuleError(f"{var} must be {spec['type']}, {bound} is {dtype.simpleString()}")
             names[spec["name"]] = _column(bound)
         elif "default" in spec:
             names[spec["name"]] = F.lit(spec["default"])
@@ -100,17 +105,12 @@ def rule_column(rule: Mapping, bindings: Mapping[str, Column | int | float | str
 
 
 def apply_rule(df: DataFrame, rule: Mapping, bindings: Mapping[str, str | Column], out: str) -> DataFrame:
-    """``df`` with the rule's result; string bindings name columns and are checked by type."""
+    """``df`` with the rule's result; strings name columns, and all columns are checked by type."""
     bound = {}
     for var, source in bindings.items():
-        spec = next((i for i in rule["inputs"] if i["var"] == var), None)
         if isinstance(source, str):
             if source not in df.columns:
                 raise RuleError(f"no column {source!r} for {var}")
-            dtype = df.schema[source].dataType
-            accepted = ACCEPTS.get((spec or {}).get("type"))
-            if accepted and not isinstance(dtype, accepted):
-                raise RuleError(f"{var} must be {spec['type']}, column {source} is {dtype.simpleString()}")
-            source = F.col(source)
+            source = F.col(f"`{source}`")
         bound[var] = source
-    return df.withColumn(out, rule_column(rule, bound))
+    return df.withColumn(out, rule_column(rule, bound, df))

@@ -92,36 +92,57 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, out: str, piece:
     return running_total(df, keys, order, F.lit(1), out, piece).withColumn(out, F.col(out).cast("bigint"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact median per group, in one way for groups of any size.
+#: rows of a bracket that may meet in one row of a result
+BRACKET = 1_000_000
+_ACCURACY = 10_000
+_CUTS = 100
 
-    An approximate percentile with a guaranteed rank error brackets the middle; only the distinct
-    values inside the bracket are then ordered, with the rows below merely counted.
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, bracket: int = BRACKET) -> DataFrame:
+    """Exact median per group, for groups of any size.
+
+    A sketch brackets the middle with a guarantee on ranks, and a second pass counts what lies below
+    and how often each value of the bracket occurs; the two middle ranks are then looked up in the row.
+    A group whose bracket could hold more than ``bracket`` rows has it narrowed first: a pass over its
+    rows tells the rank inside the bracket and a hundred cuts of it, of which the ones around the
+    middle stay.  No step orders a group in one task.
     """
+    keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    accuracy = 10_000
-    bracket = values.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__x", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy).alias("__b"),
-    )
-    held = values.join(bracket, list(keys))
-    below = F.col("__x") < F.col("__b")[0]
-    inside = F.col("__x").between(F.col("__b")[0], F.col("__b")[1])
-    counted = held.filter(below | inside).groupBy(
-        *keys, "__n", F.when(inside, F.col("__x")).alias("__x")
-    ).agg(F.count("*").alias("__c"))
-    upto = Window.partitionBy(*keys).orderBy(F.col("__x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = counted.withColumn("__to", F.sum("__c").over(upto)).withColumn(
-        "__from", F.col("__to") - F.col("__c")
-    )
-    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    around = F.percentile_approx("__x", [0.5 - 2 / _ACCURACY, 0.5 + 2 / _ACCURACY], _ACCURACY)
+    # ranks are off by one in _ACCURACY at most, on either side
+    found = cut_lineage(values.groupBy(*keys).agg(F.count("*").alias("__n"), around.alias("__b")).select(
+        *keys, "__n", F.col("__b")[0].alias("__low"), F.col("__b")[1].alias("__high"), F.ceil(F.col("__n") * 6 / _ACCURACY).alias("__most")))
+    x, inside = F.col("__x"), F.col("__x").between(F.col("__low"), F.col("__high"))
+    while found.filter(F.col("__most") > bracket).limit(1).count():
+        cuts = F.percentile_approx(F.when(inside, x), [n / _CUTS for n in range(_CUTS + 1)], _ACCURACY)
+        held = values.join(found.filter(F.col("__most") > bracket), keys).groupBy(*keys, "__n", "__low", "__high", "__most").agg(
+            F.count_if(x < F.col("__low")).alias("__below"), F.count_if(inside).alias("__m"), cuts.alias("__c"))
+        percent = lambda rank: (rank - F.col("__below")) / F.col("__m") * _CUTS
+        low = F.get("__c", F.greatest(F.floor(percent(F.floor((F.col("__n") - 1) / 2) - 1)).cast("int") - 1, F.lit(0)))
+        high = F.get("__c", F.least(F.ceil(percent(F.floor(F.col("__n") / 2) + 2)).cast("int") + 1, F.lit(_CUTS)))
+        # a bracket that stays as it is holds one value or is cut as far as the sketch can
+        same = (low == F.col("__low")) & (high == F.col("__high"))
+        most = F.when(same | (low == high), 1).otherwise(F.ceil(F.col("__m") * (5 / _CUTS)))
+        narrowed = held.select(*keys, "__n", low.alias("__low"), high.alias("__high"), F.least(most.cast("bigint"), F.col("__most") - 1).alias("__most"))
+        found = cut_lineage(found.filter(F.col("__most") <= bracket).unionByName(narrowed))
+    counted = values.join(found, keys).filter(x <= F.col("__high")).groupBy(
+        *keys, "__n", F.when(inside, x).alias("__x")).agg(F.count("*").alias("__c"))
+    runs = counted.groupBy(*keys, "__n").agg(
+        F.coalesce(F.sum(F.when(x.isNull(), F.col("__c"))), F.lit(0)).alias("__below"),
+        F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("__x", "__c")))).alias("__runs"))
+
+    def at_rank(rank: Column) -> Column:
+        def step(state: Column, run: Column) -> Column:
+            to = state["to"] + run["__c"]
+            hit = (state["to"] <= rank) & (rank < to)
+            return F.struct(to.alias("to"), F.when(hit, run["__x"]).otherwise(state["x"]).alias("x"))
+
+        start = F.struct(F.col("__below").alias("to"), F.lit(None).cast("double").alias("x"))
+        return F.aggregate("__runs", start, step)["x"]
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__x")))
-
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    return runs.select(*keys, ((at_rank(low) + at_rank(high)) / 2).alias(out))
 
 
 def carry_forward_nested(df: DataFrame, keys: Sequence[str], order: str, outer: Column, inner: Column,

@@ -1,92 +1,19 @@
-"""The nine price rules of a year, as expression trees."""
+"""The nine price rules of a year: expression trees from a data file, and their choice by year."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffloom.operators.formulas import rule_column
+from tariffloom.sources.files import load_rule_sets
 
 
-def _op(op: str, *args) -> dict:
-    return {"op": op, "args": list(args)}
-
-
-def _input(var: str, name: str, kind: str, *default) -> dict:
-    return {"var": var, "name": name, "type": kind, **({"default": default[0]} if default else {})}
-
-
-def _copay(name: str, second_tier: int, capped: bool) -> dict:
-    """Tier 가 is free, tier 나 pays a fixed sum, the others a share cut to hundreds."""
-    share = _op("ROUNDDOWN", _op("*", "월한도액", "본인부담률"), -2)
-    if capped:
-        share = _op("MIN", share, "본인부담금상한액")
-    return {
-        "name": name,
-        "inputs": [
-            _input("monthly_limit", "월한도액", "int"),
-            *([_input("cap", "본인부담금상한액", "int")] if capped else []),
-            _input("income_range", "소득구간", "str", ""),
-            _input("copayment_rate", "본인부담률", "float", 0),
-        ],
-        "formula": _op("IF", "소득구간", "가", 0, _op("IF", "소득구간", "나", second_tier, share)),
-    }
-
-
-def _unit(name: str, label: str, var: str, formula: dict) -> dict:
-    return {"name": name, "inputs": [_input(var, label, "int")], "formula": formula}
-
-
-def rule_set(year: int) -> dict[str, dict]:
-    """The rules of a year; from 2026 on the extended limit deducts whole hours' prices."""
-    half = _op("ROUNDDOWN", _op("*", "기본단가", 0.5), -1)
-    if year >= 2026:
-        extended = _op("ROUNDUP", _op("-", "월한도액", _op("*", "기본단가", 22)), -3)
-    else:
-        hours = _op("ROUNDDOWN", _op("/", "월한도액", "기본단가"), 0)
-        extended = _op("ROUNDUP", _op("*", _op("-", hours, 22), "기본단가"), -3)
-    return {
-        "copayment": _copay("본인부담금(주간활동 기본형)", 20000, True),
-        "copayment_extended": _copay("본인부담금(주간활동 확장형)", 0, True),
-        "add_copayment": _copay("추가급여 본인부담금", 0, False),
-        "sj_monthly_limit": {
-            "name": "산정특례 월한도액",
-            "inputs": [
-                _input("basic_monthly_limit", "기본급여", "int"),
-                _input("main_add_monthly_limit", "main추가급여", "int"),
-                _input("is_school", "학교생활", "bool", False),
-                _input("school_monthly_limit", "학교생활급여", "int", 0),
-                _input("is_work", "직장생활", "bool", False),
-                _input("work_monthly_limit", "직장생활급여", "int", 0),
-            ],
-            "formula": _op(
-                "+",
-                _op("+", _op("+", "기본급여", "main추가급여"), _op("IF", "학교생활", True, "학교생활급여", 0)),
-                _op("IF", "직장생활", True, "직장생활급여", 0),
-            ),
-        },
-        "extended_monthly_limit": {
-            "name": "확장형 월한도액",
-            "inputs": [_input("monthly_limit", "월한도액", "int"), _input("unit_price", "기본단가", "int")],
-            "formula": extended,
-        },
-        "government_support": {
-            "name": "정부지원금",
-            "inputs": [_input("monthly_limit", "월한도액", "int"), _input("copayment", "본인부담금", "int")],
-            "formula": _op("-", "월한도액", "본인부담금"),
-        },
-        "activity_support_30min": _unit("활동보조 30분단가", "기본단가", "unit_price", half),
-        "activity_support_30min_night": _unit(
-            "활동보조 30분단가(심야)", "기본단가", "unit_price", _op("ROUNDDOWN", _op("*", half, 1.5), -1)
-        ),
-        "bath_40min": _unit(
-            "방문목욕 40분단가", "60분단가", "price_60min", _op("ROUNDDOWN", _op("*", "60분단가", 0.8), -1)
-        ),
-    }
-
-
-RULES_2025 = rule_set(2025)
-RULES_2026 = rule_set(2026)
+#: fixed values: the rules of each year
+RULE_SETS = load_rule_sets(Path(__file__).resolve().parents[1] / "rules.json")
+RULES_2025, RULES_2026 = RULE_SETS[2025], RULE_SETS[2026]
 
 
 def copay_column(rules: dict, limit: Column, cap: Column, letter: Column, rate: Column,

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
-from tariffloom.functions.labels import negated, opposite_mask, plain_numbers
+from tariffloom.functions.labels import negated, numeric_relation, opposite, opposite_mask, plain_numbers
 from tariffloom.functions.text import bigrams, token_counts
 from tariffloom.session import cut_lineage
 
@@ -273,19 +273,9 @@ def _cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], run, sche
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"__{c}" for c in keys])).applyInPandas(run, schema)
 
 
-def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str],
-                    config: HybridConfig = HybridConfig(), vectors: DataFrame | None = None) -> DataFrame:
-    """The best ``k`` target labels of every query within its block.
-
-    ``queries``: block columns and ``norm`` (distinct per block).  ``targets``: block columns,
-    ``norm``, ``pos`` (distinct per block; ties go to the smaller) and any columns to hand on,
-    which come back as ``t_*``.  ``vectors``: ``norm, vec`` unit vectors; labels without one
-    have no vector score.  Features, visits and results are checkpointed, since each feeds several
-    branches.
-    """
-    block = list(block)
+def _prepared(queries: DataFrame, targets: DataFrame, block: list[str], config: HybridConfig, vectors: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Queries and labels with their weights, laid out in chunks and tiles."""
     carried = [c for c in targets.columns if c not in (*block, "pos")]
-    payload = ["pos", *[f"t_{c}" for c in carried]]
     active = queries.select(*block).distinct()
     t = _featured(targets.join(active, block, "left_semi"), targets.columns, vectors)
     q = _featured(queries.select(*block, "norm"), [*block, "norm"], vectors)
@@ -305,16 +295,30 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
                   ).alias("self_score"))
     )
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    empty = F.array().cast("array<string>")
     q_rows = cut_lineage(q.join(weighted, [*block, "norm"], "left").select(
-        *block, F.col("norm").alias("q_norm"), "chunk", F.coalesce("toks", empty).alias("toks"),
+        *block, F.col("norm").alias("q_norm"), "chunk", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"),
         F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), F.coalesce("self_score", F.lit(0.0)).alias("self_score"),
         "nums", "mask", "neg", "vec", "dist", square.alias("square")))
     t_rows = t.join(stats, block).select(
         *block, "tile", "pos", *[F.col(c).alias(f"t_{c}") for c in carried], F.col("tokens.token").alias("toks"),
         F.transform("tokens", lambda x: saturation(x["tf"], F.col("n_tokens"), F.col("avg_len"))).alias("weights"),
         "nums", "mask", "neg", "vec", "dist", square.alias("square"))
+    return q_rows, t_rows
+
+
+def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str],
+                    config: HybridConfig = HybridConfig(), vectors: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` target labels of every query within its block.
 
+    ``queries``: block columns and ``norm`` (distinct per block).  ``targets``: block columns,
+    ``norm``, ``pos`` (distinct per block; ties go to the smaller) and any columns to hand on,
+    which come back as ``t_*``.  ``vectors``: ``norm, vec`` unit vectors; labels without one
+    have no vector score.  Features, visits and results are checkpointed, since each feeds several
+    branches.
+    """
+    block = list(block)
+    payload = ["pos", *[f"t_{c}" for c in targets.columns if c not in (*block, "pos")]]
+    q_rows, t_rows = _prepared(queries, targets, block, config, vectors)
     types = {f.name: f.dataType.simpleString() for f in [*t_rows.schema, *q_rows.schema]}
     keys_ddl = ", ".join(f"`{b}` {types[b]}" for b in block)
     visit_ddl = f"{keys_ddl}, q_norm string, chunk long, tile long, full boolean, promise double"
@@ -331,7 +335,7 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
         F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, 2 * config.k).alias("first"), F.max("square").alias("square"), *ends)
     some = F.col("square").isNotNull()
     index = cut_lineage(ranges.join(peaks, tile_keys, "left").select(
-        *tile_keys, "n", "first", "square", F.coalesce("toks", empty).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+        *tile_keys, "n", "first", "square", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
         F.when(some, F.array(*[f"__l{n}" for n in range(PIVOTS)])).alias("low"), F.when(some, F.array(*[f"__h{n}" for n in range(PIVOTS)])).alias("high")))
     index = index.withColumn("part", F.floor(F.col("tile") / PART))
     asked = index.join(q_rows.select(*block, "chunk").distinct(), block)
@@ -364,3 +368,28 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
         *block, "q_norm", "rank", *payload, "final", "bm25", "embedding",
         (flags if config.vetoes else F.array().cast("array<string>")).alias("flags"),
         F.when(F.col("rank") == 1, margin).alias("margin_to_next")))
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, block: Sequence[str],
+                config: HybridConfig = HybridConfig(), vectors: DataFrame | None = None) -> DataFrame:
+    """Scores of given pairs of a query and a label, whatever their rank.
+
+    ``pairs``: block columns, ``q_norm``, ``t_norm``; the other inputs are those of :func:`rank_candidates`.
+    Pairs whose query or label is not there are left out.
+    """
+    block = list(block)
+    q_rows, t_rows = _prepared(queries, targets, block, config, vectors)
+    q = q_rows.select(*block, "q_norm", F.map_from_arrays("toks", "weights").alias("own"), "self_score", "nums", "mask", "neg", "vec")
+    t = t_rows.select(*block, "t_norm", "pos", *[F.col(c).alias(f"t_{c}") for c in ("toks", "weights", "nums", "mask", "neg", "vec")])
+    both = pairs.select(*block, "q_norm", "t_norm").distinct().join(q, [*block, "q_norm"]).join(t, [*block, "t_norm"])
+    shared = F.zip_with("t_toks", "t_weights", lambda token, w: F.coalesce(F.try_element_at("own", token), F.lit(0.0)) * w)
+    raw = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x)
+    bm25 = F.when(F.col("self_score") > 0, F.least(raw / F.col("self_score"), F.lit(1.0))).otherwise(0.0)
+    dense = dense_score(F.coalesce(cosine_of(F.col("vec"), F.col("t_vec")), F.lit(0.0)), config.cosine_floor)
+    scored = both.select("*", bm25.alias("bm25"), dense.alias("embedding"))
+    final = config.alpha * F.col("bm25") + (1 - config.alpha) * F.col("embedding")
+    if config.vetoes:
+        relation = numeric_relation(F.col("nums"), F.col("t_nums"))
+        final = final * F.when(relation == "same", 1.0).when(relation == "extra", fixed.EXTRA_FACTOR).otherwise(fixed.CONFLICT_FACTOR)
+        final = final * F.when(opposite(F.col("mask"), F.col("t_mask"), F.col("neg"), F.col("t_neg")), fixed.CONFLICT_FACTOR).otherwise(1.0)
+    return scored.select(*block, "q_norm", "t_norm", "pos", final.alias("final"), "bm25", "embedding")

@@ -15,7 +15,7 @@ from tariffloom.operators import labels as lb
 from tariffloom.operators import segment as sg
 from tariffloom.operators.drift import column_stats, value_anomalies
 from tariffloom.operators.ordered import row_numbers
-from tariffloom.operators.similarity import HybridConfig, rank_candidates
+from tariffloom.operators.similarity import SCORE_DIGITS, HybridConfig, rank_candidates
 from tariffloom.session import cut_lineage
 
 PATHS = ("exact", "normalized", "rule_parser")
@@ -215,22 +215,24 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     }
 
 
-def judge_ranking(gold: DataFrame, ranked: DataFrame, cutoff: float = fixed.CUTOFF) -> DataFrame:
+def judge_ranking(gold: DataFrame, ranked: DataFrame, scores: DataFrame, cutoff: float = fixed.CUTOFF) -> DataFrame:
     """Judge ranked candidates against a gold corpus.
 
     ``gold``: case_id, subtype, expect, q_norm, gold_norm, distractors array (canonical forms).
-    ``ranked``: case_id, rank, t_norm, final for all ranks that matter (gold and distractors
-    included).  Returns pass or fail per case.
+    ``ranked``: case_id, rank, t_norm, final of the first three ranks.  ``scores``: case_id, t_norm,
+    final of gold and distractors, whatever their rank (:func:`score_pairs` gives them).  A label
+    without a score has none.  Returns pass or fail per case.
     """
     per_case = ranked.groupBy("case_id").agg(
         F.max_by("t_norm", F.when(F.col("rank") == 1, 1)).alias("top1"),
         F.max(F.when(F.col("rank") == 1, F.col("final"))).alias("top1_score"),
         F.collect_list(F.when(F.col("rank") <= 3, F.col("t_norm"))).alias("top3"))
+    score = F.round(F.coalesce("final", F.lit(0.0)), SCORE_DIGITS)
     scored = gold.select("case_id", F.explode(F.array_append("distractors", F.col("gold_norm"))).alias("t_norm")).join(
-        ranked.select("case_id", "t_norm", "final"), ["case_id", "t_norm"], "left").join(
+        scores.select("case_id", "t_norm", "final"), ["case_id", "t_norm"], "left").join(
         gold.select("case_id", "gold_norm"), "case_id").groupBy("case_id").agg(
-        F.max(F.when(F.col("t_norm") == F.col("gold_norm"), F.col("final"))).alias("gold_score"),
-        F.max(F.when(F.col("t_norm") != F.col("gold_norm"), F.col("final"))).alias("rival_score"))
+        F.max(F.when(F.col("t_norm") == F.col("gold_norm"), score)).alias("gold_score"),
+        F.max(F.when(F.col("t_norm") != F.col("gold_norm"), score)).alias("rival_score"))
     joined = gold.join(per_case, "case_id", "left").join(scored, "case_id", "left")
     same = F.col("q_norm") == F.col("gold_norm")
     in_top3 = F.coalesce(F.array_contains("top3", F.col("gold_norm")), F.lit(False))

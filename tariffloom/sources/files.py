@@ -25,15 +25,46 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def load_rules(path: str) -> dict:
-    """A rule file: ``{rule_id: {name, inputs, formula}}``; fails loudly."""
-    rules = json.loads(Path(path).read_text(encoding="utf-8"))
+def checked_rules(rules: dict) -> dict:
+    """``{rule_id: {name, inputs, formula}}``; fails loudly."""
     for rule_id, rule in rules.items():
-        if not {"inputs", "formula"} <= set(rule):
+        if not isinstance(rule, dict) or not {"inputs", "formula"} <= set(rule):
             raise ValueError(f"rule {rule_id} lacks inputs or formula")
     return rules
 
 
+def load_rules(path: str | Path) -> dict:
+    """A rule file of one set of rules, on the driver."""
+    return checked_rules(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
+def load_rule_sets(path: str | Path) -> dict[int, dict]:
+    """A rule file of several years: ``{year: {rule_id: ...}}``; entries that are no year are notes."""
+    sets = json.loads(Path(path).read_text(encoding="utf-8"))
+    return {int(year): checked_rules(rules) for year, rules in sets.items() if year.isdigit()}
+
+
+def write_rule_files(spark: SparkSession, sets: dict[int, dict], path: str) -> None:
+    """One JSON file a year, in folders ``year=...`` that every executor can reach."""
+    for year, rules in sets.items():
+        text = spark.createDataFrame([(json.dumps(checked_rules(rules), ensure_ascii=False),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{path}/year={year}")
+
+
+def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a folder as rows: ``year, rule_id, rule`` (JSON text)."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.col("year").cast("int").alias("year"), F.explode(F.from_json("value", "map<string,string>")).alias("rule_id", "rule"))
+
+
+def rule_sets_of(rows: DataFrame) -> dict[int, dict]:
+    """Rule rows as sets by year, to compile into columns; rules are a handful of texts written by people."""
+    sets: dict[int, dict] = {}
+    for row in rows.select("year", "rule_id", "rule").toLocalIterator():
+        sets.setdefault(row["year"], {})[row["rule_id"]] = json.loads(row["rule"])
+    return {year: checked_rules(rules) for year, rules in sorted(sets.items())}
+
+
 def write_decisions(decisions: DataFrame, path: str) -> None:
     """Append decisions as JSON lines."""
     stamped = decisions.withColumn("reviewed_at", F.coalesce("reviewed_at", F.date_format(

@@ -15,15 +15,18 @@ from tariffloom.operators import checks as ck
 from tariffloom.operators import edits as ed
 from tariffloom.operators import notices as no
 from tariffloom.operators import reconcile as rc
+from tariffloom.operators.cells import patch_cells
+from tariffloom.operators.rulebook import RULES_2025, RULES_2026, by_year
 from tariffloom.plans import validate as va
 from tariffloom.plans.extract import extract_constants
-from tariffloom.plans.repair import remaining_findings, repair
+from tariffloom.plans.match import MatchSettings
+from tariffloom.plans.repair import leftovers, remaining_findings, repair, repair_tables
 from tariffloom.session import cut_lineage, shared_dir
 from tariffloom.sources import files as fs
 from tariffloom.sources.notices import parse_notices
 from tariffloom.sources.spreadsheets import parse_workbooks
 from tariffloom.streaming import streams as st
-from tariffloom.workloads.grids import CELLS_SQL, part_cells
+from tariffloom.workloads.grids import CELLS_SQL, VERSION_SQL, part_cells, versions
 from tariffloom.workloads.registry import table, workload
 from tariffloom.workloads.tariffs import BASIC_SQL, basic_tables, stored, supplier_constants
 
@@ -232,6 +235,10 @@ union all select doc_id, '종합조사 월한도액 (' || v || ').' || (n + 1) |
 union all select doc_id, '추가급여 월한도액.' || item, 300000 + 50000 * i + p from s cross join (values """ + ", ".join(f"('{x}', {n})" for n, x in enumerate(fixed.ADD_ITEMS)) + """) t(item, i)""")
 def extract_supplier_constants(spark, sf):
     """A reference sheet per supplier, as cells; constants read back by their anchors."""
+    return extract_constants(_reference_cells(spark, sf))["constants"].select("doc_id", "key", "value")
+
+
+def _reference_cells(spark, sf):
     p = F.col("p")
     entries: list = []
 
@@ -256,6 +263,8 @@ def extract_supplier_constants(spark, sf):
     put(sj, 0, 1, 160000 + p)
     put(sj, 0, 2, "본인부담금 상한액")
     put(sj, 1, 1, "기준중위소득 70%이하")
+    put(sj, 9, 1, "기본단가")  # a mirror of the price on the first sheet
+    put(sj, 9, 2, 15000 + p % 4000)
     for n, v in enumerate([0.06, 0.09, 0.12, 0.15]):
         put(sj, 2, 1 + n, v)
     for n, item in enumerate(fixed.ADD_ITEMS):
@@ -267,8 +276,61 @@ def extract_supplier_constants(spark, sf):
             put(jh, row - 1 if row == 1 else row, 1 + n, f"{n + 1}등급")
             put(jh, row + 1, 1 + n, top - 350000 * n + p)
     source = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.floor(F.abs("s_acctbal")).alias("p"))
-    cells = cut_lineage(source.select("doc_id", F.inline(F.array(*entries))).withColumn("formula", F.lit(None).cast("string")))
-    return extract_constants(cells)["constants"].select("doc_id", "key", "value")
+    return cut_lineage(source.select("doc_id", F.inline(F.array(*entries))).withColumn("formula", F.lit(None).cast("string")))
+
+
+_MAP_SQL = """
+s as (select cast(s_suppkey as varchar) as doc_id, cast(floor(abs(s_acctbal)) as bigint) as p from supplier),
+places(key, sheet, r, c) as (values ('기본단가', '인정조사', 0, 2), ('기본단가@산정특례', '산정특례', 9, 2), ('A값', '인정조사', 1, 2), ('인정조사 본인부담금 상한액', '인정조사', 1, 3), ('종합조사/산정특례 본인부담금 상한액', '산정특례', 0, 1)
+  union all select '인정조사 본인부담률 (기본급여).' || l, '인정조사', 2, 2 + n from (values ('다', 0), ('라', 1), ('마', 2), ('바', 3)) t(l, n)
+  union all select '인정조사 본인부담률 (추가급여).' || l, '인정조사', 3, 2 + n from (values ('다', 0), ('라', 1), ('마', 2), ('바', 3)) t(l, n)
+  union all select '종합조사/산정특례 본인부담률.' || l, '산정특례', 2, 1 + n from (values ('다', 0), ('라', 1), ('마', 2), ('바', 3)) t(l, n)
+  union all select '인정조사 월한도액 (' || v || ').' || (n + 1) || '등급', '인정조사', 7 + n, c from range(4) r(n) cross join (values ('기본형', 4), ('확장형', 5)) t(v, c)
+  union all select '종합조사 월한도액 (' || v || ').' || (n + 1) || '구간', '종합조사', r, 1 + n from range(15) x(n) cross join (values ('기본형', 2), ('확장형', 6)) t(v, r)
+  union all select '추가급여 월한도액.' || item, '산정특례', 5, 1 + n from (values """ + ", ".join(f"('{x}', {n})" for n, x in enumerate(fixed.ADD_ITEMS)) + """) t(item, n)),
+map as (select doc_id, key, sheet, cast(r as integer) as "row", cast(c as integer) as col, p from s cross join places)"""
+
+
+@workload("cell_map", "X8 X4", f"""
+with {_MAP_SQL} select doc_id, key, sheet, "row", col from map""")
+def cell_map(spark, sf):
+    """Where each constant of every reference sheet stands, mirrors on other sheets included."""
+    return extract_constants(_reference_cells(spark, sf))["cell_map"].select("doc_id", "key", "sheet", "row", "col")
+
+
+@workload("mirrored_patches", "X8 S11", f"""
+with {_MAP_SQL} select doc_id, sheet, "row", col, case when key like '기본단가%' then 15000 + p % 4000 + 10 else 2000000 - 400000 * ("row" - 7) + p + 7 end::double as nval
+from map where key like '기본단가%' or (key like '인정조사 월한도액 (기본형)%' and p % 2 = 0)""")
+def mirrored_patches(spark, sf):
+    """New prices written back to every place of the price, and new limits of even documents to theirs."""
+    cells = _reference_cells(spark, sf)
+    out = extract_constants(cells)
+    price = F.col("key") == "기본단가"
+    limits = F.col("key").startswith("인정조사 월한도액 (기본형)") & F.col("even")
+    even = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), (F.floor(F.abs("s_acctbal")) % 2 == 0).alias("even"))
+    changes = out["constants"].join(even, "doc_id").filter(price | limits).select(
+        "doc_id", "key", (F.col("value") + F.when(price, 10).otherwise(7)).alias("value"))
+    patched, _ = patch_cells(cells, out["cell_map"], changes)
+    before = cells.select("doc_id", "sheet", "row", "col", F.col("nval").alias("was"))
+    return patched.join(before, ["doc_id", "sheet", "row", "col"]).filter(~F.col("nval").eqNullSafe(F.col("was"))).select("doc_id", "sheet", "row", "col", "nval")
+
+
+@workload("rules_from_files", "S7 R3 R4 R5", """
+with o as (select o_orderkey, cast(floor(o_totalprice) as bigint) as lim, 15000 + o_custkey % 4000 as price, cast(year(o_orderdate) as integer) as y, ['가', '나', '다'][o_custkey % 3 + 1] as letter, 0.09::double as rate from orders)
+select o_orderkey, case when y >= 1996 then cast(ceil((lim - price * 22) / 1000) * 1000 as bigint) else cast(ceil((floor(lim / price) - 22) * price / 1000) * 1000 as bigint) end as extended,
+  cast(case letter when '가' then 0 when '나' then 20000 else least(floor(lim * rate / 100) * 100, 5000) end as bigint) as copay from o""")
+def rules_from_files(spark, sf):
+    """Rules written as one file a year into the shared folder, read back as rows and applied to
+    orders by the latest year not after theirs."""
+    path = _folder(spark, "rules")
+    fs.write_rule_files(spark, {1990: RULES_2025, 1996: RULES_2026}, path)
+    sets = fs.rule_sets_of(fs.read_rule_files(spark, path))
+    custkey, year = F.col("o_custkey"), F.year("o_orderdate")
+    limit = F.floor("o_totalprice")
+    letter = F.get(F.array(*map(F.lit, "가나다")), (custkey % 3).cast("int"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", by_year("extended_monthly_limit", sets, year, {"monthly_limit": limit, "unit_price": 15000 + custkey % 4000}).cast("bigint").alias("extended"),
+        by_year("copayment", sets, year, {"monthly_limit": limit, "cap": F.lit(5000), "income_range": letter, "copayment_rate": F.lit(0.09)}).cast("bigint").alias("copay"))
 
 
 # --- edits and decisions ----------------------------------------------------------------------
@@ -332,6 +394,40 @@ def repair_leftovers(spark, sf):
     return remaining_findings(done, keep, checks, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "code")
 
 
+@workload("repair_whole_tables", "E2 A8 A10", """
+with l as (select l_orderkey, cast(l_linenumber as integer) as l_linenumber, max(l_quantity) as q from lineitem group by all)
+select l_orderkey, l_linenumber, 'NAME' as code from l where q = 7 union all select l_orderkey, l_linenumber, 'UNFINISHED' from l where q = 9
+union all select l_orderkey, null, 'ROW_COUNT' from l group by l_orderkey having count(*) > 4""")
+def repair_whole_tables(spark, sf):
+    """Order lines as tables: sums are repaired row by row, codes that occur twice by what the table
+    lacks; names and row counts have no suggestion, and two checks that undo each other never rest."""
+    x, q = F.floor("price"), F.col("quantity")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"))
+    rows = lines.select(
+        "l_orderkey", "l_linenumber", F.when(q == 7, "?").otherwise("ok").alias("name"), (q == 9).alias("odd"),
+        F.when(q % 5 == 0, 1).otherwise(F.col("l_linenumber")).cast("bigint").alias("코드"), x.alias("지원량"),
+        (x - 1000 + F.col("l_orderkey") % 3).alias("정부지원금"), F.lit(1000).cast("bigint").alias("본인부담금"), F.lit(0).cast("bigint").alias("단가"))
+    price = F.col("단가")
+    checks = [ck.finding(F.col("name") == "?", "NAME", "name"),
+              *ck.sum_check("지원량", "정부지원금", "본인부담금", F.col("지원량"), F.col("정부지원금"), F.col("본인부담금"), F.lit(True), F.lit(True)),
+              ck.finding(F.col("odd") & (price == 0), "EVEN", "단가", F.lit(1.0), reason=F.lit("짝수")),
+              ck.finding(F.col("odd") & (price == 1), "ODD", "단가", F.lit(0.0), reason=F.lit("홀수"))]
+    keys, keep = ["l_orderkey", "l_linenumber"], lambda rows: rows
+
+    def codes(rows):
+        twice = rows.groupBy("l_orderkey", "코드").agg(F.count("*").alias("n")).filter("n > 1").select("l_orderkey", "코드")
+        return rows.join(twice, ["l_orderkey", "코드"], "left_semi").select(*keys, F.lit("코드").alias("column"), F.col("l_linenumber").cast("double").alias("expected"))
+
+    def suite(rows):
+        lines = remaining_findings(rows, keep, checks[:-2], keys).select(*keys, "code")
+        dup = codes(rows).select(*keys, F.lit("DUP_CODE").alias("code"))
+        counts = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n > 4").select("l_orderkey", F.lit(None).cast("int").alias("l_linenumber"), F.lit("ROW_COUNT").alias("code"))
+        return lines.unionByName(dup).unionByName(counts)
+
+    done = repair_tables(rows, keys, keep, checks, ["정부지원금", "코드", "단가"], codes)
+    return leftovers(done, suite, keys).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
 def _decision_rows(spark, sf):
     e, user = F.col("event_id"), F.col("user_id")
     item = F.concat(F.lit("i"), (e % 40).cast("string"))
@@ -365,13 +461,14 @@ def decision_log(spark, sf):
 
 
 @workload("latest_before", "S12", """
-with t as (select distinct o_custkey, 1998 as year from orders), r as (select o_custkey, cast(year(o_orderdate) as integer) as y, max_by('f' || o_orderkey, o_orderkey) as path from orders group by all)
+with r as (select o_custkey, cast(year(o_orderdate) as integer) as y, max_by('f' || o_orderkey, o_orderkey) as path from orders group by all), t as (select o_custkey, y + 1 as year from r union select o_custkey, y from r)
 select t.o_custkey, cast(t.year as integer) as year, max(y) as found_year, max_by(path, y) as path from t left join r on r.o_custkey = t.o_custkey and r.y < t.year group by all""")
 def latest_before(spark, sf):
+    """The file before every year that a customer has orders in, and before the year after it."""
     orders = table(spark, sf, "orders")
     registry = orders.select("o_custkey", F.year("o_orderdate").alias("year"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"),
                              F.col("o_orderkey").alias("seq"))
-    targets = orders.select("o_custkey").distinct().withColumn("year", F.lit(1998))
+    targets = registry.select("o_custkey", F.explode(F.array("year", F.col("year") + 1)).alias("year")).distinct()
     return fs.latest_before(targets, registry, ["o_custkey"])
 
 
@@ -466,3 +563,36 @@ def stream_workbooks(spark, sf):
 
     st.arriving_workbooks(arriving, handle, out + "-state").awaitTermination()
     return spark.read.parquet(out).select("doc_id", "sheet", "n")
+
+
+@workload("match_on_arrival", "T3 S12 M11", f"""
+with {VERSION_SQL}, bl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from btagged where vtype = 'str'),
+tl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from ttagged where vtype = 'str'),
+common as (select distinct doc_id, sheet from cells join (select distinct doc_id, sheet from tcells) using (doc_id, sheet)),
+m as (select bl.doc_id, count(*) as n_base, count(tl.norm) as auto_passed from bl join common using (doc_id, sheet) left join tl using (doc_id, sheet, norm) group by all)
+select 't' || doc_id as target_doc, case when cast(doc_id as integer) % 7 <> 0 then 'b' || doc_id end as base_doc, case when cast(doc_id as integer) % 7 <> 0 then n_base end as n_base,
+   case when cast(doc_id as integer) % 7 <> 0 then auto_passed end as auto_passed from m""")
+def match_on_arrival(spark, sf):
+    """This year's part grids arrive in three batches: half have last year's in the archive, others
+    get it a batch later, some documents come twice, and every seventh has no earlier year."""
+    cells, _ = versions(spark, sf)
+    side, number = F.left("doc_id", F.lit(1)), F.substring("doc_id", 2, 20).cast("int")
+    old = side == "b"
+    archived = old & (number % 2 == 0)
+    inbox, out = _folder(spark, "arrivals"), _folder(spark, "matched")
+    batches = (~old & (number % 3 != 1), (~old & (number % 3 == 1)) | (old & ~archived), ~old & (number % 4 == 0))
+    # a document that comes again first came with other texts
+    early = F.when(~old & (number % 4 == 0) & F.col("sval").isNotNull(), F.concat("sval", F.lit("?"))).otherwise(F.col("sval"))
+    cells = cut_lineage(cells)
+    for n, own in enumerate(batches):
+        cells.filter(own).withColumn("sval", early if n < 2 else F.col("sval")).coalesce(1).write.mode("append").parquet(inbox)
+    registry = cells.select("doc_id").distinct().select(
+        number.alias("office"), F.when(old, 2024).otherwise(2025).alias("year"), F.col("doc_id").alias("path"), F.lit(1).alias("seq")).filter(
+        ~((F.col("year") == 2024) & (F.col("office") % 7 == 0)))
+    arriving = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    settings = MatchSettings(required_sheets=("S0", "S1"), required_labels=())
+    st.match_cells_on_arrival(arriving, registry, cells.filter(archived), out, out + "-state", settings).awaitTermination()
+    last_year = st.current_report(spark, out, "items").filter(~F.array_contains("flags", "NEW_IN_TARGET")).groupBy("pair_id").agg(
+        F.count("*").alias("n_base"), F.count_if(F.col("status") == fixed.AUTO_PASS).alias("auto_passed"))
+    bases = st.current_baselines(spark, out).filter(F.col("target_doc").startswith("t"))
+    return bases.join(last_year.withColumnRenamed("pair_id", "target_doc"), "target_doc", "left").select("target_doc", "base_doc", "n_base", "auto_passed")

@@ -45,6 +45,16 @@ def test_exact_median(sequence):
     assert got == {g: statistics.median(v for h, _, v in rows if h == g and v is not None) for g in "ab"}
 
 
+@pytest.mark.parametrize("bracket", [1_000_000, 10, 0])
+def test_exact_median_of_wide_brackets(spark, bracket):
+    rng = random.Random(2)
+    groups = {"even": [rng.random() * 10 ** rng.randint(-30, 30) for _ in range(20_000)], "odd": [rng.gauss(0, 1) for _ in range(30_001)],
+              "ties": [float(rng.randint(0, 3)) for _ in range(25_000)], "one": [4.5], "two": [1.0, 2.0], "edge": [0.0] * 9_999 + [1.0] * 9_999}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double")
+    got = {r["g"]: r["m"] for r in od.exact_median(df, ["g"], "v", "m", bracket=bracket).collect()}
+    assert got == {g: statistics.median(vs) for g, vs in groups.items()}
+
+
 def grams(text):
     return [text[i:i + 2] for i in range(len(text) - 1)] if len(text) > 1 else [text]
 
@@ -147,3 +157,24 @@ def test_token_counts_of_a_long_text(spark):
     got = [r["c"] for r in df.select(token_counts(bigrams(F.col("t"))).alias("c")).collect()]
     assert time.time() - start < 20
     assert [tuple(x) for x in got[0]] == [("ab", 50_000), ("ba", 49_999)] and got[1] == [] and [tuple(x) for x in got[3]] == [("ab", 1), ("ba", 1)]
+
+
+def test_repair_marks_rows_that_never_rest(spark):
+    from tariffloom.operators import checks as ck
+    from tariffloom.plans.repair import repair, repair_tables
+
+    rows = spark.createDataFrame([(1, 0, 5), (2, 3, 5), (3, 7, 5), (4, 9, 5)], "k int, a bigint, b bigint")
+    a = F.col("a")
+    find = lambda test, to: ck.finding(test, "X", "a", to, reason=F.lit("x"))
+    checks = [find(a == 0, F.lit(1.0)), find(a == 1, F.lit(0.0)), find(a.between(3, 5), (a + 1).cast("double")),
+              find(a >= 7, (a + 1).cast("double"))]
+    keep = lambda df: df
+    got = {r["k"]: (r["a"], r["unfinished"]) for r in repair(rows.filter("k < 3"), keep, checks, ["a"]).collect()}
+    assert got[2] == (6, False) and got[1][1]
+    got = {r["k"]: r["unfinished"] for r in repair(rows, keep, checks, ["a"], rounds=4).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True}
+    # the second of equal rows moves on, and the row check that it then breaks is repaired as well
+    fixes = lambda df: df.groupBy("b").agg(F.max("k").alias("k"), F.count("*").alias("n")).filter("n > 1").select("k", F.lit("b").alias("column"), F.lit(6.0).alias("expected"))
+    row = [find((F.col("b") == 6) & (a != 60), F.lit(60.0))]
+    done = repair_tables(rows.filter("k in (2, 3)"), ["k"], keep, row, ["a", "b"], fixes)
+    assert {tuple(r) for r in done.select("k", "a", "b", "unfinished").collect()} == {(2, 3, 5, False), (3, 60, 6, False)}
