@@ -1,10 +1,11 @@
 """Ranking labels by lexical and vector similarity inside blocks.
 
-The labels of a block are laid out so that similar ones are neighbours (by the nearest of a few
-pivot vectors where there are vectors, by text otherwise) and cut into tiles of bounded size.  A
-label is in one tile.  Tiles are indexed by token: for each token of a tile the greatest weight that
-one of its labels has, and the range of its labels' distances to the pivots.  From these follows
-the greatest score that a query can have in a tile:
+The labels of a block are laid out so that similar ones are neighbours (by their numbers where
+other numbers demote, then by the nearest of a few pivot vectors where there are vectors, then by
+text) and cut into tiles of bounded size.  A label is in one tile.  Tiles are indexed by token: for
+each token of a tile the greatest weight that one of its labels has, the numbers of its labels, and
+the range of their distances to the pivots.  From these follows the greatest score that a query can
+have in a tile:
 
 1. a query is scored in the tile that promises most, which gives its k-th best score so far;
 2. it then visits only tiles whose promise reaches that score.
@@ -29,7 +30,7 @@ from tariffloom.functions.labels import negated, numeric_relation, opposite, opp
 from tariffloom.functions.text import bigrams, token_counts
 from tariffloom.session import cut_lineage
 
-TILE = 256  # labels that share an index entry
+TILE = 64  # labels that share an index entry
 CHUNK = 1024  # queries that a task scores at once
 PART = 4096  # tiles that a task weighs at once
 PIVOTS = 8
@@ -80,15 +81,18 @@ def saturation(tf: Column, length: Column, avg_len: Column) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
-def _featured(df: DataFrame, keep: Sequence[str], vectors: DataFrame | None) -> DataFrame:
+def _featured(keep: Sequence[str]) -> list[Column]:
+    """What scoring needs to know of a label, beside columns to keep."""
     norm = F.col("norm")
     tokens = bigrams(norm)
-    out = df.select(
-        *keep, token_counts(tokens).alias("tokens"), F.size(tokens).alias("n_tokens"),
-        plain_numbers(norm).alias("nums"), opposite_mask(norm).alias("mask"), negated(norm).alias("neg"))
+    return [*map(F.col, keep), token_counts(tokens).alias("tokens"), F.size(tokens).alias("n_tokens"),
+            plain_numbers(norm).alias("nums"), opposite_mask(norm).alias("mask"), negated(norm).alias("neg")]
+
+
+def _with_vectors(df: DataFrame, vectors: DataFrame | None) -> DataFrame:
     if vectors is None:
-        return out.withColumn("vec", F.lit(None).cast("array<float>"))
-    return out.join(vectors.select("norm", F.col("vec").cast("array<float>").alias("vec")), "norm", "left")
+        return df.withColumn("vec", F.lit(None).cast("array<float>"))
+    return df.join(vectors.select("norm", F.col("vec").cast("array<float>").alias("vec")), "norm", "left")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -96,7 +100,7 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
 
 
-def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, size: int, out: str) -> DataFrame:
+def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, by_numbers: bool, size: int, out: str) -> DataFrame:
     """Rows with ``out``, the number of a run of at most ``size`` similar neighbours, and ``dist``, the distances to the pivots."""
     block = list(block)
     if pivots is None:
@@ -106,11 +110,20 @@ def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, siz
             "dist", F.when(F.col("vec").isNotNull(), F.transform("pivots", lambda p: _distance(p, F.col("vec"))))).drop("pivots")
         near = F.array_min("dist")
         order = [F.array_position("dist", near), near, F.col("norm")]
+    if by_numbers:
+        order.insert(0, F.array_join(plain_numbers(F.col("norm")), " "))
     keyed = measured.select("*", *[o.alias(f"__o{n}") for n, o in enumerate(order)])
     order = [*block, *[f"__o{n}" for n in range(len(order))]]
     # a row's id goes up by one inside a partition
-    laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.floor(F.monotonically_increasing_id() / size))
-    return cut_lineage(laid.drop(*[o for o in order if o.startswith("__o")]))
+    laid = keyed.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order).withColumn(out, F.floor(F.monotonically_increasing_id() / size))
+    # features come after the shuffle, since its bounds are sampled from the rows before
+    return cut_lineage(laid.select(*_featured([*df.columns, "dist", out])))
+
+
+def _parts(df: DataFrame) -> int:
+    """As many partitions as a shuffle has; a fixed number is not merged for the small size of its rows,
+    whose work lies in scoring."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _pivots(t: DataFrame, block: Sequence[str]) -> DataFrame:
@@ -209,7 +222,15 @@ def promises(q: pd.DataFrame, tiles: pd.DataFrame, config: HybridConfig) -> np.n
         gap = np.maximum(gap - 1e-6, 0.0)
         square = q["square"].to_numpy(dtype=float)[far][:, None] + tiles["square"].to_numpy(dtype=float)[held][None, :]
         dense[np.ix_(far, held)] = np.maximum(_stretched((square - gap * gap) / 2 + 1e-6, config.cosine_floor), least)
-    return config.alpha * lexical + (1 - config.alpha) * dense
+    score = config.alpha * lexical + (1 - config.alpha) * dense
+    if config.vetoes:
+        # numbers that no label of the tile has together demote whatever else fits
+        whole = lambda lists: lists.map(lambda x: ["\0".join(x)])
+        same = _shared(_entries(whole(q["nums"])), _entries(tiles["number_sets"]), len(q), len(tiles)) > 0
+        bare = (q["nums"].map(len).to_numpy() == 0)[:, None] | tiles["number_sets"].map(lambda x: "" in x).to_numpy(dtype=bool)[None, :]
+        extra = bare | (_shared(_entries(q["nums"]), _entries(tiles["numbers"]), len(q), len(tiles)) > 0)
+        score = score * np.where(same, 1.0, np.where(extra, fixed.EXTRA_FACTOR, fixed.CONFLICT_FACTOR))
+    return score
 
 
 def _visits(block: Sequence[str], config: HybridConfig, home: bool):
@@ -270,6 +291,7 @@ def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridCon
 def _cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:
     # fresh key names: both sides may stem from one table
     right = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    left, right = left.repartition(_parts(left), *keys), right.repartition(_parts(left), *[f"__{c}" for c in keys])
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"__{c}" for c in keys])).applyInPandas(run, schema)
 
 
@@ -277,14 +299,14 @@ def _prepared(queries: DataFrame, targets: DataFrame, block: list[str], config:
     """Queries and labels with their weights, laid out in chunks and tiles."""
     carried = [c for c in targets.columns if c not in (*block, "pos")]
     active = queries.select(*block).distinct()
-    t = _featured(targets.join(active, block, "left_semi"), targets.columns, vectors)
-    q = _featured(queries.select(*block, "norm"), [*block, "norm"], vectors)
+    t = _with_vectors(targets.join(active, block, "left_semi"), vectors)
+    q = _with_vectors(queries.select(*block, "norm"), vectors)
     pivots = None if vectors is None else cut_lineage(_pivots(t, block))
-    t = _laid_out(t, block, pivots, config.tile, "tile")
+    t = _laid_out(t, block, pivots, config.vetoes, config.tile, "tile")
     stats = t.groupBy(*block).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
     spread = t.select(*block, F.explode("tokens.token").alias("token")).groupBy(*block, "token").agg(
         F.count("*").alias("n_with"))
-    q = _laid_out(q.join(stats, block), block, pivots, config.chunk, "chunk")
+    q = _laid_out(q.join(stats, block), block, pivots, config.vetoes, config.chunk, "chunk")
     weighted = (
         q.select(*block, "norm", "n_docs", "avg_len", "n_tokens", F.inline("tokens"))
         .join(spread, [*block, "token"], "left")
@@ -332,15 +354,16 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
     peaks = peaks.groupBy(*tile_keys).agg(F.collect_list("token").alias("toks"), F.collect_list("weight").alias("weights"))
     ends = [F.min(F.get("dist", n)).alias(f"__l{n}") for n in range(PIVOTS)] + [F.max(F.get("dist", n)).alias(f"__h{n}") for n in range(PIVOTS)]
     ranges = t_rows.groupBy(*tile_keys).agg(
-        F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, 2 * config.k).alias("first"), F.max("square").alias("square"), *ends)
+        F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, 2 * config.k).alias("first"), F.max("square").alias("square"),
+        F.collect_set(F.array_join("nums", "\0")).alias("number_sets"), F.array_distinct(F.flatten(F.collect_set("nums"))).alias("numbers"), *ends)
     some = F.col("square").isNotNull()
     index = cut_lineage(ranges.join(peaks, tile_keys, "left").select(
-        *tile_keys, "n", "first", "square", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+        *tile_keys, "n", "first", "square", "number_sets", "numbers", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
         F.when(some, F.array(*[f"__l{n}" for n in range(PIVOTS)])).alias("low"), F.when(some, F.array(*[f"__h{n}" for n in range(PIVOTS)])).alias("high")))
     index = index.withColumn("part", F.floor(F.col("tile") / PART))
     asked = index.join(q_rows.select(*block, "chunk").distinct(), block)
     chunk_keys, part_keys = [*block, "chunk"], [*block, "chunk", "part"]
-    bare = q_rows.select(*chunk_keys, "q_norm", "toks", "weights", "self_score", "dist", "square").join(index.select(*block, "part").distinct(), block)
+    bare = q_rows.select(*chunk_keys, "q_norm", "toks", "weights", "self_score", "nums", "dist", "square").join(index.select(*block, "part").distinct(), block)
 
     def scored(visits: DataFrame) -> DataFrame:
         own = visits.join(q_rows, [*chunk_keys, "q_norm"])

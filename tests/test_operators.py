@@ -119,8 +119,8 @@ def test_flagship_reads_only_its_columns(spark):
     assert "l_shipdate" not in plan and "l_suppkey" not in plan
 
 
-@pytest.mark.parametrize("alpha", [1.0, 0.6, 0.0])
-def test_tiles_that_are_left_out_hold_nothing_better(spark, alpha):
+@pytest.mark.parametrize(("alpha", "vetoes"), [(1.0, True), (0.6, True), (0.0, False)])
+def test_tiles_that_are_left_out_hold_nothing_better(spark, alpha, vetoes):
     rng = random.Random(8)
     words = ["본인", "부담금", "상한액", "기본", "단가", "구간", "등급", "추가", "급여", "zz", "12", "2024"]
     make = lambda: "".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
@@ -131,7 +131,7 @@ def test_tiles_that_are_left_out_hold_nothing_better(spark, alpha):
     q = spark.createDataFrame([("b", x) for x in queries] + [("c", "혼자")], "block string, norm string")
     vectors = t.select("norm").union(q.select("norm")).distinct().filter("norm <> 'ㄱ'").select("norm", hashed_vector(F.col("norm")).alias("vec"))
     run = lambda **own: {(r["q_norm"], r["rank"]): (r["pos"], round(r["final"], 8)) for r in rank_candidates(
-        q, t, ["block"], HybridConfig(alpha=alpha, cosine_floor=0.3, **own), vectors).collect()}
+        q, t, ["block"], HybridConfig(alpha=alpha, cosine_floor=0.3, vetoes=vetoes, **own), vectors).collect()}
     assert run(tile=4, chunk=3) == run(tile=4096)
 
 
@@ -139,10 +139,12 @@ def test_few_tiles_are_visited():
     from tariffloom.operators import similarity as si
 
     tiles = pd.DataFrame({"tile": [1, 2, 3], "n": [5, 5, 5], "first": [[1], [2], [3]], "toks": [["ab"], ["cd"], ["ab", "ef"]], "weights": [[2.0], [1.0], [1.0, 1.0]],
-                          "low": [None] * 3, "high": [None] * 3, "square": [None] * 3})
-    q = pd.DataFrame({"b": ["x"], "q_norm": ["ab"], "chunk": [0], "toks": [["ab"]], "weights": [[1.0]], "self_score": [4.0], "dist": [None], "square": [None], "least": [0.4], "home": [1]})
+                          "low": [None] * 3, "high": [None] * 3, "square": [None] * 3, "number_sets": [[""], ["7#1"], ["", "12#1"]], "numbers": [[], ["7#1"], ["12#1"]]})
+    q = pd.DataFrame({"b": ["x"], "q_norm": ["ab"], "chunk": [0], "toks": [["ab"]], "weights": [[1.0]], "self_score": [4.0], "nums": [[]], "dist": [None], "square": [None], "least": [0.4], "home": [1]})
     config = HybridConfig(alpha=1.0)
     assert np.round(si.promises(q, tiles, config), 6).tolist() == [[0.5, 0, 0.25]]
+    assert np.round(si.promises(q.assign(nums=[["12#1"]]), tiles, config), 6).tolist() == [[0.3, 0, 0.25]]
+    assert np.round(si.promises(q.assign(nums=[["7#1"]]), tiles.assign(number_sets=[["8#1"], ["7#1"], ["12#1"]]), config), 6).tolist() == [[0.075, 0, 0.0375]]
     assert si._visits(["b"], config, True)(q, tiles)["tile"].tolist() == [1]
     assert si._visits(["b"], config, False)(q, tiles)["tile"].tolist() == []
     assert si._visits(["b"], config, False)(q.assign(least=0.2), tiles)["tile"].tolist() == [3]
