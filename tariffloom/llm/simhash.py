@@ -40,6 +40,8 @@ TILE = 200_000
 #: comparisons that a task holds at a time
 PAIRS = 2_000_000
 BATCH = 200_000
+#: fingerprints that more than this part of all rows share are joined by broadcast
+OFTEN = 1000
 
 U64 = np.uint64
 
@@ -380,14 +382,20 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, i
     ids only has none; an empty table gives an empty result; other columns are ignored.
     """
     printed = written(fingerprints(docs, id_col, text_col, words))
-    prints = written(printed.groupBy("print").agg(F.min("doc_id").alias("least")))
+    prints = written(printed.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     links = near_links(prints, distance, hot, tile)
     labels = component_labels(links)
     linked = prints.join(labels, prints["print"] == labels["node"]).select("print", "least", "label")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = prints.join(linked.join(least, "label").select("print", "component_id"), "print", "left").select(
-        "print", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(groups, "print").select("doc_id", hex_of("print").alias("fingerprint"), "component_id")
+    groups = written(prints.join(linked.join(least, "label").select("print", "component_id"), "print", "left").select(
+        "print", "copies", F.coalesce("component_id", "least").alias("component_id")))
+    # a fingerprint of many documents is no key to shuffle by: there are at most OFTEN of these
+    bound = (groups.agg(F.sum("copies")).first()[0] or 0) / OFTEN
+    often = groups.filter(F.col("copies") > bound).select("print", "component_id", F.lit(True).alias("often"))
+    marked = printed.join(F.broadcast(often), "print", "left")
+    rest = marked.filter(F.col("often").isNull()).select("doc_id", "print").join(groups.select("print", "component_id"), "print")
+    both = marked.filter("often").select("doc_id", "print", "component_id").unionByName(rest.select("doc_id", "print", "component_id"))
+    return both.select("doc_id", hex_of("print").alias("fingerprint"), "component_id")
 
 
 def op13_simhash(spark, sf):
