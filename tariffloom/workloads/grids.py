@@ -1,4 +1,4 @@
-"""Cell grids derived from ``part``: two sheets of up to 100 rows per 200 parts."""
+"""Cell grids derived from ``part``: two sheets of 100 filled rows per 200 parts."""
 
 from __future__ import annotations
 
@@ -12,15 +12,15 @@ from tariffloom.operators import segment as sg
 from tariffloom.operators.ordered import carry_forward_nested, exact_median
 from tariffloom.workloads.registry import table, workload
 
-# Rows of parts with sizes 20..24 stay blank, columns 2 and 5 always do; so do some prices.
+# After every seventh and every eleventh part a row stays blank; columns 2 and 5 and some prices do as well.
 CELLS_SQL = """
 cells as (
-  select cast(p_partkey // 200 as varchar) as doc_id, 'S' || (p_partkey // 100) % 2 as sheet, cast(p_partkey % 100 as integer) as "row",
+  select cast(p_partkey // 200 as varchar) as doc_id, 'S' || (p_partkey // 100) % 2 as sheet, cast(p_partkey % 100 + p_partkey % 100 // 7 + p_partkey % 100 // 11 as integer) as "row",
          cast(x.col as integer) as col, x.sval as sval, x.nval as nval, case when x.sval is null then 'num' else 'str' end as vtype
   from (select *, unnest([{'col': 0, 'sval': p_name, 'nval': null}, {'col': 1, 'sval': p_brand, 'nval': null},
       {'col': 3, 'sval': null, 'nval': p_size::double}, {'col': 4, 'sval': null, 'nval': case when p_size % 4 <> 0 then p_retailprice end},
       {'col': 6, 'sval': p_type, 'nval': null}]) as x from part)
-  where p_size not between 20 and 24 and (x.sval is not null or x.nval is not null)),
+  where x.sval is not null or x.nval is not null),
 rws as (select *, "row" - row_number() over (partition by doc_id, sheet order by "row") as rb from (select distinct doc_id, sheet, "row" from cells)),
 in_rows as (select cells.*, rb from cells join rws using (doc_id, sheet, "row")),
 cls as (select *, col - row_number() over (partition by doc_id, sheet, rb order by col) as cb from (select distinct doc_id, sheet, rb, col from in_rows)),
@@ -43,10 +43,11 @@ def part_cells(spark, sf) -> DataFrame:
                       cell(3, none_s, F.col("p_size").cast("double")),
                       cell(4, none_s, F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice"))),
                       cell(6, text("p_type"), none_d))
-    rows = table(spark, sf, "part").filter(~F.col("p_size").between(20, 24)).select(
+    at = k % 100
+    rows = table(spark, sf, "part").select(
         F.floor(k / 200).cast("string").alias("doc_id"),
         F.concat(F.lit("S"), (F.floor(k / 100) % 2).cast("string")).alias("sheet"),
-        (k % 100).cast("int").alias("row"), F.inline(entries))
+        (at + F.floor(at / 7) + F.floor(at / 11)).cast("int").alias("row"), F.inline(entries))
     return rows.filter(F.col("sval").isNotNull() | F.col("nval").isNotNull()).withColumns({
         "vtype": F.when(F.col("sval").isNull(), "num").otherwise("str"), "formula": none_s})
 
@@ -86,11 +87,11 @@ def fingerprints(spark, sf):
 
 def versions(spark, sf):
     """Last year's cells and this year's: odd documents swap columns 3 and 4 and scale sizes by
-    60, every third loses row 7, every fifth its second sheet; one sheet is new everywhere."""
+    60, every third loses row 9, every fifth its second sheet; one sheet is new everywhere."""
     base = part_cells(spark, sf)
     d = F.col("doc_id").cast("int")
     odd = d % 2 == 1
-    target = base.filter(~((d % 3 == 0) & (F.col("row") == 7)) & ~((d % 5 == 0) & (F.col("sheet") == "S1"))).withColumns({
+    target = base.filter(~((d % 3 == 0) & (F.col("row") == 9)) & ~((d % 5 == 0) & (F.col("sheet") == "S1"))).withColumns({
         "nval": F.when(odd & (F.col("col") == 3), F.col("nval") * 60).otherwise(F.col("nval")),
         "col": F.when(odd & (F.col("col") == 3), 4).when(odd & (F.col("col") == 4), 3)
         .when(odd & (F.col("col") == 0), 1).when(odd & (F.col("col") == 1), 0).otherwise(F.col("col")),
@@ -116,7 +117,7 @@ def _version_sql() -> str:
     target = """
     tcells as (select doc_id, sheet, "row", cast(case when odd and col = 3 then 4 when odd and col = 4 then 3 when odd and col = 0 then 1 when odd and col = 1 then 0 else col end as integer) as col,
       sval, case when odd and col = 3 then nval * 60 else nval end as nval, vtype
-      from (select *, cast(doc_id as integer) % 2 = 1 as odd, cast(doc_id as integer) as d from cells) where not (d % 3 = 0 and "row" = 7) and not (d % 5 = 0 and sheet = 'S1')
+      from (select *, cast(doc_id as integer) % 2 = 1 as odd, cast(doc_id as integer) as d from cells) where not (d % 3 = 0 and "row" = 9) and not (d % 5 = 0 and sheet = 'S1')
       union all select doc_id, 'NEW', "row", col, sval, nval, vtype from cells where "row" < 5),"""
     return start + target + side("b", "cells").rstrip() + "," + side("t", "tcells")
 
@@ -143,15 +144,21 @@ stable as (select doc_id, sheet from (select doc_id, sheet, count(*) as n from b
 bh as (select doc_id, sheet, table_idx, list(replace(sval, ' ', '') order by col) as h from btagged where "row" = row0 and vtype = 'str' group by all),
 th as (select doc_id, sheet, table_idx, list(replace(sval, ' ', '') order by col) as h from ttagged where "row" = row0 and vtype = 'str' group by all),
 p as (select b.doc_id, sheet, table_idx, b.row1 - b.row0 as hb, t.row1 - t.row0 as ht, b.col1 - b.col0 as wb, t.col1 - t.col0 as wt, coalesce(bh.h, []) as h1, coalesce(th.h, []) as h2
-  from bregions b join tregions t using (doc_id, sheet, table_idx) join stable using (doc_id, sheet) left join bh using (doc_id, sheet, table_idx) left join th using (doc_id, sheet, table_idx))
+  from bregions b join tregions t using (doc_id, sheet, table_idx) join stable using (doc_id, sheet) left join bh using (doc_id, sheet, table_idx) left join th using (doc_id, sheet, table_idx)),
+bk as (select doc_id, sheet, table_idx, col - col0 as c, case when avg(case when vtype = 'num' then 1.0 else 0.0 end) > 0.8 then '숫자' when avg(case when vtype = 'num' then 1.0 else 0.0 end) < 0.2 then '문자' else '혼합' end as kind from btagged group by all),
+tk as (select doc_id, sheet, table_idx, col - col0 as c, case when avg(case when vtype = 'num' then 1.0 else 0.0 end) > 0.8 then '숫자' when avg(case when vtype = 'num' then 1.0 else 0.0 end) < 0.2 then '문자' else '혼합' end as kind from ttagged group by all),
+chg as (select doc_id, sheet, table_idx, list((c + 1) || '번째 ' || k1 || '→' || k2 order by c) as ch from (
+   select i.doc_id, i.sheet, i.table_idx, i.c, coalesce(bk.kind, '빈칸') as k1, coalesce(tk.kind, '빈칸') as k2 from (select p.*, unnest(range(0, least(wb, wt) + 1)) as c from p) i
+   left join bk using (doc_id, sheet, table_idx, c) left join tk using (doc_id, sheet, table_idx, c)) where k1 <> k2 group by all)
 select doc_id as pair_id, sheet, cast(table_idx as integer) as table_idx, case when list_sort(h1) = list_sort(h2) then 'HEADER_ORDER_CHANGED' else 'TABLE_SHAPE_CHANGED' end as code,
    case when list_sort(h1) = list_sort(h2) then '머리글 순서 바뀜: ' || array_to_string(h1, ' · ') || ' → ' || array_to_string(h2, ' · ') else '머리글 구성이 달라짐' end as detail from p where h1 <> h2
-union all select doc_id, sheet, cast(table_idx as integer), 'TABLE_SHAPE_CHANGED', '표 크기 ' || (hb + 1) || '행 ' || (wb + 1) || '열 → ' || (ht + 1) || '행 ' || (wt + 1) || '열' from p where hb <> ht or wb <> wt""")
+union all select doc_id, sheet, cast(table_idx as integer), 'TABLE_SHAPE_CHANGED', '표 크기 ' || (hb + 1) || '행 ' || (wb + 1) || '열 → ' || (ht + 1) || '행 ' || (wt + 1) || '열' from p where hb <> ht or wb <> wt
+union all select doc_id, sheet, cast(table_idx as integer), 'TABLE_SHAPE_CHANGED', case when wb <> wt then '열이 ' || (wb + 1) || '개에서 ' || (wt + 1) || '개로, ' || coalesce(array_to_string(ch[1:2], ', '), '내용 종류도 달라짐')
+   else '열 내용 종류 바뀜: ' || array_to_string(ch[1:3], ', ') || case when len(ch) > 3 then ' 외 ' || (len(ch) - 3) || '개 열' else '' end end from p left join chg using (doc_id, sheet, table_idx) where ch is not null or wb <> wt""")
 def fingerprint_diff(spark, sf):
     cells, pairs = versions(spark, sf)
     regions, tagged = sg.segment(cells)
     diffs = sg.fingerprint_diffs(pairs, sg.fingerprints(regions, tagged))
-    diffs = diffs.filter(~F.col("detail").startswith("열"))
     return diffs.select("pair_id", "sheet", (F.regexp_extract("table_id", "#([0-9]+)", 1).cast("int") - 1).alias("table_idx"), "code", "detail")
 
 
@@ -291,7 +298,7 @@ def patch_cells(spark, sf):
 
 
 @workload("patch_skipped", "S11", """
-with d as (select distinct cast(p_partkey // 200 as varchar) as doc_id from part where p_size not between 20 and 24)
+with d as (select distinct cast(p_partkey // 200 as varchar) as doc_id from part)
 select doc_id, 'X' as key, '시트를 찾을 수 없음: S9' as reason from d union all select doc_id, 'unknown', '조견표 내 위치가 기록되지 않음' from d union all select doc_id, 'F', '수식으로 계산되는 셀이기에 직접 수정 불가' from d""")
 def patch_skipped(spark, sf):
     cells = part_cells(spark, sf)

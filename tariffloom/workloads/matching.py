@@ -95,15 +95,21 @@ def bm25_top3(spark, sf):
     return ranked.select("block", F.col("q_norm").alias("norm"), "rank", "t_norm", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
 
 
-@workload("hybrid_match", "J4 J6 M4 M7 M8 M11 A14 W7 K1 P5", f"""
-with {LABELS_SQL}, top as (select *, count(*) over (partition by block, pos) > 1 as contested from rk where rank = 1),
+# the items that follow from base, targ, sure and the ranks
+ITEMS_SQL = r"""
+top as (select *, count(*) over (partition by block, pos) > 1 as contested from rk where rank = 1),
 nxt as (select block, qn, final as second from rk where rank = 2),
 j as (select top.*, final - second < 0.05 as low from top left join nxt using (block, qn)),
-items as (select b.block, b.norm, case when s.path is not null then 'auto_pass' when j.final >= 0.28 then 'needs_review' else 'unmatched' end as status, coalesce(s.path, 'hybrid') as match_path, s.t_raw as matched_label,
+old as (select b.block, b.norm, case when s.path is not null then 'auto_pass' when j.final >= 0.28 then 'needs_review' else 'unmatched' end as status, coalesce(s.path, 'hybrid') as match_path, s.t_raw as matched_label,
    concat_ws('|', case when low then 'LOW_MARGIN' end, case when contested then 'CONTESTED' end) as flags, coalesce(s.t_norm, case when j.final >= 0.28 then j.tn end) as claimed
-   from base b left join sure s using (block, norm) left join j on j.block = b.block and j.qn = b.norm)
-select block, norm, status, match_path, matched_label, flags from items
-union all select block, norm, 'unmatched', 'hybrid', null, 'NEW_IN_TARGET' from targ t where not exists (select 1 from items i where i.block = t.block and i.claimed = t.norm) and not exists (select 1 from base b where b.block = t.block and b.norm = t.norm)""")
+   from base b left join sure s using (block, norm) left join j on j.block = b.block and j.qn = b.norm),
+items as (select block, norm, status, match_path, matched_label, flags from old
+   union all select block, norm, 'unmatched', 'hybrid', null, 'NEW_IN_TARGET' from targ t where not exists (select 1 from old i where i.block = t.block and i.claimed = t.norm) and not exists (select 1 from base b where b.block = t.block and b.norm = t.norm))
+"""
+
+
+@workload("hybrid_match", "J4 J6 M4 M7 M8 M11 A14 W7 K1 P5", f"""
+with {LABELS_SQL.rstrip()},{ITEMS_SQL} select * from items""")
 def hybrid_match(spark, sf):
     base, target = part_labels(spark, sf)
     items = mt.match_labels(base, target, ["block"], piece=1000)["items"]
@@ -266,16 +272,17 @@ def item_ids(spark, sf):
 
 
 @workload("match_documents", "M10 M11 A2 P3 P4", f"""
-with {VERSION_SQL}, bl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from btagged where vtype = 'str'),
-tl as (select distinct doc_id, sheet, replace(sval, ' ', '') as norm from ttagged where vtype = 'str'),
-common as (select distinct doc_id, sheet from cells join (select distinct doc_id, sheet from tcells) using (doc_id, sheet))
-select bl.doc_id as pair_id, bl.sheet, count(*) as n_base, count(tl.norm) as auto_passed from bl join common using (doc_id, sheet) left join tl using (doc_id, sheet, norm) group by all""")
+with {VERSION_SQL}, common as (select distinct doc_id, sheet from cells join (select distinct doc_id, sheet from tcells) using (doc_id, sheet)),
+bl as (select *, replace(sval, ' ', '') as norm, table_idx * 4398046511104 + "row" * 262144 + col as pos from btagged join common using (doc_id, sheet) where vtype = 'str'),
+tl as (select *, replace(sval, ' ', '') as norm, table_idx * 4398046511104 + "row" * 262144 + col as pos from ttagged join common using (doc_id, sheet) where vtype = 'str'),
+base as (select doc_id || '|' || sheet as block, norm, min_by(sval, pos) as raw, min(pos) as pos from bl group by all),
+targ as (select doc_id || '|' || sheet as block, norm, min_by(sval, pos) as raw, min(pos) as pos from tl group by all),
+sure as (select b.block, b.norm, case when b.raw = t.raw then 'exact' else 'normalized' end as path, t.norm as t_norm, t.raw as t_raw from base b join targ t using (block, norm)),
+rest as (select block, norm from base b where not exists (select 1 from sure s where s.block = b.block and s.norm = b.norm)),{RANK_SQL.rstrip()},{ITEMS_SQL}
+select split_part(block, '|', 1) as pair_id, split_part(block, '|', 2) as sheet, norm, status, match_path, matched_label, flags from items""")
 def match_documents(spark, sf):
-    """The full matching plan over last year's and this year's part grids; last year's labels
-    and those that pass by equality, per sheet."""
+    """The full matching plan over last year's and this year's part grids: every item of every sheet."""
     cells, pairs = versions(spark, sf)
     settings = mt.MatchSettings(required_sheets=("S0", "S1"), required_labels=(("ring", "S0", "v", (fixed.TABLE_BASIC,), False),))
     items = mt.match_documents(cells, pairs, settings)["items"]
-    last_year = items.filter(~F.array_contains("flags", "NEW_IN_TARGET"))
-    return last_year.groupBy("pair_id", "sheet").agg(
-        F.count("*").alias("n_base"), F.count_if(F.col("status") == fixed.AUTO_PASS).alias("auto_passed"))
+    return items.select("pair_id", "sheet", "norm", "status", "match_path", "matched_label", F.array_join("flags", "|").alias("flags"))

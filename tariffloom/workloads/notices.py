@@ -110,18 +110,23 @@ def notice_amounts(spark, sf):
 
 
 @workload("notice_errors", "X13 X15 J22", f"""
-with {_S} select doc_id, '활동보조' as service from s where broken = 1""")
+with {_S} select doc_id, '활동보조' as service, unnest(['''심야'' 분류가 중복 추출되었습니다', '''공휴일'' 금액이 없습니다']) as message from s where broken = 1""")
 def notice_errors(spark, sf):
-    return no.read_amounts(supplier_notices(spark, sf))[1].select("doc_id", "service").distinct()
+    return no.read_amounts(supplier_notices(spark, sf))[1].select("doc_id", "service", "message")
 
 
 @workload("notice_sources", "X16 W6 P7", f"""
-with {_S} select doc_id, '제3장 급여비용' as chapter, x.i as item, x.t as table_no, cast(x.n as bigint) as n from (select doc_id, unnest([{{'i': '2. 방문목욕', 't': 1, 'n': 2}}, {{'i': '3. 방문간호', 't': 2, 'n': 3}}]) as x from s)""")
+with {AMOUNTS_SQL.strip()}, t(service, chapter, item, table_no) as (values ('활동보조', '제3장 급여비용', '1. 활동보조', 0), ('방문목욕', '제3장 급여비용', '2. 방문목욕', 1), ('방문간호', '제3장 급여비용', '3. 방문간호', 2),
+  ('방문간호지시서', '제3장 급여비용', '4. 방문간호지시서', 3), ('월한도액', '제3장 급여비용', '5. 월 한도액', 4), ('주간활동', '제3장 급여비용', '5. 월 한도액', 5), ('인정조사기본급여', '부 칙', null, 6), ('추가급여', '부 칙', null, 7)),
+n as (select *, try_cast(regexp_extract(key, '([0-9]+)구간', 1) as integer) as z from amounts)
+select doc_id, service, key, chapter, item, table_no,
+  cast(case service when '월한도액' then z when '주간활동' then z when '인정조사기본급여' then 1 when '방문간호지시서' then case when key like '의료%' then 1 else 2 end
+    else case key when '일반' then 1 when '심야' then 2 when '공휴일' then 3 when '차량내입욕' then 1 when '가정내입욕' then 2 when '30분미만' then 1 when '30분이상60분미만' then 2 when '60분이상' then 3 when '출산' then 1 else 2 end end as integer) as "row",
+  cast(case service when '월한도액' then 2 when '주간활동' then case when key like '%확장형' then 2 else 1 end when '인정조사기본급여' then cast(substr(key, 1, 1) as integer) else 1 end as integer) as col from n join t using (service)""")
 def notice_sources(spark, sf):
-    """Where amounts stand: chapter, item and table of two services."""
+    """Where every amount stands: chapter, item, table, row and column."""
     amounts = no.read_amounts(no.visible_blocks(supplier_notices(spark, sf), ["제3장", "부 칙"]))[0]
-    return amounts.filter(F.col("service").isin("방문목욕", "방문간호")).groupBy(
-        "doc_id", "source.chapter", "source.item", "source.table_no").agg(F.count("*").alias("n"))
+    return amounts.select("doc_id", "service", "key", "source.chapter", "source.item", "source.table_no", "source.row", "source.col")
 
 
 @workload("notice_sanity", "V18 V19 W5 K7", f"""

@@ -119,25 +119,29 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: plain names of a basic table's columns, in their order
+_BASIC_NAMES = ("seq", "business", "yr", "chasu", "code", "name", "voucher", "support", "gov", "copay", "blank", "rejudge", "rejudge_period", "income_id",
+                "income_year", "income", "sort_no", "item")
+
+
 @workload("generate_basic", "G1 G3 J19 J20 K5 P10 W8 R4 R5", f"""
 with {BASIC_SQL}
-select doc_id, cast(seq as integer) as seq, code, name, support, support - copay as gov, copay, income,
-       cast(sort_no as integer) as sort_no, cast(2020 + p % 7 as integer) as yr from basic join s using (doc_id)""")
+select doc_id, cast(seq as integer) as seq, '{fixed.BUSINESS_ID}' as business, cast(2020 + p % 7 as integer) as yr, cast(1 + p % 2 as integer) as chasu, code, name, '{fixed.VOUCHER}' as voucher,
+  support, support - copay as gov, copay, null as blank, '{fixed.NO_REJUDGE}' as rejudge, null as rejudge_period, null as income_id, null as income_year, income,
+  cast(sort_no as integer) as sort_no, null as item from basic join s using (doc_id)""")
 def generate_basic(spark, sf):
-    return basic_tables(spark, sf).select(
-        "doc_id", F.col("안").alias("seq"), F.col("등급구분").alias("code"), F.col("등급명").alias("name"),
-        F.col("지원량").alias("support"), F.col("정부지원금").alias("gov"), F.col("본인부담금").alias("copay"),
-        F.col("소득구분").alias("income"), F.col("정렬순서").alias("sort_no"), F.col("사업년도").alias("yr"))
+    """All rows and columns of every supplier's basic table."""
+    return basic_tables(spark, sf).select("doc_id", *[F.col(f"`{c}`").alias(n) for c, n in zip(fixed.BASIC_COLUMNS, _BASIC_NAMES, strict=True)])
 
 
-@workload("generate_special_cases", "J20", f"""
+@workload("generate_special_cases", "J20 J19", f"""
 with {BASIC_SQL}
-select doc_id, cast(i + 1 as integer) as n, cast(lim as bigint) as lim from sj0 where v = 0""")
+select doc_id, kind, base, variant, letter, cast(lim as bigint) as lim, rate::double as rate, cast(cap as bigint) as cap from terms""")
 def generate_special_cases(spark, sf):
-    """The sixty special-case limits per document: grade, main supplement, school and work."""
+    """Limit, rate and cap of every base, variant and tier, the sixty special cases per document among them."""
     terms = gen.expected_terms(supplier_constants(spark, sf))
-    one = terms.filter((F.col("kind") == "sj") & (F.col("variant") == "기본형") & (F.col("letter") == "가"))
-    return one.select("doc_id", F.regexp_extract("base", "([0-9]+)", 1).cast("int").alias("n"), F.col("limit").alias("lim"))
+    return terms.select("doc_id", "kind", "base", "variant", "letter", F.col("limit").cast("bigint").alias("lim"), F.col("rate").cast("double").alias("rate"),
+                        F.col("cap").cast("bigint").alias("cap"))
 
 
 _ADD_SQL = f"""
@@ -189,18 +193,22 @@ def generate_services(spark, sf):
 with {BASIC_SQL}, {_service_sql()},
 g as (select *, row_number() over (partition by doc_id order by code) as gno from basic where code <> '9999'),
 pay as (select doc_id, tid, case tid when 'ST0001' then 0 when 'ST0002' then 8 when 'ST0003' then 17 else 21 end * 949
-   + (gno - 1) * case tid when 'ST0001' then 8 when 'ST0002' then 9 else 4 end + pos + 1 as num, code, support, support - copay as gov, copay, unit_day, unit_night from g join svc using (doc_id))
-select doc_id, tid, count(*) as n, min(num) as first_no, max(num) as last_no, cast(sum(num * support % 1000003) as bigint) as check_sum,
-   cast(sum(gov) as bigint) as gov, cast(sum(unit_day + unit_night) as bigint) as units,
-   cast(sum(cast(round(round(gov / support::double, 10) * 1000000) as bigint)) as bigint) as gov_rates from pay group by doc_id, tid""")
+   + (gno - 1) * case tid when 'ST0001' then 8 when 'ST0002' then 9 else 4 end + pos + 1 as num, code, name, kid, svc.kind, minutes, tname, support, support - copay as gov, copay, unit_day, unit_night from g join svc using (doc_id))
+select doc_id, tid, count(*) as n, min(num) as first_no, max(num) as last_no,
+   md5(string_agg(concat_ws('|', num, code, name, kid, kind, cast(minutes as integer), tname, unit_day, unit_night, support, gov, copay,
+     cast(round(round(gov / support::double, 10) * 1000000) as bigint), cast(round(round(copay / support::double, 10) * 1000000) as bigint)), chr(10) order by num)) as rows_md5
+from pay group by doc_id, tid""")
 def generate_payment(spark, sf):
-    """All payment rows (949 grades x 25 services per document), summed per service type."""
+    """All payment rows (949 grades x 25 services per document): how many, their numbers, and the
+    digest of every row's columns in order, per service type (at most 949 x 9 rows)."""
     pay = gen.payment_table(basic_tables(spark, sf), supplier_prices(spark, sf))
+    million = lambda c: F.round(F.col(c) * 1000000).cast("bigint")
+    line = F.concat_ws("|", "순번", "등급구분", "등급명", "서비스종류", "서비스종유명", "서비스시간", "서비스시간명", "단위기준단가", "단위기준심야단가", "지원량", "정부지원금액",
+                       "본인부담금액", million("정부지원금율"), million("본인부담금율"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("순번").alias("num"), line.alias("line"))))
     return pay.groupBy("doc_id", F.col("서비스유형ID").alias("tid")).agg(
         F.count("*").alias("n"), F.min("순번").alias("first_no"), F.max("순번").alias("last_no"),
-        F.sum(F.col("순번") * F.col("지원량") % 1000003).alias("check_sum"),
-        F.sum("정부지원금액").alias("gov"), F.sum(F.col("단위기준단가") + F.col("단위기준심야단가")).alias("units"),
-        F.sum(F.round(F.col("정부지원금율") * 1000000).cast("bigint")).alias("gov_rates"))
+        F.md5(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")).alias("rows_md5"))
 
 
 @workload("generate_payment_from_parts", "G5 J18 K3", f"""
@@ -336,10 +344,11 @@ with {BASIC_SQL}, {_service_sql()},
 g as (select doc_id, code, support, copay, row_number() over (partition by doc_id order by code) as gno from basic where code <> '9999'),
 pay as (select doc_id, case tid when 'ST0001' then 0 when 'ST0002' then 8 when 'ST0003' then 17 else 21 end * 949
    + (gno - 1) * case tid when 'ST0001' then 8 when 'ST0002' then 9 else 4 end + pos as row_id, code, kind, tname, support as rs, support - copay as rg, copay as rc, unit_day as ud, unit_night as un from g join svc using (doc_id)),
-bad as (select *, rs + case when row_id % 1009 = 0 then 1000 else 0 end as s, rg + case when row_id % 907 = 0 then 500 else 0 end as g,
+bad0 as (select *, rs + case when row_id % 1009 = 0 then 1000 else 0 end as s, rg + case when row_id % 907 = 0 then 500 else 0 end as g,
    rc + case when row_id % 811 = 0 then 50 else 0 end as c, round(rg / rs::double, 10) + case when row_id % 701 = 0 then 0.1 else 0 end as gr,
    ud + case when row_id % 601 = 0 then 10 else 0 end as d, un - case when row_id % 503 = 0 then 10 else 0 end as n,
    row_id % 23 <> 0 as known from pay),
+bad as (select * from bad0 union all select * replace (row_id + 10000000 as row_id) from bad0 where row_id % 1201 = 0),
 m as (select *, known and s = rs as ok, g + c = s as sum_ok, round(rc / rs::double, 10) as cr from bad),
 f as (select *, abs(gr - g / s::double) <= 1e-6 as gr_ok, abs(cr - c / s::double) <= 1e-6 as cr_ok from m where not known),
 b as (select *, gr_ok and abs(cr - (s - g) / s::double) <= 1e-6 as b_c, cr_ok and abs(gr - (s - c) / s::double) <= 1e-6 as b_g,
@@ -355,8 +364,7 @@ iss as (
  union all select doc_id, row_id, 'PAY_GRANULARITY' from m where floor(c / 100 + 1e-9) * 100 <> c
  union all select doc_id, row_id, 'UNIT_DAY' from m where d <> ud
  union all select doc_id, row_id, 'UNIT_NIGHT' from m where n <> un
- union all select doc_id, row_id, 'DUP_ROW' from (select doc_id, row_id, min(row_id) over (partition by doc_id, c2, kind, tname) as f
-     from (select *, case when known then code else 'X' || code end as c1, case when row_id % 1201 = 0 then 'D001' when known then code else 'X' || code end as c2 from m)) where row_id > f)
+ union all select doc_id, row_id, 'DUP_ROW' from (select doc_id, row_id, min(row_id) over (partition by doc_id, known, code, kind, tname) as f from m) where row_id > f)
 select doc_id, cast(row_id as bigint) as row_id, code from iss""")
 def validate_payment(spark, sf):
     """Payment rows of every supplier with planted faults against basic table and prices."""
@@ -373,12 +381,9 @@ def validate_payment(spark, sf):
         "단위기준심야단가": F.col("단위기준심야단가") - F.when(n % 503 == 0, 10).otherwise(0),
         "등급구분": F.when(n % 23 != 0, F.col("등급구분")).otherwise(F.concat(F.lit("X"), F.col("등급구분"))),
     })
-    checked = va.validate("notice_verify", 0, pay, basic=basic, prices=prices)["issues"]
-    rows = checked.filter(F.col("code") != "DUP_ROW").select("doc_id", "row_id", "code")
-    moved = pay.withColumn("등급구분", F.when(n % 1201 == 0, "D001").otherwise(F.col("등급구분")))
-    again = tb.later_duplicates(moved.select("doc_id", "row_id", "등급구분", "서비스종유명", "서비스시간명"),
-                                ["doc_id", "등급구분", "서비스종유명", "서비스시간명"], "row_id")
-    return rows.unionByName(again.select("doc_id", "row_id", F.lit("DUP_ROW").alias("code")))
+    twice = pay.filter(n % 1201 == 0).withColumn("row_id", F.col("row_id") + 10_000_000)
+    checked = va.validate("notice_verify", 0, pay.unionByName(twice), basic=basic, prices=prices)["issues"]
+    return checked.select("doc_id", "row_id", "code")
 
 
 @workload("validate_growth", "J16 V17", f"""
