@@ -101,6 +101,32 @@ def _with_terms(docs: DataFrame, rules: dict) -> DataFrame:
                        F.col("l.rate").alias("rate"))
 
 
+def document_terms(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
+    """One row a document: the limit of each of its blocks, the rates of its tiers, its caps, and ``emergency``,
+    the limit of the thirteenth zone.  :func:`block_place` finds a grade's block."""
+    c = F.col("c")
+    return constant_map(constants).select(
+        "doc_id", F.transform(_dimension_array(), lambda x: block_limit(c, x, rules)).alias("limits"),
+        letter_rates(c, fixed.K_IJ_RATES).alias("ij_rates"), letter_rates(c, fixed.K_SJ_RATES).alias("sj_rates"),
+        c[fixed.K_IJ_CAP].cast("bigint").alias("ij_cap"), c[fixed.K_SJ_CAP].cast("bigint").alias("sj_cap"),
+        c[f"{fixed.K_JH_LIMITS} (기본형).13구간"].cast("bigint").alias("emergency"))
+
+
+def block_place(base: Column, variant: Column) -> Column:
+    """0-based place of a grade in the blocks of a basic table, null if there is none."""
+    places: dict[str, dict[str, int]] = {}
+    for n, d in enumerate(_grade_dimension()):
+        places.setdefault(d["variant"], {})[d["base"]] = n
+    # both variants name the same grades in the same order, so one list of names serves
+    names = list(places[fixed.VARIANTS[0]])
+    at = F.array_position(F.array(*map(F.lit, names)), base).cast("int") - 1
+    chosen = None
+    for variant_name, own in places.items():
+        place = F.get(F.array(*[F.lit(own[name]) for name in names]), at)
+        chosen = F.when(variant == variant_name, place) if chosen is None else chosen.when(variant == variant_name, place)
+    return chosen
+
+
 def expected_terms(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     """What a basic table must contain: limit, rate and cap by base, variant and letter."""
     rows = _with_terms(constant_map(constants), rules)

@@ -15,7 +15,7 @@ from tariffloom.operators import tables as tb
 from tariffloom.operators.constants import constant_map, missing_keys
 from tariffloom.operators.formulas import rule_column
 from tariffloom.operators.rulebook import RULES_2025, copay_column
-from tariffloom.plans.generate import expected_terms, service_rows
+from tariffloom.plans.generate import block_place, document_terms, service_rows
 
 KEYS = ("doc_id", "row_id")
 ISSUE_COLUMNS = ("doc_id", "row_id", "ord", "code", "column", "reason", "expected", "actual", "fixes")
@@ -64,14 +64,19 @@ def _whole_table(table: DataFrame, parsed: DataFrame, expected_rows: int) -> Dat
 def basic_with_terms(table: DataFrame, constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     """Rows of basic tables with parsed grade, reference limit, rate, cap and recomputed copay.
 
-    ``emergency`` is the limit of the thirteenth zone.  The terms join on four keys, so a
-    large document spreads over hundreds of them.
+    ``emergency`` is the limit of the thirteenth zone.  A document's terms are one small row; limit,
+    rate and cap are looked up in it by the grade's place.
     """
-    terms = expected_terms(constants, rules).drop("kind")
-    emergency = constant_map(constants, [f"{fixed.K_JH_LIMITS} (기본형).13구간"]).select(
-        "doc_id", F.col("c")[f"{fixed.K_JH_LIMITS} (기본형).13구간"].cast("bigint").alias("emergency"))
-    parsed = ck.with_grade(table)
-    joined = parsed.join(terms, ["doc_id", "base", "variant", "letter"], "left").join(emergency, "doc_id", "left")
+    parsed = ck.pinned(ck.with_grade(table), {
+        "__at": block_place(F.col("base"), F.col("variant")),
+        "__tier": F.nullif(F.array_position(F.array(*map(F.lit, fixed.LETTERS)), F.col("letter")), F.lit(0)).cast("int") - 1})
+    held = parsed.join(document_terms(constants, rules), "doc_id", "left")
+    known, first = F.col("__at").isNotNull() & F.col("__tier").isNotNull(), F.col("kind") == "ij"
+    joined = ck.pinned(held, {
+        "limit": F.when(known, F.get("limits", F.col("__at"))),
+        "rate": F.when(known, F.get(F.when(first, F.col("ij_rates")).otherwise(F.col("sj_rates")), F.col("__tier"))),
+        "cap": F.when(known, F.when(first, F.col("ij_cap")).otherwise(F.col("sj_cap")))}).drop(
+        "limits", "ij_rates", "sj_rates", "ij_cap", "sj_cap", "__at", "__tier")
     expected = copay_column(rules, F.col("지원량"), F.col("cap"), F.col("letter"), F.col("rate"), F.col("variant"))
     known = F.col("rate").isNotNull() & F.col("cap").isNotNull() & F.col("지원량").isNotNull()
     return ck.pinned(joined, {"expected_copay": F.when(known, expected).cast("bigint")})

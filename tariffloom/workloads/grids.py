@@ -130,12 +130,13 @@ with {VERSION_SQL},
 nb as (select c.doc_id, c.sheet, count(table_idx) as n from (select distinct doc_id, sheet from cells) c left join bregions r using (doc_id, sheet) group by all),
 nt as (select c.doc_id, c.sheet, count(table_idx) as n from (select distinct doc_id, sheet from tcells) c left join tregions r using (doc_id, sheet) group by all)
 select doc_id as pair_id, sheet, case when nb.n is null then 'SHEET_ADDED' when nt.n is null and sheet = 'S1' then 'SHEET_MISSING' when nt.n is null then 'SHEET_REMOVED' else 'TABLE_COUNT_CHANGED' end as code,
-  nt.n is null as fatal
+  nt.n is null as fatal, case when nb.n is null then '작년에 없던 시트입니다.' when nt.n is null and sheet = 'S1' then '값을 읽어야 하는 시트인데 올해 파일에 없습니다.' when nt.n is null then '작년 파일에만 있던 시트 (값 추출에 쓰지 않음)'
+    else '표가 ' || nb.n || '개에서 ' || nt.n || '개로 늘거나 줄어, 이 시트는 값 비교를 건너뜁니다.' end as detail
 from nb full outer join nt using (doc_id, sheet) where nb.n is distinct from nt.n""")
 def sheet_alerts(spark, sf):
     cells, pairs = versions(spark, sf)
     regions, _ = sg.segment(cells)
-    return sg.sheet_alerts(pairs, cells, regions, ("S1",)).select("pair_id", "sheet", "code", "fatal")
+    return sg.sheet_alerts(pairs, cells, regions, ("S1",)).select("pair_id", "sheet", "code", "fatal", "detail")
 
 
 @workload("fingerprint_diff", "J9 X1 A5 A6", f"""

@@ -11,7 +11,7 @@ from tariffloom.operators.ordered import previous_value
 from tariffloom.operators.similarity import HybridConfig, cosine_of, dense_score, rank_candidates, score_pairs
 from tariffloom.plans import match as mt
 from tariffloom.workloads.grids import VERSION_SQL, versions
-from tariffloom.workloads.registry import table, workload
+from tariffloom.workloads.registry import WORKLOADS, table, workload
 
 # last year: part names with their size; this year some are respelt, swapped or renumbered
 BASE_SQL = r"""
@@ -271,6 +271,12 @@ def item_ids(spark, sf):
     return mt.match_documents(cells, pairs)["items"].select("norm", "item_id")
 
 
+def _report(spark, sf) -> dict[str, DataFrame]:
+    cells, pairs = versions(spark, sf)
+    settings = mt.MatchSettings(required_sheets=("S1",), required_labels=(("bolt", "S0", "v", (fixed.TABLE_BASIC,), False),))
+    return mt.match_documents(cells, pairs, settings)
+
+
 @workload("match_documents", "M10 M11 A2 P3 P4", f"""
 with {VERSION_SQL}, common as (select distinct doc_id, sheet from cells join (select distinct doc_id, sheet from tcells) using (doc_id, sheet)),
 bl as (select *, replace(sval, ' ', '') as norm, table_idx * 4398046511104 + "row" * 262144 + col as pos from btagged join common using (doc_id, sheet) where vtype = 'str'),
@@ -282,7 +288,24 @@ rest as (select block, norm from base b where not exists (select 1 from sure s w
 select split_part(block, '|', 1) as pair_id, split_part(block, '|', 2) as sheet, norm, status, match_path, matched_label, flags from items""")
 def match_documents(spark, sf):
     """The full matching plan over last year's and this year's part grids: every item of every sheet."""
-    cells, pairs = versions(spark, sf)
-    settings = mt.MatchSettings(required_sheets=("S0", "S1"), required_labels=(("ring", "S0", "v", (fixed.TABLE_BASIC,), False),))
-    items = mt.match_documents(cells, pairs, settings)["items"]
+    items = _report(spark, sf)["items"]
     return items.select("pair_id", "sheet", "norm", "status", "match_path", "matched_label", F.array_join("flags", "|").alias("flags"))
+
+
+@workload("match_report", "M10 X1 X2 X12 W3 W4", f"""
+with {VERSION_SQL}, tl as (select doc_id, replace(sval, ' ', '') as norm, min_by("row", table_idx * 4398046511104 + "row" * 262144 + col) as r from ttagged where vtype = 'str' and sheet = 'S0' group by all),
+found as (select doc_id, count(distinct r) as n from tl where contains(norm, 'bolt') group by doc_id)
+select 'alert' as part, pair_id, sheet, code, detail from ({WORKLOADS['sheet_alerts'].sql})
+union all select 'alert', pair_id, sheet, code, detail from ({WORKLOADS['fingerprint_diff'].sql})
+union all select 'anomaly', pair_id, sheet, code, table_idx || '.' || c from ({WORKLOADS['value_drift'].sql})
+union all select 'missing', doc_id, 'S0', 'bolt', case when n is null then '올해 파일에서 찾지 못했습니다' else '서로 다른 ' || n || '개 행에 나뉘어 있어 어디서 읽을지 정할 수 없습니다' end
+  from (select distinct doc_id from cells) left join found using (doc_id) where n is null or n > 1""")
+def match_report(spark, sf):
+    """What else the report of every pair says: alerts, anomalies, and required labels that are missing or ambiguous."""
+    report = _report(spark, sf)
+    columns = ["pair_id", "sheet", "code", "detail"]
+    anomalies = report["anomalies"].withColumn("detail", F.concat_ws(".", F.col("table_idx").cast("string"), F.col("c").cast("string")))
+    missing = report["missing"].select("pair_id", "sheet", F.col("label").alias("code"), F.col("reason").alias("detail"))
+    parts = {"alert": report["alerts"], "anomaly": anomalies, "missing": missing}
+    named = [df.select(F.lit(name).alias("part"), *columns) for name, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
