@@ -8,7 +8,7 @@ character, and byte-fallback tokens, take their ends from their decoded bytes.
 
 Both tokenizers always cut before a single space between two characters that are no white space,
 so a word between such spaces has the same tokens wherever it stands.  A chunk of texts therefore
-aligns each of its distinct words once:
+aligns each of its distinct words once, if the worker does not know it from an earlier chunk:
 
 1. a chunk writes its documents' own figures, its distinct pairs of linked ids with the number of
    its documents that hold them, and how often each document holds each (one row a chunk);
@@ -39,6 +39,8 @@ from tariffloom.llm.tokens import _pack, _unpack
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_CHARS = 6_000_000
 CHUNK_ROWS = 60_000
+#: aligned words that a worker keeps
+MEMO = 400_000
 #: words are handed to the tokenizers about so many characters at a time
 JOINED_CHARS = 500_000
 #: a space that both tokenizers cut at (U+180E is white space in some Unicode versions)
@@ -162,7 +164,8 @@ class Aligned:
         (self.a, a_ends), (self.b, b_ends) = first.encode(text), second.encode(text)
         self.fits = first.bytes_of(self.a) == full == second.bytes_of(self.b)
         if self.fits:
-            self.ends = np.intersect1d(a_ends, b_ends)
+            at = np.searchsorted(b_ends, a_ends)
+            self.ends = a_ends[b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends]
             self.a_cuts = np.concatenate(([0], np.searchsorted(a_ends, self.ends, "right")))
             self.b_cuts = np.concatenate(([0], np.searchsorted(b_ends, self.ends, "right")))
 
@@ -206,7 +209,7 @@ class Words:
         got = Aligned(self.first, self.second, " ".join([words[i] for i in at]))
         sizes = np.fromiter((len(words[i].encode("utf-8", "surrogatepass")) + 1 for i in at), np.int64, len(at))
         word_ends = np.cumsum(sizes)
-        if len(at) > 1 and not (got.fits and np.isin(word_ends, got.ends).all()):
+        if len(at) > 1 and not (got.fits and (got.ends[np.minimum(np.searchsorted(got.ends, word_ends), len(got.ends) - 1)] == word_ends).all()):
             for i in at:
                 self._add(words, [i])
             return
@@ -234,12 +237,60 @@ class Words:
         self._owners.append(places[np.repeat(own[group], times)])
 
 
+    def picked(self, at: np.ndarray) -> Words:
+        """The words at these places."""
+        out = object.__new__(Words)
+        for name in ("fits", "n_a", "n_b", "n_groups", "n_links"):
+            setattr(out, name, getattr(self, name)[at])
+        out.groups = list(map(self.groups.__getitem__, at.tolist()))
+        out.links_before = np.concatenate(([0], np.cumsum(out.n_links)))
+        out.pairs = self.pairs[np.repeat(self.links_before[at] - out.links_before[:-1], out.n_links) + np.arange(out.links_before[-1])]
+        return out
+
+    def extend(self, more: Words) -> None:
+        for name in ("fits", "n_a", "n_b", "n_groups", "n_links", "pairs"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(more, name)]))
+        self.groups += more.groups
+        self.links_before = np.concatenate(([0], np.cumsum(self.n_links)))
+
+
+class Known:
+    """Words that a worker has aligned; when they are too many, those that came up in one chunk only are forgotten."""
+
+    def __init__(self, first: ByteLevel, second: Pieces):
+        self.first, self.second = first, second
+        self.place: dict[str, int] = {}
+        self.words, self.again = Words([], first, second), np.zeros(0, bool)
+
+    def of(self, words: list[str]) -> Words:
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > MEMO:
+            keep = np.flatnonzero(self.again)
+            names = list(self.place)
+            self.place = {names[i]: n for n, i in enumerate(keep.tolist())} if len(keep) < MEMO // 2 else {}
+            self.words = self.words.picked(keep[:len(self.place)])
+            self.again = np.zeros(len(self.place), bool)
+            new = [w for w in words if w not in self.place]
+        old = len(self.place)
+        self.place.update(zip(new, range(old, old + len(new)), strict=True))
+        self.words.extend(Words(new, self.first, self.second))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.again[at[at < old]] = True
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        return self.words.picked(at)
+
+
+@lru_cache(1)
+def known_words(first: str, second: str) -> Known:
+    return Known(*vocabularies(first, second))
+
+
 CHUNKS = pa.schema([("chunk", pa.int64()), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("body", pa.binary()), ("groups", pa.list_(pa.string()))])
 
 
-def _close(chunk: int, ids: list, words: dict, texts: list[np.ndarray], first: ByteLevel, second: Pieces, keep: bool) -> pa.RecordBatch:
+def _close(chunk: int, ids: list, words: dict, texts: list[np.ndarray], memo: Known, keep: bool) -> pa.RecordBatch:
     """The row of a chunk."""
-    known = Words(list(words), first, second)
+    known = memo.of(list(words))
     fits = np.array([known.fits[t].all() for t in texts], bool)
     used = [t if fit else t[:0] for t, fit in zip(texts, fits, strict=True)]
     figures = np.array([[x[t].sum() for x in (known.n_a, known.n_b, known.n_groups, known.n_links)] for t in used], np.int64).reshape(-1, 4)
@@ -271,7 +322,7 @@ def _close(chunk: int, ids: list, words: dict, texts: list[np.ndarray], first: B
 
 def _chunks(first: str, second: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = vocabularies(first, second)
+        memo = known_words(first, second)
         chunk = TaskContext.get().partitionId() << 32
         ids, chars, words, texts = [], 0, defaultdict(count().__next__), []
         for batch in batches:
@@ -280,10 +331,10 @@ def _chunks(first: str, second: str, keep: bool):
                 chars += len(text or "")
                 texts.append(np.fromiter(map(words.__getitem__, split_words(text)), np.int64) if text else np.zeros(0, np.int64))
                 if chars >= CHUNK_CHARS or len(ids) >= CHUNK_ROWS:
-                    yield _close(chunk, ids, words, texts, a, b, keep)
+                    yield _close(chunk, ids, words, texts, memo, keep)
                     ids, chars, words, texts, chunk = [], 0, defaultdict(count().__next__), [], chunk + 1
         if ids:
-            yield _close(chunk, ids, words, texts, a, b, keep)
+            yield _close(chunk, ids, words, texts, memo, keep)
 
     return run
 

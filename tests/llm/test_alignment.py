@@ -90,12 +90,13 @@ def test_spans_are_refined_to_decoded_bytes(both):
     assert first.coarse.any() and second.coarse.any()
 
 
-@pytest.mark.parametrize("chunk", [6_000_000, 300])
-def test_counts_equal_plain_loops(spark, both, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "memo"), [(6_000_000, 400_000), (300, 400_000), (300, 60)])
+def test_counts_equal_plain_loops(spark, both, monkeypatch, chunk, memo):
     import cloudpickle
 
     rows = [(n % 150, t) for n, t in enumerate(random_texts(200, 2))]
     monkeypatch.setattr(al, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(al, "MEMO", memo)
     cloudpickle.register_pickle_by_value(al)  # so that tasks see the small chunk
     try:
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -116,3 +117,15 @@ def test_groups_as_text(spark, both):
     got = {r["doc_id"]: r for r in al.align(spark.createDataFrame(rows, "doc_id long, text string"), *PATHS, groups=True).collect()}
     assert hashlib.sha256(got[1]["groups"].encode()).hexdigest() == got[1]["groups_sha256"] and got[1]["groups"].count(";") == got[1]["n_groups"] - 1
     assert got[2]["groups"] == got[3]["groups"] == got[2]["groups_sha256"] == "" and got[2]["n_a"] == got[2]["count_sum"] == 0
+
+
+def test_known_words_are_those_aligned_anew(both, monkeypatch):
+    rng = random.Random(6)
+    words = list(dict.fromkeys(w for t in random_texts(300, 5) for w in al.split_words(t)))
+    monkeypatch.setattr(al, "MEMO", 150)
+    memo = al.Known(*both)
+    for _ in range(12):
+        some = rng.sample(words, 60) if rng.random() < 0.7 else rng.sample(words, 200)
+        got, want = memo.of(some), al.Words(some, *both)
+        assert got.groups == want.groups and got.pairs.tolist() == want.pairs.tolist() and got.links_before.tolist() == want.links_before.tolist()
+        assert [got.fits.tolist(), got.n_a.tolist(), got.n_b.tolist()] == [want.fits.tolist(), want.n_a.tolist(), want.n_b.tolist()]
