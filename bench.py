@@ -37,6 +37,12 @@ def main() -> None:
     documents = spark.read.parquet(f"{sf}/supplier.parquet").count()
     per_document = {"validate_payment": ("payment_rows_per_s", 949 * 25), "validate_basic": ("basic_rows_per_s", 950), "notice_amounts": ("notices_per_s", 1)}
     rates = {rate: round(documents * n / times[name]) for name, (rate, n) in per_document.items() if times.get(name)}
+    if times.get("hybrid_match"):  # every label of last year against every label of its block
+        from tariffloom.workloads.matching import part_labels
+
+        sides = [side.groupBy("block").count().withColumnRenamed("count", n) for side, n in zip(part_labels(spark, sf), ("old", "new"), strict=True)]
+        pairs = sides[0].join(sides[1], "block").selectExpr("sum(old * new) as n").first()["n"]
+        rates["label_pairs_per_s"] = round(pairs / times["hybrid_match"])
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rates": rates, "sf": Path(sf).name}))
 

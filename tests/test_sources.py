@@ -37,12 +37,12 @@ def test_extract_constants(spark):
     broken["산정특례"]["C20"] = "본인부담금 상한액"
     out = extract_constants(cells_frame(spark, {"ok": constants_book(5), "bad": broken}))
     values = {r["key"]: r["value"] for r in out["constants"].filter("doc_id = 'ok'").collect()}
-    assert values["기본단가"] == 17275 and values[fixed.K_IJ_CAP] == 154400 and values[fixed.K_SJ_CAP] == 160000
+    assert values["기본단가"] == 16995 and values[fixed.K_IJ_CAP] == 151300 and values[fixed.K_SJ_CAP] == 158000
     assert values[f"{fixed.K_IJ_RATES}.바"] == 0.15 and values[f"{fixed.K_ADD_RATES}.다"] == 0.02
     assert values[f"{fixed.K_IJ_RATES}.나"] == 20000 and values[f"{fixed.K_ADD_RATES}.나"] == 0
-    assert values[f"{fixed.K_IJ_LIMITS} (확장형).4등급"] == 1841000 - 1200000
-    assert values[f"{fixed.K_JH_LIMITS} (기본형).15구간"] == 5940000 - 350000 * 14
-    assert values[f"{fixed.K_ADD_LIMITS}.출산"] == 3000000 - 150000 * 6
+    assert values[f"{fixed.K_IJ_LIMITS} (확장형).4등급"] == 1790000 - 1170000
+    assert values[f"{fixed.K_JH_LIMITS} (기본형).15구간"] == 5870000 - 340000 * 14
+    assert values[f"{fixed.K_ADD_LIMITS}.출산"] == 2900000 - 140000 * 6
     assert len(values) == 3 + 1 + 18 + 8 + 30 + 12
     errors = {(r["doc_id"], r["key"]) for r in out["errors"].collect()}
     assert all(doc == "bad" for doc, _ in errors)
