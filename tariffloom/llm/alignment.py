@@ -320,7 +320,7 @@ def _close(chunk: int, ids: list, words: dict, texts: list[np.ndarray], memo: Kn
     return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, CHUNKS, strict=True)], schema=CHUNKS)
 
 
-def _chunks(first: str, second: str, keep: bool):
+def _chunks(first: str, second: str, keep: bool, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = known_words(first, second)
         chunk = TaskContext.get().partitionId() << 32
@@ -330,7 +330,7 @@ def _chunks(first: str, second: str, keep: bool):
                 ids.append(doc_id)
                 chars += len(text or "")
                 texts.append(np.fromiter(map(words.__getitem__, split_words(text)), np.int64) if text else np.zeros(0, np.int64))
-                if chars >= CHUNK_CHARS or len(ids) >= CHUNK_ROWS:
+                if chars >= chunk_chars or len(ids) >= CHUNK_ROWS:
                     yield _close(chunk, ids, words, texts, memo, keep)
                     ids, chars, words, texts, chunk = [], 0, defaultdict(count().__next__), [], chunk + 1
         if ids:
@@ -361,7 +361,8 @@ def _documents(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False,
+          chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Per row: tokens of either tokenizer, groups, links, corpus-wide counts of the links, and the groups' SHA-256.
 
     ``first`` is a byte-level file of ``tokenizers``, ``second`` a sentencepiece model that puts a
@@ -377,7 +378,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = written(texts.mapInArrow(_chunks(first, second, groups), "chunk long, pairs array<long>, held array<int>, body binary, groups array<string>"))
+    chunks = written(texts.mapInArrow(_chunks(first, second, groups, chunk_chars), "chunk long, pairs array<long>, held array<int>, body binary, groups array<string>"))
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "own")).select(
         "chunk", "place", F.col("own.pairs").alias("pair"), F.col("own.held").alias("held"))
     totals = rows.groupBy("pair").agg(F.sum("held").alias("total"))

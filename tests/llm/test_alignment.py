@@ -90,19 +90,11 @@ def test_spans_are_refined_to_decoded_bytes(both):
     assert first.coarse.any() and second.coarse.any()
 
 
-@pytest.mark.parametrize(("chunk", "memo"), [(6_000_000, 400_000), (300, 400_000), (300, 60)])
-def test_counts_equal_plain_loops(spark, both, monkeypatch, chunk, memo):
-    import cloudpickle
-
+@pytest.mark.parametrize("chunk", [al.CHUNK_CHARS, 300])
+def test_counts_equal_plain_loops(spark, both, chunk):
     rows = [(n % 150, t) for n, t in enumerate(random_texts(200, 2))]
-    monkeypatch.setattr(al, "CHUNK_CHARS", chunk)
-    monkeypatch.setattr(al, "MEMO", memo)
-    cloudpickle.register_pickle_by_value(al)  # so that tasks see the small chunk
-    try:
-        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        assert found(al.align(df, *PATHS)) == expected(both, rows)
-    finally:
-        cloudpickle.unregister_pickle_by_value(al)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(al.align(df, *PATHS, chunk_chars=chunk)) == expected(both, rows)
 
 
 def test_odd_tables(spark, both, odd, texts):
