@@ -60,7 +60,7 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and 100 < got.count() < 200
 
