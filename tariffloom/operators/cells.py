@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tariffloom import fixed
 from tariffloom.functions.literals import literal_rows
 from tariffloom.functions.text import is_blank, removed_codepoints, sanitize, squeeze
+from tariffloom.session import not_broadcast
 
 SHEET = ("doc_id", "sheet")
 CELL = ("doc_id", "sheet", "row", "col")
@@ -36,7 +37,7 @@ def used_range(cells: DataFrame) -> DataFrame:
 def missing_sheets(docs: DataFrame, cells: DataFrame, required: Sequence[str] = fixed.SHEETS) -> DataFrame:
     """Required sheets a document lacks."""
     wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, required))).alias("sheet"))
-    return wanted.join(cells.select(*SHEET).distinct(), list(SHEET), "left_anti")
+    return wanted.join(not_broadcast(cells.select(*SHEET).distinct()), list(SHEET), "left_anti")
 
 
 def sanitized(cells: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def anchor_scan(cells: DataFrame, anchors: Sequence[str]) -> DataFrame:
         F.sum("n").alias("total"), F.count("*").alias("n_sheets"))
     everyone = cells.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, anchors))).alias("anchor"))
     total, sheets = F.coalesce("total", F.lit(0)), F.coalesce("n_sheets", F.lit(0))
-    return everyone.join(totals, ["doc_id", "anchor"], "left").select(
+    return everyone.join(not_broadcast(totals), ["doc_id", "anchor"], "left").select(
         "doc_id", "anchor", total.alias("total"), sheets.alias("n_sheets"),
         F.when((total > 1) | (sheets > 1), "risky").when(total == 1, "safe").otherwise("absent").alias("risk"))
 
@@ -98,7 +99,7 @@ def at_offsets(anchored: DataFrame, cells: DataFrame, offsets: Sequence[tuple[st
     values = cells.select("doc_id", "sheet", F.col("row").alias("at_row"), F.col("col").alias("at_col"),
                           F.col("vtype").alias("at_vtype"), F.col("sval").alias("at_sval"),
                           F.col("nval").alias("at_nval"))
-    return wanted.join(values, ["doc_id", "sheet", "at_row", "at_col"], how)
+    return wanted.join(not_broadcast(values), ["doc_id", "sheet", "at_row", "at_col"], how)
 
 
 def context_window(marks: DataFrame, cells: DataFrame, reach: int = 3) -> DataFrame:
@@ -113,7 +114,7 @@ def context_window(marks: DataFrame, cells: DataFrame, reach: int = 3) -> DataFr
     ).select("*", F.explode(around).alias("dc")).select(
         "doc_id", "sheet", "mark_row", "mark_col", (F.col("mark_row") + F.col("dr")).alias("row"),
         (F.col("mark_col") + F.col("dc")).alias("col")).filter((F.col("row") >= 0) & (F.col("col") >= 0))
-    return places.join(cells, list(CELL))
+    return places.join(not_broadcast(cells), list(CELL))
 
 
 def promote_header(cells: DataFrame, columns: Mapping[str, str], header_row: int = 0) -> DataFrame:
@@ -121,7 +122,7 @@ def promote_header(cells: DataFrame, columns: Mapping[str, str], header_row: int
     to ``string``, ``double`` or ``bigint``."""
     heads = cells.filter((F.col("row") == header_row) & (F.col("vtype") == "str")).select(
         *SHEET, "col", F.btrim("sval").alias("__name")).filter(F.col("__name").isin(*columns))
-    body = cells.filter(F.col("row") > header_row).join(heads, [*SHEET, "col"])
+    body = cells.filter(F.col("row") > header_row).join(not_broadcast(heads), [*SHEET, "col"])
 
     def cell(name: str, kind: str) -> Column:
         here = F.col("__name") == name
@@ -144,14 +145,14 @@ def patch_cells(cells: DataFrame, cell_map: DataFrame, changes: DataFrame) -> tu
     mirrors = cell_map.filter(F.contains(F.col("key"), F.lit("@")) & origin.isin(*fixed.SYNC_KEYS)).select(
         "doc_id", origin.alias("origin"), "key")
     followed = (
-        changes.withColumnRenamed("key", "origin").join(mirrors, ["doc_id", "origin"]).select("doc_id", "key", "value")
-        .join(changes.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+        changes.withColumnRenamed("key", "origin").join(not_broadcast(mirrors), ["doc_id", "origin"]).select("doc_id", "key", "value")
+        .join(not_broadcast(changes.select("doc_id", "key")), ["doc_id", "key"], "left_anti")
     )
     placed = changes.select("doc_id", "key", "value").unionByName(followed).join(
-        cell_map.select("doc_id", "key", "sheet", "row", "col"), ["doc_id", "key"], "left")
+        not_broadcast(cell_map.select("doc_id", "key", "sheet", "row", "col")), ["doc_id", "key"], "left")
     sheets = cells.select(*SHEET).distinct().withColumn("__sheet", F.lit(True))
-    placed = placed.join(sheets, list(SHEET), "left").join(
-        cells.select(*CELL, F.col("formula").alias("__formula")), list(CELL), "left")
+    placed = placed.join(not_broadcast(sheets), list(SHEET), "left").join(
+        not_broadcast(cells.select(*CELL, F.col("formula").alias("__formula"))), list(CELL), "left")
     reason = (
         F.when(F.col("sheet").isNull(), "조견표 내 위치가 기록되지 않음")
         .when(F.col("__sheet").isNull(), F.concat(F.lit("시트를 찾을 수 없음: "), "sheet"))
@@ -159,7 +160,7 @@ def patch_cells(cells: DataFrame, cell_map: DataFrame, changes: DataFrame) -> tu
     )
     judged = placed.withColumn("reason", reason)
     new = judged.filter(F.col("reason").isNull()).select(*CELL, F.col("value").alias("__new"))
-    merged = cells.join(new, list(CELL), "full_outer")
+    merged = cells.join(not_broadcast(new), list(CELL), "full_outer")
     hit = F.col("__new").isNotNull()
     patched = merged.withColumns({
         "vtype": F.when(hit, "num").otherwise(F.col("vtype")),

@@ -11,6 +11,7 @@ from tariffloom.functions.numbers import constant_number
 from tariffloom.functions.text import squeeze
 from tariffloom.operators import constants as cn
 from tariffloom.operators.cells import CELL, find_texts, with_search_text
+from tariffloom.session import not_broadcast
 
 IJ, SJ, JH = fixed.SHEETS
 
@@ -53,7 +54,7 @@ def anchor_errors(docs: DataFrame, located: DataFrame) -> DataFrame:
     """Anchors that are absent, or spread over rows where one is needed."""
     spec = literal_rows(list(ANCHORS), "sheet string, anchor string, mode string")
     wanted = docs.select("doc_id", F.inline(spec))
-    found = wanted.join(located.select("doc_id", "sheet", "anchor", "mode", "n_rows"), ["doc_id", "sheet", "anchor", "mode"], "left")
+    found = wanted.join(not_broadcast(located.select("doc_id", "sheet", "anchor", "mode", "n_rows")), ["doc_id", "sheet", "anchor", "mode"], "left")
     reason = F.when(F.col("n_rows").isNull(), F.concat(F.lit("'"), "anchor", F.lit("'를 찾지 못했습니다."))).when(
         (F.col("mode") == "one") & (F.col("n_rows") > 1), F.concat(F.lit("'"), "anchor", F.lit("'가 여러 표에 있습니다")))
     return found.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
@@ -70,7 +71,7 @@ def _targets(usable: DataFrame, texts: DataFrame) -> DataFrame:
     # grade rows: up to five rows from two below the header, the first with a grade's name
     reach = usable.filter(F.col("anchor") == fixed.GRADE_HEADER).select(
         "doc_id", "sheet", F.col("col"), F.explode(F.sequence(F.col("row") + 2, F.col("row") + 6)).alias("row"))
-    grades = reach.join(texts.select(*CELL, "squeezed"), list(CELL)).filter(F.col("squeezed").isin(*fixed.GRADES))
+    grades = reach.join(not_broadcast(texts.select(*CELL, "squeezed")), list(CELL)).filter(F.col("squeezed").isin(*fixed.GRADES))
     grades = grades.groupBy("doc_id", "sheet", "col", "squeezed").agg(F.min("row").alias("row"))
     limits = grades.select("doc_id", "sheet", F.inline(F.array(*[
         F.struct(F.concat(F.lit(f"{fixed.K_IJ_LIMITS} ({v})."), "squeezed").alias("key"), F.col("row").alias("row"),
@@ -79,7 +80,7 @@ def _targets(usable: DataFrame, texts: DataFrame) -> DataFrame:
     # header rows: supplements right of the first item, zones in the three rows about the label
     heads = texts.filter(F.col("squeezed").isin(*fixed.ADD_ITEMS, *fixed.ZONE_HEADERS)).select(*CELL, "squeezed")
     adds = usable.filter(F.col("anchor") == fixed.ADD_ITEMS[0]).select("doc_id", "sheet", "row", F.col("col").alias("from_col"))
-    items = heads.join(adds, ["doc_id", "sheet", "row"]).filter(
+    items = heads.join(not_broadcast(adds), ["doc_id", "sheet", "row"]).filter(
         (F.col("col") >= F.col("from_col")) & F.col("squeezed").isin(*fixed.ADD_ITEMS)
     ).groupBy("doc_id", "sheet", "row", "squeezed").agg(F.min("col").alias("col")).select(
         "doc_id", "sheet", F.concat(F.lit(fixed.K_ADD_LIMITS + "."), "squeezed").alias("key"), (F.col("row") + 1).alias("row"), "col")
@@ -87,7 +88,7 @@ def _targets(usable: DataFrame, texts: DataFrame) -> DataFrame:
     days = usable.filter(F.col("anchor").isin(fixed.DAY_BASIC, fixed.DAY_EXTENDED)).select(
         "doc_id", "sheet", "anchor", F.col("row").alias("label_row"),
         F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"))
-    zones = heads.join(days, ["doc_id", "sheet", "row"]).filter(F.col("squeezed").isin(*fixed.ZONE_HEADERS)).groupBy(
+    zones = heads.join(not_broadcast(days), ["doc_id", "sheet", "row"]).filter(F.col("squeezed").isin(*fixed.ZONE_HEADERS)).groupBy(
         "doc_id", "sheet", "anchor", "label_row", "squeezed").agg(F.min(F.struct("row", "col")).alias("at"))
     variant = F.when(F.col("anchor") == fixed.DAY_BASIC, "기본형").otherwise("확장형")
     zone_key = F.concat(F.lit(f"{fixed.K_JH_LIMITS} ("), variant, F.lit(")."), F.regexp_replace("squeezed", "등급", "구간"))
@@ -114,13 +115,13 @@ def extract_constants(cells: DataFrame, resolved: DataFrame | None = None) -> di
     if resolved is not None:
         renames = resolved.select("doc_id", "sheet", squeeze(F.col("chosen")).alias("squeezed"),
                                   squeeze(F.col("input_label")).alias("__was"))
-        texts = texts.join(renames, ["doc_id", "sheet", "squeezed"], "left").withColumn(
+        texts = texts.join(not_broadcast(renames), ["doc_id", "sheet", "squeezed"], "left").withColumn(
             "squeezed", F.coalesce("__was", "squeezed")).drop("__was")
     docs = cells.select("doc_id").distinct()
     located = locate(texts)
     usable = located.filter((F.col("mode") != "one") | (F.col("n_rows") == 1))
     targets = _targets(usable, texts)
-    read = targets.join(cells.select(*CELL, "vtype", "sval", "nval"), list(CELL), "left").select(
+    read = targets.join(not_broadcast(cells.select(*CELL, "vtype", "sval", "nval")), list(CELL), "left").select(
         "doc_id", "sheet", "key", "row", "col", "sval", constant_number(F.col("sval"), F.col("nval")).alias("value"))
     mirrored = F.contains(F.col("key"), F.lit("@"))
     constants = read.filter(~mirrored & F.col("value").isNotNull()).select("doc_id", "key", "value", "sheet", "row", "col")
@@ -134,7 +135,7 @@ def extract_constants(cells: DataFrame, resolved: DataFrame | None = None) -> di
         "doc_id", "sheet", "key", F.when(squeeze(F.coalesce("sval", F.lit(""))) == "", "값이 비어 있습니다").otherwise(
             F.concat(F.lit("수치로 읽을 수 없는 값: "), "sval")).alias("reason"))
     wanted = docs.select("doc_id", F.inline(literal_rows(expected_keys(), "sheet string, key string")))
-    unplaced = wanted.join(targets.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select(
+    unplaced = wanted.join(not_broadcast(targets.select("doc_id", "key")), ["doc_id", "key"], "left_anti").select(
         "doc_id", "sheet", "key", F.lit("위치를 찾지 못했습니다").alias("reason"))
     errors = anchor_errors(docs, located).unionByName(unreadable).unionByName(unplaced)
     all_constants = constants.unionByName(given)

@@ -56,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def not_broadcast(df: DataFrame, unique: bool = False) -> DataFrame:
+    """``df`` as a side of a join that is shuffled, whatever size Spark expects of it.
+
+    Spark takes rows that were exploded for as large as those they came from, and Parquet for as large
+    as its compressed files, so it would gather millions of rows in the driver to broadcast them.
+    ``unique``: the join's keys are (nearly) unique in ``df``, so its part is hashed instead of sorted.
+    """
+    return df.hint("shuffle_hash" if unique else "merge")

@@ -21,13 +21,13 @@ from tariffloom.plans import validate as va
 from tariffloom.plans.extract import extract_constants
 from tariffloom.plans.match import MatchSettings
 from tariffloom.plans.repair import leftovers, remaining_findings, repair, repair_tables
-from tariffloom.session import cut_lineage, shared_dir
+from tariffloom.session import cut_lineage, not_broadcast, shared_dir
 from tariffloom.sources import files as fs
 from tariffloom.sources.notices import parse_notices
 from tariffloom.sources.spreadsheets import parse_workbooks
 from tariffloom.streaming import streams as st
 from tariffloom.workloads.grids import CELLS_SQL, VERSION_SQL, part_cells, versions
-from tariffloom.workloads.registry import table, workload
+from tariffloom.workloads.registry import spread, table, workload
 from tariffloom.workloads.tariffs import BASIC_SQL, basic_tables, stored, supplier_constants
 
 
@@ -82,7 +82,7 @@ def supplier_notices(spark, sf):
             yield pd.DataFrame({"doc_id": b["k"].astype(str), "content": [_notice_file(int(p), int(k) % 7) for p, k in zip(b["p"], b["k"])]})
 
     source = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.abs("s_acctbal")).alias("p"))
-    files = source.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").mapInPandas(write, "doc_id string, content binary")
+    files = spread(source, "k").mapInPandas(write, "doc_id string, content binary")
     return cut_lineage(parse_notices(files))
 
 
@@ -178,8 +178,8 @@ with {_REF_SQL} select doc_id, count(*) as total, count(*) filter (state = '일
 def reconcile_totals(spark, sf):
     rows, left = _reconciled(spark, sf)
     shown = rc.only_differences(rows).groupBy("doc_id").agg(F.count("*").alias("shown"))
-    return rc.totals(rows).join(shown, "doc_id", "left").withColumn("shown", F.coalesce("shown", F.lit(0))).join(
-        left.select("doc_id", F.col("key").alias("leftover")), "doc_id")
+    return rc.totals(rows).join(not_broadcast(shown), "doc_id", "left").withColumn("shown", F.coalesce("shown", F.lit(0))).join(
+        not_broadcast(left.select("doc_id", F.col("key").alias("leftover"))), "doc_id")
 
 
 @workload("reconcile_spellings", "J17 N18", """
@@ -280,7 +280,7 @@ def _reference_cells(spark, sf):
         for n in range(15):
             put(jh, row - 1 if row == 1 else row, 1 + n, f"{n + 1}등급")
             put(jh, row + 1, 1 + n, top - 350000 * n + p)
-    source = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.floor(F.abs("s_acctbal")).alias("p"))
+    source = spread(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.floor(F.abs("s_acctbal")).alias("p")), "doc_id")
     return cut_lineage(source.select("doc_id", F.inline(F.array(*entries))).withColumn("formula", F.lit(None).cast("string")))
 
 
@@ -313,11 +313,11 @@ def mirrored_patches(spark, sf):
     price = F.col("key") == "기본단가"
     limits = F.col("key").startswith("인정조사 월한도액 (기본형)") & F.col("even")
     even = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), (F.floor(F.abs("s_acctbal")) % 2 == 0).alias("even"))
-    changes = out["constants"].join(even, "doc_id").filter(price | limits).select(
+    changes = out["constants"].join(not_broadcast(even), "doc_id").filter(price | limits).select(
         "doc_id", "key", (F.col("value") + F.when(price, 10).otherwise(7)).alias("value"))
     patched, _ = patch_cells(cells, out["cell_map"], changes)
     before = cells.select("doc_id", "sheet", "row", "col", F.col("nval").alias("was"))
-    return patched.join(before, ["doc_id", "sheet", "row", "col"]).filter(~F.col("nval").eqNullSafe(F.col("was"))).select("doc_id", "sheet", "row", "col", "nval")
+    return patched.join(not_broadcast(before), ["doc_id", "sheet", "row", "col"]).filter(~F.col("nval").eqNullSafe(F.col("was"))).select("doc_id", "sheet", "row", "col", "nval")
 
 
 @workload("rules_from_files", "S7 R3 R4 R5", """

@@ -33,3 +33,9 @@ def workload(name: str, covers: str, sql: str | None = None) -> Callable[[Build]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to as many tasks as a shuffle has: a small file is one task, and so
+    would be all rows that it grows into."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -180,3 +180,31 @@ def test_repair_marks_rows_that_never_rest(spark):
     row = [find((F.col("b") == 6) & (a != 60), F.lit(60.0))]
     done = repair_tables(rows.filter("k in (2, 3)"), ["k"], keep, row, ["a", "b"], fixes)
     assert {tuple(r) for r in done.select("k", "a", "b", "unfinished").collect()} == {(2, 3, 5, False), (3, 60, 6, False)}
+
+
+def test_joins_of_exploded_rows_are_not_broadcast(spark):
+    from tariffloom.plans.validate import validate
+    from tariffloom.operators.cells import patch_cells
+    from tariffloom.operators.reconcile import compare_with_reference
+    from tariffloom.plans.extract import extract_constants
+
+    def planned(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    # a few documents that an explode turns into many rows: Spark still expects a few
+    docs = spark.range(3).select(F.col("id").cast("string").alias("doc_id"))
+    cells = docs.select("doc_id", F.lit("인정조사").alias("sheet"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("row"), F.lit(0).alias("col"),
+                        F.lit("str").alias("vtype"), F.lit("기본단가").alias("sval"), F.lit(None).cast("double").alias("nval"), F.lit(None).cast("string").alias("formula"))
+    items = cells.select("doc_id", F.col("row").cast("string").alias("key"), F.lit(1).cast("bigint").alias("amount"))
+    reference = items.select("doc_id", "key", F.col("amount").alias("value"), F.lit(1).alias("pos"))
+    table = cells.select("doc_id", F.col("row").cast("bigint").alias("row_id"), F.lit("1등급(가형)").alias("등급명"), F.lit("D001").alias("등급구분"),
+                         *[F.lit(0).cast("bigint").alias(c) for c in ("지원량", "정부지원금", "본인부담금")])
+    constants = cells.select("doc_id", F.lit("기본단가").alias("key"), F.lit(1.0).alias("value"))
+    extracted = extract_constants(cells)
+    for df in (extracted["cell_map"], extracted["errors"], *compare_with_reference(items, reference),
+               patch_cells(cells, extracted["cell_map"], constants)[0]):
+        assert "Broadcast" not in planned(df)
+    for tab in (0, 1):
+        joins = [line for line in planned(validate("unit_price", tab, table, constants)["issues"]).split("\n") if "Broadcast" in line]
+        # documents without constants are the only short list
+        assert all("LeftAnti" in line for line in joins), joins
