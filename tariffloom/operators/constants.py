@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
+from tariffloom.session import not_broadcast
 
 
 def flatten_map(df: DataFrame, keys: Sequence[str], nested: str) -> DataFrame:
@@ -86,7 +87,7 @@ def missing_keys(docs: DataFrame, constants: DataFrame, needed: Sequence[str]) -
     """One row per document and needed key (or group) that has no constant."""
     wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, needed))).alias("need"))
     have = split_key(constants).select("doc_id", F.explode(F.array("key", "grp")).alias("need")).distinct()
-    return wanted.join(have, ["doc_id", "need"], "left_anti").withColumn(
+    return wanted.join(not_broadcast(have, unique=True), ["doc_id", "need"], "left_anti").withColumn(
         "reason", F.concat(F.lit("검증에 필요한 값이 없습니다: '"), "need", F.lit("'"))
     )
 
@@ -94,7 +95,7 @@ def missing_keys(docs: DataFrame, constants: DataFrame, needed: Sequence[str]) -
 def changed_values(old: DataFrame, new: DataFrame, valid: Column) -> DataFrame:
     """Constants whose new value differs from the old and is valid; ``new`` has key, value."""
     return (
-        new.alias("n").join(old.select("doc_id", "key", F.col("value").alias("old")), ["doc_id", "key"], "left")
+        new.alias("n").join(not_broadcast(old.select("doc_id", "key", F.col("value").alias("old"))), ["doc_id", "key"], "left")
         .filter(~F.col("value").eqNullSafe(F.col("old")) & valid)
     )
 
@@ -117,7 +118,7 @@ def group_sizes(constants: DataFrame, expected: dict[str, int] | None = None) ->
     sizes = split_key(constants).filter(F.col("item") != "").groupBy("doc_id", "grp").agg(
         F.count_distinct("item").alias("actual")
     )
-    return docs.join(sizes, ["doc_id", "grp"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return docs.join(not_broadcast(sizes, unique=True), ["doc_id", "grp"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
 
 
 def zone_order_breaks(constants: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def zone_order_breaks(constants: DataFrame) -> DataFrame:
         "doc_id", "grp", F.regexp_extract("item", "([0-9]+)", 1).cast("int").alias("zone"), "value"
     )
     after = zones.select("doc_id", "grp", (F.col("zone") - 1).alias("zone"), F.col("value").alias("next_value"))
-    return zones.join(after, ["doc_id", "grp", "zone"]).filter(F.col("value") <= F.col("next_value"))
+    return zones.join(not_broadcast(after), ["doc_id", "grp", "zone"]).filter(F.col("value") <= F.col("next_value"))
 
 
 def non_positive(constants: DataFrame) -> DataFrame:

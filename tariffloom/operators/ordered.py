@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tariffloom.session import cut_lineage
+from tariffloom.session import cut_lineage, not_broadcast
 
 PIECE = 65_536
 _P = "__piece"
@@ -46,7 +46,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: str, value: Column,
     before = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.select(*keys, _P, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
     return (
-        local.join(carried.filter(F.col("__carry").isNotNull()), [*keys, _P], "left")
+        local.join(not_broadcast(carried.filter(F.col("__carry").isNotNull()), unique=True), [*keys, _P], "left")
         .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
         .drop(_P, "__v", "__carry")
     )
@@ -65,7 +65,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, o
         *keys, _P, F.lag("__end").over(Window.partitionBy(*keys).orderBy(_P)).alias("__carry")
     )
     return (
-        local.join(carried, [*keys, _P], "left")
+        local.join(not_broadcast(carried, unique=True), [*keys, _P], "left")
         .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col(out)))
         .drop(_P, "__first", "__carry")
     )
@@ -81,7 +81,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column,
     before = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, _P, F.sum("__sum").over(before).alias("__offset"))
     return (
-        local.join(offsets, [*keys, _P], "left")
+        local.join(not_broadcast(offsets, unique=True), [*keys, _P], "left")
         .withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0)))
         .drop(_P, "__v", "__offset")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
+from tariffloom.session import not_broadcast
 
 
 def row_counts(df: DataFrame, keys: Sequence[str], expected: Column | int, blank: Column | None = None) -> DataFrame:
@@ -46,13 +47,13 @@ def later_duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
     firsts = df.groupBy(*keys).agg(F.min(order).alias("first_row"), F.count("*").alias("__n")).filter(
         F.col("__n") > 1
     ).drop("__n")
-    return df.join(firsts, list(keys)).filter(F.col(order) > F.col("first_row"))
+    return df.join(not_broadcast(firsts, unique=True), list(keys)).filter(F.col(order) > F.col("first_row"))
 
 
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row of a key that occurs more than once."""
     repeated = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).drop("__n")
-    return df.join(repeated, list(keys), "left_semi")
+    return df.join(not_broadcast(repeated, unique=True), list(keys), "left_semi")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def growth(current: DataFrame, prior: DataFrame, keys: Sequence[str], columns: S
     before = last_rows(prior.select(*keys, order, *columns), keys, [order]).select(
         *keys, F.lit(True).alias("__had"), *[F.col(c).alias(f"prev_{c}") for c in columns]
     )
-    joined = current.join(before, list(keys), "left")
+    joined = current.join(not_broadcast(before, unique=True), list(keys), "left")
     return joined.withColumns({
         **{f"growth_{c}": growth_percent(F.col(f"prev_{c}"), F.col(c)) for c in columns},
         "is_new": F.col("__had").isNull(),

@@ -15,6 +15,7 @@ from tariffloom.operators.constants import constant_map
 from tariffloom.operators.formulas import rule_column
 from tariffloom.operators.ordered import range_pieces, row_numbers
 from tariffloom.operators.rulebook import RULES_2025, copay_column
+from tariffloom.session import not_broadcast
 
 
 def _grade_dimension() -> list[dict]:
@@ -298,8 +299,8 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
     services = service_rows(prices, rules)
     bundles = services.groupBy("doc_id").agg(  # 25 services per document
         F.collect_list(F.struct(*[c for c in services.columns if c != "doc_id"])).alias("services")
-    ).join(counts, "doc_id")
-    rows = grades.join(bundles, "doc_id").select(*grades.columns, "n_grades", F.inline("services"))
+    ).join(not_broadcast(counts, unique=True), "doc_id")
+    rows = grades.join(not_broadcast(bundles, unique=True), "doc_id").select(*grades.columns, "n_grades", F.inline("services"))
     share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
     return rows.withColumns({
         "순번": number, "사업년도": year, "차수": chasu,

@@ -16,6 +16,7 @@ from tariffloom.operators.constants import constant_map, missing_keys
 from tariffloom.operators.formulas import rule_column
 from tariffloom.operators.rulebook import RULES_2025, copay_column
 from tariffloom.plans.generate import block_place, document_terms, service_rows
+from tariffloom.session import not_broadcast
 
 KEYS = ("doc_id", "row_id")
 ISSUE_COLUMNS = ("doc_id", "row_id", "ord", "code", "column", "reason", "expected", "actual", "fixes")
@@ -70,7 +71,7 @@ def basic_with_terms(table: DataFrame, constants: DataFrame, rules: dict = RULES
     parsed = ck.pinned(ck.with_grade(table), {
         "__at": block_place(F.col("base"), F.col("variant")),
         "__tier": F.nullif(F.array_position(F.array(*map(F.lit, fixed.LETTERS)), F.col("letter")), F.lit(0)).cast("int") - 1})
-    held = parsed.join(document_terms(constants, rules), "doc_id", "left")
+    held = parsed.join(not_broadcast(document_terms(constants, rules), unique=True), "doc_id", "left")
     known, first = F.col("__at").isNotNull() & F.col("__tier").isNotNull(), F.col("kind") == "ij"
     joined = ck.pinned(held, {
         "limit": F.when(known, F.get("limits", F.col("__at"))),
@@ -124,7 +125,7 @@ def _warnings(rows: DataFrame, graded: Column, issues: DataFrame) -> DataFrame:
     text = ck.rate_deviation(*[F.col(n) for n in ("letter", "지원량", "본인부담금", "rate", "cap")])
     warned = rows.filter(graded).select(*KEYS, text.alias("warning")).filter(F.col("warning").isNotNull())
     flagged = issues.filter((F.col("column") == "본인부담금") & (F.col("ord") < 900)).select(*KEYS)
-    return warned.join(flagged, list(KEYS), "left_anti")
+    return warned.join(not_broadcast(flagged, unique=True), list(KEYS), "left_anti")
 
 
 def validate_basic(table: DataFrame, constants: DataFrame, rules: dict = RULES_2025) -> dict[str, DataFrame]:
@@ -149,7 +150,8 @@ def validate_supplement(table: DataFrame, constants: DataFrame, rules: dict = RU
         "doc_id", "item", F.col("c")[F.concat(F.lit(fixed.K_ADD_LIMITS + "."), "item")].cast("bigint").alias("limit"))
     rates = docs.select("doc_id", "c", F.explode(F.array(*map(F.lit, fixed.LETTERS))).alias("letter")).select(
         "doc_id", "letter", F.col("c")[F.concat(F.lit(fixed.K_ADD_RATES + "."), "letter")].alias("rate"))
-    rows = parsed.join(terms, ["doc_id", "item"], "left").join(rates, ["doc_id", "letter"], "left")
+    rows = parsed.join(not_broadcast(terms, unique=True), ["doc_id", "item"], "left").join(
+        not_broadcast(rates, unique=True), ["doc_id", "letter"], "left")
     support, gov, copay = F.col("지원량"), F.col("정부지원금"), F.col("본인부담금")
     expected = rule_column(rules["add_copayment"], {
         "monthly_limit": support, "income_range": F.col("letter"), "copayment_rate": F.col("rate")})
@@ -217,13 +219,13 @@ def payment_with_references(table: DataFrame, basic: DataFrame | None, prices: D
         ref = full.groupBy("doc_id", F.btrim("등급구분").alias("등급구분")).agg(F.max_by(
             F.struct(F.col("지원량").alias("ref_support"), F.col("정부지원금").alias("ref_gov"),
                      F.col("본인부담금").alias("ref_copay")), "row_id").alias("r"))
-        out = out.join(ref.select("doc_id", "등급구분", "r.*"), ["doc_id", "등급구분"], "left")
+        out = out.join(not_broadcast(ref.select("doc_id", "등급구분", "r.*"), unique=True), ["doc_id", "등급구분"], "left")
     if prices is None:
         return out.withColumns({n: F.lit(None).cast("bigint") for n in ("unit_day", "unit_night")})
     units = service_rows(prices, rules).select(
         "doc_id", "서비스종유명", "서비스시간명", F.col("단위기준단가").alias("unit_day"),
         F.col("단위기준심야단가").alias("unit_night"))
-    return out.join(units, ["doc_id", "서비스종유명", "서비스시간명"], "left")
+    return out.join(not_broadcast(units, unique=True), ["doc_id", "서비스종유명", "서비스시간명"], "left")
 
 
 def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: DataFrame | None = None,
@@ -260,7 +262,7 @@ def validate(flow: str, tab: int, table: DataFrame, constants: DataFrame | None
             raise ValueError("the unit_price flow needs constants")
         suite = validate_basic if tab == 0 else validate_supplement
         docs = table.select("doc_id").distinct()
-        empty = docs.join(constants.select("doc_id").distinct(), "doc_id", "left_anti")
+        empty = docs.join(not_broadcast(constants.select("doc_id").distinct(), unique=True), "doc_id", "left_anti")
         out = suite(table.join(empty, "doc_id", "left_anti"), constants, rules)
         out["notices"] = empty.withColumn("notice", F.lit("조견표에서 추출한 값이 없어 검증을 건너뛰었습니다."))
         columns = ("지원량", "정부지원금", "본인부담금")
