@@ -15,7 +15,7 @@ from tariffloom.functions.literals import literal_rows
 from tariffloom.functions.numbers import money_tokens, segment_number
 from tariffloom.functions.text import squeeze
 from tariffloom.operators.ordered import PIECE, carry_forward_nested
-from tariffloom.session import cut_lineage
+from tariffloom.session import cut_lineage, not_broadcast
 
 
 def with_context(blocks: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -73,10 +73,10 @@ def locate_tables(blocks: DataFrame, tables: dict = fixed.NOTICE_TABLES) -> tupl
     hits = cut_lineage(matching_tables(blocks, tables))
     counts = hits.groupBy("doc_id", "service").agg(F.count("*").alias("n"))
     docs = blocks.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, tables))).alias("service"))
-    judged = docs.join(counts, ["doc_id", "service"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    judged = docs.join(not_broadcast(counts), ["doc_id", "service"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     errors = judged.filter("n <> 1").select("doc_id", "service", F.concat(
         F.lit("'"), "service", F.lit("' 표가 "), F.col("n").cast("string"), F.lit("개 발견되었습니다 (1개여야 함).")).alias("message"))
-    return hits.join(judged.filter("n = 1").select("doc_id", "service"), ["doc_id", "service"], "left_semi"), errors
+    return hits.join(not_broadcast(judged.filter("n = 1").select("doc_id", "service")), ["doc_id", "service"], "left_semi"), errors
 
 
 ENTRY = "array<struct<key:string,amount:bigint,surcharge:bigint,col:int>>"
@@ -181,10 +181,10 @@ def read_amounts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     readable = located.select("doc_id", "service").distinct()
     wanted = readable.select("doc_id", "service", F.explode(F.filter(need, lambda n: n["service"] == F.col("service"))).alias("n")).select(
         "doc_id", "service", F.col("n.key").alias("key"))
-    lacking = wanted.join(found.select("doc_id", "service", "key"), ["doc_id", "service", "key"], "left_anti").select(
+    lacking = wanted.join(not_broadcast(found.select("doc_id", "service", "key")), ["doc_id", "service", "key"], "left_anti").select(
         "doc_id", "service", F.concat(F.lit("'"), "key", F.lit("' 금액이 없습니다")).alias("message"))
-    empty = readable.join(rows.select("doc_id", "service"), ["doc_id", "service"], "left_anti").select(
+    empty = readable.join(not_broadcast(rows.select("doc_id", "service")), ["doc_id", "service"], "left_anti").select(
         "doc_id", "service", F.lit("표에서 항목을 하나도 읽지 못했습니다.").alias("message"))
     for more in (wrong_rows, twice, lacking, empty):
         errors = errors.unionByName(more)
-    return found.join(errors.select("doc_id", "service").distinct(), ["doc_id", "service"], "left_anti"), errors.distinct()
+    return found.join(not_broadcast(errors.select("doc_id", "service").distinct()), ["doc_id", "service"], "left_anti"), errors.distinct()

@@ -11,6 +11,7 @@ from tariffloom import fixed
 from tariffloom.functions.numbers import segment_number
 from tariffloom.functions.text import key_form
 from tariffloom.operators.drift import directions
+from tariffloom.session import not_broadcast
 
 
 def comparable_items(amounts: DataFrame) -> DataFrame:
@@ -44,13 +45,13 @@ def compare_with_reference(items: DataFrame, reference: DataFrame, aliases: dict
     offered = reference.select("doc_id", F.struct("pos", F.col("key").alias("ref_key"), "value").alias("r"), F.explode(F.array(
         F.concat(F.lit("is:"), "key"), F.concat(F.lit("like:"), key_form(F.col("key"))))).alias("probe"))
     offered = offered.groupBy("doc_id", "probe").agg(F.min_by("r", "r.pos").alias("r"))
-    best = asked.join(offered, ["doc_id", "probe"]).groupBy("doc_id", "key").agg(F.min_by("r", "prio").alias("r"))
+    best = asked.join(not_broadcast(offered), ["doc_id", "probe"]).groupBy("doc_id", "key").agg(F.min_by("r", "prio").alias("r"))
     state = F.when(F.col("r.ref_key").isNull() | F.col("r.value").isNull(), fixed.ABSENT).when(
         F.col("r.value") == F.col("amount"), fixed.AGREE).otherwise(fixed.DIFFER)
-    rows = items.join(best, ["doc_id", "key"], "left").select(
+    rows = items.join(not_broadcast(best), ["doc_id", "key"], "left").select(
         *items.columns, F.col("r.ref_key").alias("ref_key"), F.col("r.value").alias("ref_value"), state.alias("state"))
     used = best.select("doc_id", F.col("r.ref_key").alias("key"))
-    leftovers = reference.filter(~F.col("key").isin(*ignored)).select("doc_id", "key").join(used, ["doc_id", "key"], "left_anti")
+    leftovers = reference.filter(~F.col("key").isin(*ignored)).select("doc_id", "key").join(not_broadcast(used), ["doc_id", "key"], "left_anti")
     return rows, leftovers
 
 
@@ -101,7 +102,7 @@ def limit_problems(amounts: DataFrame) -> DataFrame:
         F.max(F.when(key.endswith("기본형"), F.col("amount"))).alias("basic"),
         F.max(F.when(key.endswith("확장형"), F.col("amount"))).alias("extended"))
     what = F.concat(F.col("n").cast("string"), F.lit("구간"))
-    apart = base.join(day, ["doc_id", "n"]).filter("base <> basic").select("doc_id", F.lit("TABLES_DIFFER").alias("code"), what.alias("what"))
+    apart = base.join(not_broadcast(day), ["doc_id", "n"]).filter("base <> basic").select("doc_id", F.lit("TABLES_DIFFER").alias("code"), what.alias("what"))
     larger = day.filter("extended > basic").select("doc_id", F.lit("EXTENDED_ABOVE_BASIC").alias("code"), what.alias("what"))
     ordered = amounts.filter(s.isin("월한도액", "인정조사기본급여")).select(
         "doc_id", "service", number.alias("n"), F.col("amount").cast("double").alias("v"))
