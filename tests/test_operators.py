@@ -208,3 +208,11 @@ def test_joins_of_exploded_rows_are_not_broadcast(spark):
         joins = [line for line in planned(validate("unit_price", tab, table, constants)["issues"]).split("\n") if "Broadcast" in line]
         # documents without constants are the only short list
         assert all("LeftAnti" in line for line in joins), joins
+
+
+def test_small_tables_are_dealt_out_before_their_rows_multiply(spark):
+    from tariffloom.workloads.tariffs import supplier_constants, supplier_prices
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (supplier_constants, supplier_prices):
+        assert rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
