@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
-from tariffloom.session import not_broadcast
+from tariffloom.session import cut_lineage, not_broadcast
 
 
 def row_counts(df: DataFrame, keys: Sequence[str], expected: Column | int, blank: Column | None = None) -> DataFrame:
@@ -43,7 +43,14 @@ def count_gaps(df: DataFrame, keys: Sequence[str], category: str, expected: dict
 
 
 def later_duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Rows whose key occurred before, with ``first_row``, the order of the first occurrence."""
+    """Rows whose key occurred before, with ``first_row``, the order of the first occurrence.
+
+    Hashes that occur twice are counted first, so only rows of likely duplicates move with their keys;
+    what is kept of them is decided by the keys themselves.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(*keys))
+    repeated = cut_lineage(hashed.groupBy("__h").agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).select("__h"))
+    df = hashed.join(repeated, "__h", "left_semi").drop("__h")
     firsts = df.groupBy(*keys).agg(F.min(order).alias("first_row"), F.count("*").alias("__n")).filter(
         F.col("__n") > 1
     ).drop("__n")

@@ -285,7 +285,10 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
     Running numbers are arithmetic: only the grades are numbered, before they multiply.
     """
     laid, piece = range_pieces(payable_grades(basic).withColumn("__code", F.col("등급구분")), ["doc_id"], "__code")
-    grades = row_numbers(laid, ["doc_id"], "__code", "grade_no", piece).drop("__range")
+    share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
+    # rounded once a grade, before the services multiply it
+    grades = row_numbers(laid, ["doc_id"], "__code", "grade_no", piece).drop("__range").withColumns(
+        {"정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"]})
     counts = grades.groupBy("doc_id").agg(F.count("*").alias("n_grades"))
     sizes = fixed.SERVICE_COUNTS
     before = F.create_map(*[F.lit(x) for n, t in enumerate(sorted(sizes))
@@ -301,12 +304,10 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
         F.collect_list(F.struct(*[c for c in services.columns if c != "doc_id"])).alias("services")
     ).join(not_broadcast(counts, unique=True), "doc_id")
     rows = grades.join(not_broadcast(bundles, unique=True), "doc_id").select(*grades.columns, "n_grades", F.inline("services"))
-    share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
     return rows.withColumns({
         "순번": number, "사업년도": year, "차수": chasu,
         **{n: F.lit(v) for n, v in fixed.BUSINESS.items()},
         "정부지원금액": F.col("정부지원금"), "본인부담금액": F.col("본인부담금"),
-        "정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"],
         "사용여부": F.lit("Y"),
         "서비스시작일자": year * 10000 + 101, "서비스종료일자": year * 10000 + 1231,
         "단가관리레벨": F.lit(0), "비고": F.lit(" "),

@@ -209,8 +209,21 @@ def payment_row_checks() -> list[ck.Check]:
 
 def payment_with_references(table: DataFrame, basic: DataFrame | None, prices: DataFrame | None,
                             rules: dict = RULES_2025) -> DataFrame:
-    """Payment rows with the basic table by code (last row of a code) and unit prices by service."""
+    """Payment rows with the basic table by code (last row of a code) and unit prices by service.
+
+    A document's prices are one row of fixed length (25 services), looked up by the service; only the
+    grades need a join by their own key.
+    """
     out = table.withColumn("등급구분", F.btrim("등급구분"))
+    if prices is None:
+        out = out.withColumns({n: F.lit(None).cast("bigint") for n in ("unit_day", "unit_night")})
+    else:
+        service = F.struct("서비스종유명", "서비스시간명")
+        units = service_rows(prices, rules).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
+            service, F.struct(F.col("단위기준단가").alias("unit_day"), F.col("단위기준심야단가").alias("unit_night"))))).alias("__units"))
+        out = out.join(not_broadcast(units, unique=True), "doc_id", "left")
+        unit = F.col("__units")[service]
+        out = out.withColumns({n: unit[n] for n in ("unit_day", "unit_night")}).drop("__units")
     if basic is None:
         out = out.withColumns({n: F.lit(None).cast("bigint") for n in ("ref_support", "ref_gov", "ref_copay")})
     else:
@@ -220,12 +233,7 @@ def payment_with_references(table: DataFrame, basic: DataFrame | None, prices: D
             F.struct(F.col("지원량").alias("ref_support"), F.col("정부지원금").alias("ref_gov"),
                      F.col("본인부담금").alias("ref_copay")), "row_id").alias("r"))
         out = out.join(not_broadcast(ref.select("doc_id", "등급구분", "r.*"), unique=True), ["doc_id", "등급구분"], "left")
-    if prices is None:
-        return out.withColumns({n: F.lit(None).cast("bigint") for n in ("unit_day", "unit_night")})
-    units = service_rows(prices, rules).select(
-        "doc_id", "서비스종유명", "서비스시간명", F.col("단위기준단가").alias("unit_day"),
-        F.col("단위기준심야단가").alias("unit_night"))
-    return out.join(not_broadcast(units, unique=True), ["doc_id", "서비스종유명", "서비스시간명"], "left")
+    return out
 
 
 def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: DataFrame | None = None,

@@ -216,3 +216,12 @@ def test_small_tables_are_dealt_out_before_their_rows_multiply(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rows in (supplier_constants, supplier_prices):
         assert rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
+
+
+def test_later_duplicates_move_only_likely_ones(spark):
+    from tariffloom.operators.tables import later_duplicates
+
+    rows = spark.createDataFrame([(1, "a", 3), (1, "a", 1), (1, "a", 7), (1, "b", 2), (1, None, 4), (1, None, 5), (2, "a", 6)], "d int, k string, o int")
+    out = later_duplicates(rows, ["d", "k"], "o")
+    assert sorted((r["d"], r["k"], r["o"], r["first_row"]) for r in out.collect()) == [(1, "a", 3, 1), (1, "a", 7, 1)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
