@@ -2,17 +2,20 @@
 
 The labels of a block are laid out so that similar ones are neighbours (by their numbers where
 other numbers demote, then by the nearest of a few pivot vectors where there are vectors, then by
-text) and cut into tiles of bounded size.  A label is in one tile.  Tiles are indexed by token: for
+text) and cut into tiles of bounded size.  A label is in one tile.  Tiles that follow one another make
+a part, chunks of queries a bundle; a task takes a bundle and a part, which hold many small blocks
+or a piece of a large one.  Inside a part the tiles of a large block are indexed by token: for
 each token of a tile the greatest weight that one of its labels has, the numbers of its labels, and
 the range of their distances to the pivots.  From these follows the greatest score that a query can
 have in a tile:
 
 1. a query is scored in the tile that promises most, which gives its k-th best score so far;
-2. it then visits only tiles whose promise reaches that score.
+2. it is then scored only in tiles whose promise reaches that score.
 
 Promises hold for every label of a tile (shared tokens add at most their greatest weights, and by
 the triangle inequality a vector is no nearer than its distances to a pivot differ), so the result
-is exact.  Scoring inside a task goes along the posting lists of shared tokens; pairs are never rows.
+is exact: the best of a block are among the best of its parts.  Scoring inside a task goes along the
+posting lists of shared tokens; neither pairs nor visits are rows.
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ from tariffloom.functions.text import bigrams, token_counts
 from tariffloom.session import cut_lineage
 
 TILE = 64  # labels that share an index entry
-CHUNK = 1024  # queries that a task scores at once
-PART = 4096  # tiles that a task weighs at once
+CHUNK = 1024  # queries that are laid out together
+BUNDLE = 1024  # queries that a task holds at a time
+PART = 8192  # labels that a task holds at a time
+INDEXED = 16  # tiles from which on a block's part is indexed
+CELLS = 1 << 19  # scores that a task works out at a time
 PIVOTS = 8
 PRODUCTS = 4_000_000  # products of weights that a task holds at a time
 SCORE_DIGITS = 9  # scores equal to this many digits tie, so summation order cannot reorder them
@@ -100,8 +106,10 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
 
 
-def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, by_numbers: bool, size: int, out: str) -> DataFrame:
-    """Rows with ``out``, the number of a run of at most ``size`` similar neighbours, and ``dist``, the distances to the pivots."""
+def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, by_numbers: bool, size: int, held: int, out: str) -> DataFrame:
+    """Rows with ``out``, the number of a run of at most ``size`` similar neighbours, and ``dist``, the distances to the pivots.
+
+    No more partitions are made than hold ``held`` rows each, as bundles and parts end with a partition."""
     block = list(block)
     if pivots is None:
         measured, order = df.withColumn("dist", F.lit(None).cast("array<double>")), [F.col("norm")]
@@ -115,7 +123,8 @@ def _laid_out(df: DataFrame, block: Sequence[str], pivots: DataFrame | None, by_
     keyed = measured.select("*", *[o.alias(f"__o{n}") for n, o in enumerate(order)])
     order = [*block, *[f"__o{n}" for n in range(len(order))]]
     # a row's id goes up by one inside a partition
-    laid = keyed.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order).withColumn(out, F.floor(F.monotonically_increasing_id() / size))
+    parts = max(1, min(_parts(df), -(-df.count() // held)))
+    laid = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(out, F.floor(F.monotonically_increasing_id() / size))
     # features come after the shuffle, since its bounds are sampled from the rows before
     return cut_lineage(laid.select(*_featured([*df.columns, "dist", out])))
 
@@ -179,25 +188,18 @@ def _stretched(cosine: np.ndarray, floor: float) -> np.ndarray:
     return np.clip((cosine - floor) / (1 - floor), 0.0, 1.0)
 
 
-def _vector_cosine(q: pd.Series, t: pd.Series) -> np.ndarray:
+def _stacked(q: pd.Series, t: pd.Series) -> tuple:
+    """Vectors of both sides as matrices, zeros where there is none; None where no row has any."""
     width = max((len(v) for v in [*q, *t] if v is not None), default=0)
-    if not width:
-        return np.full((len(q), len(t)), -1.0)
     stack = lambda s: np.vstack([np.zeros(width) if v is None else np.asarray(v, dtype=float) for v in s])
-    return stack(q) @ stack(t).T
-
-
-def _relation(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
-    """0 same, 1 extra, 2 conflict, from the sizes of the number sets and their overlap."""
-    shared = _shared(_entries(q["nums"]), _entries(t["nums"]), len(q), len(t))
-    nq, nt = q["nums"].map(len).to_numpy()[:, None], t["nums"].map(len).to_numpy()[None, :]
-    inside = (shared == nq) | (shared == nt)
-    return np.where((shared == nq) & (shared == nt), 0, np.where(inside, 1, 2))
+    return (stack(q), stack(t)) if width else (None, None)
 
 
 def _opposite(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
     a, b = q["mask"].to_numpy()[:, None], t["mask"].to_numpy()[None, :]
     clash = q["neg"].to_numpy()[:, None] != t["neg"].to_numpy()[None, :]
+    if not a.any() or not b.any():
+        return clash
     for n in range(len(fixed.ANTONYMS)):
         x, y = (a >> 2 * n) & 3, (b >> 2 * n) & 3
         clash |= (x != 0) & (y != 0) & (x != y)
@@ -233,57 +235,192 @@ def promises(q: pd.DataFrame, tiles: pd.DataFrame, config: HybridConfig) -> np.n
     return score
 
 
-def _visits(block: Sequence[str], config: HybridConfig, home: bool):
-    """Tiles of a part of the index that a chunk of queries visits: the most promising one, or all others that can still matter."""
-    names = [*block, "q_norm", "chunk", "tile", "full", "promise"]
+def _homes(score: np.ndarray, tiles: pd.DataFrame, config: HybridConfig) -> np.ndarray:
+    """The tile that promises each query most."""
+    full = tiles["n"].to_numpy() >= config.k  # a tile of fewer labels tells little
+    return np.argmax(np.where(full[None, :], score, score - 2), axis=1)
 
+
+def _open(score: np.ndarray, tiles: pd.DataFrame, least: np.ndarray, config: HybridConfig) -> np.ndarray:
+    """Which tiles can still matter to which query, given its k-th best score so far."""
+    # labels without any score rank by position, so the first ones can matter
+    first = np.sort(np.concatenate([np.asarray(x) for x in tiles["first"]]))[: 2 * config.k]
+    early = tiles["first"].map(lambda x: min(x)).to_numpy() <= first[-1]
+    return (score >= np.maximum(least - 2e-9, 4e-10)[:, None]) | ((least < 2e-9)[:, None] & early[None, :])
+
+
+def _visits(block: Sequence[str], config: HybridConfig, home: bool):
+    """Tiles that queries visit, as rows: the most promising one, or all others that can still matter."""
     def run(q: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or tiles.empty:
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         score = promises(q, tiles, config)
-        full = tiles["n"].to_numpy() >= config.k  # a tile of fewer labels tells little
         if home:
-            row = np.arange(len(q))
-            col = np.argmax(np.where(full[None, :], score, score - 2), axis=1)
+            row, col = np.arange(len(q)), _homes(score, tiles, config)
         else:
-            least, at = q["least"].to_numpy(dtype=float), q["home"].to_numpy()
-            # labels without any score rank by position, so the first ones can matter
-            first = np.sort(np.concatenate([np.asarray(x) for x in tiles["first"]]))[: 2 * config.k]
-            early = tiles["first"].map(lambda x: min(x)).to_numpy() <= first[-1]
-            matter = (score >= np.maximum(least - 2e-9, 4e-10)[:, None]) | ((least < 2e-9)[:, None] & early[None, :])
-            row, col = np.nonzero(matter & (tiles["tile"].to_numpy()[None, :] != at[:, None]))
-        pick = lambda s, i: pd.Series(s.to_numpy(dtype=object)[i], dtype=object)
-        return pd.DataFrame({**{b: pick(q[b], row) for b in block}, "q_norm": pick(q["q_norm"], row), "chunk": pick(q["chunk"], row),
-                             "tile": pick(tiles["tile"], col), "full": full[col], "promise": score[row, col]})
+            other = tiles["tile"].to_numpy()[None, :] != q["home"].to_numpy()[:, None]
+            row, col = np.nonzero(_open(score, tiles, q["least"].to_numpy(dtype=float), config) & other)
+        pick = lambda s, i: s.to_numpy(dtype=object)[i]
+        return pd.DataFrame({**{c: pick(q[c], row) for c in (*block, "q_norm")}, "tile": pick(tiles["tile"], col), "promise": score[row, col]})
 
     return run
 
 
-def _tile_scorer(block: Sequence[str], payload: Sequence[str], config: HybridConfig):
+def _index(t: pd.DataFrame, config: HybridConfig) -> pd.DataFrame:
+    """One row a tile of the labels ``t``, which are sorted by ``tile``."""
+    rows = []
+    for tile, own in t.groupby("tile", sort=True):
+        peaks: dict[str, float] = {}
+        for tokens, weights in zip(own["toks"], own["weights"]):
+            for token, weight in zip(tokens, weights):
+                peaks[token] = max(peaks.get(token, 0.0), weight)
+        held = [np.asarray(d, dtype=float) for d in own["dist"] if d is not None]
+        rows.append({
+            "tile": tile, "n": len(own), "first": sorted(own["pos"])[: 2 * config.k], "toks": list(peaks), "weights": list(peaks.values()),
+            "low": np.min(held, axis=0) if held else None, "high": np.max(held, axis=0) if held else None,
+            "square": own["square"].max() if held else None,
+            "number_sets": list({"\0".join(x) for x in own["nums"]}), "numbers": list({n for x in own["nums"] for n in x})})
+    return pd.DataFrame(rows)
+
+
+class _Lists:
+    """Per-row lists of both sides under common numbers, of which rows can be picked."""
+
+    def __init__(self, q: pd.Series, t: pd.Series, q_weights: pd.Series | None = None, t_weights: pd.Series | None = None):
+        sides = [_entries(q, q_weights), _entries(t, t_weights)]
+        codes, _ = pd.factorize(np.concatenate([sides[0][1], sides[1][1]]))
+        cut = len(sides[0][1])
+        self.empty = not cut or cut == len(codes)
+        self.sides = []
+        for n, (rows, _, weights), own in zip((len(q), len(t)), sides, (codes[:cut], codes[cut:])):
+            self.sides.append((np.searchsorted(rows, np.arange(n + 1)), own, weights))
+
+    def sizes(self, side: int, rows: np.ndarray) -> np.ndarray:
+        starts = self.sides[side][0]
+        return starts[rows + 1] - starts[rows]
+
+    def of(self, side: int, rows: np.ndarray) -> tuple:
+        starts, codes, weights = self.sides[side]
+        n = self.sizes(side, rows)
+        place = np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), codes[place], weights[place]
+
+    def shared(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.zeros((len(q), len(t))) if self.empty else _shared(self.of(0, q), self.of(1, t), len(q), len(t))
+
+
+class _Scores:
+    """Scores of any queries and labels of a task."""
+
+    def __init__(self, q: pd.DataFrame, t: pd.DataFrame, config: HybridConfig):
+        self.q, self.t, self.config = q, t, config
+        self.tokens = _Lists(q["toks"], t["toks"], q["weights"], t["weights"])
+        self.vectors = _stacked(q["vec"], t["vec"])
+        if config.vetoes:
+            self.nums = _Lists(q["nums"], t["nums"])
+            self.signs = q[["mask", "neg"]].copy(), t[["mask", "neg"]].copy()
+
+    def best(self, rows: np.ndarray, cols: np.ndarray, allowed: np.ndarray | None) -> dict[str, np.ndarray]:
+        """The best ``k`` of the labels ``cols`` that each of the queries ``rows`` may have; the smaller position first where scores tie."""
+        config = self.config
+        bm25 = _lexical(self.tokens.shared(rows, cols), self.q["self_score"].iloc[rows])
+        a, b = self.vectors
+        dense = np.full(bm25.shape, _stretched(np.zeros(1), config.cosine_floor)[0]) if a is None else _stretched(a[rows] @ b[cols].T, config.cosine_floor)
+        final = config.alpha * bm25 + (1 - config.alpha) * dense
+        relation, antonym = np.zeros(final.shape, np.int8), np.zeros(final.shape, bool)
+        if config.vetoes:
+            relation = self._relation(rows, cols)
+            antonym = _opposite(self.signs[0].iloc[rows], self.signs[1].iloc[cols])
+            final *= np.array([1.0, fixed.EXTRA_FACTOR, fixed.CONFLICT_FACTOR])[relation]
+            final = np.where(antonym, final * fixed.CONFLICT_FACTOR, final)
+        rounded = np.round(final, SCORE_DIGITS)
+        if allowed is not None:
+            rounded[~allowed] = -1.0
+        k = min(config.k, len(cols))
+        last = np.partition(rounded, len(cols) - k, axis=1)[:, len(cols) - k]
+        row, col = np.nonzero((rounded >= last[:, None]) & (rounded >= 0))
+        order = np.lexsort((self.t["pos"].to_numpy()[cols[col]], -rounded[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        return {"q": rows[row], "t": cols[col], "final": final[row, col], "bm25": bm25[row, col], "embedding": dense[row, col],
+                "relation": relation[row, col], "antonym": antonym[row, col]}
+
+    def _relation(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """0 same, 1 extra, 2 conflict, from the sizes of the number sets and their overlap."""
+        shared = self.nums.shared(rows, cols)
+        nq, nt = self.nums.sizes(0, rows)[:, None], self.nums.sizes(1, cols)[None, :]
+        one, other = shared == nq, shared == nt
+        return np.where(one & other, 0, np.where(one | other, 1, 2))
+
+
+def _small_blocks(scores: _Scores, q_of: list[np.ndarray], t_of: list[np.ndarray]):
+    """Best labels of queries in blocks of few labels, many blocks at a time."""
+    at = 0
+    while at < len(q_of):
+        n_q = n_t = 0
+        to = at
+        while to < len(q_of) and (to == at or (n_q + len(q_of[to])) * (n_t + len(t_of[to])) <= CELLS):
+            n_q, n_t, to = n_q + len(q_of[to]), n_t + len(t_of[to]), to + 1
+        number = np.arange(to - at)
+        rows, cols = np.concatenate(q_of[at:to]), np.concatenate(t_of[at:to])
+        q_block, t_block = np.repeat(number, [len(x) for x in q_of[at:to]]), np.repeat(number, [len(x) for x in t_of[at:to]])
+        step = max(1, CELLS // len(cols))
+        for n in range(0, len(rows), step):
+            yield scores.best(rows[n:n + step], cols, q_block[n:n + step, None] == t_block[None, :] if to - at > 1 else None)
+        at = to
+
+
+def _large_block(scores: _Scores, rows: np.ndarray, cols: np.ndarray):
+    """Best labels of a block's queries, without the tiles that hold nothing better."""
+    config, q = scores.config, scores.q.iloc[rows]
+    cols = cols[np.argsort(scores.t["tile"].to_numpy()[cols], kind="stable")]
+    t = scores.t.iloc[cols]
+    tiles = _index(t, config)
+    tile_of = np.searchsorted(tiles["tile"].to_numpy(), t["tile"].to_numpy())
+    promise = promises(q, tiles, config)
+    homes = _homes(promise, tiles, config)
+    # queries with one home are neighbours, so that a slice of them visits few tiles
+    order = np.argsort(homes, kind="stable")
+    rows, homes, promise = rows[order], homes[order], promise[order]
+
+    def scored(open_: np.ndarray, step: int):
+        for n in range(0, len(rows), step):
+            own = open_[n:n + step]
+            held = np.flatnonzero(own.any(axis=0)[tile_of])
+            yield scores.best(rows[n:n + step], cols[held], own[:, tile_of[held]])
+
+    at_home = homes[:, None] == np.arange(len(tiles))[None, :]
+    n, least = np.zeros(len(scores.q), int), np.full(len(scores.q), np.inf)
+    for found in scored(at_home, 64):
+        np.add.at(n, found["q"], 1)
+        np.minimum.at(least, found["q"], found["final"])
+    least = np.where(n >= config.k, least, -1.0)[rows]
+    yield from scored(at_home | _open(promise, tiles, least, config), max(1, CELLS // len(cols)))
+
+
+def _scorer(block: Sequence[str], payload: Sequence[str], config: HybridConfig):
+    """Best labels of a bundle of queries among a part of the labels."""
     def score(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         names = [*block, "q_norm", *payload, "final", "bm25", "embedding", "relation", "antonym"]
         if q.empty or t.empty:
             return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-        t = t.sort_values("pos", ignore_index=True)  # stable sorts below then tie by position
-        raw = _shared(_entries(q["toks"], q["weights"]), _entries(t["toks"], t["weights"]), len(q), len(t))
-        bm25 = _lexical(raw, q["self_score"])
-        dense = _stretched(_vector_cosine(q["vec"], t["vec"]), config.cosine_floor)
-        final = config.alpha * bm25 + (1 - config.alpha) * dense
-        relation, antonym = _relation(q, t), _opposite(q, t)
-        if config.vetoes:
-            final = final * np.choose(relation, [1.0, fixed.EXTRA_FACTOR, fixed.CONFLICT_FACTOR])
-            final = final * np.where(antonym, fixed.CONFLICT_FACTOR, 1.0)
-        order = np.argsort(-np.round(final, SCORE_DIGITS), axis=1, kind="stable")[:, : config.k]
-        row = np.repeat(np.arange(len(q)), order.shape[1])
-        col = order.ravel()
+        q, t = q.reset_index(drop=True), t.reset_index(drop=True)
+        scores = _Scores(q, t, config)
+        number = pd.concat([q[list(block)], t[list(block)]], ignore_index=True).groupby(list(block)).ngroup().to_numpy()
+        places = [pd.Series(np.arange(len(x))).groupby(x).apply(lambda s: s.to_numpy()) for x in (number[:len(q)], number[len(q):])]
+        both = [(places[0][b], places[1][b]) for b in places[0].index if b in places[1].index]
+        large = [p for p in both if len(p[1]) > INDEXED * config.tile]
+        small = [p for p in both if len(p[1]) <= INDEXED * config.tile]
+        found = list(_small_blocks(scores, [a for a, _ in small], [b for _, b in small]))
+        for rows, cols in large:
+            found += _large_block(scores, rows, cols)
+        if not found:
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        found = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
         # object columns: string columns of pandas may hold several Arrow chunks
         pick = lambda s, at: pd.Series(s.to_numpy(dtype=object)[at], dtype=object)
         return pd.DataFrame({
-            **{b: pick(q[b], row) for b in block},
-            "q_norm": pick(q["q_norm"], row), **{c: pick(t[c], col) for c in payload}, "final": final[row, col],
-            "bm25": bm25[row, col], "embedding": dense[row, col], "relation": relation[row, col],
-            "antonym": antonym[row, col],
-        })
+            **{b: pick(q[b], found["q"]) for b in block}, "q_norm": pick(q["q_norm"], found["q"]), **{c: pick(t[c], found["t"]) for c in payload},
+            **{c: found[c] for c in ("final", "bm25", "embedding", "relation", "antonym")}})
 
     return score
 
@@ -299,14 +436,15 @@ def _prepared(queries: DataFrame, targets: DataFrame, block: list[str], config:
     """Queries and labels with their weights, laid out in chunks and tiles."""
     carried = [c for c in targets.columns if c not in (*block, "pos")]
     active = queries.select(*block).distinct()
-    t = _with_vectors(targets.join(active, block, "left_semi"), vectors)
+    # rows are counted, sampled for bounds and laid out
+    t = cut_lineage(_with_vectors(targets.join(active, block, "left_semi"), vectors))
     q = _with_vectors(queries.select(*block, "norm"), vectors)
     pivots = None if vectors is None else cut_lineage(_pivots(t, block))
-    t = _laid_out(t, block, pivots, config.vetoes, config.tile, "tile")
+    t = _laid_out(t, block, pivots, config.vetoes, config.tile, PART, "tile")
     stats = t.groupBy(*block).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
     spread = t.select(*block, F.explode("tokens.token").alias("token")).groupBy(*block, "token").agg(
         F.count("*").alias("n_with"))
-    q = _laid_out(q.join(stats, block), block, pivots, config.vetoes, config.chunk, "chunk")
+    q = _laid_out(cut_lineage(q.join(stats, block)), block, pivots, config.vetoes, config.chunk, BUNDLE, "chunk")
     weighted = (
         q.select(*block, "norm", "n_docs", "avg_len", "n_tokens", F.inline("tokens"))
         .join(spread, [*block, "token"], "left")
@@ -335,7 +473,7 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
     ``queries``: block columns and ``norm`` (distinct per block).  ``targets``: block columns,
     ``norm``, ``pos`` (distinct per block; ties go to the smaller) and any columns to hand on,
     which come back as ``t_*``.  ``vectors``: ``norm, vec`` unit vectors; labels without one
-    have no vector score.  Features, visits and results are checkpointed, since each feeds several
+    have no vector score.  Features and results are checkpointed, since each feeds several
     branches.
     """
     block = list(block)
@@ -343,42 +481,14 @@ def rank_candidates(queries: DataFrame, targets: DataFrame, block: Sequence[str]
     q_rows, t_rows = _prepared(queries, targets, block, config, vectors)
     types = {f.name: f.dataType.simpleString() for f in [*t_rows.schema, *q_rows.schema]}
     keys_ddl = ", ".join(f"`{b}` {types[b]}" for b in block)
-    visit_ddl = f"{keys_ddl}, q_norm string, chunk long, tile long, full boolean, promise double"
     score_ddl = (keys_ddl + ", q_norm string, " + ", ".join(f"`{c}` {types[c]}" for c in payload)
                  + ", final double, bm25 double, embedding double, relation int, antonym boolean")
 
-    # the index: one row a tile
-    tile_keys = [*block, "tile"]
-    peaks = t_rows.select(*tile_keys, F.explode(F.arrays_zip("toks", "weights")).alias("e")).groupBy(
-        *tile_keys, F.col("e.toks").alias("token")).agg(F.max("e.weights").alias("weight"))
-    peaks = peaks.groupBy(*tile_keys).agg(F.collect_list("token").alias("toks"), F.collect_list("weight").alias("weights"))
-    ends = [F.min(F.get("dist", n)).alias(f"__l{n}") for n in range(PIVOTS)] + [F.max(F.get("dist", n)).alias(f"__h{n}") for n in range(PIVOTS)]
-    ranges = t_rows.groupBy(*tile_keys).agg(
-        F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("pos")), 1, 2 * config.k).alias("first"), F.max("square").alias("square"),
-        F.collect_set(F.array_join("nums", "\0")).alias("number_sets"), F.array_distinct(F.flatten(F.collect_set("nums"))).alias("numbers"), *ends)
-    some = F.col("square").isNotNull()
-    index = cut_lineage(ranges.join(peaks, tile_keys, "left").select(
-        *tile_keys, "n", "first", "square", "number_sets", "numbers", F.coalesce("toks", F.array().cast("array<string>")).alias("toks"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-        F.when(some, F.array(*[f"__l{n}" for n in range(PIVOTS)])).alias("low"), F.when(some, F.array(*[f"__h{n}" for n in range(PIVOTS)])).alias("high")))
-    index = index.withColumn("part", F.floor(F.col("tile") / PART))
-    asked = index.join(q_rows.select(*block, "chunk").distinct(), block)
-    chunk_keys, part_keys = [*block, "chunk"], [*block, "chunk", "part"]
-    bare = q_rows.select(*chunk_keys, "q_norm", "toks", "weights", "self_score", "nums", "dist", "square").join(index.select(*block, "part").distinct(), block)
-
-    def scored(visits: DataFrame) -> DataFrame:
-        own = visits.join(q_rows, [*chunk_keys, "q_norm"])
-        rows = t_rows.join(visits.select(*tile_keys, "chunk").distinct(), tile_keys)
-        return _cogrouped(own, rows, [*tile_keys, "chunk"], _tile_scorer(block, payload, config), score_ddl)
-
-    best_tile = _cogrouped(bare, asked, part_keys, _visits(block, config, True), visit_ddl).groupBy(*chunk_keys, "q_norm").agg(
-        F.max_by("tile", F.struct("full", "promise", "tile")).alias("tile"))
-    home = cut_lineage(best_tile)
-    begun = cut_lineage(scored(home))
-    least = begun.groupBy(*block, "q_norm").agg(F.when(F.count("*") >= config.k, F.min("final")).otherwise(-1.0).alias("least"))
-    open_ = bare.join(home.select(*block, "q_norm", F.col("tile").alias("home")), [*block, "q_norm"]).join(least, [*block, "q_norm"])
-    further = _cogrouped(open_, asked, part_keys, _visits(block, config, False), visit_ddl).drop("full", "promise")
-    further = cut_lineage(further)
-    found = begun.unionByName(scored(further))
+    q_rows = q_rows.withColumn("bundle", F.floor(F.col("chunk") / max(1, BUNDLE // config.chunk)))
+    t_rows = t_rows.withColumn("part", F.floor(F.col("tile") / max(1, PART // config.tile)))
+    asked = q_rows.join(t_rows.select(*block, "part").distinct(), block)
+    held = t_rows.join(q_rows.select(*block, "bundle").distinct(), block)
+    found = _cogrouped(asked, held, ["bundle", "part"], _scorer(block, payload, config), score_ddl)
 
     per_query = Window.partitionBy(*block, "q_norm").orderBy(F.round("final", SCORE_DIGITS).desc(), "pos")
     best = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= config.k)
