@@ -35,7 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: documents that a task grows into constants, cells or notices
+DEALT = 1000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt out by ``key`` to as many tasks as a shuffle has: a small file is one task, and so
-    would be all rows that it grows into."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """``df`` dealt out by ``key`` to as many tasks as a shuffle has, or more where a task would get over
+    ``DEALT`` rows: a small file is one task, and so would be all rows that it grows into."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-df.count() // DEALT)), key)

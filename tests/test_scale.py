@@ -20,3 +20,10 @@ def test_small_tiles_and_chunks_share_tasks(spark, monkeypatch):
     # 120 queries and 480 labels are one bundle and one part, not a group for each chunk and tile
     assert groups == [1]
     assert ranked.groupBy("block", "q_norm").count().filter("count = 3").count() == 120
+
+
+def test_documents_are_dealt_to_more_tasks_as_they_grow(spark):
+    from tariffloom.workloads.registry import spread
+
+    sizes = spread(spark.range(20_000).withColumnRenamed("id", "doc_id"), "doc_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 1500
