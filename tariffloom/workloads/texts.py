@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tariffloom.functions import labels as lf
 from tariffloom.functions import numbers as nf
 from tariffloom.functions import text as tf
-from tariffloom.workloads.registry import table, workload
+from tariffloom.workloads.registry import spread, table, workload
 
 _DIRTY = "case doc_id % 4 when 0 then chr(8203) || text when 1 then '(원) ' || text || chr(160) else text end"
 
@@ -153,8 +153,11 @@ def business_year(spark, sf):
 with t as (select doc_id, unnest(case when length(text) < 2 then [text] else list_transform(range(1, length(text)), lambda i: substr(text, i, 2)) end) as g from documents)
 select g, count(*) as n, count(distinct doc_id) as docs from t group by g""")
 def bigram_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(tf.bigrams(F.col("text"))).alias("g"))
-    return d.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    """Tokens are counted by document where its rows met; one row a token and task is shuffled, not one a
+    token and document."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    own = d.select("doc_id", F.explode(tf.bigrams(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    return own.groupBy("g").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
 
 
 @workload("numeric_relation", "N26 M5 K8", """

@@ -27,3 +27,15 @@ def test_documents_are_dealt_to_more_tasks_as_they_grow(spark):
 
     sizes = spread(spark.range(20_000).withColumnRenamed("id", "doc_id"), "doc_id").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 20 and max(r["count"] for r in sizes) < 1500
+
+
+def test_bigrams_are_counted_inside_documents(spark, tmp_path):
+    from tariffloom.workloads import all_workloads
+
+    rows = [(1, "abab"), (1, "ab"), (2, "b"), (3, None), (None, "ab"), (None, "abc"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = all_workloads()["bigram_counts"].build(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("ab", 5, 1), ("ba", 1, 1), ("b", 1, 1), ("bc", 1, 0)}
+    # no shuffle by token and document
+    assert "hashpartitioning(g" in (plan := df._jdf.queryExecution().executedPlan().toString())
+    assert not [line for line in plan.splitlines() if "hashpartitioning(g" in line and "doc_id" in line]
