@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,9 @@ def match_labels(base: DataFrame, target: DataFrame, block: Sequence[str], confi
     Both sides carry block columns, ``norm`` (distinct per block), ``raw`` and ``pos``.
     """
     block = list(block)
-    sure = deterministic_matches(base, target, block)
+    # labels and sure matches feed the ranking and the items
+    base, target = cut_lineage(base), cut_lineage(target)
+    sure = cut_lineage(deterministic_matches(base, target, block))
     rest = base.join(sure.select(*block, "norm"), [*block, "norm"], "left_anti")
     ranked = rank_candidates(rest, target.select(*block, "norm", "pos", "raw"), block, config, vectors).withColumnRenamed(
         "q_norm", "norm")
@@ -168,13 +171,32 @@ class MatchSettings:
     anchors: tuple[str, ...] = fixed.SCALAR_ANCHORS
 
 
+class Report(Mapping):
+    """Named parts of a report, each worked out when it is asked for first: ranking labels runs jobs."""
+
+    def __init__(self, parts: dict[str, Callable[[Report], DataFrame]]):
+        self._parts, self._made = parts, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._parts[name](self)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
 def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings = MatchSettings(),
-                    vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+                    vectors: DataFrame | None = None) -> Mapping[str, DataFrame]:
     """The full report of document pairs as DataFrames that share ``pair_id``.
 
     ``cells`` are sanitised grids; ``pairs``: pair_id, base_doc, target_doc.  Everything up to
     the labels is computed once per document, however many pairs it is in, and checkpointed,
-    since most of the report reads it.
+    since most of the report reads it.  Labels are matched and suggestions ranked only when such
+    a part is asked for.
     """
     regions, tagged = sg.segment(cells)
     found = lb.label_cells(tagged)
@@ -186,12 +208,16 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     common = pairs.join(cells.select(F.col("doc_id").alias("base_doc"), "sheet").distinct(), "base_doc").join(
         cells.select(F.col("doc_id").alias("target_doc"), "sheet").distinct(), ["target_doc", "sheet"]
     ).select("pair_id", "sheet")
-    base, target = side("base"), side("target")
     shared = lambda df: df.join(common, ["pair_id", "sheet"], "left_semi")
-    matched = match_labels(shared(base), shared(target), ["pair_id", "sheet"], settings.hybrid, vectors)
-    items = cut_lineage(matched["items"]).withColumn("item_id", F.concat(
-        "sheet", F.when(F.array_contains("flags", "NEW_IN_TARGET"), "-new-").otherwise("-"),
-        F.format_string("%03d", F.col("item_no"))))
+
+    @cache
+    def matched() -> dict[str, DataFrame]:
+        return match_labels(shared(side("base")), shared(side("target")), ["pair_id", "sheet"], settings.hybrid, vectors)
+
+    def items(_: Report) -> DataFrame:
+        return cut_lineage(matched()["items"]).withColumn("item_id", F.concat(
+            "sheet", F.when(F.array_contains("flags", "NEW_IN_TARGET"), "-new-").otherwise("-"),
+            F.format_string("%03d", F.col("item_no"))))
 
     prints = sg.fingerprints(regions, tagged)
     anchors = pairs.select("pair_id", F.col("target_doc").alias("doc_id")).join(
@@ -207,12 +233,12 @@ def match_documents(cells: DataFrame, pairs: DataFrame, settings: MatchSettings
     for more in (sg.fingerprint_diffs(pairs, prints), anchors, clashes):
         alerts = alerts.unionByName(more.select(*columns))
     missing = missing_labels(pairs, labels, settings.required_labels)
-    return {
-        "items": items, "candidates": matched["candidates"], "summary": summarize(items), "alerts": alerts,
-        "anomalies": value_anomalies(pairs, column_stats(tagged), regions), "missing": missing,
-        "suggestions": suggestions(missing, target, settings.hybrid, vectors), "regions": regions, "tagged": tagged,
-        "labels": labels,
-    }
+    return Report({
+        "items": items, "candidates": lambda r: matched()["candidates"], "summary": lambda r: summarize(r["items"]), "alerts": lambda r: alerts,
+        "anomalies": lambda r: value_anomalies(pairs, column_stats(tagged), regions), "missing": lambda r: missing,
+        "suggestions": lambda r: suggestions(missing, side("target"), settings.hybrid, vectors), "regions": lambda r: regions,
+        "tagged": lambda r: tagged, "labels": lambda r: labels,
+    })
 
 
 def judge_ranking(gold: DataFrame, ranked: DataFrame, scores: DataFrame, cutoff: float = fixed.CUTOFF) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,7 +273,7 @@ def item_ids(spark, sf):
     return mt.match_documents(cells, pairs)["items"].select("norm", "item_id")
 
 
-def _report(spark, sf) -> dict[str, DataFrame]:
+def _report(spark, sf) -> Mapping[str, DataFrame]:
     cells, pairs = versions(spark, sf)
     settings = mt.MatchSettings(required_sheets=("S1",), required_labels=(("bolt", "S0", "v", (fixed.TABLE_BASIC,), False),))
     return mt.match_documents(cells, pairs, settings)

@@ -95,3 +95,17 @@ def test_collisions_are_long_form(spark):
     _, tagged = segment(cells_frame(spark, {"d": {"s": {"A1": "기본 단가", "A2": "기본단가", "A3": "[기본단가]", "B1": "다른"}}}))
     rows = collisions(label_cells(tagged)).select("raw", F.col("n_raw")).collect()
     assert sorted((r["raw"], r["n_raw"]) for r in rows) == [("[기본단가]", 3), ("기본 단가", 3), ("기본단가", 3)]
+
+
+def test_parts_of_a_report_that_need_no_ranking_run_none(spark, monkeypatch):
+    def ranked(*args):
+        raise AssertionError("labels were ranked")
+
+    cells = sanitized(cells_frame(spark, year_pair()))
+    pairs = spark.createDataFrame([("p", "old", "new")], "pair_id string, base_doc string, target_doc string")
+    monkeypatch.setattr(mt, "rank_candidates", ranked)
+    out = mt.match_documents(cells, pairs)
+    assert {"items", "suggestions"} <= set(out) and out["alerts"] is out["alerts"]
+    assert out["alerts"].count() and out["missing"].count() and out["regions"].count()
+    with pytest.raises(AssertionError, match="ranked"):
+        out["suggestions"]
