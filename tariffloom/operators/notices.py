@@ -15,7 +15,11 @@ from tariffloom.functions.literals import literal_rows
 from tariffloom.functions.numbers import money_tokens, segment_number
 from tariffloom.functions.text import squeeze
 from tariffloom.operators.ordered import PIECE, carry_forward_nested
-from tariffloom.session import cut_lineage, not_broadcast
+from tariffloom.session import cut_lineage, dealt, not_broadcast
+
+
+#: tables, with their grids, that a task holds
+TABLES = 5_000
 
 
 def with_context(blocks: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -70,7 +74,7 @@ def matching_tables(blocks: DataFrame, tables: dict = fixed.NOTICE_TABLES) -> Da
 
 def locate_tables(blocks: DataFrame, tables: dict = fixed.NOTICE_TABLES) -> tuple[DataFrame, DataFrame]:
     """``(located, errors)``: exactly one table per service and document is required."""
-    hits = cut_lineage(matching_tables(blocks, tables))
+    hits = dealt(cut_lineage(matching_tables(blocks, tables)), "doc_id", "service", rows=TABLES)
     counts = hits.groupBy("doc_id", "service").agg(F.count("*").alias("n"))
     docs = blocks.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, tables))).alias("service"))
     judged = docs.join(not_broadcast(counts), ["doc_id", "service"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -169,7 +173,7 @@ def read_amounts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     every check reads them.
     """
     located, errors = locate_tables(blocks)
-    rows = cut_lineage(read_rows(located).unionByName(read_grades(located)))
+    rows = dealt(cut_lineage(read_rows(located).unionByName(read_grades(located))), "doc_id", "service")
     source = F.struct("section", "table_no", "row", "label", "raw", "chapter", "item")
     found = rows.filter(F.col("problem").isNull()).select("doc_id", "service", source.alias("s"), F.inline("entries")).select(
         "doc_id", "service", "key", "amount", "surcharge",

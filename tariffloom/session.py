@@ -66,3 +66,17 @@ def not_broadcast(df: DataFrame, unique: bool = False) -> DataFrame:
     ``unique``: the join's keys are (nearly) unique in ``df``, so its part is hashed instead of sorted.
     """
     return df.hint("shuffle_hash" if unique else "merge")
+
+
+#: rows that a task holds where rows are dealt out by key
+DEALT_ROWS = 20_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """``df`` (written, so that counting it is cheap) dealt out by ``keys``, about ``rows`` rows to a task.
+
+    Windows and groups whose keys contain ``keys``, and joins by just these, take over the number of tasks,
+    so their tasks do not grow with the input as those of a fixed number of shuffle partitions do.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-df.count() // rows)), *keys)

@@ -141,3 +141,15 @@ def test_rules_and_decisions(spark, tmp_path):
     (log / "extra.json").write_text('{"run_id": "r", "item_id"\n\n{"run_id": "r", "item_id": "i3", "action": "manual_input", "input_label": "E"}\n')
     got = {r["item_id"]: r["reviewed_at"] is not None for r in fs.read_decisions(spark, str(log)).collect()}
     assert got == {"i1": True, "i2": True, "i3": False}
+
+
+def test_notices_are_parsed_once_and_dealt_out(spark):
+    from tariffloom.session import dealt
+    from tariffloom.workloads.notices import _notice_file
+
+    files = spark.createDataFrame([(str(n), bytearray(_notice_file(n, 0))) for n in range(3)], "doc_id string, content binary")
+    blocks = parse_notices(files)
+    assert "MapInPandas" not in blocks._jdf.queryExecution().toString()
+    assert blocks.select("doc_id").distinct().count() == 3
+    rows = spark.range(1000).selectExpr("id % 50 as doc_id", "id")
+    assert dealt(rows, "doc_id", rows=10).rdd.getNumPartitions() == 100
