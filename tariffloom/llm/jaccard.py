@@ -12,11 +12,15 @@ A size-aware join in two halves:
 The size that parts light from heavy is the one with the least total cost under the sizes at hand.
 
 Copies with equal sets are one node.  Linked sets are wanted as components, so pairs that are
-already in one component need no test: rounds of star pairs (every member of a list against one
-pivot) are tested first, and after them all remaining pairs of a list that lie in different
-components, so that no link is lost.  A set carries a parity sketch: each element flips one bit, so
+already in one component need no test.  A set carries a parity sketch: each element flips one bit, so
 two sketches differ in no more bits than the sets in elements, and pairs whose sketches differ in
-more than a link allows are left out without a loss.  Elements and sets are known by 64-bit hashes.
+more than a link allows are left out without a loss.  A round of star pairs (every member of a list
+against one pivot) is tested first.  Then a list gives a *forest*: pairs that its sketches allow, but
+only such as join what the list's earlier pairs did not, so a group of copies gives as many pairs as
+sets and not their square.  When all pairs of a forest round are links, every pair that is left lies
+in one component; otherwise forests are drawn in another order, and at last all remaining pairs of a
+list that lie in different components are tested, so that no link is lost.  Elements and sets are
+known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from tariffloom.llm.common import bounded_batches, cut_lineage, release, table
 from tariffloom.llm.components import component_labels
 
 WORDS, PERCENT = 3, 90
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+FOREST_ROUNDS = 2
 #: list entries are dealt, sorted, and tested against others of their list; subsets mostly stand alone
 SCAN_COST = 4
 LARGEST_LIGHT = 48
@@ -92,8 +97,8 @@ def differences_allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarra
 
 
 def parity_sketch(elements: np.ndarray, percent: int) -> bytes:
-    """Bits flipped by the elements; six times as many bits as differences a link may have, or more."""
-    need = max(64, 12 * len(elements) * (100 - percent) // (100 + percent))
+    """Bits flipped by the elements; 24 times as many bits as differences a link may have, or more."""
+    need = max(64, 48 * len(elements) * (100 - percent) // (100 + percent))
     bits = 1 << (need - 1).bit_length()
     flips = np.bincount((_mixed(elements + _B) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -252,33 +257,73 @@ def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
     return met.groupBy(F.col("mark").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(seed))).alias("a"))
 
 
-def likely_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs of whole lists in different components whose sketches leave a link possible."""
+def joined_by(pairs: list[tuple[int, int]], parts: np.ndarray) -> np.ndarray:
+    """Which of the pairs of parts join two that earlier ones did not; ``parts`` (part -> its first one) follows."""
+
+    def root(x: int) -> int:
+        while parts[x] != x:
+            parts[x] = x = parts[parts[x]]
+        return x
+
+    new = np.zeros(len(pairs), bool)
+    for k, (x, y) in enumerate(pairs):
+        x, y = root(x), root(y)
+        if x != y:
+            new[k], parts[max(x, y)] = True, min(x, y)
+    while (parts[parts] != parts).any():
+        parts[:] = parts[parts]
+    return new
+
+
+def likely_pairs(rows: pd.DataFrame, percent: int, forest: bool = False) -> Iterator[pd.DataFrame]:
+    """Pairs of whole lists in different components whose sketches leave a link possible.
+
+    ``forest``: of these only such as join parts of the list that no earlier pair of it joins.
+    """
     key, sketch = rows["key"].to_numpy(), rows["sketch"].to_numpy()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     words = np.repeat(np.minimum.reduceat([len(x) // 8 for x in sketch], first), size)
     rank = np.arange(len(key)) - np.repeat(first, size)
+    list_no = np.repeat(np.arange(len(first)), size)
     for width in np.unique(words).tolist():
         at = np.flatnonzero(words == width)  # whole lists, in order
         bits = np.stack([folded(sketch[i], width) for i in at])
         mark, label, n = (rows[c].to_numpy()[at] for c in ("mark", "label", "n"))
-        own = rank[at]
+        own, lists = rank[at], list_no[at]
+        # a part is a component's share of a list
+        part = pd.DataFrame({"list": lists, "label": label}).groupby(["list", "label"], sort=False).ngroup().to_numpy()
+        parts = np.arange(int(part.max()) + 1)
+        several = np.ones(len(first), bool)
         for step in range(1, int(own.max()) + 1):
-            later = np.flatnonzero(own >= step)
+            later = np.flatnonzero((own >= step) & several[lists])
+            if not len(later):
+                break
             for cut in range(0, len(later), 50_000):
                 i = later[cut:cut + 50_000]
                 j = i - step
-                i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+                apart = parts[part[i]] != parts[part[j]]
+                i, j = i[apart], j[apart]
                 differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 fit = differ <= differences_allowed(n[i], n[j], percent)
-                if fit.any():
-                    a, b = mark[i[fit]], mark[j[fit]]
+                i, j = i[fit], j[fit]
+                if forest and len(i):
+                    new = joined_by(list(zip(part[i].tolist(), part[j].tolist(), strict=True)), parts)
+                    i, j = i[new], j[new]
+                if len(i):
+                    a, b = mark[i], mark[j]
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if forest and step & (step - 1) == 0:  # now and then leave out lists that are one part by now
+                roots = parts[part]
+                low, high = np.full(len(first), len(parts)), np.full(len(first), -1)
+                np.minimum.at(low, lists, roots)
+                np.maximum.at(high, lists, roots)
+                several = low < high
 
 
-def open_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets that share a list, are in different components and may be linked."""
+def open_pairs(lists: DataFrame, sets: DataFrame, percent: int, forest: bool = False, seed: int = 0) -> DataFrame:
+    """Pairs of sets that share a list, are in different components and may be linked: all of them, or a
+    forest for each list, its sets taken in an order drawn by ``seed``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -287,14 +332,15 @@ def open_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             key = rows["key"].to_numpy()
             done = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
             if done:
-                yield from likely_pairs(rows[:done], percent)
+                yield from likely_pairs(rows[:done], percent, forest)
             held = rows[done:]
         if held is not None and len(held):
-            yield from likely_pairs(held.reset_index(drop=True), percent)
+            yield from likely_pairs(held.reset_index(drop=True), percent, forest)
 
     mixed = lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     told = lists.join(mixed, "key").join(sets.select("mark", "n", "sketch"), "mark")
-    return told.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    dealt = told.repartition("key").sortWithinPartitions("key", F.xxhash64("mark", F.lit(seed)))
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, shipped: int = SHIPPED_IDS) -> DataFrame:
@@ -352,7 +398,8 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("home").cogroup(placed.groupBy("cell")).applyInPandas(reached, "a long, b long")
 
 
-def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int, rounds: int = STAR_ROUNDS) -> DataFrame | None:
+def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int, rounds: int = STAR_ROUNDS,
+                   forests: int = FOREST_ROUNDS) -> DataFrame | None:
     """``node, label`` of the sets that have links; None if there are no candidates."""
     scheme = Scheme(percent)
     sizes = {r["n"]: r["count"] for r in nodes.filter(f"n between 1 and {LARGEST_LIGHT}").groupBy("n").count().collect()}
@@ -373,23 +420,26 @@ def set_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int,
     sets = cut_lineage(read.dropDuplicates(["mark"]).join(candidates, "mark", "left_semi"))
 
     links, tested, labels = None, None, None
-    for seed in range(rounds + 1):
+    last = rounds + forests
+    for seed in range(last + 1):
         here = lists.withColumn("label", F.col("mark")) if labels is None else (
             lists.join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark")))
-        pairs = star_pairs(here, seed) if seed < rounds else open_pairs(here, sets, percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if seed < rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        likely = cut_lineage(possible_pairs(pairs, sets, percent)) if seed < rounds else pairs
-        found = cut_lineage(linked_pairs(likely, sets, percent))
-        if found.limit(1).count():
-            links = found if links is None else links.unionAll(found)
-            labels = component_labels(links)
-        release(docs.sparkSession)
+        pairs = star_pairs(here, seed) if seed < rounds else open_pairs(here, sets, percent, seed < last, seed)
+        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        asked = pairs.count()
+        pairs = pairs if tested is None else cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+        joined = 0
+        if pairs.limit(1).count():
+            tested = pairs if tested is None else tested.unionAll(pairs)
+            likely = cut_lineage(possible_pairs(pairs, sets, percent)) if seed < rounds else pairs
+            found = cut_lineage(linked_pairs(likely, sets, percent))
+            joined = found.count()
+            if joined:
+                links = found if links is None else links.unionAll(found)
+                labels = component_labels(links)
+            release(docs.sparkSession)
+        if seed >= rounds and joined == asked:
+            break  # every pair that sketches allow is joined by links now
     return labels
 
 

@@ -109,3 +109,33 @@ def test_sketches_differ_in_no_more_bits_than_the_sets_in_elements():
         words = min(len(x), len(y)) // 8
         differ = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
         assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_a_large_group_of_near_copies_gives_a_forest(spark):
+    """Sets that are all linked with each other give as many pairs as sets, not their square."""
+    import numpy as np
+    import pandas as pd
+
+    from tariffloom.llm.jaccard import likely_pairs
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.r_[base, rng.integers(0, 1 << 62, 3).astype(np.uint64)]) for _ in range(60)]
+    rows = pd.DataFrame({"key": np.repeat([5, 6], 60), "mark": [*range(60)] * 2, "label": [*range(60)] * 2,
+                         "n": [len(s) for s in sets] * 2, "sketch": [parity_sketch(s, 90) for s in sets] * 2})
+    assert len(pd.concat(likely_pairs(rows, 90))) == 2 * 60 * 59 // 2
+    forest = pd.concat(likely_pairs(rows, 90, forest=True))
+    assert len(forest) == 2 * 59
+    links = spark.createDataFrame([*zip(forest["a"].tolist(), forest["b"].tolist(), strict=True)], "a long, b long")
+    assert {r.label for r in component_labels(links).collect()} == {0}
+
+
+@pytest.mark.parametrize(("rounds", "forests"), [(0, 0), (0, 1), (1, 1), (2, 0)])
+def test_rounds_do_not_change_the_components(texts, rounds, forests):
+    from tariffloom.llm.common import cut_lineage
+    from tariffloom.llm.jaccard import document_sets, set_components
+
+    docs = texts((i, t) for i, t in enumerate(corpus(4)))
+    nodes = cut_lineage(document_sets(docs, 3))
+    whole, some = (set_components(docs, nodes, 3, 90, *r) for r in ((2, 3), (rounds, forests)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, some.collect()))
