@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
 SPACE = 32
+#: characters whose arrays (over a hundred bytes for each) are held at once
+SLICE = 1 << 18
 
 
 @functools.cache
@@ -14,6 +17,19 @@ def _letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
 
 
+def slices(texts: list[str], limit: int = SLICE) -> Iterator[list[str]]:
+    """The texts in order in lists of at most ``limit`` characters, or of one longer text."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > limit:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def letter_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased letters of all texts with one space between words; and each one's text number.
 

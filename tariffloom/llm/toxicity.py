@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffloom.llm.common import bounded_batches, cut_lineage, table
-from tariffloom.llm.letters import SPACE, gram_hash, letter_stream
+from tariffloom.llm.letters import SPACE, gram_hash, letter_stream, slices
 
 #: fixed values: signs that stand for letters
 LOOK_ALIKE = {
@@ -72,10 +72,11 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         three, two = np.zeros(1 << TRI_BITS, np.int64), np.zeros(1 << BI_BITS, np.int64)
         for batch in batches:
-            codes, owner = letter_stream([t or "" for t in batch["text"]])
-            ok = owner[2:] == owner[:-2]
-            three += np.bincount(gram_hash(codes[:-2], codes[1:-1], codes[2:], bits=TRI_BITS)[ok], minlength=1 << TRI_BITS)
-            two += np.bincount(gram_hash(codes[:-2], codes[1:-1], bits=BI_BITS)[ok], minlength=1 << BI_BITS)
+            for texts in slices([t or "" for t in batch["text"]]):
+                codes, owner = letter_stream(texts)
+                ok = owner[2:] == owner[:-2]
+                three += np.bincount(gram_hash(codes[:-2], codes[1:-1], codes[2:], bits=TRI_BITS)[ok], minlength=1 << TRI_BITS)
+                two += np.bincount(gram_hash(codes[:-2], codes[1:-1], bits=BI_BITS)[ok], minlength=1 << BI_BITS)
         for kind, n in ((3, three), (2, two)):
             at = np.flatnonzero(n)
             yield pd.DataFrame({"kind": kind, "gram": at, "n": n[at]})

@@ -97,3 +97,11 @@ def test_language_odd_rows(odd, spark):
     assert language.identify_languages(odd.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language.identify_languages(unlabelled).first().lang_pred == "und"
+
+
+def test_the_letter_model_takes_a_batch_in_slices():
+    from tariffloom.llm.letters import slices
+
+    texts = ["a" * 40, "", "b" * 70, "c" * 500, "d" * 30, "e" * 30, "f" * 50]
+    parts = list(slices(texts, 100))
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= 100 for p in parts) and list(slices([], 100)) == []
