@@ -1,6 +1,8 @@
 """Named constants of reference sheets: long form, map form, selections and edits.
 
-Long form: ``doc_id, key, value`` with keys ``group.item`` or ``group``.
+Long form: ``doc_id, key, value`` with keys ``group.item`` or ``group``.  A document's constants are few,
+so checks gather them by document: rows that are dealt out by document stay in their tasks, where joins by
+document and key would shuffle them anew into a fixed number of partitions.
 """
 
 from __future__ import annotations
@@ -85,19 +87,24 @@ def constant_map(constants: DataFrame, keys: Sequence[str] | None = None) -> Dat
 
 def missing_keys(docs: DataFrame, constants: DataFrame, needed: Sequence[str]) -> DataFrame:
     """One row per document and needed key (or group) that has no constant."""
-    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, needed))).alias("need"))
-    have = split_key(constants).select("doc_id", F.explode(F.array("key", "grp")).alias("need")).distinct()
-    return wanted.join(not_broadcast(have, unique=True), ["doc_id", "need"], "left_anti").withColumn(
+    names = F.array(*map(F.lit, needed))
+    have = split_key(constants).select("doc_id", F.explode(F.array_intersect(F.array("key", "grp"), names)).alias("need"))
+    held = have.groupBy("doc_id").agg(F.collect_set("need").alias("held"))
+    lacking = F.filter(names, lambda n: F.col("held").isNull() | ~F.array_contains("held", n))
+    return docs.join(not_broadcast(held, unique=True), "doc_id", "left").select("doc_id", F.explode(lacking).alias("need")).withColumn(
         "reason", F.concat(F.lit("검증에 필요한 값이 없습니다: '"), "need", F.lit("'"))
     )
 
 
 def changed_values(old: DataFrame, new: DataFrame, valid: Column) -> DataFrame:
-    """Constants whose new value differs from the old and is valid; ``new`` has key, value."""
-    return (
-        new.alias("n").join(not_broadcast(old.select("doc_id", "key", F.col("value").alias("old"))), ["doc_id", "key"], "left")
-        .filter(~F.col("value").eqNullSafe(F.col("old")) & valid)
-    )
+    """Constants whose new value differs from the old and is valid; ``new`` has key, value.
+
+    A document's old values are one row, looked up by key.
+    """
+    each = old.filter(F.col("key").isNotNull()).groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("value").alias("old"))).alias("olds"))
+    held = each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "olds"))).alias("__held"))
+    met = new.join(not_broadcast(held, unique=True), "doc_id", "left").withColumn("__old", F.explode_outer(F.col("__held")[F.col("key")]))
+    return met.withColumn("old", F.col("__old.old")).drop("__held", "__old").filter(~F.col("value").eqNullSafe(F.col("old")) & valid)
 
 
 def merge_overrides(base: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -114,11 +121,10 @@ def group_sizes(constants: DataFrame, expected: dict[str, int] | None = None) ->
     """Items per constant group against the expected number."""
     expected = fixed.GROUP_SIZES if expected is None else expected
     spec = F.create_map(*[x for k, n in expected.items() for x in (F.lit(k), F.lit(n))])
-    docs = constants.select("doc_id").distinct().select("doc_id", F.explode(spec).alias("grp", "expected"))
-    sizes = split_key(constants).filter(F.col("item") != "").groupBy("doc_id", "grp").agg(
-        F.count_distinct("item").alias("actual")
-    )
-    return docs.join(not_broadcast(sizes, unique=True), ["doc_id", "grp"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    listed = F.col("grp").isin(*expected) & (F.col("item") != "")
+    sizes = split_key(constants).groupBy("doc_id").agg(F.collect_set(F.when(listed, F.struct("grp", "item"))).alias("items"))
+    return sizes.select("doc_id", F.explode(spec).alias("grp", "expected"), "items").select(
+        "doc_id", "grp", "expected", F.size(F.filter("items", lambda x: x["grp"] == F.col("grp"))).cast("bigint").alias("actual"))
 
 
 def zone_order_breaks(constants: DataFrame) -> DataFrame:
@@ -127,8 +133,10 @@ def zone_order_breaks(constants: DataFrame) -> DataFrame:
     zones = split_key(constants).filter(F.col("grp").isin(*groups)).select(
         "doc_id", "grp", F.regexp_extract("item", "([0-9]+)", 1).cast("int").alias("zone"), "value"
     )
-    after = zones.select("doc_id", "grp", (F.col("zone") - 1).alias("zone"), F.col("value").alias("next_value"))
-    return zones.join(not_broadcast(after), ["doc_id", "grp", "zone"]).filter(F.col("value") <= F.col("next_value"))
+    held = zones.groupBy("doc_id").agg(F.collect_list(F.struct("grp", "zone", "value")).alias("own"))
+    each = held.select("doc_id", "own", F.inline("own"))
+    after = F.filter("own", lambda z: (z["grp"] == F.col("grp")) & (z["zone"] == F.col("zone") + 1) & (F.col("value") <= z["value"]))
+    return each.withColumn("__after", F.explode(after)).select("doc_id", "grp", "zone", "value", F.col("__after.value").alias("next_value"))
 
 
 def non_positive(constants: DataFrame) -> DataFrame:

@@ -39,3 +39,24 @@ def test_bigrams_are_counted_inside_documents(spark, tmp_path):
     # no shuffle by token and document
     assert "hashpartitioning(g" in (plan := df._jdf.queryExecution().executedPlan().toString())
     assert not [line for line in plan.splitlines() if "hashpartitioning(g" in line and "doc_id" in line]
+
+
+def test_constants_are_compared_inside_documents(spark, tmp_path):
+    """Rows dealt out by document are not shuffled anew by key into a fixed number of partitions."""
+    from tariffloom.workloads import all_workloads
+
+    spark.createDataFrame([(n, 1000.0 * n) for n in range(30)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("constants_changed", "constants_checks"):
+        plan = all_workloads()[name].build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert dealt and not [line for line in dealt if "REPARTITION" not in line]
+
+
+def test_changed_values_with_repeated_and_missing_keys(spark):
+    from tariffloom.operators import constants as cn
+
+    schema = "doc_id long, key string, value double"
+    old = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "b", None), (2, "a", 5.0), (1, None, 3.0)], schema)
+    new = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (1, "c", 6.0), (2, "a", 5.0), (3, "a", 7.0), (1, None, 8.0)], schema)
+    got = {(r.doc_id, r.key, r.value, r.old) for r in cn.changed_values(old, new, F.col("value") > 0).collect()}
+    assert got == {(1, "a", 2.0, 1.0), (1, "b", 4.0, None), (1, "c", 6.0, None), (3, "a", 7.0, None), (1, None, 8.0, None)}
