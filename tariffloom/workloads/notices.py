@@ -493,15 +493,22 @@ def table_export(spark, sf):
 # --- streams --------------------------------------------------------------------------------------
 
 _BATCH_PARTS = 3
+#: rows of a file that a stream takes
+_FILE_ROWS = 200_000
+
+
+def _files(rows) -> int:
+    """Files that each part of ``rows`` is written in, all of one batch: one task writes one file."""
+    return max(1, -(-rows.count() // (_BATCH_PARTS * _FILE_ROWS)))
 
 
 def _in_batches(spark, rows, late: bool = False):
-    """Rows laid out as three files that a stream takes one by one; ``late`` sends the newest first."""
-    folder = _folder(spark, "source")
+    """Rows laid out in three parts that a stream takes one by one; ``late`` sends the newest first."""
+    folder, files = _folder(spark, "source"), _files(rows)
     part = F.when(F.col("seq") % 5 < 2, 0).when(F.col("seq") % 5 < 4, 1).otherwise(2)
     for n in range(_BATCH_PARTS):
-        rows.filter(part == (_BATCH_PARTS - 1 - n if late else n)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(part == (_BATCH_PARTS - 1 - n if late else n)).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @workload("stream_edits", "T2 E1", """
@@ -542,15 +549,15 @@ def stream_decisions(spark, sf):
     """Decision lines as a stream whose newest file comes first: damaged lines go, times that
     cannot be read stay, and the first of repeats counts."""
     log, out = _folder(spark, "log"), _folder(spark, "decided")
-    e = F.col("event_id")
+    e, files = F.col("event_id"), _files(table(spark, sf, "events"))
     rows = _decision_rows(spark, sf).withColumn("seq", F.regexp_extract("reviewed_at", "([0-9]+)$", 1).cast("bigint"))
     when = F.when(F.col("seq") % 17 == 0, F.format_string("no time %010d", "seq")).otherwise(
         F.date_format(F.timestamp_seconds(F.col("seq")), "yyyy-MM-dd'T'HH:mm:ss"))
     lines = rows.withColumn("reviewed_at", when).select(F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("value"), "seq")
     for n in reversed(range(_BATCH_PARTS)):
         own = lines.filter(F.col("seq") % _BATCH_PARTS == n).select("value")
-        own.unionByName(table(spark, sf, "events").filter(e % 50 == n).select(F.lit('{"run_id": "r1", "it').alias("value"))).coalesce(1).write.mode("append").text(log)
-    decisions = st.decision_stream(spark, log, files_per_batch=1)
+        own.unionByName(table(spark, sf, "events").filter(e % 50 == n).select(F.lit('{"run_id": "r1", "it').alias("value"))).repartition(files).write.mode("append").text(log)
+    decisions = st.decision_stream(spark, log, files_per_batch=files)
     st.first_decisions(decisions, out, out + "-state").awaitTermination()
     return st.kept_rows(spark, out, decisions.schema).select("run_id", "item_id", "action", "input_label")
 

@@ -60,3 +60,17 @@ def test_changed_values_with_repeated_and_missing_keys(spark):
     new = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (1, "c", 6.0), (2, "a", 5.0), (3, "a", 7.0), (1, None, 8.0)], schema)
     got = {(r.doc_id, r.key, r.value, r.old) for r in cn.changed_values(old, new, F.col("value") > 0).collect()}
     assert got == {(1, "a", 2.0, 1.0), (1, "b", 4.0, None), (1, "c", 6.0, None), (3, "a", 7.0, None), (1, None, 8.0, None)}
+
+
+def test_a_large_part_of_a_stream_is_several_files_of_one_batch(spark, tmp_path, monkeypatch):
+    from tariffloom.workloads import notices
+
+    monkeypatch.setattr(notices, "_FILE_ROWS", 50)
+    monkeypatch.setattr(notices, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    rows = spark.range(600).select(F.col("id").alias("seq"))
+    batches = []
+    stream = notices._in_batches(spark, rows, late=True)
+    stream.writeStream.foreachBatch(lambda b, n: batches.append(sorted(r.seq for r in b.collect()))).trigger(availableNow=True).option(
+        "checkpointLocation", f"{tmp_path}/state").start().awaitTermination()
+    assert len(list(tmp_path.glob("source/part-*"))) == 12
+    assert batches == [[x for x in range(600) if x % 5 == 4], [x for x in range(600) if x % 5 in (2, 3)], [x for x in range(600) if x % 5 in (0, 1)]]
