@@ -100,12 +100,13 @@ class RunLengthIndex:
 
     def __init__(self, contexts: list[bytes], origins: np.ndarray, length: int):
         sizes = np.array([len(c) for c in contexts])
-        gaps = 1  # a zero stands in no context, so no long string runs over an end
+        gaps = 1  # each gap is a number of its own that stands in no context, so no string runs over an end
         starts = np.cumsum(sizes + gaps) - sizes - gaps
         text = np.zeros(int((sizes + gaps).sum()), np.int64)
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.own = np.repeat(starts, sizes) + within
-        text[self.own] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
+        text[starts + sizes] = np.arange(len(sizes))
+        text[self.own] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + len(sizes)
         #: where each position of the contexts comes from, as an order over all documents
         self.origin = np.repeat(origins, sizes) + within
         self.text, self.length = text, length
@@ -117,17 +118,52 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted(text: np.ndarray, kept: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        """Names of all substrings of 1, 2, 4 .. below ``kept`` bytes, and the order of the suffixes."""
-        names, width, name = {1: text}, 1, text
-        different = 0
-        while different < len(text) and width < len(text):
-            far = np.r_[name[width:], np.zeros(width, name.dtype)]
-            values, name = np.unique(name * (int(name.max()) + 1) + far, return_inverse=True)
-            different = len(values)
-            width *= 2
+        """Names of all substrings of 1, 2, 4 .. below ``kept`` bytes, and the order of the suffixes.
+
+        From four bytes on a name is the number of suffixes below, so one that is known to stand alone keeps
+        its name, and a round sorts only those that do not stand alone yet.
+        """
+        n, names, width, name = len(text), {1: text}, 1, text
+        base = int(text.max(initial=0)) + 1
+
+        def beyond(own: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+            """One more than the name of what follows the first ``width``; 0 after the end."""
+            return np.r_[own[width:] + 1, np.zeros(min(width, n), np.int64)][at]
+
+        while width < 4 and (base + 1) ** 2 < 1 << 60:  # as numbers, without a sort
+            name = name * (base + 1) + beyond(name, slice(None))
+            base, width = (base + 1) ** 2, 2 * width
             if width < kept:
                 names[width] = name
-        return names, np.argsort(name, kind="stable")
+        open_, start = np.arange(n), np.zeros(n, np.int64)
+        keys = name
+        while True:
+            order = np.argsort(keys, kind="stable")
+            sorted_keys, open_, start = keys[order], open_[order], start[order]
+            fresh = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]] if n else np.zeros(0, bool)
+            first = np.flatnonzero(fresh)
+            size = np.diff(np.r_[first, len(open_)])
+            # places in the sorted keys where a suffix's new group and its former group begin
+            former = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if n else first
+            begins = np.repeat(former, np.diff(np.r_[former, len(open_)]))
+            ranks = start + np.repeat(first, size) - begins
+            if len(open_) == n:
+                name = np.empty(n, np.int64)
+            name[open_] = ranks
+            if width < kept:
+                names[width] = name.copy()
+            alone = np.repeat(size == 1, size)
+            open_, start = open_[~alone], ranks[~alone]
+            if not len(open_):
+                break
+            keys = start * (n + 1) + beyond(name, open_)
+            width *= 2
+        order = np.empty(n, np.int64)
+        order[name] = np.arange(n)
+        while 2 * width < kept:  # all stand alone by now
+            width *= 2
+            names[width] = name
+        return names, order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at ``a`` and ``b`` share, up to below twice the widest name."""
@@ -327,9 +363,34 @@ def hashed_marks(texts: DataFrame, cores: DataFrame, length: int, q: int, shippe
     by_doc = wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "class")).alias("wanted"))
     own = near_ids(texts, wanted.select("doc").distinct(), shipped).join(by_doc, ["doc", "part"])
     hashed = written(own.mapInPandas(strings, "key long, doc long, part long, start long"))
-    earliest = hashed.groupBy("key").agg(F.min(F.struct("doc", "part", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = hashed.join(earliest, "key").filter(F.struct("doc", "part", "start") > F.col("first"))
-    return later.select("doc", "part", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+    return later_strings(hashed, length)
+
+
+def later_strings(hashed: DataFrame, length: int) -> DataFrame:
+    """``doc, part, low, high`` of the strings (``key, doc, part, start``) whose key an earlier place has too.
+
+    Strings are streamed in order of key and place; only the key and place of the last one's group are held.
+    """
+    place = ["doc", "part", "start"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, first = None, None  # the key at hand and its earliest place
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, places = batch["key"].to_numpy(), batch[place].to_numpy()
+            fresh = np.r_[key[0] != last, key[1:] != key[:-1]]
+            group = np.cumsum(fresh)
+            heads = places[np.flatnonzero(fresh)]
+            if not fresh[0]:
+                heads = np.r_[first[None, :], heads]
+                group = group + 1
+            last, first = key[-1], heads[-1].copy()
+            later = batch[(places != heads[group - 1]).any(axis=1)]
+            yield pd.DataFrame({"doc": later["doc"], "part": later["part"], "low": later["start"], "high": later["start"] + length})
+
+    ordered = hashed.repartition("key").sortWithinPartitions("key", *place)
+    return ordered.mapInPandas(run, "doc long, part long, low long, high long")
 
 
 def with_shared_cores(rows: list[tuple], length: int, q: int) -> list[tuple]:

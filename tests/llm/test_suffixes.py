@@ -93,3 +93,33 @@ def test_equal_rows_are_one_document(texts, hot, grams):
     assert len(got) == len(rows) and want[1, a + b][1] == 0
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=key) == sorted([(i, want[i, t]) for i, t in rows], key=key)
+
+
+def test_suffixes_are_sorted_and_named_by_what_they_begin_with():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 40, 300):
+        text = rng.integers(0, 3, n).astype(np.int64)
+        names, order = RunLengthIndex._sorted(text, 64)
+        suffixes = [tuple(text[i:].tolist()) for i in range(n)]
+        assert [suffixes[i] for i in order] == sorted(suffixes) and sorted(names) == [1, 2, 4, 8, 16, 32]
+        for width, name in names.items():
+            same = {}
+            for i, s in enumerate(suffixes):
+                same.setdefault(s[:width], set()).add(int(name[i]))
+            assert all(len(v) == 1 for v in same.values()) and len(set().union(*same.values())) == len(same)
+
+
+def test_later_strings_are_streamed_without_a_join(spark):
+    from tariffloom.llm.suffixes import later_strings
+
+    rows = [(k, d, 0, s) for k in range(40) for d in range(k % 5 + 1) for s in range(3)] + [(7, 0, 0, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = later_strings(spark.createDataFrame(rows, "key long, doc long, part long, start long"), 100)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((d, 0, s, s + 100) for k, d, _, s in rows[:-1] if (d, s) != (0, 0))
