@@ -74,3 +74,12 @@ def test_a_large_part_of_a_stream_is_several_files_of_one_batch(spark, tmp_path,
         "checkpointLocation", f"{tmp_path}/state").start().awaitTermination()
     assert len(list(tmp_path.glob("source/part-*"))) == 12
     assert batches == [[x for x in range(600) if x % 5 == 4], [x for x in range(600) if x % 5 in (2, 3)], [x for x in range(600) if x % 5 in (0, 1)]]
+
+
+def test_warnings_are_judged_in_their_row(spark, tmp_path):
+    """A copayment's own findings are not worked out a second time and joined to the warnings."""
+    from tariffloom.workloads import all_workloads
+
+    spark.createDataFrame([(4, 77.0), (5, 1234.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = all_workloads()["validate_basic_warnings"].build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join") == 1
