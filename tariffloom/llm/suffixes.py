@@ -17,7 +17,7 @@ are looked at where they can repeat at all:
 4. Anchors with very many different contexts (a common line amid different text) would fill one
    task.  Their strings are put into a few classes by where the anchor stands; all strings of a class
    hold one core, so only classes whose core is found twice are looked at, and of these the strings
-   are hashed one by one and the earliest of each is found by an aggregate.
+   are hashed one by one, sorted and streamed, and all but the earliest of each are marked.
 
 Nothing is sampled or cut: both ways give the same marks.
 """
