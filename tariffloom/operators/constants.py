@@ -72,17 +72,19 @@ def table_keys() -> list[str]:
     return keys + [f"{fixed.K_ADD_LIMITS}.{item}" for item in fixed.ADD_ITEMS]
 
 
-def constant_map(constants: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def constant_map(constants: DataFrame, keys: Sequence[str] | None = None, in_place: bool = False) -> DataFrame:
     """One row per document with a map ``c`` of the named keys (the greatest value of a
     repeated key).  The key list bounds the map's size.
 
     A document's constants are tiny but its tables are not: the explicit partition count keeps
-    adaptive execution from merging them into a few tasks before they multiply.
+    adaptive execution from merging them into a few tasks before they multiply.  ``in_place``: the
+    constants are dealt out by document already, and stay in their tasks.
     """
     keys = table_keys() if keys is None else keys
     one = constants.filter(F.col("key").isin(*keys)).groupBy("doc_id", "key").agg(F.max("value").alias("value"))
-    tasks = int(constants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return one.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("c"))
+    if not in_place:
+        one = one.repartition(int(constants.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("c"))
 
 
 def missing_keys(docs: DataFrame, constants: DataFrame, needed: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
@@ -57,6 +57,16 @@ def later_duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
     return df.join(not_broadcast(firsts, unique=True), list(keys)).filter(F.col(order) > F.col("first_row"))
 
 
+def later_duplicates_in_place(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """:func:`later_duplicates` for rows that are dealt out by some of ``keys``: nothing moves or is written.
+
+    Rows are compared inside their task, sorted by a hash of the keys first, as keys of a table begin alike.
+    """
+    same = Window.partitionBy("__h", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.dropna(subset=list(keys)).withColumn("__h", F.xxhash64(*keys)).withColumn("first_row", F.min(order).over(same)).filter(
+        F.col(order) > F.col("first_row")).drop("__h")
+
+
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row of a key that occurs more than once."""
     repeated = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).drop("__n")
@@ -119,8 +129,6 @@ def issue_texts(issues: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def first_issues(issues: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 8) -> DataFrame:
     """The first ``n`` findings per table and how many more there are."""
-    from pyspark.sql import Window
-
     ranked = issues.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     top = ranked.filter(F.col("rank") <= n)  # planned as a per-task group limit
     totals = issues.groupBy(*keys).agg(F.count("*").alias("total"))

@@ -6,14 +6,14 @@ that are exploded in place, so generating needs no join and no cross product of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffloom import fixed
 from tariffloom.functions.literals import literal_rows
+from tariffloom.operators.checks import pinned
 from tariffloom.operators.constants import constant_map
 from tariffloom.operators.formulas import rule_column
-from tariffloom.operators.ordered import range_pieces, row_numbers
 from tariffloom.operators.rulebook import RULES_2025, copay_column
 from tariffloom.session import not_broadcast
 
@@ -137,9 +137,9 @@ def expected_terms(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     )
 
 
-def basic_table(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
-    """The basic price table: 950 rows per document."""
-    docs = constant_map(constants)
+def basic_table(constants: DataFrame, rules: dict = RULES_2025, in_place: bool = False) -> DataFrame:
+    """The basic price table: 950 rows per document, in the tasks of its constants if ``in_place``."""
+    docs = constant_map(constants, in_place=in_place)
     d, k, c = F.col("d"), F.col("k"), F.col("c")
     rows = _with_terms(docs, rules)
     copay = copay_column(rules, F.col("limit"), F.col("cap"), F.col("letter"), F.col("rate"), d["variant"])
@@ -156,15 +156,18 @@ def basic_table(constants: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     label = {n: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for n, m in
              (("ij", fixed.IJ_INCOME), ("jh", fixed.JH_INCOME))}
     year, chasu = c[fixed.K_YEAR].cast("int"), c[fixed.K_CHASU].cast("int")
+    # worked out ahead: together with the rest it is more code than the JVM compiles
+    rows = pinned(rows, {"__copay": copay.cast("bigint")})
+    rows = pinned(rows, {"__code": F.concat(prefix, code)})
     regular = rows.select(
         "doc_id",
         (d["block"] * 6 + k + 1).alias("안"),
         "사업년도", "차수",
-        F.concat(prefix, code).alias("등급구분"),
+        F.col("__code").alias("등급구분"),
         F.concat(d["base"], F.lit("("), "letter", F.lit("형)"),
                  F.when(d["variant"] == "기본형", "").otherwise("_주간확장")).alias("등급명"),
         F.col("limit").alias("지원량"),
-        copay.cast("bigint").alias("본인부담금"),
+        F.col("__copay").alias("본인부담금"),
         F.when(d["kind"] == "ij", label["ij"][F.col("letter")]).otherwise(label["jh"][F.col("letter")]).alias("소득구분"),
         (d["sort_start"] + step).alias("정렬순서"),
     )
@@ -235,8 +238,8 @@ def service_keys() -> list[str]:
     return sorted({key for s in _service_dimension() for key in s[3:5]})
 
 
-def service_rows(prices: DataFrame, rules: dict = RULES_2025) -> DataFrame:
-    """25 (type, kind, time) rows with day and night prices per document."""
+def service_bundles(prices: DataFrame, rules: dict = RULES_2025, in_place: bool = False) -> DataFrame:
+    """One row per document: ``services``, its 25 (type, kind, time) entries with day and night prices."""
     per_type: dict[str, int] = {}
     entries = []
     for kind_type, kind, minutes, day_key, night_key, mode in _service_dimension():
@@ -248,25 +251,30 @@ def service_rows(prices: DataFrame, rules: dict = RULES_2025) -> DataFrame:
     dimension = literal_rows(entries, "`서비스유형ID` string, `서비스유형명` string, `서비스종류` string, `서비스종유명` string, "
                                       "`서비스시간` int, `서비스시간명` string, day_key string, night_key string, "
                                       "mode string, svc_at int")
-    c, s = F.col("c"), F.col("s")
-    names = ("서비스유형ID", "서비스유형명", "서비스종류", "서비스종유명", "서비스시간", "서비스시간명", "mode", "svc_at")
+    c = F.col("c")
+    names = ("서비스유형ID", "서비스유형명", "서비스종류", "서비스종유명", "서비스시간", "서비스시간명", "svc_at")
     looked_up = F.transform(dimension, lambda e: F.struct(
-        *[e[n].alias(n) for n in names], c[e["day_key"]].cast("bigint").alias("day"),
+        *[e[n].alias(n) for n in (*names, "mode")], c[e["day_key"]].cast("bigint").alias("day"),
         c[e["night_key"]].cast("bigint").alias("night")))
-    rows = constant_map(prices, service_keys()).select("doc_id", F.explode(looked_up).alias("s"))
-    day, night = s["day"], s["night"]
 
-    def priced(rule_id: str, var: str) -> Column:
-        return rule_column(rules[rule_id], {var: day})
+    def priced(s: Column) -> Column:
+        def by(rule_id: str, var: str) -> Column:
+            return rule_column(rules[rule_id], {var: s["day"]})
 
-    bath = priced("bath_40min", "price_60min")
-    unit = F.when(s["mode"] == "half", priced("activity_support_30min", "unit_price")).when(
-        s["mode"] == "bath", bath).otherwise(day)
-    unit_night = F.when(s["mode"] == "half", priced("activity_support_30min_night", "unit_price")).when(
-        s["mode"] == "bath", bath).otherwise(F.coalesce(night, day))
-    return rows.select(
-        "doc_id", "s.*", unit.cast("bigint").alias("단위기준단가"), unit_night.cast("bigint").alias("단위기준심야단가"),
-    ).drop("day", "night", "mode")
+        bath = by("bath_40min", "price_60min")
+        unit = F.when(s["mode"] == "half", by("activity_support_30min", "unit_price")).when(
+            s["mode"] == "bath", bath).otherwise(s["day"])
+        unit_night = F.when(s["mode"] == "half", by("activity_support_30min_night", "unit_price")).when(
+            s["mode"] == "bath", bath).otherwise(F.coalesce(s["night"], s["day"]))
+        return F.struct(*[s[n].alias(n) for n in names], unit.cast("bigint").alias("단위기준단가"),
+                        unit_night.cast("bigint").alias("단위기준심야단가"))
+
+    return constant_map(prices, service_keys(), in_place).select("doc_id", F.transform(looked_up, priced).alias("services"))
+
+
+def service_rows(prices: DataFrame, rules: dict = RULES_2025) -> DataFrame:
+    """25 (type, kind, time) rows with day and night prices per document."""
+    return service_bundles(prices, rules).select("doc_id", F.inline("services"))
 
 
 def payable_grades(basic: DataFrame) -> DataFrame:
@@ -278,34 +286,42 @@ def payable_grades(basic: DataFrame) -> DataFrame:
     return basic.select("doc_id", *need).filter(~F.col("등급구분").isin(*fixed.EXCLUDED_GRADES))
 
 
-def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = None, chasu: Column | None = None,
-                  rules: dict = RULES_2025) -> DataFrame:
-    """The payment table: every payable grade with every service of its document.
+def payment_parts(basic: DataFrame, prices: DataFrame, rules: dict = RULES_2025,
+                  in_place: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The payment table before it multiplies: numbered grades, and one row of ``services`` a document.
 
-    Running numbers are arithmetic: only the grades are numbered, before they multiply.
+    A service's rows have the numbers ``start * n_grades + offset + (grade_no - 1) * width``.  Grades are numbered where
+    the rows of their document meet; tables that are dealt out by document stay in their tasks.
     """
-    laid, piece = range_pieces(payable_grades(basic).withColumn("__code", F.col("등급구분")), ["doc_id"], "__code")
+    document = Window.partitionBy("doc_id")
     share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
     # rounded once a grade, before the services multiply it
-    grades = row_numbers(laid, ["doc_id"], "__code", "grade_no", piece).drop("__range").withColumns(
-        {"정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"]})
-    counts = grades.groupBy("doc_id").agg(F.count("*").alias("n_grades"))
+    grades = payable_grades(basic).withColumns({
+        "grade_no": F.row_number().over(document.orderBy("등급구분")).cast("bigint"), "n_grades": F.count("*").over(document),
+        "정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"]})
     sizes = fixed.SERVICE_COUNTS
     before = F.create_map(*[F.lit(x) for n, t in enumerate(sorted(sizes))
                             for x in (t, sum(sizes[u] for u in sorted(sizes)[:n]))])
     width = F.create_map(*[F.lit(x) for t, n in sizes.items() for x in (t, n)])
-    type_id = F.col("서비스유형ID")
-    number = (before[type_id] * F.col("n_grades") + (F.col("grade_no") - 1) * width[type_id]
-              + F.col("svc_at") + 1)
+    services = service_bundles(prices, rules, in_place).withColumn("services", F.transform("services", lambda s: s.withField(
+        "start", before[s["서비스유형ID"]]).withField("width", width[s["서비스유형ID"]]).withField("offset", s["svc_at"] + 1)))
+    return grades, services
+
+
+def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = None, chasu: Column | None = None,
+                  rules: dict = RULES_2025, in_place: bool = False) -> DataFrame:
+    """The payment table: every payable grade with every service of its document.
+
+    Running numbers are arithmetic: only the grades are numbered, before they multiply.  ``in_place``: both inputs
+    are dealt out by document, into equally many tasks, and the table grows there without a shuffle.
+    """
+    grades, services = payment_parts(basic, prices, rules, in_place)
     year = F.lit(None).cast("int") if year is None else year
     chasu = F.lit(1) if chasu is None else chasu
-    services = service_rows(prices, rules)
-    bundles = services.groupBy("doc_id").agg(  # 25 services per document
-        F.collect_list(F.struct(*[c for c in services.columns if c != "doc_id"])).alias("services")
-    ).join(not_broadcast(counts, unique=True), "doc_id")
-    rows = grades.join(not_broadcast(bundles, unique=True), "doc_id").select(*grades.columns, "n_grades", F.inline("services"))
+    rows = grades.join(not_broadcast(services, unique=True), "doc_id").select(*grades.columns, F.inline("services"))
     return rows.withColumns({
-        "순번": number, "사업년도": year, "차수": chasu,
+        "순번": F.col("start") * F.col("n_grades") + F.col("offset") + (F.col("grade_no") - 1) * F.col("width"),
+        "사업년도": year, "차수": chasu,
         **{n: F.lit(v) for n, v in fixed.BUSINESS.items()},
         "정부지원금액": F.col("정부지원금"), "본인부담금액": F.col("본인부담금"),
         "사용여부": F.lit("Y"),

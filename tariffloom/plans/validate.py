@@ -15,7 +15,7 @@ from tariffloom.operators import tables as tb
 from tariffloom.operators.constants import constant_map, missing_keys
 from tariffloom.operators.formulas import rule_column
 from tariffloom.operators.rulebook import RULES_2025, copay_column
-from tariffloom.plans.generate import block_place, document_terms, service_rows
+from tariffloom.plans.generate import block_place, document_terms, service_bundles
 from tariffloom.session import not_broadcast
 
 KEYS = ("doc_id", "row_id")
@@ -210,20 +210,40 @@ def payment_row_checks() -> list[ck.Check]:
     return found
 
 
+#: lists that a document's codes are dealt to
+BUCKETS = 256
+
+
+def _bucket(code: Column) -> Column:
+    return F.pmod(F.xxhash64(code), F.lit(BUCKETS)).cast("int")
+
+
+def _by_code(ref: DataFrame) -> DataFrame:
+    """One row per document: ``__refs``, for each bucket of codes a map from code to ``r``.
+
+    Rows of a document find their code without a join by it, which would move them all.
+    """
+    lists = ref.groupBy("doc_id", _bucket(F.col("등급구분")).alias("b")).agg(
+        F.map_from_entries(F.collect_list(F.struct("등급구분", "r"))).alias("m"))
+    return lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("own")).select(
+        "doc_id", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.col("own")[b]).alias("__refs"))
+
+
 def payment_with_references(table: DataFrame, basic: DataFrame | None, prices: DataFrame | None,
-                            rules: dict = RULES_2025) -> DataFrame:
+                            rules: dict = RULES_2025, in_place: bool = False) -> DataFrame:
     """Payment rows with the basic table by code (last row of a code) and unit prices by service.
 
-    A document's prices are one row of fixed length (25 services), looked up by the service; only the
-    grades need a join by their own key.
+    A document's prices are one row of fixed length (25 services), looked up by the service, and its grades
+    are one row too, looked up by code: both joins are by document, so inputs that are dealt out by it stay.
     """
     out = table.withColumn("등급구분", F.btrim("등급구분"))
     if prices is None:
         out = out.withColumns({n: F.lit(None).cast("bigint") for n in ("unit_day", "unit_night")})
     else:
         service = F.struct("서비스종유명", "서비스시간명")
-        units = service_rows(prices, rules).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
-            service, F.struct(F.col("단위기준단가").alias("unit_day"), F.col("단위기준심야단가").alias("unit_night"))))).alias("__units"))
+        units = service_bundles(prices, rules, in_place).select("doc_id", F.map_from_entries(F.transform("services", lambda s: F.struct(
+            F.struct(s["서비스종유명"].alias("서비스종유명"), s["서비스시간명"].alias("서비스시간명")),
+            F.struct(s["단위기준단가"].alias("unit_day"), s["단위기준심야단가"].alias("unit_night"))))).alias("__units"))
         out = out.join(not_broadcast(units, unique=True), "doc_id", "left")
         unit = F.col("__units")[service]
         out = out.withColumns({n: unit[n] for n in ("unit_day", "unit_night")}).drop("__units")
@@ -235,23 +255,28 @@ def payment_with_references(table: DataFrame, basic: DataFrame | None, prices: D
         ref = full.groupBy("doc_id", F.btrim("등급구분").alias("등급구분")).agg(F.max_by(
             F.struct(F.col("지원량").alias("ref_support"), F.col("정부지원금").alias("ref_gov"),
                      F.col("본인부담금").alias("ref_copay")), "row_id").alias("r"))
-        out = out.join(not_broadcast(ref.select("doc_id", "등급구분", "r.*"), unique=True), ["doc_id", "등급구분"], "left")
+        out = out.join(not_broadcast(_by_code(ref), unique=True), "doc_id", "left")
+        held = F.get("__refs", _bucket(F.col("등급구분")))[F.col("등급구분")]
+        out = out.withColumns({n: held[n] for n in ("ref_support", "ref_gov", "ref_copay")}).drop("__refs")
     return out
 
 
 def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: DataFrame | None = None,
-                     rules: dict = RULES_2025) -> dict[str, DataFrame]:
-    """The payment suite: references first, value consistency where there is none."""
+                     rules: dict = RULES_2025, in_place: bool = False) -> dict[str, DataFrame]:
+    """The payment suite: references first, value consistency where there is none.
+
+    ``in_place``: the inputs are dealt out by document, into equally many tasks, and no row leaves its task.
+    """
     need = {"지원량", "정부지원금액", "본인부담금액"}
     if not need <= set(table.columns):
         raise ValueError(f"missing columns in the payment table: {sorted(need - set(table.columns))}")
     for rate in ("정부지원금율", "본인부담금율"):
         if rate not in table.columns:
             table = table.withColumn(rate, F.lit(None).cast("double"))
-    rows = ck.with_five_value_terms(payment_with_references(table, basic, prices, rules), *[
+    rows = ck.with_five_value_terms(payment_with_references(table, basic, prices, rules, in_place), *[
         F.col(n) for n in ("지원량", "정부지원금액", "본인부담금액", "정부지원금율", "본인부담금율")])
     issues = ck.explode_findings(rows, KEYS, payment_row_checks()).select(*ISSUE_COLUMNS)
-    again = tb.later_duplicates(
+    again = (tb.later_duplicates_in_place if in_place else tb.later_duplicates)(
         table.select("doc_id", "row_id", "등급구분", "서비스종유명", "서비스시간명"),
         ["doc_id", "등급구분", "서비스종유명", "서비스시간명"], "row_id")
     here, there = (F.col("row_id") + 1).cast("string"), (F.col("first_row") + 1).cast("string")
@@ -262,11 +287,12 @@ def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: D
 
 def validate(flow: str, tab: int, table: DataFrame, constants: DataFrame | None = None,
              basic: DataFrame | None = None, prior: DataFrame | None = None,
-             prices: DataFrame | None = None, rules: dict = RULES_2025) -> dict[str, DataFrame]:
+             prices: DataFrame | None = None, rules: dict = RULES_2025, in_place: bool = False) -> dict[str, DataFrame]:
     """Dispatch by flow (``unit_price`` or ``notice_verify``) and tab; growth against a prior
-    table is added where one is given.  Documents without constants get a notice, not issues."""
+    table is added where one is given.  Documents without constants get a notice, not issues.
+    ``in_place`` goes to :func:`validate_payment`."""
     if flow != "unit_price":
-        out = validate_payment(table, basic, prices, rules)
+        out = validate_payment(table, basic, prices, rules, in_place)
         columns = ("지원량", "정부지원금액", "본인부담금액")
     else:
         if constants is None:

@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DEALT = 1000
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, rows: int = DEALT) -> DataFrame:
     """``df`` dealt out by ``key`` to as many tasks as a shuffle has, or more where a task would get over
-    ``DEALT`` rows: a small file is one task, and so would be all rows that it grows into."""
+    ``rows`` rows: a small file is one task, and so would be all rows that it grows into."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(tasks, -(-df.count() // DEALT)), key)
+    return df.repartition(max(tasks, -(-df.count() // rows)), key)

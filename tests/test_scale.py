@@ -83,3 +83,35 @@ def test_warnings_are_judged_in_their_row(spark, tmp_path):
     spark.createDataFrame([(4, 77.0), (5, 1234.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     plan = all_workloads()["validate_basic_warnings"].build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("Join") == 1
+
+
+def test_payment_rows_stay_in_the_tasks_of_their_documents(spark, tmp_path):
+    """25 services for each grade: the rows are not shuffled by code or service, and nothing is written between."""
+    from tariffloom.workloads import all_workloads
+
+    spark.createDataFrame([(n, 1000.0 * n) for n in range(3)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = all_workloads()["validate_payment"].build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [line for line in plan if "Exchange" in line]
+    assert shuffles and not [line for line in shuffles if "hashpartitioning(doc_id" not in line or "REPARTITION_BY_NUM" not in line]
+    assert all("s_suppkey" in line for line in plan if "FileScan" in line)
+
+
+def test_duplicates_found_in_place_are_those_that_move(spark):
+    from tariffloom.operators import tables as tb
+
+    rows = spark.createDataFrame([(1, "a", 3), (1, "a", 1), (1, "a", 2), (1, "b", 5), (2, "a", 4), (2, None, 1), (2, None, 2), (3, "a", 7), (3, "a", 7)],
+                                 "d long, k string, o long")
+    want = {tuple(r) for r in tb.later_duplicates(rows, ["d", "k"], "o").select("d", "k", "o", "first_row").collect()}
+    found = tb.later_duplicates_in_place(rows.repartition(3, "d"), ["d", "k"], "o").select("d", "k", "o", "first_row")
+    assert {tuple(r) for r in found.collect()} == want == {(1, "a", 2, 1), (1, "a", 3, 1)}
+
+
+def test_references_are_found_by_code_inside_a_document(spark):
+    from tariffloom.plans.validate import payment_with_references
+
+    basic = spark.createDataFrame([(1, 0, "D1", 10, 6, 4), (1, 1, " D1", 20, 12, 8), (1, 2, "D2", 30, None, 3), (2, 0, "D1", 40, 30, 10), (1, 3, "", 50, 1, 1)],
+                                  "doc_id long, row_id long, `등급구분` string, `지원량` long, `정부지원금` long, `본인부담금` long")
+    table = spark.createDataFrame([(1, 0, "D1 "), (1, 1, "D2"), (1, 2, "X"), (1, 3, None), (2, 0, "D1"), (3, 0, "D1")], "doc_id long, row_id long, `등급구분` string")
+    rows = payment_with_references(table, basic, None).select("doc_id", "row_id", "ref_support", "ref_gov", "ref_copay")
+    assert {tuple(r) for r in rows.collect()} == {(1, 0, 20, 12, 8), (1, 1, None, None, None), (1, 2, None, None, None), (1, 3, None, None, None),
+                                                  (2, 0, 40, 30, 10), (3, 0, None, None, None)}
