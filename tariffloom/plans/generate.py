@@ -288,17 +288,14 @@ def payable_grades(basic: DataFrame) -> DataFrame:
 
 def payment_parts(basic: DataFrame, prices: DataFrame, rules: dict = RULES_2025,
                   in_place: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The payment table before it multiplies: numbered grades, and one row of ``services`` a document.
+    """The payment table before it multiplies: its grades, and one row of ``services`` a document.
 
-    A service's rows have the numbers ``start * n_grades + offset + (grade_no - 1) * width``.  Grades are numbered where
-    the rows of their document meet; tables that are dealt out by document stay in their tasks.
+    A service's rows have the numbers ``start * n_grades + offset + (grade_no - 1) * width``, where a document's
+    ``n_grades`` grades are numbered from 1 by code.  Tables that are dealt out by document stay in their tasks.
     """
-    document = Window.partitionBy("doc_id")
     share = {n: F.round(F.col(n) / F.nullif(F.col("지원량"), F.lit(0)), 10) for n in ("정부지원금", "본인부담금")}
     # rounded once a grade, before the services multiply it
-    grades = payable_grades(basic).withColumns({
-        "grade_no": F.row_number().over(document.orderBy("등급구분")).cast("bigint"), "n_grades": F.count("*").over(document),
-        "정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"]})
+    grades = payable_grades(basic).withColumns({"정부지원금율": share["정부지원금"], "본인부담금율": share["본인부담금"]})
     sizes = fixed.SERVICE_COUNTS
     before = F.create_map(*[F.lit(x) for n, t in enumerate(sorted(sizes))
                             for x in (t, sum(sizes[u] for u in sorted(sizes)[:n]))])
@@ -316,6 +313,9 @@ def payment_table(basic: DataFrame, prices: DataFrame, year: Column | None = Non
     are dealt out by document, into equally many tasks, and the table grows there without a shuffle.
     """
     grades, services = payment_parts(basic, prices, rules, in_place)
+    document = Window.partitionBy("doc_id")
+    grades = grades.withColumns({"grade_no": F.row_number().over(document.orderBy("등급구분")).cast("bigint"),
+                                 "n_grades": F.count("*").over(document)})
     year = F.lit(None).cast("int") if year is None else year
     chasu = F.lit(1) if chasu is None else chasu
     rows = grades.join(not_broadcast(services, unique=True), "doc_id").select(*grades.columns, F.inline("services"))

@@ -115,3 +115,41 @@ def test_references_are_found_by_code_inside_a_document(spark):
     rows = payment_with_references(table, basic, None).select("doc_id", "row_id", "ref_support", "ref_gov", "ref_copay")
     assert {tuple(r) for r in rows.collect()} == {(1, 0, 20, 12, 8), (1, 1, None, None, None), (1, 2, None, None, None), (1, 3, None, None, None),
                                                   (2, 0, 40, 30, 10), (3, 0, None, None, None)}
+
+
+def test_payment_digests_are_those_of_the_payment_rows(spark, tmp_path):
+    """Rows are spelled out document by document: not shuffled, and not gathered again after they multiplied."""
+    import hashlib
+
+    from tariffloom.plans import generate as gen
+    from tariffloom.workloads import all_workloads, tariffs
+
+    spark.createDataFrame([(7, 1234.0), (8, -55.5)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = all_workloads()["generate_payment"].build(spark, str(tmp_path))
+    columns = ("순번", "등급구분", "등급명", "서비스종류", "서비스종유명", "서비스시간", "서비스시간명", "단위기준단가", "단위기준심야단가", "지원량", "정부지원금액", "본인부담금액")
+    million = [F.round(F.col(c) * 1000000).cast("bigint") for c in ("정부지원금율", "본인부담금율")]
+    rows = gen.payment_table(tariffs.basic_tables(spark, str(tmp_path)), tariffs.supplier_prices(spark, str(tmp_path))).select(
+        "doc_id", "서비스유형ID", *columns, *million).collect()
+    texts = {}
+    for r in sorted(rows, key=lambda r: r["순번"]):
+        texts.setdefault((r[0], r[1]), []).append(r[2:])
+    want = {(doc, tid, len(of), of[0][0], of[-1][0], hashlib.md5("\n".join("|".join(str(v) for v in r if v is not None) for r in of).encode()).hexdigest())
+            for (doc, tid), of in texts.items()}
+    assert len(rows) == 2 * 949 * 25 and {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in plan if "Exchange" in line and "REPARTITION_BY_NUM" not in line]
+    # the rows that are gathered are grades, 25 times fewer
+    assert not [line for line in plan if "Aggregate(" in line and "서비스" in line]
+
+
+def test_payment_digests_of_no_documents_and_unknown_prices(spark):
+    from tariffloom.plans import generate as gen
+    from tariffloom.workloads import tariffs
+
+    basic = spark.createDataFrame([(1, "D2", None, 0, 0, 0), (1, "D1", "a", 10, 6, 4), (1, "9999", "b", 1, 1, 1), (2, "D1", "a", 1, 1, 0)],
+                                  "doc_id long, `등급구분` string, `등급명` string, `지원량` long, `정부지원금` long, `본인부담금` long")
+    prices = spark.createDataFrame([(1, "방문간호.30분미만", 42000.0)], "doc_id long, key string, value double")
+    found = {r.tid: r for r in tariffs._payment_digests(*gen.payment_parts(basic, prices)).collect()}
+    assert {t: (r.n, r.first_no, r.last_no) for t, r in found.items()} == {
+        "ST0001": (16, 1, 16), "ST0002": (18, 17, 34), "ST0003": (8, 35, 42), "ST0004": (8, 43, 50)}
+    assert tariffs._payment_digests(*gen.payment_parts(basic.limit(0), prices)).count() == 0
