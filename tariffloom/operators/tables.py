@@ -1,7 +1,7 @@
 """Checks that look at a whole table: counts, completeness, duplicates, growth.
 
 Group questions are answered by aggregates with partial sums and joined back; no window
-spans a whole group.
+spans a whole group, except where keys have few rows each (``later_copies``).
 """
 
 from __future__ import annotations
@@ -57,14 +57,16 @@ def later_duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
     return df.join(not_broadcast(firsts, unique=True), list(keys)).filter(F.col(order) > F.col("first_row"))
 
 
-def later_duplicates_in_place(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """:func:`later_duplicates` for rows that are dealt out by some of ``keys``: nothing moves or is written.
+def later_copies(df: DataFrame, keys: Sequence[str], order: str, hashed: bool = False) -> DataFrame:
+    """:func:`later_duplicates` for keys of few rows each, such as the codes of a document.
 
-    Rows are compared inside their task, sorted by a hash of the keys first, as keys of a table begin alike.
+    Rows are compared with their neighbours: they move once by their keys, or not at all if they are dealt out by some of
+    them, and nothing is joined or written.  ``hashed`` sorts them by a hash first, as the keys of a long table begin alike.
     """
-    same = Window.partitionBy("__h", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.dropna(subset=list(keys)).withColumn("__h", F.xxhash64(*keys)).withColumn("first_row", F.min(order).over(same)).filter(
-        F.col(order) > F.col("first_row")).drop("__h")
+    first = ["__h"] if hashed else []
+    same = Window.partitionBy(*first, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.dropna(subset=list(keys)).withColumns({n: F.xxhash64(*keys) for n in first})
+    return df.withColumn("first_row", F.min(order).over(same)).filter(F.col(order) > F.col("first_row")).drop(*first)
 
 
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:

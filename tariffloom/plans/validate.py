@@ -54,7 +54,7 @@ def _whole_table(table: DataFrame, parsed: DataFrame, expected_rows: int) -> Dat
     out = out.unionByName(_table_level(gaps, "TIER", F.col("reason")))
     for ord_, code, column in ((900, "DUP_CODE", "등급구분"), (901, "DUP_NAME", "등급명")):
         keyed = table.select("doc_id", "row_id", F.btrim(column).alias("k")).filter(F.col("k") != "")
-        again = tb.later_duplicates(keyed, ["doc_id", "k"], "row_id")
+        again = tb.later_copies(keyed, ["doc_id", "k"], "row_id")
         here, there = (F.col("row_id") + 1).cast("string"), (F.col("first_row") + 1).cast("string")
         tail = F.lit("행의 등급구분을 수정" if code == "DUP_CODE" else "행 중 하나를 확인/삭제")
         out = out.unionByName(_row_level(again, ord_, code, column, ck.message(code, F.col("k"), there),
@@ -276,9 +276,9 @@ def validate_payment(table: DataFrame, basic: DataFrame | None = None, prices: D
     rows = ck.with_five_value_terms(payment_with_references(table, basic, prices, rules, in_place), *[
         F.col(n) for n in ("지원량", "정부지원금액", "본인부담금액", "정부지원금율", "본인부담금율")])
     issues = ck.explode_findings(rows, KEYS, payment_row_checks()).select(*ISSUE_COLUMNS)
-    again = (tb.later_duplicates_in_place if in_place else tb.later_duplicates)(
+    again = tb.later_copies(
         table.select("doc_id", "row_id", "등급구분", "서비스종유명", "서비스시간명"),
-        ["doc_id", "등급구분", "서비스종유명", "서비스시간명"], "row_id")
+        ["doc_id", "등급구분", "서비스종유명", "서비스시간명"], "row_id", hashed=in_place)
     here, there = (F.col("row_id") + 1).cast("string"), (F.col("first_row") + 1).cast("string")
     dup = _row_level(again, 900, "DUP_ROW", "등급구분", ck.message("DUP_ROW", there),
                      F.concat(here, F.lit("행 또는 "), there, F.lit("행 중 하나 삭제")))

@@ -96,14 +96,15 @@ def test_payment_rows_stay_in_the_tasks_of_their_documents(spark, tmp_path):
     assert all("s_suppkey" in line for line in plan if "FileScan" in line)
 
 
-def test_duplicates_found_in_place_are_those_that_move(spark):
+def test_later_copies_are_later_duplicates(spark):
     from tariffloom.operators import tables as tb
 
     rows = spark.createDataFrame([(1, "a", 3), (1, "a", 1), (1, "a", 2), (1, "b", 5), (2, "a", 4), (2, None, 1), (2, None, 2), (3, "a", 7), (3, "a", 7)],
                                  "d long, k string, o long")
     want = {tuple(r) for r in tb.later_duplicates(rows, ["d", "k"], "o").select("d", "k", "o", "first_row").collect()}
-    found = tb.later_duplicates_in_place(rows.repartition(3, "d"), ["d", "k"], "o").select("d", "k", "o", "first_row")
-    assert {tuple(r) for r in found.collect()} == want == {(1, "a", 2, 1), (1, "a", 3, 1)}
+    for placed, hashed in ((rows.repartition(3, "d"), True), (rows, False)):
+        found = tb.later_copies(placed, ["d", "k"], "o", hashed).select("d", "k", "o", "first_row")
+        assert {tuple(r) for r in found.collect()} == want == {(1, "a", 2, 1), (1, "a", 3, 1)}
 
 
 def test_references_are_found_by_code_inside_a_document(spark):
